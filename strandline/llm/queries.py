@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.chat_parts import chats_query
+from strandline.llm.dedup_oph import near_duplicates
+from strandline.llm.pack_drr import pack
 from strandline.llm.token_store import tokens_query
 
 
@@ -15,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_pack_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -26,6 +36,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pack_drr": op5_pack_drr,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_chat_parts": op9_chat_parts,
     "op10_token_store": op10_token_store,
 }
