@@ -124,8 +124,8 @@ def encode_docs(docs: DataFrame, queues: list[str], tokenizer: str, end_id: int)
         tail = int(end_id).to_bytes(4, "little")
         for b in batches:
             out = [], [], [], []
-            for source, text in zip(b["source"].to_pylist(), b["text"], strict=True):
-                raw = enc.encode(text.as_py() or "") + tail
+            for source, text in zip(b["source"].to_pylist(), enc.encode_column(b["text"]), strict=True):
+                raw = text + tail
                 q = number.get(source, 0)
                 for to, x in zip(out, (q, sums[q], len(raw) // 4, raw if wide else np.frombuffer(raw, "<u4").astype("<u2").tobytes()), strict=True):
                     to.append(x)

@@ -28,8 +28,8 @@ READ_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids_crc32
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 65536
 
 
-def _serial(text: str | None, enc, end_id: int, width: int) -> bytes:
-    ids = enc.encode(text or "") + int(end_id).to_bytes(4, "little")
+def _serial(ids: bytes, end_id: int, width: int) -> bytes:
+    ids += int(end_id).to_bytes(4, "little")
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
@@ -38,14 +38,14 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     keyed = docs.select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     picked = [r["text"] for r in keyed.orderBy("h").limit(SAMPLE_DOCS).collect()]
     enc = encoder(tokenizer)
-    samples = [_serial(x, enc, end_id, width)[:SAMPLE_BYTES] for x in picked]
+    samples = [_serial(enc.encode(x or ""), end_id, width)[:SAMPLE_BYTES] for x in picked]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 20_000:
         return b""
     return zstandard.train_dictionary(min(DICT_BYTES, max(1024, total // 10)), samples, level=3).as_bytes()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, level: int = 3) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, level: int = 1) -> None:
     """Writes docs (doc_id, text) to path in ascending order of doc_id; null ids come first, ties by text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -68,8 +68,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, level:
 
         arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_start", pa.int64()), ("dict_hash", pa.string()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("id_counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("blob", pa.binary())])
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                raw = _serial(text.as_py(), enc, end_id, width)
+            for doc_id, text in zip(b["doc_id"].to_pylist(), enc.encode_column(b["text"]), strict=True):
+                raw = _serial(text, end_id, width)
                 frame = zstd.compress(raw)
                 ids.append(doc_id)
                 counts.append(len(raw) // width)
