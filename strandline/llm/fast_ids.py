@@ -16,7 +16,7 @@ from strandline.llm.common import worker_state
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Texts in which a blank may stand beside other white space, by either library's view of white space.
 ODD = r"^ | $|  |\n | \n|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+_PACK = [f"<{n}I" for n in range(24)]
 HALF = 600_000
 LONGEST = 48
 #: Letters below it are the same after NFC, and their lower case is one letter (U+0130 is looked at apart).
@@ -100,7 +100,7 @@ class FastEncoder:
         if not piece.isascii():
             piece = "".join(map(self.map.__getitem__, piece.encode()))
         ids = [x.id for x in self.model.tokenize(self.map[32] + piece if glue else piece)]
-        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.asarray(ids, "<u4").tobytes()
+        return struct.pack(_PACK[len(ids)], *ids) if len(ids) < len(_PACK) else np.asarray(ids, "<u4").tobytes()
 
     def encode_column(self, column: pa.Array) -> list[bytes]:
         """encode() of each value; null: empty."""
