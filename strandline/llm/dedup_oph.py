@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bloom, bloom_columns, bloom_has, mix64, stage, text_bytes
+from strandline.llm.common import bloom, bloom_columns, bloom_has, mix64, stage, text_bytes, worker_state
 from strandline.llm.components import components
 
 BANDS, ROWS, ROUNDS, STREAM = 40, 5, 3, 256
@@ -31,16 +31,45 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+#: Bytes hashed at once: their arrays stay in a core's cache.
+_SPAN = 1 << 18
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE^k and its inverse^k mod 2^64."""
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """_BASE^k and its inverse^k mod 2^64 for k < n; those of a usual span are kept in the worker."""
+
+    def fresh(n: int) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            up, down = np.full(n, _BASE, np.uint64), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+            up[0] = down[0] = 1
+            return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+    if n > 2 * _SPAN:
+        return fresh(n)
+    up, down = worker_state().setdefault("powers", None) or fresh(2 * _SPAN)
+    worker_state()["powers"] = up, down
+    return up[:n], down[:n]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased, cut at ASCII white space) in order, and how many each text has."""
+    hashes, counts, held, size = [], [], [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size >= _SPAN:
+            for to, x in zip((hashes, counts), _span_hashes(held), strict=True):
+                to.append(x)
+            held, size = [], 0
+    if held:
+        for to, x in zip((hashes, counts), _span_hashes(held), strict=True):
+            to.append(x)
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(counts)
+
+
+def _span_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     space = _SPACE[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -48,12 +77,12 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.concatenate([[0], edge])
     begin, end = edge[0::2], edge[1::2]
     up, down = _powers(len(joined) + 1)
+    run = np.zeros(len(joined) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        run = np.concatenate([[np.uint64(0)], np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+        np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=run[1:])
         hashes = mix64((run[end] - run[begin]) * down[begin] + (end - begin).astype(np.uint64))
     last = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(begin, last)
-    return hashes, np.diff(np.concatenate([[0], upto]))
+    return hashes, np.diff(np.concatenate([[0], np.searchsorted(begin, last)]))
 
 
 def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
@@ -66,7 +95,7 @@ def shingle_sets(texts: list[bytes], words: int = 5) -> list[np.ndarray]:
         if t is not None:
             chunk.append(t)
             size += len(t)
-            if size < 2_000_000:
+            if size < _SPAN:
                 continue
         if not chunk:
             break
