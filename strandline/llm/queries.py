@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.chat_parts import chats_query
 from strandline.llm.dedup_oph import near_duplicates
 from strandline.llm.lm_ppm import score_documents
+from strandline.llm.mix_pfair import mix
 from strandline.llm.pack_drr import pack
 from strandline.llm.token_store import tokens_query
+from strandline.llm.url_rules import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op5_pack_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
 
@@ -42,6 +52,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
+    "op3_url_rules": op3_url_rules,
+    "op4_pfair_mix": op4_pfair_mix,
     "op5_pack_drr": op5_pack_drr,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_chat_parts": op9_chat_parts,
