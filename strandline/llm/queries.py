@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.ann_hilbert import nearest
 from strandline.llm.chat_parts import chats_query
 from strandline.llm.dedup_oph import near_duplicates
 from strandline.llm.lm_ppm import score_documents
 from strandline.llm.mix_pfair import mix
 from strandline.llm.pack_drr import pack
 from strandline.llm.token_store import tokens_query
+from strandline.llm.toxicity_fst import toxicity_scores
 from strandline.llm.url_rules import judge_urls
 
 
@@ -24,6 +26,11 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows.where("vec_id % 20 = 0"), rows, k=20)
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -40,6 +47,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -52,10 +63,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
+    "op2_hilbert_ann": op2_hilbert_ann,
     "op3_url_rules": op3_url_rules,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_pack_drr": op5_pack_drr,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_toxicity_fst": op8_toxicity_fst,
     "op9_chat_parts": op9_chat_parts,
     "op10_token_store": op10_token_store,
 }
