@@ -1,8 +1,63 @@
-"""The corpus pipeline: toxicity, near-duplicates, mixture, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, mixture, packing. Each stage is written and read again by the next."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm.common import stage
+from strandline.llm.dedup_oph import near_duplicates
+from strandline.llm.mix_pfair import mix
+from strandline.llm.pack_drr import pack
+from strandline.llm.toxicity_fst import toxicity_scores
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The mixture of stages 3 and 4: a source's weight is its number of documents to this power.
+POWER, MOST_TARGETS = 0.5, 63
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar scores below 0.7, all columns as they were."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity_scores(docs.select(*COLUMNS), labels, columns=("text", "lang", "source", "n_chars"))
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id; rows without doc_id stay."""
+    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the Pfair schedule: part files and the rows in them follow its positions."""
+    mixed = mix(docs.select(*COLUMNS), power=POWER, columns=tuple(COLUMNS))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartitionByRange(n, "position").sortWithinPartitions("position").select(*COLUMNS)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of 2048-token sequences at the mixture's proportions; queues follow the order that the last stage wrote."""
+    counts = docs.where("source IS NOT NULL").groupBy("source").count().orderBy(F.desc("count"), "source").limit(MOST_TARGETS).collect()
+    targets = {r["source"]: r["count"] ** POWER for r in counts} or None
+    try:
+        placed = docs.select("doc_id", "source", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not read from files: there is no written order
+        placed = docs.select("doc_id", "source", "text", F.lit("").alias("_file"), F.col("doc_id").alias("_row"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.repartitionByRange(n, "_file", "_row").sortWithinPartitions("_file", "_row")
+    return pack(ordered, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048, targets=targets)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("mixture", mix_sources), ("packing", pack_windows)]
+#: SQL cannot express the first stage; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, f in STAGES[:-1]:
+        docs = stage(f(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

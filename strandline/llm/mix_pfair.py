@@ -58,7 +58,7 @@ def frame_schedule(quotas: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, frame: int = FRAME, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every row of docs (source, doc_id, text, ...) once: columns, source, source_rank, block, release, deadline, slot,
-    position (slot * block + place in the block), all from 0.
+    position (slot * block + place in the block), all from 0. Where columns name source, it is the one of docs.
 
     A source is cut into sub-queues by a hash of the row, so that a hot source is ranked in many tasks; ranks follow the
     sub-queues, then doc_id and text. Null sources are one source named "" of their own; rows alike in all of source,
@@ -83,4 +83,4 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, power: float =
     slot = (F.floor(F.col("block") / F.col("quota")) * F.col("frame") + F.col("at")).cast("long")
     release = F.expr("block * frame div quota")
     deadline = F.expr("((block + 1) * frame + quota - 1) div quota")
-    return placed.select(*[F.col(f"_{c}").alias(c) for c in columns], "source", "source_rank", F.col("block"), release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), (slot * block + F.col("source_rank") % block).alias("position"))
+    return placed.select(*[F.col(f"_{c}").alias(c) for c in columns], *([] if "source" in columns else ["source"]), "source_rank", F.col("block"), release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), (slot * block + F.col("source_rank") % block).alias("position"))

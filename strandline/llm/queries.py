@@ -11,6 +11,7 @@ from strandline.llm.ann_hilbert import nearest
 from strandline.llm.chat_parts import chats_query
 from strandline.llm.dedup_oph import near_duplicates
 from strandline.llm.lm_ppm import score_documents
+from strandline.llm.media_cdc import media_query
 from strandline.llm.mix_pfair import mix
 from strandline.llm.pack_drr import pack
 from strandline.llm.token_store import tokens_query
@@ -43,6 +44,10 @@ def op5_pack_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
 
 
+def op6_media_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_query(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_pack_drr": op5_pack_drr,
+    "op6_media_cdc": op6_media_cdc,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity_fst": op8_toxicity_fst,
     "op9_chat_parts": op9_chat_parts,
