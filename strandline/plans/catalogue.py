@@ -1,4 +1,599 @@
-"""The registered queries of the reference's operators and their DuckDB SQL."""
+"""The registered queries of the association operators on the panel, and their DuckDB SQL where SQL expresses them."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.functions.special import erfc_sql
+from strandline.operators import assoc, bias, epistasis, finemap, flow, gene_tests, genotype, graph, intervals, ld_graph, met, mr, multivariate, prs, qc, rwr, simulate, store, structure, sumstats, sv
+from strandline.plans import panel as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, panel: bool = True):
+    """Registers a query, with its SQL over the panel's common table expressions."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = ("WITH " + P.PANEL + ("," + sql.split("WITH ", 1)[1] if sql.lstrip().startswith("WITH ") else sql)) if panel else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Floating columns rounded, so that the order of sums does not show; -0 becomes 0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def base(spark, d):
+    return P.genotypes(spark, d), P.samples(spark, d), P.variants(spark, d)
+
+
+def run_a(spark, d) -> DataFrame:
+    """Association of the balance: v, beta, se, r2, chi2 (t squared), p_value by the normal polynomial."""
+    g, s, _ = base(spark, d)
+    r = assoc.linear_stats(genotype.moments(g, s))
+    return r.withColumn("chi2", F.col("t") * F.col("t")).withColumn("p_value", assoc.chi2_1_tail(F.col("t") * F.col("t")))
+
+
+def run_b(spark, d) -> DataFrame:
+    """The same of each customer's order total."""
+    g, s, _ = base(spark, d)
+    total = P.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("s")).agg(F.sum("o_totalprice").alias("t"))
+    y = s.select("s").join(total, "s", "left").select("s", (F.coalesce("t", F.lit(0.0)) / 1e5).alias("y"))
+    r = assoc.linear_stats(genotype.moments(g, y))
+    return r.withColumn("chi2", F.col("t") * F.col("t")).withColumn("p_value", assoc.chi2_1_tail(F.col("t") * F.col("t")))
+
+
+COUNTS = """WITH counts AS (SELECT v, (SELECT n_case FROM n)-count(*) FILTER (is_case) AS case_hr, count(*) FILTER (is_case AND g=1) AS case_het, count(*) FILTER (is_case AND g=2) AS case_ha,
+ (SELECT n-n_case FROM n)-count(*) FILTER (NOT is_case) AS ctrl_hr, count(*) FILTER (NOT is_case AND g=1) AS ctrl_het, count(*) FILTER (NOT is_case AND g=2) AS ctrl_ha
+ FROM genotype JOIN sample USING (s) GROUP BY v),
+allelic AS (SELECT *, CAST(2*case_hr+case_het AS DOUBLE) AS b, CAST(2*case_ha+case_het AS DOUBLE) AS a, CAST(2*ctrl_hr+ctrl_het AS DOUBLE) AS d, CAST(2*ctrl_ha+ctrl_het AS DOUBLE) AS c FROM counts)"""
+SUMS = """sums AS (SELECT v, (SELECT n FROM n) AS n, CAST(sum(g) AS DOUBLE) AS sg, CAST(sum(g*g) AS DOUBLE) AS sgg, sum(g*y) AS sgy FROM genotype JOIN sample USING (s) GROUP BY v),
+lin AS (SELECT v, n, sg, sgg-sg*sg/n AS vg, sgy-sg*my AS cgy, vy*n AS vyn FROM sums, (SELECT my, vy FROM n)),
+fit AS (SELECT v, n, CASE WHEN vg>0 THEN cgy/vg ELSE 0 END AS beta, CASE WHEN vg>0 THEN cgy*cgy/(vg*vyn) ELSE 0 END AS r2 FROM lin),
+run_a AS (SELECT v, n, beta, r2, CASE WHEN beta=0 THEN 0 ELSE sign(beta)*sqrt(r2*(n-2)/(1-r2)) END AS t FROM fit)"""
+TAIL = erfc_sql("sqrt({x}/2e0)")
+
+
+@query(COUNTS + " SELECT v, case_hr, case_het, case_ha, ctrl_hr, ctrl_het, ctrl_ha FROM counts")
+def count_tables(spark, d):
+    g, s, _ = base(spark, d)
+    return genotype.count_tables(g, s)
+
+
+@query(COUNTS + f""", x AS (SELECT v, a,b,c,d, (a+b+c+d)*power(greatest(abs(a*d-b*c)-(a+b+c+d)/2,0),2)/((a+b)*(c+d)*(a+c)*(b+d)) AS chi2 FROM allelic WHERE (a+b)*(c+d)*(a+c)*(b+d)>0)
+SELECT v, round(chi2,6) AS chi2, round({TAIL.format(x='chi2')},6) AS p_value, round(CASE WHEN a*b*c*d>0 THEN a*d/(b*c) ELSE 1 END,6) AS odds_ratio, round(ln(CASE WHEN a*b*c*d>0 THEN a*d/(b*c) ELSE 1 END),6) AS beta FROM x""")
+def chi2_scan(spark, d):
+    g, s, _ = base(spark, d)
+    out = assoc.chi2_allelic(genotype.count_tables(g, s))
+    return rounded(out.where("case_alt + ctrl_alt > 0").select("v", "chi2", "p_value", "odds_ratio", "beta"))
+
+
+@query(COUNTS + """ SELECT v, round(CASE WHEN p*(1-p)>0 THEN (a/(a+b)-c/(c+d))/sqrt(p*(1-p)*(1/(a+b)+1/(c+d))) ELSE 0 END,6) AS z, round(a/(a+b),6) AS af_cases, round(c/(c+d),6) AS af_controls
+ FROM (SELECT *, (a+c)/(a+b+c+d) AS p FROM allelic)""")
+def variant_z(spark, d):
+    g, s, _ = base(spark, d)
+    return rounded(assoc.variant_z(g, s))
+
+
+@query(COUNTS + """ SELECT v, mac, CASE WHEN mac>=20 AND least(case_hr,case_het,case_ha,ctrl_hr,ctrl_het,ctrl_ha)>=5 THEN 'chi2' WHEN mac>=5 THEN 'firth' ELSE 'fisher' END AS method
+ FROM (SELECT *, CAST(least(least(a,b),least(c,d)) AS BIGINT) AS mac FROM allelic)""")
+def method_choice(spark, d):
+    g, s, _ = base(spark, d)
+    return assoc.choose_method(genotype.count_tables(g, s)).select("v", "mac", "method")
+
+
+@query("WITH " + SUMS + " SELECT v, n, round(beta,6) AS beta, round(r2,9) AS r2, round(t,6) AS t FROM run_a")
+def linear_scan(spark, d):
+    g, s, _ = base(spark, d)
+    out = assoc.linear_stats(genotype.moments(g, s)).select("v", "n", "beta", "r2", "t")
+    return out.select("v", "n", F.round("beta", 6).alias("beta"), F.round("r2", 9).alias("r2"), F.round("t", 6).alias("t"))
+
+
+@query("WITH " + SUMS + f" SELECT v, chr, pos, round(p,6) AS p_value, gene FROM (SELECT v, {TAIL.format(x='(t*t)')} AS p FROM run_a) JOIN variant USING (v) WHERE p<0.05 ORDER BY p, v LIMIT 20")
+def assoc_top_hits(spark, d):
+    v = P.variants(spark, d)
+    hits = store.top_hits(run_a(spark, d).select("v", "p_value"), v.select("v", "chr", "pos"), v.select("v", "gene"), 0.05, 20)
+    return hits.select("v", "chr", "pos", F.round("p_value", 6).alias("p_value"), F.element_at("genes", 1).alias("gene"))
+
+
+@query()
+def single_locus_scan(spark, d):
+    g, s, _ = base(spark, d)
+    return assoc.single_locus_scan(g, s)
+
+
+@query()
+def linear_scan_adjusted(spark, d):
+    g, s, _ = base(spark, d)
+    return assoc.linear_scan_adjusted(g, s.withColumn("x", F.col("population").cast("double")), ["x"])
+
+
+@query("""WITH m AS (SELECT v, (SELECT n FROM n) AS n, CAST(sum(g) AS DOUBLE) AS sg, CAST(sum(g*g) AS DOUBLE) AS sgg, CAST(sum(CASE WHEN is_case THEN g ELSE 0 END) AS DOUBLE) AS sgy FROM genotype JOIN sample USING (s) GROUP BY v)
+SELECT v, round(u,6) AS u, round(var,6) AS variance, round(CASE WHEN var>0 THEN u/sqrt(var) ELSE 0 END,6) AS z FROM (SELECT v, sgy-r*sg AS u, r*(1-r)*(sgg-sg*sg/n) AS var FROM (SELECT *, CAST((SELECT n_case FROM n) AS DOUBLE)/n AS r FROM m))""")
+def score_test(spark, d):
+    g, s, _ = base(spark, d)
+    return rounded(assoc.score_test(g, s).select("v", "u", "variance", "z"))
+
+
+@query("WITH " + SUMS + " SELECT round(quantile_cont(t*t,0.5)/0.4549,6) AS lambda_gc FROM run_a")
+def lambda_gc(spark, d):
+    return rounded(assoc.lambda_gc(run_a(spark, d)))
+
+
+@query(COUNTS + """ SELECT v, least(2*case_ha+case_het, 2*(case_hr+case_het+case_ha)-2*case_ha-case_het) AS mac_cases, least(2*ctrl_ha+ctrl_het, 2*(ctrl_hr+ctrl_het+ctrl_ha)-2*ctrl_ha-ctrl_het) AS mac_controls,
+ round((2*ctrl_ha+ctrl_het)/(2e0*(ctrl_hr+ctrl_het+ctrl_ha)),6) AS af_controls FROM counts""")
+def variant_qc(spark, d):
+    g, s, _ = base(spark, d)
+    return rounded(qc.variant_qc(g, s).select("v", "mac_cases", "mac_controls", "af_controls"))
+
+
+@query()
+def hardy_weinberg(spark, d):
+    g, s, _ = base(spark, d)
+    return qc.variant_qc(g, s).select("v", "hwe_pvalue_controls", "passed")
+
+
+@query("""WITH per AS (SELECT s, coalesce(h,0)/CAST((SELECT count(*) FROM variant) AS DOUBLE) AS het_rate FROM sample LEFT JOIN (SELECT s, count(*) FILTER (g=1) AS h FROM genotype GROUP BY s) USING (s))
+SELECT s, round(0e0,6) AS genotype_missingness, round(het_rate,6) AS het_rate, abs(het_rate-m)>3*sd AS is_excluded_qc FROM per, (SELECT avg(het_rate) m, stddev_pop(het_rate) sd FROM per)""")
+def sample_qc(spark, d):
+    g, s, v = base(spark, d)
+    return rounded(qc.sample_qc(g, s, v.count()).select("s", "genotype_missingness", "het_rate", "is_excluded_qc"))
+
+
+LD = """pairs AS (SELECT a.v AS v1, b.v AS v2 FROM variant a JOIN variant b ON a.chr=b.chr AND a.v<b.v AND abs(a.pos-b.pos)<=5000),
+one AS (SELECT v, CAST(sum(g) AS DOUBLE) AS sg, CAST(sum(g*g) AS DOUBLE) AS sgg FROM genotype GROUP BY v),
+prod AS (SELECT v1, v2, CAST(sum(a.g*b.g) AS DOUBLE) AS s12 FROM pairs JOIN genotype a ON a.v=v1 JOIN genotype b ON b.v=v2 AND a.s=b.s GROUP BY 1,2),
+ld AS (SELECT v1, v2, CASE WHEN (x.sgg*n-x.sg*x.sg)>0 AND (y.sgg*n-y.sg*y.sg)>0 THEN (coalesce(s12,0)*n-x.sg*y.sg)/sqrt((x.sgg*n-x.sg*x.sg)*(y.sgg*n-y.sg*y.sg)) ELSE 0 END AS r
+ FROM pairs LEFT JOIN prod USING (v1,v2) LEFT JOIN one x ON x.v=v1 LEFT JOIN one y ON y.v=v2, (SELECT n FROM n))"""
+
+
+def panel_ld(spark, d) -> DataFrame:
+    g, s, v = base(spark, d)
+    out = genotype.ld_pairs(g, v, s.count(), 5000)
+    return out.join(v.select(F.col("v").alias("v1"), F.col("gene").alias("locus")), "v1")
+
+
+@query("WITH " + LD + " SELECT v1, v2, round(r,6) AS r FROM ld")
+def ld_pairs(spark, d):
+    g, s, v = base(spark, d)
+    return rounded(genotype.ld_pairs(g, v, s.count(), 5000).select("v1", "v2", "r"))
+
+
+@query()
+def ld_centrality(spark, d):
+    return ld_graph.centrality(ld_graph.ld_graph(panel_ld(spark, d), 0.3))
+
+
+def candidates(spark, d) -> DataFrame:
+    v = P.variants(spark, d)
+    return run_a(spark, d).select("v", F.abs("t").alias("z")).join(v.select("v", F.col("gene").alias("locus")), "v")
+
+
+FM = LD + "," + SUMS + """, c AS (SELECT gene AS locus, v, abs(t) AS z FROM run_a JOIN variant USING (v)),
+sym AS (SELECT v1 AS v, v2 AS u, r*r AS r2 FROM ld WHERE r*r>0.3 UNION ALL SELECT v2, v1, r*r FROM ld WHERE r*r>0.3),
+pull AS (SELECT sym.v, avg(r2*c.z) AS pull, count(*) AS k FROM sym JOIN c ON c.v=sym.u GROUP BY sym.v),
+raw AS (SELECT locus, v, z, coalesce(k,0) AS n_neighbors, z-coalesce(pull,0) AS u0, max(z) OVER (PARTITION BY locus) AS zt FROM c LEFT JOIN pull USING (v)),
+uq AS (SELECT *, greatest(CASE WHEN max(u0) OVER (PARTITION BY locus)>0 THEN u0/max(u0) OVER (PARTITION BY locus)*zt ELSE u0 END,0) AS uq, count(*) OVER (PARTITION BY locus) AS cnt FROM raw),
+sc AS (SELECT locus, v, z, n_neighbors, uq, {alpha}*uq AS comb FROM uq WHERE cnt>=3),
+ex AS (SELECT *, exp(comb-max(comb) OVER (PARTITION BY locus)) AS e FROM sc),
+pp AS (SELECT *, e/sum(e) OVER (PARTITION BY locus) AS pip FROM ex)"""
+
+
+@query("WITH " + FM.format(alpha="0.5e0") + """ SELECT locus, v, n_neighbors, round(uq,6) AS unique_stat, round(pip,6) AS pip,
+ coalesce(sum(pip) OVER (PARTITION BY locus ORDER BY pip DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)<0.95 AS in_credible_set FROM pp""")
+def finemap_gafm(spark, d):
+    out = finemap.gafm(candidates(spark, d), panel_ld(spark, d))
+    return rounded(out.select("locus", "v", "n_neighbors", "unique_stat", "pip", "in_credible_set"))
+
+
+_ABF = " + ".join(f"{p}e0*power(1+{g}e0*nn,-0.5)*exp(0.5*uq*uq*{g}e0*nn/(1+{g}e0*nn))" for p, g in ((0.5, 0.001), (0.3, 0.01), (0.1, 0.1), (0.1, 1.0)))
+
+
+@query("WITH " + FM.format(alpha="0.7e0") + f""", w AS (SELECT *, pip*({_ABF}) AS x FROM pp, (SELECT n AS nn FROM n))
+SELECT locus, v, round(least(greatest(x*sum(pip) OVER (PARTITION BY locus)/sum(x) OVER (PARTITION BY locus),0),1),6) AS pip FROM w""")
+def finemap_gafm_mx(spark, d):
+    n = P.samples(spark, d).count()
+    return rounded(finemap.gafm_mx(candidates(spark, d), panel_ld(spark, d), n).select("locus", "v", "pip"))
+
+
+def annotations(spark, d) -> DataFrame:
+    v = P.variants(spark, d)
+    ppi = P.interactions(spark, d)
+    return finemap.annotation_cache(v.select("v", "gene"), P.gene_pathways(spark, d), ppi)
+
+
+@query("""SELECT v, list_sort(list(DISTINCT gene)) AS genes, list_sort(list(DISTINCT pathway)) AS pathways FROM variant JOIN gene_pathway USING (gene) GROUP BY v""")
+def annotation_cache(spark, d):
+    return annotations(spark, d).select("v", "genes", "pathways")
+
+
+@query()
+def finemap_hbp(spark, d):
+    return finemap.hbp(candidates(spark, d), panel_ld(spark, d), annotations(spark, d))
+
+
+@query()
+def finemap_ensemble(spark, d):
+    c, ld, n = candidates(spark, d), panel_ld(spark, d), P.samples(spark, d).count()
+    return finemap.ensemble(finemap.gafm_mx(c, ld, n), finemap.hbp_mx(c, ld, annotations(spark, d), n))
+
+
+@query()
+def finemap_cross_locus(spark, d):
+    vp = P.variants(spark, d).select("v", "gene").join(P.gene_pathways(spark, d), "gene").select("v", "pathway")
+    return finemap.cross_locus(candidates(spark, d), panel_ld(spark, d), vp)
+
+
+@query()
+def finemap_sparse(spark, d):
+    v = P.variants(spark, d)
+    c = run_a(spark, d).select("v", F.col("t").alias("z"), F.coalesce("se", F.lit(1.0)).alias("se")).join(v.select("v", F.col("gene").alias("locus")), "v")
+    return finemap.sparse_deconvolution(c, panel_ld(spark, d).select("locus", "v1", "v2", "r"))
+
+
+@query()
+def finemap_embedding(spark, d):
+    return finemap.embedding(candidates(spark, d), panel_ld(spark, d).select("locus", "v1", "v2", "r"))
+
+
+@query("""SELECT v, gene.gene AS gene, CASE WHEN pos<"start" THEN "start"-pos WHEN pos>"end" THEN pos-"end" ELSE 0 END AS distance_bp FROM (SELECT v, chr, pos FROM variant) JOIN gene USING (chr) WHERE pos BETWEEN "start"-150000 AND "end"+150000""")
+def interval_join(spark, d):
+    hit = intervals.interval_join(P.variants(spark, d).select("v", "chr", "pos"), P.genes(spark, d).drop("pathway"), 150_000)
+    return hit.select("v", "gene", "distance_bp")
+
+
+@query("""SELECT a, b, min(score) AS score FROM (SELECT least(a,b) AS a, greatest(a,b) AS b, score FROM (SELECT a,b,score FROM ppi UNION ALL SELECT b,a,score FROM ppi)) GROUP BY 1,2""")
+def undirected_edges(spark, d):
+    p = P.interactions(spark, d)
+    return intervals.undirected(p.union(p.select("b", "a", "score")), "a", "b", "score").select("a", "b", "score")
+
+
+@query(panel=True, sql="WITH " + SUMS + """, st AS (SELECT gene AS g, count(*) AS n_variants, avg(t*t) AS mean_chi2, sum(t*t)/sqrt(count(*)) AS stat FROM run_a JOIN variant USING (v) JOIN (SELECT gene AS gg, chr, "start", "end" FROM gene) x ON x.chr=variant.chr AND pos BETWEEN "start"-10000 AND "end"+10000 GROUP BY gene)
+SELECT g AS gene, n_variants, round(mean_chi2,6) AS mean_chi2, round(stat,6) AS stat FROM st""")
+def gene_window_test(spark, d):
+    v = P.variants(spark, d)
+    rows = run_a(spark, d).join(v, "v").select("chr", "pos", F.col("t").alias("beta"), F.lit(1.0).alias("se"), "p_value").withColumnRenamed("p_value", "pval")
+    return rounded(sumstats.gene_test(rows, P.genes(spark, d).drop("pathway")).select("gene", "n_variants", "mean_chi2", "stat"))
+
+
+def traits(spark, d) -> dict[str, DataFrame]:
+    v = P.variants(spark, d).select("v", "chr", "pos", F.lit("A").alias("ref"), F.lit("G").alias("alt"))
+    return {k: r.join(v, "v").select("chr", "pos", "ref", "alt", F.col("t").alias("beta"), F.lit(1.0).alias("se"), F.col("p_value").alias("pval")) for k, r in (("a", run_a(spark, d)), ("b", run_b(spark, d)))}
+
+
+RUN_B = SUMS.replace("sums AS", "tot AS (SELECT c_custkey AS s, coalesce(t,0)/1e5 AS y FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey=c_custkey), sums_b AS").replace("lin AS", "lin_b AS").replace("fit AS", "fit_b AS").replace("run_a AS", "run_b AS").replace("FROM sums,", "FROM sums_b,").replace("FROM lin)", "FROM lin_b)").replace("FROM fit)", "FROM fit_b)").replace("JOIN sample USING (s) GROUP", "JOIN tot USING (s) GROUP").replace("(SELECT my, vy FROM n)", "(SELECT avg(y) AS my, var_pop(y) AS vy FROM tot)")
+
+
+@query("WITH " + SUMS + "," + RUN_B + " SELECT 'a' AS trait1, 'b' AS trait2, count(*) AS n, round(corr(run_a.t, run_b.t),6) AS r FROM run_a JOIN run_b USING (v)")
+def trait_correlation(spark, d):
+    return rounded(sumstats.genetic_correlation(traits(spark, d), min_shared=10))
+
+
+@query("WITH " + SUMS + "," + RUN_B + f" SELECT chr, pos, 2 AS n_traits FROM run_a JOIN run_b USING (v) JOIN variant USING (v) WHERE {TAIL.format(x='(run_a.t*run_a.t)')}<0.2 AND {TAIL.format(x='(run_b.t*run_b.t)')}<0.2")
+def trait_pleiotropy(spark, d):
+    return sumstats.pleiotropy(traits(spark, d), 0.2).select("chr", "pos", "n_traits")
+
+
+@query()
+def clumped_leads(spark, d):
+    return sumstats.clump(traits(spark, d)["b"].where("pval < 0.2"), 250_000)
+
+
+@query("WITH " + SUMS + "," + RUN_B + """, i AS (SELECT run_a.beta AS bx, run_b.beta AS by_, run_b.beta/run_b.t AS sy FROM run_a JOIN run_b USING (v) WHERE run_a.beta<>0 AND run_b.beta<>0)
+SELECT n, round(xy/xx,6) AS estimate, round(sqrt(1/xx),6) AS se, round(yy-xy/xx*xy,5) AS cochran_q FROM (SELECT count(*) AS n, sum(bx*by_/(sy*sy)) AS xy, sum(bx*bx/(sy*sy)) AS xx, sum(by_*by_/(sy*sy)) AS yy FROM i)""")
+def mr_ivw(spark, d):
+    out = mr.ivw(instruments(spark, d))
+    return out.select("n", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("cochran_q", 5).alias("cochran_q"))
+
+
+def instruments(spark, d) -> DataFrame:
+    a, b = run_a(spark, d).where("beta <> 0"), run_b(spark, d).where("beta <> 0")
+    return mr.select_instruments(a, b, None, 2.0)
+
+
+@query("WITH " + SUMS + "," + RUN_B + """, i AS (SELECT abs(run_a.beta) AS x, run_b.beta*sign(run_a.beta) AS y, 1/power(run_b.beta/run_b.t,2) AS w FROM run_a JOIN run_b USING (v) WHERE run_a.beta<>0 AND run_b.beta<>0)
+SELECT n, round((w*wxy-wx*wy)/(w*wxx-wx*wx),6) AS estimate, round((wxx*wy-wx*wxy)/(w*wxx-wx*wx),6) AS intercept FROM (SELECT count(*) AS n, sum(w) AS w, sum(w*x) AS wx, sum(w*y) AS wy, sum(w*x*x) AS wxx, sum(w*x*y) AS wxy FROM i)""")
+def mr_egger(spark, d):
+    return rounded(mr.egger(instruments(spark, d)).select("n", "estimate", "intercept"))
+
+
+@query("WITH " + SUMS + "," + RUN_B + """, i AS (SELECT v, run_b.beta/run_a.beta AS ratio, power(run_a.beta/(run_b.beta/run_b.t),2) AS w FROM run_a JOIN run_b USING (v) WHERE run_a.beta<>0 AND run_b.beta<>0),
+r AS (SELECT ratio, sum(w) OVER (ORDER BY ratio, v ROWS UNBOUNDED PRECEDING)/sum(w) OVER () AS run FROM i)
+SELECT count(*) AS n, round(min(ratio) FILTER (run>=0.5),6) AS estimate FROM r""")
+def mr_weighted_median(spark, d):
+    return rounded(mr.weighted_median(instruments(spark, d)))
+
+
+@query()
+def mr_weighted_median_bootstrap(spark, d):
+    return mr.weighted_median_se(instruments(spark, d), 200)
+
+
+@query("WITH " + SUMS + f", w AS (SELECT v, beta FROM run_a WHERE {TAIL.format(x='(t*t)')}<0.1) SELECT s, round(coalesce(sum(beta*g),0),4) AS score, count(beta) AS n_variants FROM sample LEFT JOIN (SELECT s, beta, g FROM genotype JOIN w USING (v)) USING (s) GROUP BY s")
+def prs_classical(spark, d):
+    g, s, _ = base(spark, d)
+    out = prs.classical(g, run_a(spark, d).select("v", "beta", "p_value"), s, 0.1)
+    return out.select("s", F.round("score", 4).alias("score"), "n_variants")
+
+
+@query("WITH " + SUMS + f", w AS (SELECT DISTINCT v, beta, pathway FROM run_a JOIN variant USING (v) JOIN gene_pathway USING (gene) WHERE {TAIL.format(x='(t*t)')}<0.1) SELECT pathway, s, round(sum(beta*g),4) AS score FROM genotype JOIN w USING (v) GROUP BY 1,2")
+def prs_by_pathway(spark, d):
+    g, _, v = base(spark, d)
+    vp = v.select("v", "gene").join(P.gene_pathways(spark, d), "gene").select("v", "pathway")
+    out = prs.by_pathway(g, run_a(spark, d).select("v", "beta", "p_value"), vp, 0.1)
+    return out.select("pathway", "s", F.round("score", 4).alias("score"))
+
+
+@query()
+def prs_pruned(spark, d):
+    return prs.prune(run_a(spark, d).select("v", "beta", "p_value"), panel_ld(spark, d), 0.2)
+
+
+@query("""WITH w AS (SELECT s, is_case, CAST(coalesce(sum(g),0) AS DOUBLE) AS score FROM sample LEFT JOIN genotype USING (s) GROUP BY 1,2),
+r AS (SELECT is_case, rank() OVER (ORDER BY score)+(count(*) OVER (PARTITION BY score)-1)/2e0 AS k FROM w)
+SELECT na AS n_cases, nb AS n_controls, round((sk-na*(na+1)/2e0)/(na*nb),6) AS auroc FROM (SELECT count(*) FILTER (is_case) AS na, count(*) FILTER (NOT is_case) AS nb, sum(k) FILTER (is_case) AS sk FROM r)""")
+def prs_auroc(spark, d):
+    return rounded(prs.auroc(burden(spark, d)))
+
+
+def burden(spark, d) -> DataFrame:
+    g, s, _ = base(spark, d)
+    return s.join(g.groupBy("s").agg(F.sum("g").alias("b")), "s", "left").select("s", "is_case", F.coalesce("b", F.lit(0)).cast("double").alias("score"))
+
+
+@query()
+def prs_evaluation(spark, d):
+    return prs.evaluate(burden(spark, d))
+
+
+@query("WITH " + SUMS + "," + RUN_B + f""", h AS (SELECT gene, 'a' AS r, v FROM run_a JOIN variant USING (v) WHERE {TAIL.format(x='(t*t)')}<0.3 UNION ALL SELECT gene, 'b', v FROM run_b JOIN variant USING (v) WHERE {TAIL.format(x='(t*t)')}<0.3),
+a AS (SELECT gene, list(v) AS l FROM h WHERE r='a' GROUP BY 1), b AS (SELECT gene, list(v) AS l FROM h WHERE r='b' GROUP BY 1)
+SELECT gene, CAST(len(a.l) AS INT) AS n1, CAST(len(b.l) AS INT) AS n2, CAST(len(list_intersect(a.l,b.l)) AS INT) AS n_shared, CASE WHEN len(list_intersect(a.l,b.l))>0 THEN 'biological' ELSE 'mediated' END AS kind FROM a JOIN b USING (gene)""")
+def pleiotropic_genes(spark, d):
+    v = P.variants(spark, d).select("v", "gene")
+    return multivariate.pleiotropic_genes(run_a(spark, d), run_b(spark, d), v, 0.3)
+
+
+@query()
+def pleiotropy_score(spark, d):
+    runs = run_a(spark, d).select(F.lit("a").alias("run_id"), "v", "p_value").union(run_b(spark, d).select(F.lit("b"), "v", "p_value"))
+    return multivariate.pleiotropy_score(runs, P.variants(spark, d).select("v", "gene"), 0.3)
+
+
+def trial(spark, d) -> DataFrame:
+    li, o = P.table(spark, d, "lineitem"), P.table(spark, d, "orders")
+    env = F.concat(F.year("o_orderdate").cast("string"), F.lit("_"), F.col("o_orderpriority"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_suppkey").alias("genotype"), env.alias("environment"), F.col("l_linenumber").alias("rep"), F.col("l_quantity").alias("value"))
+
+
+MET = """obs AS (SELECT l_suppkey AS genotype, concat(CAST(year(o_orderdate) AS VARCHAR),'_',o_orderpriority) AS environment, l_quantity AS value FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
+cell AS (SELECT genotype, environment, avg(value) AS m FROM obs GROUP BY 1,2)"""
+
+
+@query("WITH " + MET + """ SELECT env1, env2, count(*) AS n_shared, round(CASE WHEN count(*)>=5 AND var_pop(x)>0 AND var_pop(y)>0 THEN corr(x,y) ELSE 0 END,6) AS r_g FROM (SELECT a.environment AS env1, b.environment AS env2, a.m AS x, b.m AS y FROM cell a JOIN cell b ON a.genotype=b.genotype AND a.environment<b.environment) GROUP BY 1,2""")
+def met_similarity(spark, d):
+    return rounded(met.environment_similarity(trial(spark, d), 5))
+
+
+@query("WITH " + MET + """, f AS (SELECT genotype, environment, m, avg(m) OVER (PARTITION BY genotype) AS g, avg(m) OVER (PARTITION BY environment) AS e FROM cell),
+v AS (SELECT (SELECT var_pop(g) FROM (SELECT DISTINCT genotype, g FROM f)) AS var_g, (SELECT var_pop(e) FROM (SELECT DISTINCT environment, e FROM f)) AS var_e, (SELECT var_pop(m-g-e) FROM f) AS var_gxe)
+SELECT round(var_g,6) AS var_g, round(var_e,6) AS var_e, round(var_gxe,6) AS var_gxe, round(var_g/(var_g+var_e+var_gxe),6) AS h2, round(var_gxe/(var_g+var_e+var_gxe),6) AS gxe_share, round(var_g/(var_g+var_gxe),6) AS r_b FROM v""")
+def met_gxe(spark, d):
+    return rounded(met.gxe(trial(spark, d)))
+
+
+@query("WITH " + MET + """ SELECT count(DISTINCT genotype) AS n_genotypes, count(DISTINCT environment) AS n_environments, count(*) AS n_cells, round(count(*)/CAST(count(DISTINCT genotype)*count(DISTINCT environment) AS DOUBLE),6) AS balance FROM cell""")
+def met_balance(spark, d):
+    return rounded(met.design(trial(spark, d))["balance"])
+
+
+@query()
+def met_mega_environments(spark, d):
+    return met.mega_environments(trial(spark, d), min_shared=5)
+
+
+@query("WITH " + MET + """, own AS (SELECT environment, m AS x FROM cell WHERE genotype=1), r AS (SELECT genotype, count(*) AS n, corr(m,x) AS r FROM cell JOIN own USING (environment) WHERE genotype<>1 GROUP BY 1),
+h AS (SELECT genotype, m FROM cell WHERE environment=(SELECT min(environment) FROM cell)), k AS (SELECT r, m FROM r JOIN h USING (genotype) WHERE n>=3 AND r>0 ORDER BY r DESC, genotype LIMIT 10)
+SELECT round(sum(r*m)/sum(r),6) AS value, count(*) AS n_neighbors, round(avg(r),6) AS confidence FROM k""")
+def met_impute(spark, d):
+    obs = trial(spark, d)
+    return rounded(met.impute(obs, 1, obs.agg(F.min("environment")).first()[0]))
+
+
+@query("WITH " + MET.replace("l_quantity AS value", "l_quantity AS value, l_linenumber AS rep") + """, e AS (SELECT genotype AS v, environment, avg(value) AS beta FROM obs GROUP BY 1,2)
+SELECT v, count(*) AS n_env, round(var_pop(beta),6) AS beta_variance, round(max(beta)-min(beta),6) AS beta_range FROM e GROUP BY v HAVING count(*)>=2 ORDER BY var_pop(beta) DESC, v LIMIT 100""")
+def met_reaction_norms(spark, d):
+    e = met.cell_means(trial(spark, d)).select(F.col("genotype").alias("v"), "environment", F.col("m").alias("beta"))
+    return rounded(met.reaction_norms(e))
+
+
+MOTIF_GENE = """SELECT a.v AS v1, b.v AS v2, CAST(a.gene AS VARCHAR) AS entity, 'same_gene' AS motif FROM variant a JOIN variant b ON a.gene=b.gene AND a.v<b.v AND abs(a.pos-b.pos)>1000"""
+
+
+@query(MOTIF_GENE)
+def motif_same_gene(spark, d):
+    v = P.variants(spark, d)
+    return epistasis.motif_pairs("same_gene", v.select("v", "gene"), variants=v)
+
+
+@query("""WITH p AS (SELECT a, b FROM ppi UNION SELECT b, a FROM ppi) SELECT x.v AS v1, y.v AS v2, min(CAST(p.b AS VARCHAR)) AS entity, 'protein_interaction' AS motif
+ FROM variant x JOIN p ON p.a=x.gene JOIN p q ON q.b=p.b JOIN variant y ON y.gene=q.a WHERE x.v<y.v AND x.gene<>y.gene GROUP BY 1,2""")
+def motif_protein_interaction(spark, d):
+    return epistasis.motif_pairs("protein_interaction", P.variants(spark, d).select("v", "gene"), ppi=P.interactions(spark, d))
+
+
+def gene_pairs(spark, d) -> DataFrame:
+    v = P.variants(spark, d)
+    return epistasis.motif_pairs("same_gene", v.select("v", "gene"), variants=v)
+
+
+@query()
+def motif_interactions(spark, d):
+    g, s, _ = base(spark, d)
+    return epistasis.motif_scan(g, s, gene_pairs(spark, d))
+
+
+CO = "WITH mp AS (" + MOTIF_GENE + """), co AS (SELECT v1, v2, count(*) FILTER (is_case) AS co_case, count(*) FILTER (NOT is_case) AS co_ctrl FROM mp JOIN genotype a ON a.v=v1 JOIN genotype b ON b.v=v2 AND b.s=a.s JOIN sample ON sample.s=a.s GROUP BY 1,2)"""
+
+
+@query(CO + " SELECT v1, v2, co_case, co_ctrl FROM co")
+def carrier_pairs(spark, d):
+    g, s, _ = base(spark, d)
+    return epistasis.carrier_pairs(g, s, gene_pairs(spark, d))
+
+
+@query(CO.replace("WITH mp AS (" + MOTIF_GENE + ")", "WITH fc AS (SELECT v FROM genotype JOIN sample USING (s) WHERE is_case GROUP BY v HAVING count(*)>=3), mp AS (SELECT a.v AS v1, b.v AS v2 FROM variant a JOIN variant b ON a.chr=b.chr AND a.v<b.v AND abs(a.pos-b.pos)<=150000 WHERE a.v IN (SELECT v FROM fc) AND b.v IN (SELECT v FROM fc))") + """ SELECT v1, v2, co_case, co_ctrl, round(e,6) AS enrichment FROM (SELECT *, (co_case/CAST(n_case AS DOUBLE))/(co_ctrl/CAST(n-n_case AS DOUBLE)+0.5e0/(n-n_case)) AS e FROM co, n) WHERE co_case>=3 AND e>=1.2""")
+def cooccurrence(spark, d):
+    g, s, v = base(spark, d)
+    return rounded(epistasis.cooccurrence(g, s, v, 150_000, 3, 1.2))
+
+
+@query()
+def epistasis_differential(spark, d):
+    g, s, _ = base(spark, d)
+    return epistasis.differential(g, s, gene_pairs(spark, d))
+
+
+@query()
+def epistasis_depletion(spark, d):
+    g, s, v = base(spark, d)
+    return epistasis.depletion(g, s, epistasis.window_pairs(v, 150_000), 0.8, 1.0)
+
+
+@query()
+def epistasis_mdr(spark, d):
+    g, s, _ = base(spark, d)
+    return epistasis.mdr(g, s, gene_pairs(spark, d))
+
+
+@query()
+def epistasis_modules(spark, d):
+    g, s, v = base(spark, d)
+    e = epistasis.cooccurrence(g, s, v, 150_000, 3, 1.2).join(v.select(F.col("v").alias("v1"), "chr"), "v1")
+    return epistasis.modules(e)
+
+
+@query("""SELECT concat(chr,':',CAST(k*50000 AS BIGINT)) AS "window", v FROM (SELECT v, chr, pos, unnest(range(CAST(greatest(floor((pos-100000)/50000e0)+1,0) AS BIGINT), CAST(floor(pos/50000e0) AS BIGINT)+1)) AS k FROM variant)""")
+def sliding_windows(spark, d):
+    return epistasis.sliding_windows(P.variants(spark, d), 100_000, 50_000).select("window", "v")
+
+
+@query()
+def random_walk_pairs(spark, d):
+    edges = rwr.bipartite(P.variants(spark, d).join(P.gene_pathways(spark, d), "gene").select("v", F.col("pathway").alias("gene")))
+    seeds = P.variants(spark, d).where("v % 10 = 0").select("v")  # every tenth variant is a seed of the walk
+    return rwr.mutual_pairs(rwr.walk(rwr.transition(edges), seeds, rounds=20), 200)
+
+
+@query("""WITH e AS (SELECT a, b, 'x' AS source, score/1000e0 AS w FROM ppi UNION ALL SELECT a, b, 'y', ((a*13+b)%10)/10e0 FROM ppi), p AS (SELECT a, b, CASE WHEN max(w)>=1 THEN 1 ELSE 1-exp(sum(ln(1-w))) END AS w FROM e GROUP BY 1,2),
+m AS (SELECT a, b, w FROM p UNION ALL SELECT b, a, w FROM p UNION ALL SELECT gene, gene, 1 FROM gene) SELECT a, b, round(w/sum(w) OVER (PARTITION BY a),6) AS w FROM m""")
+def gene_substrate(spark, d):
+    p = P.interactions(spark, d)
+    e = p.select("a", "b", F.lit("x").alias("source"), (F.col("score") / 1000.0).alias("w")).union(p.select("a", "b", F.lit("y"), F.expr("((a * 13 + b) % 10) / 10e0")))
+    return rounded(rwr.row_normalise(rwr.gene_matrix(rwr.clean_edges(e), P.genes(spark, d), "noisy_or")))
+
+
+@query("""WITH u AS (SELECT a, b FROM ppi WHERE a % 4 <> 3), r(node, k) AS (SELECT b, a - a % 4 FROM u UNION SELECT a, a - a % 4 FROM u) SELECT node, min(k) AS component FROM r GROUP BY node""")
+def graph_components(spark, d):
+    return graph.connected_components(P.interactions(spark, d).where("a % 4 <> 3").select("a", "b"))
+
+
+@query()
+def graph_pagerank(spark, d):
+    return graph.pagerank(P.interactions(spark, d).select("a", "b", F.col("score").cast("double").alias("w")), rounds=20)
+
+
+RARE = """rare AS (SELECT v, CAST(count(*) AS DOUBLE) AS k, sum(g)/(2e0*(SELECT n FROM n)) AS af FROM genotype GROUP BY v HAVING sum(g)/(2e0*(SELECT n FROM n))<0.06 AND count(*)>=2)"""
+
+
+@query("WITH " + RARE + """ , q AS (SELECT a.s AS i, b.s AS j, 1/af AS x FROM genotype a JOIN genotype b ON a.v=b.v AND a.s<=b.s JOIN rare ON rare.v=a.v)
+SELECT i, j, round(sum(x)/(SELECT count(*) FROM rare),6) AS w FROM q GROUP BY 1,2""")
+def sample_similarity(spark, d):
+    g, s, _ = base(spark, d)
+    return rounded(structure.similarity(g, s.count(), 0.06))
+
+
+@query("WITH " + RARE + """, c AS (SELECT v, 1/af AS w, CAST(count(*) FILTER (is_case) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT is_case) AS DOUBLE) AS b FROM genotype JOIN sample USING (s) JOIN rare USING (v) GROUP BY 1,2),
+t AS (SELECT sum(w*a*b) AS cut, sum(w*a*(a+b-1)) AS x, sum(w*b*(a+b-1)) AS y FROM c) SELECT round(cut,3) AS cut, round(x,3) AS vol_case, round(y,3) AS vol_ctrl, round(cut/least(x,y),6) AS phi FROM t""")
+def conductance(spark, d):
+    g, s, _ = base(spark, d)
+    out = structure.conductance(g, s, s.count(), 0.06)
+    return out.select(*[F.round(c, 3).alias(c) for c in ("cut", "vol_case", "vol_ctrl")], F.round("phi", 6).alias("phi"))
+
+
+@query()
+def conductance_heritability(spark, d):
+    g, s, _ = base(spark, d)
+    return structure.conductance_heritability(g, s, 0.06, 20)
+
+
+@query()
+def flow_pathways(spark, d):
+    g, s, v = base(spark, d)
+    vg = v.select("v", "gene", F.when(F.col("v") % 4 == 0, "HIGH").otherwise("MODERATE").alias("impact"))
+    return flow.pathway_flows(flow.network(g, s.where("is_case"), vg, P.gene_pathways(spark, d), s.count(), 0.06))
+
+
+@query("WITH " + SUMS + "," + LD + """, z AS (SELECT gene, v, t FROM run_a JOIN variant USING (v)), o AS (SELECT gene, count(*) AS n, sum(t) AS sz FROM z GROUP BY 1 HAVING count(*)>=2),
+x AS (SELECT a.gene, sum(r) AS sr FROM ld JOIN z a ON a.v=v1 JOIN z b ON b.v=v2 AND a.gene=b.gene GROUP BY 1)
+SELECT gene, n, round(CASE WHEN n+2*coalesce(sr,0)>0 THEN sz/sqrt(n+2*coalesce(sr,0)) ELSE 0 END,6) AS stat FROM o LEFT JOIN x USING (gene)""")
+def gene_test_directed(spark, d):
+    z = run_a(spark, d).join(P.variants(spark, d).select("v", "gene"), "v").select("gene", "v", F.col("t").alias("z"))
+    return rounded(gene_tests.directed(z, panel_ld(spark, d).select("v1", "v2", "r")).select("gene", "n", "stat"))
+
+
+@query()
+def gene_test_undirected(spark, d):
+    z = run_a(spark, d).join(P.variants(spark, d).select("v", "gene"), "v").select("gene", "v", F.col("t").alias("z"))
+    return gene_tests.undirected(z, panel_ld(spark, d).select("v1", "v2", "r"))
+
+
+@query()
+def sv_scan(spark, d):
+    g, s, _ = base(spark, d)
+    m = sv.combine({"snp": g, "cnv": g.where("v % 4 = 0").select((F.col("v") + 1_000_000).alias("v"), "s", F.col("g") * 2).toDF("v", "s", "g")})
+    return sv.fast_gwas(m, s)
+
+
+@query()
+def bias_diagnostic(spark, d):
+    g, s, _ = base(spark, d)
+    n = s.count()
+    dense = s.select("s").join(g.where("v = 0"), "s", "left").select(F.lit(0).alias("v"), "s", F.coalesce("g", F.lit(0)).alias("g"))
+    return bias.diagnostic(bias.rho_one(dense, g.where("v = 1").select("s", F.col("g").cast("double").alias("z"))), n, 0.2)
+
+
+@query()
+def simulated_trait(spark, d):
+    g, s, _ = base(spark, d)
+    return simulate.causal(g, s, {0: 0.5, 7: 0.3})
+
+
+@query("""WITH h AS (SELECT pathway, count(DISTINCT gene) AS n_genes FROM gene_pathway GROUP BY 1 HAVING count(DISTINCT gene)>=3) SELECT pathway, n_genes FROM h ORDER BY n_genes DESC, pathway LIMIT 10""")
+def large_pathways(spark, d):
+    return simulate.pathways_with_genes(P.gene_pathways(spark, d), 3).select("pathway", "n_genes")
+
+
+@query("""SELECT name, n FROM (SELECT 'sample' AS name, count(*) AS n FROM sample UNION ALL SELECT 'variant', count(*) FROM variant UNION ALL SELECT 'ppi', count(*) FROM ppi)""")
+def audit(spark, d):
+    return store.audit({"sample": P.samples(spark, d), "variant": P.variants(spark, d), "ppi": P.interactions(spark, d)})
+
+
+@query("WITH " + SUMS + """, sp AS (SELECT chr, min(pos) AS lo, max(pos) AS hi FROM variant GROUP BY 1), o AS (SELECT chr, lo, coalesce(sum(hi-lo+1000000) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS off FROM sp)
+SELECT v, chr, pos, CAST(pos-lo+off AS BIGINT) AS x FROM run_a JOIN variant USING (v) JOIN o USING (chr)""")
+def manhattan(spark, d):
+    return store.manhattan(run_a(spark, d), P.variants(spark, d), min_rows=10**12).select("v", "chr", "pos", "x")
+
+
+@query("WITH " + SUMS + f" SELECT v, round((row_number() OVER (ORDER BY p, v)-0.5)/count(*) OVER (),6) AS expected FROM (SELECT v, {TAIL.format(x='(t*t)')} AS p FROM run_a)")
+def qq(spark, d):
+    return rounded(store.qq(run_a(spark, d)).select("v", "expected"))
