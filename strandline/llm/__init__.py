@@ -1,8 +1 @@
 """Training-data operators. Nothing else in the library imports this subpackage."""
-
-from pyspark.cloudpickle import register_pickle_by_value
-
-import strandline
-
-# Functions travel to the executors by value, so that a cluster needs no copy of the repository.
-register_pickle_by_value(strandline)
