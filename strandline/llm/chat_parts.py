@@ -124,7 +124,7 @@ def parse_segment(formatted: str) -> tuple[str, str]:
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """A row of BACK for each conversation in the written output. One pass holds one batch, never a whole conversation."""
-    ordered = spark.read.parquet(path).repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "seq")
+    ordered = spark.read.schema(FORMATTED).parquet(path).repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "seq")
 
     def digest(batches):
         none = object()

@@ -24,6 +24,7 @@ from strandline.llm.common import mix64, shared_dir, stage, text_bytes
 
 SMALLEST, LARGEST, CUT_BITS, UNIT, FILL, LEVEL = 256, 8192, 10, 576, 255, 9
 FILTER_BITS = 25
+RECIPES, CHUNKS = "media binary, lengths array<int>, digests array<binary>, shared array<boolean>, own binary", "digest binary, body binary"
 with np.errstate(over="ignore"):
     _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -148,8 +149,8 @@ def store(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.binary())), pa.array(out[3], pa.list_(pa.bool_())), pa.array(out[4], pa.binary())], ["media", "lengths", "digests", "shared", "own"])
 
     text = docs.select("text")
-    text.mapInArrow(bodies, "digest binary, body binary").dropDuplicates(["digest"]).write.option("compression", "none").parquet(f"{path}/chunks")
-    text.mapInArrow(recipes, "media binary, lengths array<int>, digests array<binary>, shared array<boolean>, own binary").write.option("compression", "none").parquet(f"{path}/recipes")
+    text.mapInArrow(bodies, CHUNKS).dropDuplicates(["digest"]).write.option("compression", "none").parquet(f"{path}/chunks")
+    text.mapInArrow(recipes, RECIPES).write.option("compression", "none").parquet(f"{path}/recipes")
     return listed
 
 
@@ -208,12 +209,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         if now is not None:
             yield _rows([now["media"]], [done()])
 
-    recipes = spark.read.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
     alone = recipes.where(~F.exists("shared", lambda s: s)).mapInArrow(whole, READ)
     named = recipes.where(F.exists("shared", lambda s: s))
     at = F.expr("filter(transform(digests, (d, k) -> named_struct('d', d, 'at', k)), e -> shared[e.at])")
     refs = named.select("media", "digests", "shared").dropDuplicates(["media"]).select("media", F.explode(at).alias("e")).select("media", F.col("e.d").alias("digest"), F.col("e.at").alias("at"))
-    bodies = refs.join(spark.read.parquet(f"{path}/chunks"), "digest").select("media", "at", "body", *[F.lit(None).cast(t).alias(c) for c, t in (("lengths", "array<int>"), ("digests", "array<binary>"), ("shared", "array<boolean>"), ("own", "binary"))])
+    bodies = refs.join(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), "digest").select("media", "at", "body", *[F.lit(None).cast(t).alias(c) for c, t in (("lengths", "array<int>"), ("digests", "array<binary>"), ("shared", "array<boolean>"), ("own", "binary"))])
     heads = named.dropDuplicates(["media"]).select("media", F.lit(-1).alias("at"), F.lit(None).cast("binary").alias("body"), "lengths", "digests", "shared", "own")
     return alone.union(heads.union(bodies).repartition("media").sortWithinPartitions("media", "at").mapInArrow(joined, READ))
 

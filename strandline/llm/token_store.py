@@ -88,7 +88,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, level:
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(shards, SHARD_SCHEMA).write.option("compression", "none").parquet(f"{path}/shards")
     spark.createDataFrame([(name, bytearray(trained))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
-    counts = spark.read.parquet(f"{path}/shards").select("part", F.aggregate("id_counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    counts = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").select("part", F.aggregate("id_counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     totals = counts.groupBy("part").agg(F.sum("n").alias("n"))
     base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     totals.select("part", base.alias("base")).coalesce(1).write.parquet(f"{path}/parts")
@@ -111,15 +111,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 n = len(crcs)
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]] * n, pa.int32()), pa.array(starts[:n], pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["id_counts"], pa.int64()), pa.array(crcs, pa.int64())], ["part", "local_start", "doc_id", "n_tokens", "ids_crc32"])
 
-    found = spark.read.parquet(f"{path}/shards").mapInArrow(docs, READ_SCHEMA)
-    parts = spark.read.parquet(f"{path}/parts")
+    found = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").mapInArrow(docs, READ_SCHEMA)
+    parts = spark.read.schema("part int, base long").parquet(f"{path}/parts")
     return found.join(parts, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int]:
     """The ids of one document: its shard's index row and one frame are read."""
     trained = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
-    shard = spark.read.parquet(f"{path}/shards").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("width", F.array_position("doc_ids", F.lit(doc_id).cast("long")).alias("k"), "offsets", "blob")
+    shard = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("width", F.array_position("doc_ids", F.lit(doc_id).cast("long")).alias("k"), "offsets", "blob")
     cut = shard.select("width", F.expr("substring(blob, CAST(offsets[k - 1] + 1 AS INT), CAST(offsets[k] - offsets[k - 1] AS INT))").alias("frame")).first()
     if cut is None:
         raise KeyError(doc_id)
