@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import bloom, bloom_columns, bloom_has, stage
 
 #: Bound of the rows (in the mean, chosen by a hash of doc_id) that the logistic layer is fitted on, and of the lexicon.
-FIT_ROWS, LEXICON = 20_000, 4096
+FIT_ROWS, LEXICON, COMMON = 20_000, 4096, 0.003
 STEMS = (4, 5, 6, 7)
 NEGATION_SCOPE = 3
 # Closed word classes of the grammar.
@@ -106,9 +106,10 @@ def tapes(text: str, classes: Classes) -> list[float]:
 
 
 def features(rows: np.ndarray) -> np.ndarray:
-    """Of tapes, one row for each text, with a constant."""
+    """Of tapes, one row for each text, with a constant. A text without a match has the constant alone, however long."""
     x = np.log1p(np.asarray(rows, float).reshape(-1, 8))
-    return np.column_stack([np.ones(len(x)), x[:, :7], x[:, CLAUSES] - 0.5 * x[:, WORDS], (x[:, PEAK] > 0).astype(float)])
+    matched = (x[:, CLAUSES] > 0).astype(float)
+    return np.column_stack([np.ones(len(x)), x[:, :7], matched * (x[:, CLAUSES] - 0.5 * x[:, WORDS]), matched])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -144,31 +145,40 @@ def labelled(docs: DataFrame, labels: DataFrame, keep) -> DataFrame:
     return stage(few.join(known, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("h")), "tox-train")
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """The LEXICON terms with the highest lower bounds of their log odds, over all rows of train; weight: that bound."""
+def term_counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
+    """(term, n): documents of texts(text) that hold each term, of `only` if given."""
 
     def run(batches):
-        held: dict[str, list[int]] = {}
+        held: dict[str, int] = {}
+        for b in batches:
+            for text in b["text"].to_pylist():
+                for t in terms(text or "") if only is None else terms(text or "") & only:
+                    held[t] = held.get(t, 0) + 1
+            if len(held) > 400_000:
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["term", "n"])
+                held = {}
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["term", "n"])
 
-        def flush():
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["term", "clean", "toxic"])
-            held.clear()
+    return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-        for b in batches:
-            for text, y in zip(b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True):
-                for t in terms(text or ""):
-                    held.setdefault(t, [0, 0])[y] += 1
-                if len(held) > 400_000:
-                    yield from flush()
-        yield from flush()
-
-    sums = train.groupBy("toxic").count().collect()
-    clean, toxic = (next((r["count"] for r in sums if r["toxic"] == y), 0) for y in (0, 1))
-    counts = train.select("text", "toxic").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0)) - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    least = max(3, math.ceil(0.003 * toxic))
-    found = counts.where(F.col("toxic") >= least).select("term", "toxic", odds.alias("w")).where(F.col("w") > math.log(3)).orderBy(F.desc("w"), "term").limit(LEXICON)
-    rows = {r["term"]: (r["toxic"], r["w"]) for r in found.collect()}
+
+def learn_lexicon(train: DataFrame) -> dict[str, float]:
+    """The LEXICON terms with the highest lower bounds of their log odds, over all rows of train; weight: that bound.
+
+    Only terms in COMMON of the toxic texts or more can be chosen, so their number does not depend on the corpus; the
+    clean texts are counted for those alone."""
+    sums = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    clean, toxic = sums.get(0, 0), sums.get(1, 0)
+    bad = term_counts(train.where("toxic = 1").select("text")).where(F.col("n") >= max(3, math.ceil(COMMON * toxic)))
+    often = {r["term"]: r["n"] for r in bad.collect()}
+    good = {r["term"]: r["n"] for r in term_counts(train.where("toxic = 0").select("text"), set(often)).collect()} if often else {}
+    rows = {}
+    for term, n in often.items():
+        m = good.get(term, 0)
+        w = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (clean + 1)) - 1.64 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+        if w > math.log(3):
+            rows[term] = (n, w)
+    rows = dict(sorted(rows.items(), key=lambda e: (-e[1][1], e[0]))[:LEXICON])
     # A stem that one word accounts for says nothing about other words.
     alone: dict[str, int] = {}
     for term, (n, _) in rows.items():

@@ -50,6 +50,7 @@ def test_nearest_equals_brute_force(spark):
 
     rng = np.random.default_rng(1)
     x = rng.standard_normal((700, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
     x[100:160] = x[100]  # many equal vectors
     rows = [(i, x[i].tolist()) for i in range(700)] + [(1000, None), (1001, [0.0] * 12), (1002, [float("nan")] + [1.0] * 11), (1003, []), (1005, [None] + [1.0] * 11), (None, x[0].tolist()), (7, x[7].tolist())]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, h string")

@@ -12,7 +12,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 
     rows = corpus(8, 120)
     bad = []
-    for i in range(300, 330):
+    for i in range(300, 420):
         y = i % 2
         rows.append([i, f"plain talk number {i} about things " + ("vile wretch vile " * 3 if y else "fine day "), "en", "s1"])
         bad.append((i, 1, y))
