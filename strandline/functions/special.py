@@ -44,16 +44,25 @@ def erfc_sql(x: str) -> str:
 
 def normal_two_sided(z: Column) -> Column:
     """P(|N(0,1)| >= |z|)."""
-    return erfc_col(F.abs(z) / F.lit(math.sqrt(2.0)))
+    return F.least(erfc_col(F.abs(z) / F.lit(math.sqrt(2.0))), F.lit(1.0))
 
 
 def chi2_1_tail(x: Column) -> Column:
     """Upper tail of chi-square with one degree of freedom."""
-    return erfc_col(F.sqrt(F.greatest(x, F.lit(0.0)) / 2.0))
+    return F.least(erfc_col(F.sqrt(F.greatest(x, F.lit(0.0)) / 2.0)), F.lit(1.0))
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _each(f, x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([f(v) for v in x.ravel()]).reshape(x.shape)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
 
 
 def normal_sf(x):

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from strandline.functions.special import chi2_1_tail, chi2_sf, fisher_two_sided, normal_sf, normal_two_sided, t_two_sided
@@ -33,7 +34,7 @@ def chi2_allelic(counts: DataFrame) -> DataFrame:
     return out.withColumns({"ci_lower": F.exp(F.col("beta") - Z95 * F.col("se")), "ci_upper": F.exp(F.col("beta") + Z95 * F.col("se"))})
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher p of [[a, b], [c, d]]."""
     return pd.Series([fisher_two_sided(*map(int, r)) for r in zip(a, b, c, d, strict=True)])
@@ -103,8 +104,12 @@ def logistic_from_counts(cells: np.ndarray, firth: bool = False, steps: int = 50
     return np.column_stack([np.where(good, full[:, 1], 0.0), np.where(good, se, np.nan), np.where(good, p, 1.0)])
 
 
+def _fields(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
 def _count_model(firth: bool):
-    @pandas_udf("beta double, se double, p_value double")
+    @pandas_udf(_fields("beta", "se", "p_value"))
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(logistic_from_counts(np.column_stack([a, b, c, d, e, f]), firth), columns=["beta", "se", "p_value"])
 
@@ -114,7 +119,7 @@ def _count_model(firth: bool):
 logistic_udf, firth_udf = _count_model(False), _count_model(True)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided t tail."""
     return pd.Series([t_two_sided(abs(a), b) if b > 0 and a == a else 1.0 for a, b in zip(t, df, strict=True)])

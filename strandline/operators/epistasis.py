@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from strandline.functions.special import poisson_cdf, t_two_sided
@@ -15,7 +16,7 @@ from strandline.operators.genotype import ld_pairs
 from strandline.operators.graph import adjacency, louvain
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def poisson_p(k: pd.Series, mu: pd.Series) -> pd.Series:
     """P(X <= k)."""
     return pd.Series([poisson_cdf(a, b) for a, b in zip(k, mu, strict=True)])
@@ -121,7 +122,7 @@ def interaction_moments(genotypes: DataFrame, samples: DataFrame, pairs: DataFra
     return both.withColumns({"n": F.lit(n["n"]), "y": F.lit(n["y"]), "yy": F.lit(n["yy"])})
 
 
-@pandas_udf("beta1 double, beta2 double, beta double, se double, p_value double")
+@pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("beta1", "beta2", "beta", "se", "p_value")]))
 def interaction_fit(m: pd.DataFrame) -> pd.DataFrame:
     """y on 1, g1, g2 and their product from the sums: all 4x4 systems at once; singular or below 20 samples: (0.., 1)."""
     c = {k: m[k].to_numpy(float) for k in m}

@@ -6,20 +6,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Two-bit codes, four samples a byte, lowest bits first.
 HOM_REF, HET, HOM_ALT, MISSING = 0, 1, 2, 3
 
 
-@pandas_udf("array<tinyint>")
+@pandas_udf(T.ArrayType(T.ByteType()))
 def unpack_genotypes(packed: pd.Series) -> pd.Series:
     """Codes of packed genotypes, four for each byte; null stays null."""
     shifts = np.array([0, 2, 4, 6], np.uint8)
     return packed.map(lambda b: None if b is None else ((np.frombuffer(b, np.uint8)[:, None] >> shifts) & 3).ravel().astype(np.int8))
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def pack_genotypes(codes: pd.Series) -> pd.Series:
     """The inverse; null codes are missing, and so is what fills the last byte."""
 

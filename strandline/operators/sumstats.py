@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from strandline.functions.special import normal_isf, normal_two_sided
@@ -15,7 +16,7 @@ from strandline.operators.intervals import interval_join
 KEY = ["chr", "pos", "ref", "alt"]
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def z_from_p(p: pd.Series) -> pd.Series:
     """|z| of a two-sided p; 0 for null, at most that of 1e-300."""
     q = p.astype(float).fillna(1.0).clip(1e-300, 1.0).to_numpy()

@@ -523,7 +523,7 @@ def sample_similarity(spark, d):
 
 
 @query("WITH " + RARE + """, c AS (SELECT v, 1/af AS w, CAST(count(*) FILTER (is_case) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT is_case) AS DOUBLE) AS b FROM genotype JOIN sample USING (s) JOIN rare USING (v) GROUP BY 1,2),
-t AS (SELECT sum(w*a*b) AS cut, sum(w*a*(a+b-1)) AS x, sum(w*b*(a+b-1)) AS y FROM c) SELECT round(cut,3) AS cut, round(x,3) AS vol_case, round(y,3) AS vol_ctrl, round(cut/least(x,y),6) AS phi FROM t""")
+t AS (SELECT sum(w*a*b) AS cut, sum(w*a*(a+b-1)) AS x, sum(w*b*(a+b-1)) AS y FROM c) SELECT round(cut,3) AS cut, round(x,3) AS vol_case, round(y,3) AS vol_ctrl, coalesce(round(cut/least(x,y),6),0) AS phi FROM t""")
 def conductance(spark, d):
     g, s, _ = base(spark, d)
     out = structure.conductance(g, s, s.count(), 0.06)
@@ -597,3 +597,72 @@ def manhattan(spark, d):
 @query("WITH " + SUMS + f" SELECT v, round((row_number() OVER (ORDER BY p, v)-0.5)/count(*) OVER (),6) AS expected FROM (SELECT v, {TAIL.format(x='(t*t)')} AS p FROM run_a)")
 def qq(spark, d):
     return rounded(store.qq(run_a(spark, d)).select("v", "expected"))
+
+
+@query()
+def relationship_matrix(spark, d):
+    g, s, _ = base(spark, d)
+    few = s.where("s % 8 = 0")  # a subset of people is this matrix's own argument: it has a row for each pair
+    return structure.grm(g.join(few.select("s"), "s", "left_semi"), few)
+
+
+@query()
+def corrected_scan(spark, d):
+    g, s, _ = base(spark, d)
+    return structure.corrected_scan(g, s, "none")[0]
+
+
+@query()
+def flow_tests(spark, d):
+    g, s, v = base(spark, d)
+    vg = v.select("v", "gene", F.when(F.col("v") % 4 == 0, "HIGH").otherwise("MODERATE").alias("impact"))
+    return flow.test_flows(g, s, vg, P.gene_pathways(spark, d), 0.06, 5)
+
+
+@query()
+def module_permutations(spark, d):
+    g, s, v = base(spark, d)
+    return epistasis.module_permutation(g, s, v.select("v", F.col("gene").alias("module")), 50)
+
+
+@query()
+def sv_heritability(spark, d):
+    g, s, _ = base(spark, d)
+    return sv.heritability(sv.combine({"snp": g.where("v % 4 > 0"), "cnv": g.where("v % 4 = 0")}), s)
+
+
+@query()
+def graph_export_features(spark, d):
+    from strandline.operators import graph_export
+
+    g, s, v = base(spark, d)
+    return graph_export.neighbour_features(graph_export.export(g, s, v, v.select("v", "gene")))
+
+
+@query("""WITH e AS (SELECT v, gene, CASE WHEN v%4=0 THEN 'HIGH' WHEN v%4=1 THEN 'MODERATE' ELSE 'LOW' END AS impact, sum(g)/(2e0*(SELECT n FROM n)) AS af FROM variant JOIN genotype USING (v) GROUP BY 1,2,3)
+SELECT gene, count(*) AS n_variants_total, count(*) FILTER (impact='HIGH') AS n_high_impact, count(*) FILTER (impact='MODERATE') AS n_moderate_impact, count(*) FILTER (impact IN ('HIGH','MODERATE') AND af<0.01) AS n_rare_functional FROM e GROUP BY 1""")
+def gene_counts(spark, d):
+    g, s, v = base(spark, d)
+    af = structure.allele_frequencies(g, s.count())
+    impact = F.when(F.col("v") % 4 == 0, "HIGH").when(F.col("v") % 4 == 1, "MODERATE").otherwise("LOW")
+    return intervals.gene_counts(v.select("v", "gene", impact.alias("impact")).join(af, "v"))
+
+
+@query("""WITH pw AS (SELECT pathway, sum(g*1e0) AS flow FROM genotype JOIN variant USING (v) JOIN gene_pathway USING (gene) GROUP BY 1), a AS (SELECT pathway, flow FROM pw WHERE pathway LIKE 'N%' OR flow>900), b AS (SELECT pathway, flow*2 AS flow FROM pw WHERE pathway LIKE 'M%' OR flow>900)
+SELECT count(*) AS n_pathways, round(CASE WHEN sqrt(sum(x*x))*sqrt(sum(y*y))>0 THEN sum(x*y)/(sqrt(sum(x*x))*sqrt(sum(y*y))) ELSE 0 END,6) AS cosine, round(CASE WHEN sum(greatest(x,y))>0 THEN sum(least(x,y))/sum(greatest(x,y)) ELSE 0 END,6) AS shared_flow FROM (SELECT coalesce(a.flow,0) AS x, coalesce(b.flow,0) AS y FROM a FULL JOIN b USING (pathway))""")
+def flow_covariance(spark, d):
+    g, _, v = base(spark, d)
+    pw = g.join(v.select("v", "gene"), "v").join(P.gene_pathways(spark, d), "gene").groupBy("pathway").agg(F.sum(F.col("g") * 1.0).alias("flow"))
+    a = pw.where("pathway LIKE 'N%' OR flow > 900")
+    b = pw.where("pathway LIKE 'M%' OR flow > 900").withColumn("flow", F.col("flow") * 2)
+    return rounded(multivariate.flow_covariance(a, b))
+
+
+@query("""WITH c AS (SELECT a.v AS v1, b.v AS v2, count(*) AS co FROM variant x JOIN variant y ON x.gene=y.gene AND x.v<y.v JOIN genotype a ON a.v=x.v JOIN genotype b ON b.v=y.v AND a.s=b.s GROUP BY 1,2), t AS (SELECT v1, v2, co/100e0 AS score FROM c)
+SELECT p.v1, p.v2, q.v2 AS v3, round(p.score*q.score*r.score,6) AS score FROM t p JOIN t q ON p.v2=q.v1 JOIN t r ON r.v1=p.v1 AND r.v2=q.v2 ORDER BY p.score*q.score*r.score DESC, 1, 2, 3 LIMIT 200""")
+def pair_triangles(spark, d):
+    g, s, v = base(spark, d)
+    vg = v.select("v", "gene")
+    pairs = epistasis.motif_pairs("same_gene", vg)
+    co = epistasis.carrier_pairs(g, s, pairs).select("v1", "v2", ((F.col("co_case") + F.col("co_ctrl")) / 100.0).alias("score"))
+    return rounded(rwr.triplets(co))
