@@ -16,6 +16,8 @@ from strandline.llm.toxicity_fst import toxicity_scores
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The mixture of stages 3 and 4: a source's weight is its number of documents to this power.
 POWER, MOST_TARGETS = 0.5, 63
+#: Pieces that a worker caches: fewer than pack() by itself has, since workers also hold what other stages left.
+CACHE = 150_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         placed = docs.select("doc_id", "source", "text", F.lit("").alias("_file"), F.col("doc_id").alias("_row"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(n, "_file", "_row").sortWithinPartitions("_file", "_row")
-    return pack(ordered, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048, targets=targets)
+    return pack(ordered, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048, targets=targets, cache=CACHE)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("mixture", mix_sources), ("packing", pack_windows)]

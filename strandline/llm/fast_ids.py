@@ -31,10 +31,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Piece -> little-endian unsigned 32-bit ids. Two generations of HALF entries bound its memory."""
+    """Piece -> little-endian unsigned 32-bit ids. Two generations of `half` entries bound its memory."""
 
-    def __init__(self, owner: FastEncoder, glue: str):
-        self.owner, self.glue, self.old, self.marks = owner, glue, {}, {}
+    def __init__(self, owner: FastEncoder, glue: str, half: int):
+        self.owner, self.glue, self.half, self.old, self.marks = owner, glue, half, {}, {}
 
     def __missing__(self, piece: str) -> bytes:
         if "\n" in piece:  # only the byte kind has them: a line end between two other characters is a pre-token of its own
@@ -45,7 +45,7 @@ class _Pieces(dict):
         if ids is None:
             ids = self._new(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= HALF:
+            if len(self) >= self.half:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -69,7 +69,7 @@ class FastEncoder:
     kind is read from the tokenizer's file: "byte" (byte-level pre-tokenizer with its own pattern) and "word" (white space
     collapsed and dropped) have pieces; any other file gets each text encoded as a whole."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, half: int = HALF):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -82,8 +82,8 @@ class FastEncoder:
             self.kind = "word"
         self.model, self.map = self.tok.model, _byte_letters()
         self.line_end = self.whole("\n")
-        self.first = _Pieces(self, "")
-        self.rest = _Pieces(self, " ") if self.kind == "byte" else self.first
+        self.first = _Pieces(self, "", half)
+        self.rest = _Pieces(self, " ", half) if self.kind == "byte" else self.first
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -128,9 +128,9 @@ class FastEncoder:
         return self.whole(text)
 
 
-def encoder(path: str) -> FastEncoder:
+def encoder(path: str, half: int = HALF) -> FastEncoder:
     """One encoder for each file and Python worker."""
     held = worker_state().setdefault("encoders", {})
-    if path not in held:
-        held[path] = FastEncoder(path)
-    return held[path]
+    if (path, half) not in held:
+        held[path, half] = FastEncoder(path, half)
+    return held[path, half]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import stage
-from strandline.llm.fast_ids import encoder
+from strandline.llm.fast_ids import HALF, encoder
 
 #: Queues of their own at most; the sources beyond, those with the least text, share the queue OTHERS.
 QUEUES, OTHERS = 64, "*"
@@ -112,7 +112,7 @@ def cut(plan: list[tuple], firsts: list[int], q: int, begin: int, end: int, leng
             at, m = max(at, upto), m + 1
 
 
-def encode_docs(docs: DataFrame, queues: list[str], tokenizer: str, end_id: int) -> DataFrame:
+def encode_docs(docs: DataFrame, queues: list[str], tokenizer: str, end_id: int, cache: int = HALF) -> DataFrame:
     """Staged rows (part, queue, first, doc_id, n, ids): first counts the ids of the same queue before it in its part."""
     number = {s: k for k, s in enumerate([OTHERS, *queues])}
     wide = encoder(tokenizer).tok.get_vocab_size() > 65536 or end_id >= 65536
@@ -120,7 +120,7 @@ def encode_docs(docs: DataFrame, queues: list[str], tokenizer: str, end_id: int)
     def run(batches):
         from pyspark import TaskContext
 
-        part, enc, sums = TaskContext.get().partitionId(), encoder(tokenizer), [0] * len(number)
+        part, enc, sums = TaskContext.get().partitionId(), encoder(tokenizer, cache), [0] * len(number)
         tail = int(end_id).to_bytes(4, "little")
         for b in batches:
             out = [], [], [], []
@@ -136,15 +136,15 @@ def encode_docs(docs: DataFrame, queues: list[str], tokenizer: str, end_id: int)
     return stage(columns.mapInArrow(run, "part int, queue int, first long, doc_id long, n long, ids binary"), "pack-ids")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, targets: dict[str, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, targets: dict[str, float] | None = None, cache: int = HALF) -> DataFrame:
     """Rows of PIECES: every id of docs (doc_id, source, text) in exactly one piece of one sequence of `length` tokens.
 
     All sequences but the last are full. targets: token share by source (others: the mean of the targets), default the
     sources' own token shares. Null texts are empty and hold the end id; null sources are in the queue OTHERS; repeated
-    ids and rows each get pieces; an empty table gives no row; other columns are left out."""
+    ids and rows each get pieces; an empty table gives no row; other columns are left out. cache: see FastEncoder."""
     queues = pick_queues(docs, targets, length)
     names = [OTHERS, *queues]
-    staged = encode_docs(docs, queues, tokenizer, end_id)
+    staged = encode_docs(docs, queues, tokenizer, end_id, cache)
     sums = stage(staged.groupBy("queue", "part").agg(F.sum("n").alias("n")), "pack-sums")
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = stage(sums.select("queue", "part", F.coalesce(before, F.lit(0).cast("long")).alias("base")), "pack-bases")
