@@ -24,7 +24,7 @@ from strandline.llm.fast_ids import encoder
 SHARD_BYTES = 1 << 20
 SHARD_SCHEMA = "part int, shard int, first_start long, dict_hash string, width int, doc_ids array<long>, id_counts array<long>, offsets array<long>, blob binary"
 READ_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids_crc32 long"
-#: The dictionary is trained on at most so many documents, of each at most so many bytes of ids.
+#: The dictionary is trained on so many documents in the mean, of each at most so many bytes of ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 65536
 
 
@@ -34,9 +34,10 @@ def _serial(ids: bytes, end_id: int, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """From the SAMPLE_DOCS documents with the smallest hashes: the same ones however the rows are partitioned."""
-    keyed = docs.select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    picked = [r["text"] for r in keyed.orderBy("h").limit(SAMPLE_DOCS).collect()]
+    """From documents chosen by their ids' hashes: the same ones however the rows are partitioned, and no top-n to gather."""
+    share = (SAMPLE_DOCS << 30) // max(1, docs.count())
+    keyed = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("text").alias("h"))
+    picked = [r["text"] for r in keyed.orderBy("h").limit(8 * SAMPLE_DOCS).collect()]
     enc = encoder(tokenizer)
     samples = [_serial(enc.encode(x or ""), end_id, width)[:SAMPLE_BYTES] for x in picked]
     total = sum(map(len, samples))
