@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.graph import max_flow
@@ -53,32 +53,47 @@ def pathway_flows(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return p.union(g).union(v).union(s).groupBy(*by, "pathway").applyInPandas(run, f"{extra}pathway string, flow double, cut array<string>")
 
 
-def test_flows(genotypes: DataFrame, samples: DataFrame, variant_gene: DataFrame, gene_pathway: DataFrame, af_threshold: float = 0.05, draws: int = 100, seed: int = 42) -> DataFrame:
-    """(pathway, flow, p_value, cut): observed flows against networks of permuted case labels, carriers built anew for each.
+def observed_and_null(genotypes: DataFrame, samples: DataFrame, variant_gene: DataFrame, gene_pathway: DataFrame, af_threshold: float = 0.05, draws: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Flows of the cases' network, and (d, pathway, flow) of networks of permuted case labels, carriers built anew for each.
 
     Labels come from a hash of sample and draw, so partitions do not matter."""
     n, n_case = samples.count(), samples.where("is_case").count()
     seen = pathway_flows(network(genotypes, samples.where("is_case"), variant_gene, gene_pathway, n, af_threshold))
     order = F.xxhash64("s", "d", F.lit(seed))
-    from pyspark.sql import Window
-
     label = samples.where("is_case IS NOT NULL").select("s").withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     cases = label.withColumn("k", F.row_number().over(Window.partitionBy("d").orderBy(order, "s"))).where(F.col("k") <= n_case).select("s", "d")
     every = network(genotypes, samples, variant_gene, gene_pathway, n, af_threshold)
     who = cases.select(F.concat(F.lit("S:"), F.col("s").cast("string")).alias("n"), "d")
     some = every.where("kind IN ('source', 'carries')").withColumn("n", F.when(F.col("kind") == "source", F.col("dst")).otherwise(F.col("src"))).join(who, "n").select("d", "src", "dst", "cap", "kind")
     rest = every.where("kind IN ('in_gene', 'in_pathway')").withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select("d", "src", "dst", "cap", "kind")
-    null = pathway_flows(some.union(rest), ("d",)).select("d", "pathway", F.col("flow").alias("f"))
-    hits = seen.join(null, "pathway", "left").groupBy("pathway").agg(F.count_if(F.col("f") >= F.col("flow") - 1e-9).alias("k"))
+    return seen, pathway_flows(some.union(rest), ("d",)).select("d", "pathway", "flow")
+
+
+def test_flows(genotypes: DataFrame, samples: DataFrame, variant_gene: DataFrame, gene_pathway: DataFrame, af_threshold: float = 0.05, draws: int = 100, seed: int = 42) -> DataFrame:
+    """(pathway, flow, p_value, cut): observed flows against the permuted ones, p = (hits + 1) / (draws + 1)."""
+    seen, null = observed_and_null(genotypes, samples, variant_gene, gene_pathway, af_threshold, draws, seed)
+    hits = seen.join(null.select("pathway", F.col("flow").alias("f")), "pathway", "left").groupBy("pathway").agg(F.count_if(F.col("f") >= F.col("flow") - 1e-9).alias("k"))
     return seen.join(hits, "pathway").select("pathway", "flow", ((F.col("k") + 1) / (draws + 1)).alias("p_value"), "cut")
 
 
 test_flows.__test__ = False
 
 
+def heritability(genotypes: DataFrame, samples: DataFrame, variant_gene: DataFrame, gene_pathway: DataFrame, af_threshold: float = 0.05, draws: int = 100, seed: int = 42) -> DataFrame:
+    """(pathway, flow, fraction, h2_contribution, h2_total, p_value): excess of the total flow over the mean of the permuted
+    totals, relative to it and at least 0, split by the pathways' flows; p of the total."""
+    seen, null = observed_and_null(genotypes, samples, variant_gene, gene_pathway, af_threshold, draws, seed)
+    seen = seen.checkpoint()
+    total = float(seen.agg(F.sum("flow")).first()[0] or 0.0)
+    sums = null.groupBy("d").agg(F.sum("flow").alias("t"))
+    row = sums.agg(F.sum("t").alias("s"), F.count_if(F.col("t") >= total - 1e-9).alias("k")).first()
+    mean = float(row["s"] or 0.0) / draws
+    h2 = max(0.0, (total - mean) / total) if mean > 0 and total > 0 else float(total > 0)
+    fraction = F.col("flow") / (total or 1.0)
+    return seen.select("pathway", "flow", fraction.alias("fraction"), (fraction * h2).alias("h2_contribution"), F.lit(h2).alias("h2_total"), F.lit((row["k"] + 1) / (draws + 1)).alias("p_value"))
+
+
 def architecture(tested: DataFrame, p_threshold: float = 0.05) -> DataFrame:
     """One row: significant pathways and the union of their cuts."""
     ok = tested.where(F.col("p_value") < p_threshold)
     return ok.agg(F.array_sort(F.collect_set("pathway")).alias("pathways"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("nodes"))
-
-

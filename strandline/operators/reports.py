@@ -43,6 +43,26 @@ def bivariate(genotypes: DataFrame, samples: DataFrame, traits: list[str], af_th
     return {"pair": multivariate.spectral_covariance(values, vectors, y[traits[0]], y[traits[1]]), "names": names, "g": g, "r_g": r}
 
 
+def multiresolution_correlation(genotypes: DataFrame, samples: DataFrame, traits: tuple[str, str], variant_gene: DataFrame, gene_pathway: DataFrame, af_threshold: float = 0.01, k: int = 20) -> dict[str, float]:
+    """r_g of two traits at the scales of variants, genes and pathways."""
+    genes = variant_gene.select("v", F.col("gene").cast("string").alias("set"))
+    paths = variant_gene.join(gene_pathway, "gene").select("v", F.col("pathway").alias("set")).distinct()
+    out = {}
+    for name, sets in (("variant", None), ("gene", genes), ("pathway", paths)):
+        ids, values, vectors = spectrum_of(genotypes, samples, af_threshold, k, sets)
+        out[name] = multivariate.spectral_covariance(values, vectors, *(trait_on(ids, samples, t) for t in traits))["r_g"]
+    return out
+
+
+def spectral_components(genotypes: DataFrame, samples: DataFrame, af_threshold: float = 0.05, k: int = 20) -> DataFrame:
+    """(s, name, value): eigenvectors of the rare-variant graph as covariates spectral_pc_1.."""
+    import pandas as pd
+
+    ids, _, vectors = spectrum_of(genotypes, samples, af_threshold, k)
+    rows = pd.DataFrame({"s": np.repeat(ids, vectors.shape[1]), "name": [f"spectral_pc_{c + 1}" for c in range(vectors.shape[1])] * len(ids), "value": vectors.ravel()})
+    return samples.sparkSession.createDataFrame(rows)
+
+
 def trial(obs: DataFrame) -> dict[str, DataFrame]:
     return {"gxe": met.gxe(obs), "similarity": met.environment_similarity(obs), "mega": met.mega_environments(obs), **met.design(obs)}
 

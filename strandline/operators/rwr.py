@@ -24,6 +24,19 @@ def transition(edges: DataFrame, substrate: DataFrame | None = None) -> DataFram
     return vg.join(gv, "gene").groupBy(F.col("v").alias("i"), "j").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
 
 
+def gene_transition(edges: DataFrame) -> DataFrame:
+    """(i, j, p): gene -> variant -> gene, the walk's matrix on the gene side."""
+    gv = edges.select("v", F.col("gene").alias("i"), (F.col("w") / F.sum("w").over(Window.partitionBy("gene"))).alias("p"))
+    vg = edges.select("v", F.col("gene").alias("j"), (F.col("w") / F.sum("w").over(Window.partitionBy("v"))).alias("q"))
+    return gv.join(vg, "v").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+
+
+def gene_pair_scores(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, top_k: int = 200, rounds: int = 30) -> DataFrame:
+    """(a, b, score): mutual walk scores of seed genes (gene), highest first."""
+    walks = walk(gene_transition(edges), seeds.select(F.col("gene").alias("v")), alpha, rounds)
+    return mutual_pairs(walks, top_k).select(F.col("v1").alias("a"), F.col("v2").alias("b"), "score")
+
+
 def walk(step: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 50, tol: float = 1e-6, every: int = 10) -> DataFrame:
     """(seed, v, p): all seeds at once. p <- (1 - alpha) M p + alpha e with the row-stochastic M on the left, until no entry
     moves by tol; normalised to sum 1. Lineage is checkpointed every few rounds."""

@@ -295,6 +295,8 @@ def test_flow_permutation_is_not_degenerate(spark, panel):
     gp = spark.createDataFrame([("g0", "P"), ("g1", "P"), ("g2", "Q")], "gene string, pathway string")
     t = flow.test_flows(gt, s, vg, gp, 0.9, 5).collect()
     assert {r["pathway"] for r in t} == {"P", "Q"} and all(0 < r["p_value"] <= 1 for r in t)
+    h = flow.heritability(gt, s, vg, gp, 0.9, 5).collect()
+    assert sum(r["fraction"] for r in h) == pytest.approx(1) and 0 <= h[0]["h2_total"] <= 1
     assert len(flow.architecture(flow.test_flows(gt, s, vg, gp, 0.9, 2), 2.0).first()["pathways"]) == 2
 
 
@@ -397,3 +399,30 @@ def test_interval_join_keeps_each_pair_once(spark):
     got = intervals.interval_join(p, i, 12_000).collect()
     assert len(got) == len({(r["pos"], r["name"]) for r in got}) == sum(-2_000 <= k * 40_000 <= 512_000 for k in range(20)) + 1
     assert {r["distance_bp"] for r in got if r["name"] == "point"} == {10_000}
+
+
+def test_reports(spark, panel):
+    from strandline.operators import graph_export, reports
+
+    _, _, _, gt, s, variants = panel
+    vg = variants.select("v", (F.col("v") % 4).alias("gene"))
+    gp = spark.createDataFrame([(0, "P"), (1, "P"), (2, "Q"), (3, "Q")], "gene long, pathway string")
+    h = reports.heritability(gt, s, vg, gp, 0.6, 6)
+    assert all(0 <= x <= 1 for x in h["h2"].values()) and set(h["shares"]) == {"pathway", "gene_specific", "variant_specific"}
+    two = s.withColumn("y2", -F.col("y"))
+    assert reports.bivariate(gt, two, ["y", "y2"], 0.6, 6)["pair"]["r_g"] == pytest.approx(-1)
+    r = reports.multiresolution_correlation(gt, two, ("y", "y2"), vg, gp, 0.6, 6)
+    assert all(v == pytest.approx(-1) for v in r.values())
+    assert reports.spectral_components(gt, s, 0.6, 3).count() == 1200
+    out, info = structure.corrected_scan(gt, s, "pca+", 2)
+    assert out.count() == 12 and info["factor"] > 0
+    auto = structure.corrected_scan(gt, s, "auto", 2)[1]
+    assert auto["method"] in ("none", "pca", "mixed")
+    g = graph_export.export(gt, s, variants, vg)
+    f = graph_export.neighbour_features(g)
+    assert f.count() == 400 and "label" in f.columns
+    scored = graph_export.linear_substitute(f)
+    assert 0 < scored.count() < 150 and prs.auroc(scored).first()["auroc"] > 0.4
+    edges = rwr.bipartite(vg)
+    pairs = rwr.gene_pair_scores(edges.union(spark.createDataFrame([(0, 1, 1.0)], "v long, gene long, w double")), vg.select("gene").distinct(), rounds=10).collect()
+    assert {(p["a"], p["b"]) for p in pairs} == {(0, 1)}
