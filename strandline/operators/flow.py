@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import cut
 from strandline.operators.graph import max_flow
 
 #: Capacity of a variant-gene edge by impact.
@@ -83,7 +84,7 @@ def heritability(genotypes: DataFrame, samples: DataFrame, variant_gene: DataFra
     """(pathway, flow, fraction, h2_contribution, h2_total, p_value): excess of the total flow over the mean of the permuted
     totals, relative to it and at least 0, split by the pathways' flows; p of the total."""
     seen, null = observed_and_null(genotypes, samples, variant_gene, gene_pathway, af_threshold, draws, seed)
-    seen = seen.checkpoint()
+    seen = cut(seen)
     total = float(seen.agg(F.sum("flow")).first()[0] or 0.0)
     sums = null.groupBy("d").agg(F.sum("flow").alias("t"))
     row = sums.agg(F.sum("t").alias("s"), F.count_if(F.col("t") >= total - 1e-9).alias("k")).first()

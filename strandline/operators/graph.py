@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import cut
+
 
 def symmetric(edges: DataFrame, a: str = "a", b: str = "b", *columns: str) -> DataFrame:
     """Both directions of undirected edges."""
@@ -19,13 +21,13 @@ def connected_components(edges: DataFrame, max_steps: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable. Labels spread and jump through labels; lineage is checkpointed."""
     both = symmetric(edges).where("a != b").distinct()
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")).select(F.col("a").alias("node"), "l")
-    both = both.checkpoint()
+    both = cut(both)
     before = None
     for _ in range(max_steps):
         spread = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("l").alias("m"))
         new = labels.join(spread, F.col("node") == F.col("a"), "left").select("node", F.least("l", F.coalesce("m", "l")).alias("l"))
         jump = new.join(new.select(F.col("node").alias("l"), F.col("l").alias("ll")), "l", "left").select("node", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        labels = jump.checkpoint()
+        labels = cut(jump)
         total = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if total == before:
             break
@@ -42,14 +44,14 @@ def pagerank(edges: DataFrame, weight: str = "w", damping: float = 0.85, rounds:
     """(node, rank) of an undirected weighted graph, summing to 1; a fixed number of joins, checkpointed every tenth."""
     both = symmetric(edges, "a", "b", weight)
     out = both.groupBy("a").agg(F.sum(weight).alias("total"))
-    step = both.join(out, "a").select("a", "b", (F.col(weight) / F.col("total")).alias("p")).checkpoint()
+    step = cut(both.join(out, "a").select("a", "b", (F.col(weight) / F.col("total")).alias("p")))
     n = out.count()
     rank = out.select(F.col("a").alias("node"), F.lit(1.0 / max(n, 1)).alias("rank"))
     for k in range(rounds):
         moved = step.join(rank, F.col("a") == F.col("node")).groupBy("b").agg(F.sum(F.col("p") * F.col("rank")).alias("m"))
         rank = moved.select(F.col("b").alias("node"), (F.lit((1 - damping) / max(n, 1)) + damping * F.col("m")).alias("rank"))
         if k % 10 == 9:
-            rank = rank.checkpoint()
+            rank = cut(rank)
     return rank
 
 

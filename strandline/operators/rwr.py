@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import cut
 from strandline.operators.graph import symmetric
 
 
@@ -43,12 +44,12 @@ def walk(step: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 5
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     start = seeds.select(F.col("v").alias("seed"), F.col("v"), F.lit(1.0).alias("p"))
-    now, step = start, step.checkpoint()
+    now, step = start, cut(step)
     for k in range(rounds):
         moved = step.join(now.withColumnRenamed("v", "j").withColumnRenamed("p", "x"), "j").select("seed", F.col("i").alias("v"), ((1 - alpha) * F.col("p") * F.col("x")).alias("p"))
         now = moved.union(start.select("seed", "v", F.lit(alpha).alias("p"))).groupBy("seed", "v").agg(F.sum("p").alias("p"))
         if k % every == every - 1:
-            was, now = (None if k < every else held), now.checkpoint()  # noqa: F821
+            was, now = (None if k < every else held), cut(now)  # noqa: F821
             if was is not None:
                 gap = now.join(was.withColumnRenamed("p", "o"), ["seed", "v"], "full").agg(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("o", F.lit(0.0))))).first()[0]
                 if gap is None or gap < tol:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import cut
+
 RESULT_COLUMNS = ["run_id", "variant_id", "phenotype_key", "method", "beta", "se", "p_value", "p_value_log10", "odds_ratio", "ci_lower", "ci_upper", "n_cases", "n_controls", "maf", "mac"]
 
 
@@ -58,7 +60,7 @@ def qq(results: DataFrame) -> DataFrame:
 
     Ranks within partitions of a sort, plus the rows of the partitions before: no task sees all rows."""
     rows = results.where("p_value IS NOT NULL").select("v", "p_value").repartitionByRange("p_value", "v").sortWithinPartitions("p_value", "v")
-    placed = rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    placed = cut(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     local = placed.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("at")))
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
