@@ -46,6 +46,13 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_strandline_worker", types.ModuleType("_strandline_worker")).__dict__
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in pieces of at most `rows` rows, so that what Python makes of one stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 of each value; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

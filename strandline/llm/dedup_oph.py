@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bloom, bloom_columns, bloom_has, mix64, stage, text_bytes, worker_state
+from strandline.llm.common import bloom, bloom_columns, bloom_has, mix64, sliced, stage, text_bytes, worker_state
 from strandline.llm.components import components
 
 BANDS, ROWS, ROUNDS, STREAM = 40, 5, 3, 256
@@ -179,7 +179,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def _profiles(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             node, n, keys = [], [], []
             for s in shingle_sets(text_bytes(b["text"])):
                 node.append(set_digest(s) if len(s) else None)
@@ -195,7 +195,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     words = bloom(wanted.join(nodes, "node"), "doc_id")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             b = b.filter(pa.array(bloom_has(words, b)))
             texts = text_bytes(b["text"])
             nodes_ = [set_digest(s) if len(s) else None for s in shingle_sets(texts)]
@@ -216,7 +216,7 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame, percent: int
 
     def run(batches):
         now, center = None, None
-        for b in batches:
+        for b in sliced(batches):
             a_out, b_out = [], []
             sets = shingle_sets(text_bytes(b["text"]))
             for a, part, other, s in zip(b["a"].to_pylist(), b["part"].to_pylist(), b["b"].to_pylist(), sets, strict=True):

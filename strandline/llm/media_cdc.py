@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix64, shared_dir, stage, text_bytes
+from strandline.llm.common import mix64, shared_dir, sliced, stage, text_bytes
 
 SMALLEST, LARGEST, CUT_BITS, UNIT, FILL, LEVEL = 256, 8192, 10, 576, 255, 9
 FILTER_BITS = 25
@@ -84,7 +84,7 @@ def catalogue(docs: DataFrame) -> DataFrame:
     """Staged (doc_id, n_bytes, media, digests) for each row of docs (doc_id, text); media: sha256 of the payload."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             size, media, digests = [], [], []
             for t in text_bytes(b["text"]):
                 p = payload_of(t)
@@ -116,7 +116,7 @@ def store(docs: DataFrame, path: str) -> DataFrame:
 
     def bodies(batches):
         zstd, seen = zstandard.ZstdCompressor(level=LEVEL), set()
-        for b in batches:
+        for b in sliced(batches):
             ds, out = [], []
             for t in text_bytes(b["text"]):
                 for d, part in chunks_of(payload_of(t)):
@@ -130,7 +130,7 @@ def store(docs: DataFrame, path: str) -> DataFrame:
 
     def recipes(batches):
         zstd, seen = zstandard.ZstdCompressor(level=LEVEL), set()
-        for b in batches:
+        for b in sliced(batches):
             out = [], [], [], [], []
             for t in text_bytes(b["text"]):
                 p = payload_of(t)
@@ -182,7 +182,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def whole(batches):
         unzip = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in sliced(batches):
             rows = b.to_pylist()
             yield _rows([r["media"] for r in rows], [_describe(r["lengths"], r["digests"], r["shared"], r["own"], [], unzip) for r in rows])
 
@@ -194,7 +194,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError("a named chunk is missing")
             return _describe(now["lengths"], now["digests"], now["shared"], now["own"], bodies, unzip)
 
-        for b in batches:
+        for b in sliced(batches):
             keys, out = [], []
             for r in b.to_pylist():
                 if r["at"] >= 0:

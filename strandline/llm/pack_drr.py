@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stage
+from strandline.llm.common import sliced, stage
 from strandline.llm.fast_ids import HALF, encoder
 
 #: Queues of their own at most; the sources beyond, those with the least text, share the queue OTHERS.
@@ -122,7 +122,7 @@ def encode_docs(docs: DataFrame, queues: list[str], tokenizer: str, end_id: int,
 
         part, enc, sums = TaskContext.get().partitionId(), encoder(tokenizer, cache), [0] * len(number)
         tail = int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in sliced(batches):
             out = [], [], [], []
             for source, text in zip(b["source"].to_pylist(), enc.encode_column(b["text"]), strict=True):
                 raw = text + tail
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, t
     wide = encoder(tokenizer).tok.get_vocab_size() > 65536 or end_id >= 65536
 
     def pieces(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = [[] for _ in range(8)]
             for q, begin, doc_id, n, ids in zip(b["queue"].to_pylist(), b["begin"].to_pylist(), b["doc_id"].to_pylist(), b["n"].to_pylist(), b["ids"], strict=True):
                 raw = np.frombuffer(ids.as_py(), "<u4" if wide else "<u2").astype("<u4").tobytes()

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import shared_dir
+from strandline.llm.common import shared_dir, sliced
 from strandline.llm.fast_ids import encoder
 
 SHARD_BYTES = 1 << 20
@@ -68,7 +68,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, level:
             return pa.RecordBatch.from_pylist([dict(part=part, shard=number, first_start=first, dict_hash=name, width=width, doc_ids=ids, id_counts=counts, offsets=offsets, blob=b"".join(blob))], schema=arrow)
 
         arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_start", pa.int64()), ("dict_hash", pa.string()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("id_counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("blob", pa.binary())])
-        for b in batches:
+        for b in sliced(batches):
             for doc_id, text in zip(b["doc_id"].to_pylist(), enc.encode_column(b["text"]), strict=True):
                 raw = _serial(text, end_id, width)
                 frame = zstd.compress(raw)
@@ -102,7 +102,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def docs(batches):
         held = zstandard.ZstdCompressionDict(trained) if trained else None
-        for b in batches:
+        for b in sliced(batches, 8):
             for r in b.to_pylist():
                 if r["dict_hash"] != name:
                     raise ValueError("shard and dictionary do not belong together")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import bloom, bloom_columns, bloom_has, stage
+from strandline.llm.common import bloom, bloom_columns, bloom_has, sliced, stage
 
 #: Bound of the rows (in the mean, chosen by a hash of doc_id) that the logistic layer is fitted on, and of the lexicon.
 FIT_ROWS, LEXICON, COMMON = 20_000, 4096, 0.003
@@ -39,7 +39,7 @@ PLAIN, NEGATED, REPORTED, TARGETED, MENACE, CLAUSES, PEAK, WORDS = range(8)
 class Classes(dict):
     """Token -> class + 8 * index of its weight; learnt words first, then the longest learnt stem."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 500_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 200_000):
         self.weights, self.most = [0.0], most
         self.words, self.stems = {}, {}
         for term, w in lexicon.items():
@@ -137,7 +137,7 @@ def labelled(docs: DataFrame, labels: DataFrame, keep) -> DataFrame:
     words = bloom(known, "doc_id")
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             b = b.filter(pa.array(bloom_has(words, b)))
             yield b.select(["doc_id", "text"])
 
@@ -150,7 +150,7 @@ def term_counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
 
     def run(batches):
         held: dict[str, int] = {}
-        for b in batches:
+        for b in sliced(batches):
             for text in b["text"].to_pylist():
                 for t in terms(text or "") if only is None else terms(text or "") & only:
                     held[t] = held.get(t, 0) + 1
@@ -196,7 +196,7 @@ def train_model(docs: DataFrame, labels: DataFrame, keep) -> tuple[dict[str, flo
 
     def run(batches):
         classes = Classes(lexicon)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([tapes(t or "", classes) for t in b["text"].to_pylist()], pa.list_(pa.float64())), b["toxic"]], ["x", "toxic"])
 
     got = sample.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").toArrow()
@@ -218,7 +218,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
 
     def run(batches):
         classes = Classes(lexicon)
-        for b in batches:
+        for b in sliced(batches):
             x = features([tapes(t or "", classes) for t in b["text"].to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             rest = [b[c] for c in extra]
