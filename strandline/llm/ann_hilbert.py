@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import stage
 
-CURVES, DIMS, BITS, BLOCK_ROWS, WINDOW = 16, 6, 10, 256, 0.02
+CURVES, DIMS, BITS, BLOCK_ROWS, WINDOW = 16, 6, 10, 256, 0.025
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
