@@ -363,10 +363,15 @@ def pleiotropic_genes(spark, d):
     return multivariate.pleiotropic_genes(run_a(spark, d), run_b(spark, d), v, 0.3)
 
 
-@query()
+@query("WITH " + SUMS + "," + RUN_B + f""", h AS (SELECT gene, 'a' AS r, v, {TAIL.format(x='(t*t)')} AS p FROM run_a JOIN variant USING (v) UNION ALL SELECT gene, 'b', v, {TAIL.format(x='(t*t)')} FROM run_b JOIN variant USING (v)),
+per AS (SELECT gene, r, max(-log10(greatest(p,1e-300))) AS best, list(v) AS vs FROM h WHERE p<0.3 GROUP BY 1,2),
+o AS (SELECT a.gene, CAST(len(list_intersect(a.vs,b.vs)) AS DOUBLE)/len(list_distinct(list_concat(a.vs,b.vs))) AS overlap FROM per a JOIN per b ON a.gene=b.gene AND a.r<b.r),
+q AS (SELECT gene, count(*) AS breadth, avg(best) AS m FROM per GROUP BY 1 HAVING count(*)>=2)
+SELECT gene, breadth, round(m,5) AS mean_log10p, round(overlap,6) AS overlap, round(breadth*m*(1+overlap),5) AS psi FROM q JOIN o USING (gene)""")
 def pleiotropy_score(spark, d):
     runs = run_a(spark, d).select(F.lit("a").alias("run_id"), "v", "p_value").union(run_b(spark, d).select(F.lit("b"), "v", "p_value"))
-    return multivariate.pleiotropy_score(runs, P.variants(spark, d).select("v", "gene"), 0.3)
+    out = multivariate.pleiotropy_score(runs, P.variants(spark, d).select("v", "gene"), 0.3)
+    return out.select("gene", "breadth", F.round("mean_log10p", 5).alias("mean_log10p"), F.round("overlap", 6).alias("overlap"), F.round("psi", 5).alias("psi"))
 
 
 def trial(spark, d) -> DataFrame:
@@ -599,11 +604,14 @@ def qq(spark, d):
     return rounded(store.qq(run_a(spark, d)).select("v", "expected"))
 
 
-@query()
+@query("""WITH few AS (SELECT s FROM sample WHERE s%8=0), fg AS (SELECT v, s, g FROM genotype WHERE s%8=0), m AS (SELECT count(*) AS k FROM few),
+af AS (SELECT v, sum(g)/(2e0*(SELECT k FROM m)) AS af FROM fg GROUP BY v HAVING sum(g)/(2e0*(SELECT k FROM m))>0.01 AND sum(g)/(2e0*(SELECT k FROM m))<0.99),
+z AS (SELECT af.v, few.s, (coalesce(g,0)-2*af)/sqrt(2*af*(1-af)) AS z FROM af JOIN few ON true LEFT JOIN fg ON fg.v=af.v AND fg.s=few.s)
+SELECT a.s AS i, b.s AS j, round(sum(a.z*b.z)/(SELECT count(*) FROM af),6) AS w FROM z a JOIN z b ON a.v=b.v AND a.s<=b.s GROUP BY 1,2""")
 def relationship_matrix(spark, d):
     g, s, _ = base(spark, d)
     few = s.where("s % 8 = 0")  # a subset of people is this matrix's own argument: it has a row for each pair
-    return structure.grm(g.join(few.select("s"), "s", "left_semi"), few)
+    return rounded(structure.grm(g.join(few.select("s"), "s", "left_semi"), few))
 
 
 @query()
@@ -631,12 +639,15 @@ def sv_heritability(spark, d):
     return sv.heritability(sv.combine({"snp": g.where("v % 4 > 0"), "cnv": g.where("v % 4 = 0")}), s)
 
 
-@query()
+@query("""WITH vf AS (SELECT v, sum(g)/(2e0*(SELECT n FROM n)) AS af, count(*) AS k FROM genotype GROUP BY v), nv AS (SELECT v, af FROM vf WHERE af BETWEEN 0.001 AND 0.5 ORDER BY k DESC, v LIMIT 10000),
+gs AS (SELECT gene, count(*) AS z FROM variant JOIN nv USING (v) GROUP BY 1), vv AS (SELECT v, af, z FROM nv JOIN variant USING (v) JOIN gs USING (gene)),
+f AS (SELECT s, count(*) AS n_carried, sum(g) AS burden, avg(af) AS mean_af, avg(z) AS mean_gene_size FROM genotype JOIN vv USING (v) GROUP BY s)
+SELECT s, is_case AS label, coalesce(n_carried,0) AS n_carried, CAST(coalesce(burden,0) AS BIGINT) AS burden, round(coalesce(mean_af,0),6) AS mean_af, round(coalesce(mean_gene_size,0),6) AS mean_gene_size FROM sample LEFT JOIN f USING (s)""")
 def graph_export_features(spark, d):
     from strandline.operators import graph_export
 
     g, s, v = base(spark, d)
-    return graph_export.neighbour_features(graph_export.export(g, s, v, v.select("v", "gene")))
+    return rounded(graph_export.neighbour_features(graph_export.export(g, s, v, v.select("v", "gene"))))
 
 
 @query("""WITH e AS (SELECT v, gene, CASE WHEN v%4=0 THEN 'HIGH' WHEN v%4=1 THEN 'MODERATE' ELSE 'LOW' END AS impact, sum(g)/(2e0*(SELECT n FROM n)) AS af FROM variant JOIN genotype USING (v) GROUP BY 1,2,3)
