@@ -99,9 +99,9 @@ def linear_scan(spark, d):
 
 
 @query("WITH " + SUMS + f" SELECT v, chr, pos, round(p,6) AS p_value, gene FROM (SELECT v, {TAIL.format(x='(t*t)')} AS p FROM run_a) JOIN variant USING (v) WHERE p<0.05 ORDER BY p, v LIMIT 20")
-def assoc_top_hits(spark, d):
+def assoc_top_hits(spark, d, p_threshold=0.05):
     v = P.variants(spark, d)
-    hits = store.top_hits(run_a(spark, d).select("v", "p_value"), v.select("v", "chr", "pos"), v.select("v", "gene"), 0.05, 20)
+    hits = store.top_hits(run_a(spark, d).select("v", "p_value"), v.select("v", "chr", "pos"), v.select("v", "gene"), p_threshold, 20)
     return hits.select("v", "chr", "pos", F.round("p_value", 6).alias("p_value"), F.element_at("genes", 1).alias("gene"))
 
 
