@@ -9,7 +9,7 @@ bounds the model that workers hold. All grams count, those of dropped contexts i
 A symbol's probability (T: the node's total, D: its distinct symbols, d: DISCOUNT): (n-d)/T at the longest node, else
 escape dD/T to the suffix, where the symbols of the longer node are excluded from T and D; below order 0 the rest of the
 257 symbols are equally likely. d = 0.5 is escape method D. A text is scored as its tokens joined by single blanks.
-With fixed counts this depends on the node alone, so one row of log10 probabilities for each node serves every position.
+With fixed counts this depends on the gram alone. Model is the same trie in one table, for corpora that one worker holds.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from strandline.llm.common import sliced, stage, text_bytes
 from strandline.llm.dedup_oph import word_hashes
 
 ORDER, MAX_CONTEXTS, HEAD_WORDS, BOUNDARY, DISCOUNT = 6, 1 << 17, 1 << 20, 256, 0.4
+#: Symbols that must follow a context; bytes of text in a batch; distinct grams in a bucket, in the mean.
+MIN_COUNT, BATCH, BUCKET = 2, 48_000_000, 100_000
 _BITS = 9
 #: The end token's key among the words' hashes.
 END_WORD = 0
@@ -201,6 +203,118 @@ def fit(counts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS)
     return Model(levels[::-1])
 
 
+def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Staged rows of docs (doc_id, text, held_out), kind 0: words by hash (key, n) of those not held out; kind 1: distinct
+    grams of a batch (batch, key) and how often they are in texts not held out (n, from 0); kind 2: the documents with
+    their batch."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        batch, held, room = TaskContext.get().partitionId() << 20, 0, []
+        words = Tally(0)
+
+        def rows(kind, size, /, **columns):
+            types = {"batch": pa.int64(), "key": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), *(columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items())], ["kind", *types])
+
+        def flush():
+            keys, counts = merged(room)
+            for k in range(0, len(keys), 100_000):
+                part = keys[k : k + 100_000]
+                yield rows(1, len(part), batch=pa.array(np.full(len(part), batch)), key=pa.array(part), n=pa.array(counts[k : k + 100_000]))
+
+        def told(found):
+            for b in found:
+                yield rows(0, b.num_rows, key=b["key"], n=b["n"])
+
+        for b in sliced(batches):
+            at = 0
+            for texts in chunks(text_bytes(b["text"])):
+                part, at = b.slice(at, len(texts)), at + len(texts)
+                raw, texts = texts, plain(texts)
+                if held > BATCH:
+                    yield from flush()
+                    batch, held, room = batch + 1, 0, []
+                yield rows(2, len(raw), batch=pa.array(np.full(len(raw), batch)), doc_id=part["doc_id"], held_out=part["held_out"], text=pa.array(raw, pa.binary()))
+                out = part["held_out"].to_pylist()
+                trained = [t for t, h in zip(texts, out, strict=True) if not h]
+                hashes, _ = word_hashes(trained)
+                yield from told(words.add(np.concatenate([hashes.view(np.int64), np.full(len(trained), END_WORD, np.int64)])))
+                room.append(np.unique(grams(trained, order), return_counts=True))
+                other = np.unique(grams([t for t, h in zip(texts, out, strict=True) if h], order))
+                room.append((other, np.zeros(len(other), np.int64)))
+                held += sum(map(len, texts))
+                if sum(len(k) for k, _ in room) > 3 * len(room[0][0]) + 2_000_000:
+                    room = [merged(room)]
+        if room:
+            yield from flush()
+        yield from told(words.flush())
+
+    parts = max(1, -(-size // BATCH))
+    few = docs.coalesce(parts) if parts > 1 else docs
+    return stage(few.mapInArrow(run, "kind byte, batch long, key long, n long, doc_id long, held_out boolean, text binary"), "ppm-corpus")
+
+
+def prices(levels: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, least: int = MIN_COUNT) -> np.ndarray:
+    """log10 probability of the last symbol of each gram in asked. levels[k]: sorted grams of k + 1 symbols and their counts;
+    all that share asked grams' endings must be there."""
+
+    def find(keys, x):
+        if not len(keys):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        return at, keys[at] == x
+
+    p = rest = np.full(len(asked), 1.0 / max(1, 257 - len(levels[0][0])))
+    before = None
+    for k, (pairs, n) in enumerate(levels):
+        if not len(pairs):
+            break
+        ctx = pairs >> _BITS
+        first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+        ctx, total, kinds = ctx[first], np.add.reduceat(n, first).astype(float), np.diff(np.append(first, len(pairs)))
+        at, held = find(ctx, (asked >> _BITS) & ((1 << (_BITS * k)) - 1))
+        held &= total[at] >= (least if k else 1)
+        place, seen = find(pairs, asked & ((1 << (_BITS * (k + 1))) - 1))
+        if before is not None:
+            # What the suffix has beyond the symbols that this context has itself.
+            b_pairs, b_n, b_ctx, b_total, b_kinds, b_place, b_seen = before
+            own, _ = find(b_pairs, pairs & ((1 << (_BITS * k)) - 1))
+            up, _ = find(b_ctx, ctx & ((1 << (_BITS * (k - 1))) - 1))
+            den, open_ = b_total[up] - np.add.reduceat(b_n[own], first), b_kinds[up] - kinds
+            safe = np.maximum(den, 1.0)[at]
+            lower = np.where(b_seen, (b_n[b_place] - DISCOUNT) / safe, np.where(den[at] > 0, DISCOUNT * open_[at] / safe, 1.0) * rest)
+            rest = np.where(held, lower, rest)
+        p = np.where(held, np.where(seen, (n[place] - DISCOUNT) / total[at], DISCOUNT * kinds[at] / total[at] * rest), p)
+        before = pairs, n, ctx, total, kinds, place, seen
+    return np.log10(p)
+
+
+def priced(corpus: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFrame:
+    """(key, cost) for each distinct gram of read_corpus()."""
+    known = stage(corpus.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "ppm-grams")
+    low = min(order, 2)
+    mask = lambda k: (1 << (_BITS * k)) - 1
+    # Levels below low: at most 257 contexts of 257 symbols.
+    short = known.where("n > 0").groupBy(F.col("key").bitwiseAND(mask(max(1, low))).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    top = short["key"].to_numpy().astype(np.int64), short["n"].to_numpy().astype(np.int64)
+    shared = [merged([(top[0] & mask(k + 1), top[1])]) for k in range(low)]
+    buckets = max(16, -(-known.count() // BUCKET))
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = table["key"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64)
+        now, levels = (keys[n > 0], n[n > 0]), []
+        for k in range(order, low - 1, -1):
+            now = merged([(now[0] & mask(k + 1), now[1])])
+            levels.append(now)
+        return pa.table({"key": pa.array(keys), "cost": pa.array(prices(shared + levels[::-1], keys, least).astype(np.float32))})
+
+    bucket = F.pmod(F.xxhash64(F.shiftright("key", _BITS).bitwiseAND(mask(low))), F.lit(buckets)).alias("bucket")
+    return known.select(bucket, "key", "n").groupBy("bucket").applyInArrow(run, "key long, cost float")
+
+
 def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
     """Scores every row of docs (doc_id, text), learning from those whose crc32(doc_id as text) mod folds is not 0.
 
@@ -210,8 +324,9 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
     are left (V = N = 0). Other columns are left out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out"))
-    counts = count_corpus(docs.where(~F.col("held_out")).select("text"), order)
-    model = fit(counts, order)
+    corpus = read_corpus(docs, order)
+    answers = corpus.where("kind = 1").select(F.col("batch").alias("of"), "key").join(priced(corpus, order), "key").select("of", "key", "cost")
+    counts = stage(corpus.where("kind = 0").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
     vocabulary = counts.where("kind = 0").select("key", "n")
     size = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = size["n"] or 0, size["v"]
@@ -219,15 +334,16 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
     # Words of at least 1 in HEAD_WORDS tokens, so never more than HEAD_WORDS; the others are joined below.
     head = vocabulary.where(F.col("n") >= max(1, math.ceil(total / HEAD_WORDS))).toArrow().sort_by("key")
     keys, logs = head["key"].to_numpy(), np.log10(head["n"].to_numpy() + 0.1) - floor
-    shared = docs.sparkSession.sparkContext.broadcast((model, keys, logs))
+    shared = docs.sparkSession.sparkContext.broadcast((keys, logs))
     unknown = math.log10(0.1) - floor
 
-    def run(batches):
-        model, keys, logs = shared.value
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 33
-        for b in sliced(batches):
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        keys, logs = shared.value
+        grams_, costs = told["key"].to_numpy().astype(np.int64), told["cost"].to_numpy()
+        sort = np.argsort(grams_)
+        grams_, costs = grams_[sort], costs[sort]
+        row, out = asked["batch"][0].as_py() << 24 if asked.num_rows else 0, []
+        for b in sliced(asked.to_batches()):
             at = 0
             for texts in chunks(text_bytes(b["text"])):
                 n = len(texts)
@@ -248,11 +364,18 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
                 first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.append(first, len(rare)))
                 offsets = pa.array(np.searchsorted(of[first], np.arange(n + 1)).astype(np.int32))
-                arrays = [pa.array(np.arange(row, row + n)), part["doc_id"], part["held_out"], pa.array(words.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model.score(texts)), pa.ListArray.from_arrays(offsets, pa.array(rare[first])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
+                some, back = np.unique(grams(texts, order), return_inverse=True)
+                begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
+                score = np.add.reduceat(costs[np.searchsorted(grams_, some)].astype(np.float64)[back], begin)
+                arrays = [pa.array(np.arange(row, row + n)), part["doc_id"], part["held_out"], pa.array(words.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, pa.array(rare[first])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
+                out.append(pa.RecordBatch.from_arrays(arrays, names))
                 row += n
+        return pa.Table.from_batches(out, types)
 
-    scored = stage(docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "ppm-scored")
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
+    types = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())], strict=True)))
+    texts = corpus.where("kind = 2").select("batch", "doc_id", "held_out", "text")
+    scored = stage(texts.groupBy("batch").cogroup(answers.groupBy("of")).applyInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "ppm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = rare.join(vocabulary, "key", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1)) - F.lit(floor))).alias("rest"))
     none = F.lit(0)

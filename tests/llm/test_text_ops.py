@@ -244,3 +244,29 @@ def test_toxicity_held_out(spark):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity_scores(documents(spark, rows[:5]), empty).collect()} == {0}
     assert toxicity_scores(spark.createDataFrame([], DOCS), empty).count() == 0
+
+
+def test_ppm_nodes_grow_with_the_corpus(spark, monkeypatch):
+    """Scores of the bucketed trie are those of the trie in one table, whatever the batches; rare contexts are kept."""
+    from strandline.llm import lm_ppm
+
+    docs = documents(spark, corpus(4))
+    trained = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0")
+    whole = lm_ppm.fit(lm_ppm.count_corpus(trained.select("text")))
+    monkeypatch.setattr(lm_ppm, "BATCH", 5000)
+    monkeypatch.setattr(lm_ppm, "BUCKET", 500)
+    held = docs.selectExpr("doc_id", "text", "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0 AS held_out")
+    read = lm_ppm.read_corpus(held)
+    assert read.where("kind = 2").select("batch").distinct().count() > 1
+    costs = {r["key"]: r["cost"] for r in lm_ppm.priced(read, least=1).collect()}
+    for _, t, *_ in corpus(4):
+        t = lm_ppm.plain([(t or "").encode()])
+        assert sum(costs[k] for k in lm_ppm.grams(t).tolist()) == pytest.approx(whole.score(t)[0], rel=1e-4)
+    # A context of three occurrences counts beside any number of other texts.
+    texts = [("zq" * 6 + "x",)] * 3 + [("the of and " * 300,)] * 40
+    many = spark.createDataFrame([(i, t) for i, (t,) in enumerate(texts * 4)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_ppm.score_documents(many).collect()}
+    seen = lm_ppm.priced(lm_ppm.read_corpus(many.selectExpr("doc_id", "text", "false AS held_out")))
+    cost = {r["key"]: r["cost"] for r in seen.collect()}
+    deep = lm_ppm.grams([b"zq" * 6 + b"x"])[12]
+    assert len(got) == len(texts) * 4 and cost[int(deep)] > -1
