@@ -8,21 +8,23 @@
 3. A bucket sends an edge from its least node to each other one: as many candidates as members, whatever its size.
 4. Candidates are confirmed on full shingle sets, rebuilt from whole texts; a center's text is sent once for each
    STREAM members, not once for each of them.
-5. Components of confirmed edges. A bucket whose members are then in one component can add nothing; any other gets
-   another center, its least member outside the center's component, and steps 3 to 5 repeat, ROUNDS times in all.
+5. Components of confirmed edges. A member that was a center has met all of its bucket. Where the others of a bucket are
+   in more than one component, GROWTH times as many centers as before are taken from them, those of the smallest
+   components first, and steps 4 and 5 repeat until no bucket is left: every two members of a bucket are then in one
+   component, or compared, or of sizes that rule the similarity out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import bloom, bloom_columns, bloom_has, mix64, sliced, stage, text_bytes, worker_state
 from strandline.llm.components import components
 
-BANDS, ROWS, ROUNDS, STREAM = 40, 5, 3, 256
+BANDS, ROWS, GROWTH, STREAM = 40, 5, 4, 256
 BINS = BANDS * ROWS
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -244,30 +246,33 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     repeated ids all rows keep or go alike. An empty table gives no row; other columns are left out."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _profiles(docs)
-    nodes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys")), "oph-nodes")
+    nodes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("size")), "oph-nodes")
     ids = nodes.select("node", "doc_id")
-    keyed = nodes.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
+    keyed = nodes.where(F.size("keys") > 0).select("node", "size", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center != most").select("key", "center")
-    members = stage(keyed.join(shared, "key"), "oph-members")
-    tested, links, tree = None, None, None
-    for turn in range(ROUNDS):
-        edges = members.where("node != center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+    # Members that were no center yet; a bucket's first center is its least node.
+    open_ = stage(keyed.join(shared, "key").select("key", "node", "size", F.col("node").alias("component"), (F.col("node") == F.col("center")).alias("center")), "oph-members")
+    tested, links, tree, most = None, None, None, 1
+    alike = (100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size")) & (F.col("component") != F.col("c_component"))
+    while not open_.isEmpty():
+        centers = open_.where("center").select("key", F.col("node").alias("c_node"), F.col("size").alias("c_size"), F.col("component").alias("c_component"))
+        edges = open_.join(centers, "key").where(alike).select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = stage(edges, "oph-pairs")
-        if edges.isEmpty():
-            break
-        tested = edges if tested is None else tested.union(edges)
-        found = _confirmed(docs, ids, edges, percent)
-        links = found if links is None else links.union(found)
-        tree = stage(components(links), "oph-tree")
-        if turn + 1 < ROUNDS:
-            seen = members.join(tree, "node", "left").select("key", "node", "center", F.coalesce("component", "node").alias("component"))
-            at = tree.select(F.col("node").alias("center"), F.col("component").alias("of"))
-            seen = seen.join(at, "center", "left").select("key", "node", "component", F.coalesce("of", "center").alias("of"))
-            other = seen.where("component != of").groupBy("key").agg(F.min(F.struct("node", "component")).alias("next"))
-            members = seen.join(other, "key").where(F.col("component") != F.col("next.component")).select("key", "node", F.col("next.node").alias("center"))
-            members = stage(members.union(other.select("key", F.col("next.node").alias("node"), F.col("next.node").alias("center"))), "oph-members")
+        open_ = open_.where("NOT center").select("key", "node", "size", "component")
+        if not edges.isEmpty():
+            tested = edges if tested is None else tested.union(edges)
+            found = _confirmed(docs, ids, edges, percent)
+            links = found if links is None else links.union(found)
+            tree = stage(components(links), "oph-tree")
+            open_ = open_.drop("component").join(tree, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
+        most *= GROWTH
+        of = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
+        several = of.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+        left = open_.join(several, "key", "left_semi").join(of, ["key", "component"])
+        turn = F.row_number().over(Window.partitionBy("key").orderBy("n", "component", "node"))
+        open_ = stage(left.select("key", "node", "size", "component", (turn <= most).alias("center")), "oph-members")
     if tree is None:
         best = ids.select("node", F.col("doc_id").alias("component_id"))
     else:

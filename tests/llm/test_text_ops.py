@@ -270,3 +270,23 @@ def test_ppm_nodes_grow_with_the_corpus(spark, monkeypatch):
     cost = {r["key"]: r["cost"] for r in seen.collect()}
     deep = lm_ppm.grams([b"zq" * 6 + b"x"])[12]
     assert len(got) == len(texts) * 4 and cost[int(deep)] > -1
+
+
+def test_near_duplicates_in_a_family_below_the_threshold(spark, monkeypatch):
+    """All texts share a bucket by their passage; similar ones are found though none of them is similar to the first centers."""
+    from strandline.llm import dedup_oph
+
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(40):
+        own = [f"x{i // 2}_{k}" for k in range(30)]
+        rows.append([i, " ".join(passage + own + ([f"y{i}"] if i % 2 else [])), "en", "s0"])
+    group, _ = near_groups(rows)
+    assert len(set(group.values())) == 20
+    # The workers import bands themselves, so profiles are made here.
+    sets = dedup_oph.shingle_sets([r[1].encode() for r in rows])
+    profile = [(r[0], len(s), dedup_oph.set_digest(s), [1]) for r, s in zip(rows, sets, strict=True)]
+    made = spark.createDataFrame(profile, "doc_id long, n_shingles long, node long, keys array<long>")
+    monkeypatch.setattr(dedup_oph, "_profiles", lambda docs: made)
+    got = {r["doc_id"]: r["component_id"] for r in dedup_oph.near_duplicates(documents(spark, rows)).collect()}
+    assert got == group
