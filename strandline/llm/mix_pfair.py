@@ -1,16 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling, DataFrame functions only.
 
 A source's documents, in a fixed pseudo-random order, are cut into blocks. With weight w its block i (from 1) is released
-at slot floor((i-1)/w) and due by slot ceil(i/w); each slot goes to the released block with the earliest deadline. Weights
-are multiples of 1/FRAME, so that the schedule repeats every FRAME slots: one frame is scheduled (by a fold over its
-slots, whatever the number of rows) and every block finds its slot by arithmetic. As long as a source has blocks, the
-number of its blocks in any prefix of the slots is less than one block from the prefix's length times its weight; slots
-of a source that has run out stay empty.
+at slot floor((i-1)/w) and due by slot ceil(i/w); each slot goes to the released block with the earliest deadline. Slots
+are global and weights the targets themselves, as whole multiples of 2^-32/FRAME: nothing repeats and nothing adds up. As
+long as a source has blocks, the number of its blocks in any prefix of the slots is less than one block from the prefix's
+length times its weight; slots of a source that has run out stay empty. The driver goes through the blocks (a heap of
+sources, one step a block, a row for BLOCK documents) and writes their slots as a table in parts of CHUNK blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import stage
@@ -18,42 +23,71 @@ from strandline.llm.common import stage
 FRAME, BLOCK = 1024, 32
 #: Rows that one sub-queue of a source has at most, in the mean.
 BUCKET_ROWS = 20_000
+#: Blocks that the driver holds at once.
+CHUNK = 1 << 20
 
 
-def frame_weights(counts: DataFrame, targets: dict[str, float] | None, power: float, frame: int) -> DataFrame:
-    """(source, quota, frame) from counts (source, n): whole slots of a frame, at least one each, by largest remainders.
+def whole_weights(sizes: dict[str, int], targets: dict[str, float] | None, power: float, whole: int) -> dict[str, int]:
+    """Weights in 1/whole by source, at least 1, their sum whole: each less than 1 from the target but the largest, which
+    takes the rest.
 
     targets: weights by source, others the least of them; default n ** power of each source."""
-    if targets is None:
-        weighed = counts.select("source", F.pow("n", F.lit(power)).alias("w"))
-    else:
-        given = F.create_map(*[F.lit(x) for k, v in targets.items() for x in (k, float(v))])
-        weighed = counts.select("source", F.coalesce(F.element_at(given, F.col("source")), F.lit(float(min(targets.values())))).alias("w"))
-    every = Window.partitionBy(F.lit(1))  # a row for each source
-    weighed = weighed.select("source", "w", F.sum("w").over(every).alias("all"), F.count("*").over(every).alias("k"))
-    size = F.greatest(F.lit(frame), F.pow(F.lit(2), F.ceil(F.log2(F.col("k") * 8)))).cast("long")
-    share = weighed.select("source", size.alias("frame"), "k", ((F.col("w") / F.col("all")) * (size - F.col("k"))).alias("x"))
-    floors = share.select("source", "frame", "k", (F.floor("x") + 1).alias("q"), (F.col("x") - F.floor("x")).alias("r"))
-    rank = F.row_number().over(Window.orderBy(F.desc("r"), "source"))
-    left = F.col("frame") - F.sum("q").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return floors.select("source", (F.col("q") + F.when(rank <= left, 1).otherwise(0)).cast("long").alias("quota"), "frame")
+    least = min(targets.values()) if targets else 0
+    raw = {s: Fraction(float(targets.get(s, least) if targets is not None else n**power)) for s, n in sorted(sizes.items())}
+    total = sum(raw.values())
+    out = {s: max(1, int(x * whole / total)) for s, x in raw.items()}
+    if out:
+        top = max(out, key=out.get)
+        out[top] += whole - sum(out.values())
+    return out
+
+
+def earliest_deadlines(weights: list[int], whole: int, blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(k, j, slot) for block j (from 0) of each source k, slots rising: of the released blocks the one due first."""
+    due = lambda k, j: -(-(j + 1) * whole // weights[k])
+    later, ready, slot = [(0, k, 0) for k, n in enumerate(blocks) if n], [], 0
+    heapq.heapify(later)
+    while later or ready:
+        if not ready:
+            slot = max(slot, later[0][0])
+        while later and later[0][0] <= slot:
+            _, k, j = heapq.heappop(later)
+            heapq.heappush(ready, (due(k, j), k, j))
+        _, k, j = heapq.heappop(ready)
+        yield k, j, slot
+        if j + 1 < blocks[k]:
+            heapq.heappush(later, ((j + 1) * whole // weights[k], k, j + 1))
+        slot += 1
+
+
+def schedule(spark: SparkSession, weights: dict[str, int], whole: int, blocks: dict[str, int]) -> DataFrame:
+    """(source, j, slot, release, deadline), staged in parts."""
+    names, parts, rows = list(weights), [], []
+    w = list(weights.values())
+
+    def write():
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+        table = pa.table({c: pa.array(x, t) for c, x, t in zip(("source", "j", "slot", "release", "deadline"), cols, (pa.string(), *[pa.int64()] * 4), strict=True)})
+        parts.append(stage(spark.createDataFrame(table), "mix-slots"))
+        rows.clear()
+
+    for k, j, slot in earliest_deadlines(w, whole, [blocks[s] for s in names]):
+        rows.append((names[k], j, slot, j * whole // w[k], -(-(j + 1) * whole // w[k])))
+        if len(rows) == CHUNK:
+            write()
+    if rows or not parts:
+        write()
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def frame_schedule(quotas: DataFrame) -> DataFrame:
-    """(source, j, slot): the slot in the frame of the source's j-th block (from 0), earliest deadline first."""
-    one = quotas.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("source", "quota"))).alias("s"))  # a row for each source
-    return one.selectExpr(
-        "frame",
-        """explode(aggregate(sequence(0L, frame - 1),
-             named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<struct<k:int,j:bigint,slot:bigint>>)),
-             (acc, t) -> transform(array(array_min(transform(s, (x, k) ->
-                   CASE WHEN acc.done[k] < x.quota AND floor(acc.done[k] * frame / x.quota) <= t
-                        THEN named_struct('due', -floor(-(acc.done[k] + 1) * frame / x.quota), 'k', k) END))),
-                b -> named_struct('done', transform(acc.done, (d, k) -> CASE WHEN k = b.k THEN d + 1 ELSE d END),
-                                  'out', CASE WHEN b IS NULL THEN acc.out ELSE concat(acc.out, array(named_struct('k', b.k, 'j', acc.done[b.k], 'slot', t))) END))[0],
-             acc -> acc.out)) AS e""",
-        "s",
-    ).selectExpr("s[e.k].source AS source", "e.j AS j", "e.slot AS slot", "s[e.k].quota AS quota", "frame")
+    """(source, j, slot, release, deadline) of one frame in which each source has its quota of blocks: quotas (source, quota, frame)."""
+    rows = {r["source"]: (r["quota"], r["frame"]) for r in quotas.collect()}
+    held = {s: rows[s][0] for s in sorted(rows)}
+    return schedule(quotas.sparkSession, held, next(iter(rows.values()))[1] if rows else 1, held)
 
 
 def mix(docs: DataFrame, targets: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, frame: int = FRAME, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -74,13 +108,10 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, power: float =
     counts = base.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("source", "bucket", F.coalesce(before, F.lit(0).cast("long")).alias("before"))
-    quotas = stage(frame_weights(sizes, targets, power, frame), "mix-quotas")
-    plan = stage(frame_schedule(quotas), "mix-frame")
+    rows = {r["source"]: r["n"] for r in sizes.collect()}  # a row for each source
+    whole = frame << 32
+    plan = schedule(docs.sparkSession, whole_weights(rows, targets, power, whole), whole, {k: -(-n // block) for k, n in rows.items()})
     turn = ranked.join(offsets, ["source", "bucket"]).withColumn("source_rank", F.col("before") + F.col("local"))
     turn = turn.withColumn("block", F.floor(F.col("source_rank") / block))
-    placed = turn.join(quotas, "source").withColumn("j", F.col("block") % F.col("quota"))
-    placed = placed.join(plan.select("source", "j", F.col("slot").alias("at")), ["source", "j"])
-    slot = (F.floor(F.col("block") / F.col("quota")) * F.col("frame") + F.col("at")).cast("long")
-    release = F.expr("block * frame div quota")
-    deadline = F.expr("((block + 1) * frame + quota - 1) div quota")
-    return placed.select(*[F.col(f"_{c}").alias(c) for c in columns], *([] if "source" in columns else ["source"]), "source_rank", F.col("block"), release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), (slot * block + F.col("source_rank") % block).alias("position"))
+    placed = turn.join(plan.withColumnRenamed("j", "block"), ["source", "block"])
+    return placed.select(*[F.col(f"_{c}").alias(c) for c in columns], *([] if "source" in columns else ["source"]), "source_rank", "block", "release", "deadline", "slot", (F.col("slot") * block + F.col("source_rank") % block).alias("position"))

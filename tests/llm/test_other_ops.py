@@ -181,3 +181,17 @@ def test_native_plans_hold_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x", "")], "page_id long, url string, html string")
     for df in (mix(documents(spark, corpus())), judge_urls(pages)):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
+
+
+def test_pfair_follows_the_targets_over_many_frames(spark):
+    from strandline.llm.mix_pfair import mix
+
+    targets = {"a": 0.9, "b": 0.0999, "c": 0.0001}
+    rows = [[i, f"t{i}", "en", "c" if i == 0 else "b" if i < 601 else "a"] for i in range(6000)]
+    out = sorted(mix(documents(spark, rows), targets=targets, block=1, frame=64).collect(), key=lambda r: r["slot"])
+    assert len(out) == len(rows)
+    seen, left = dict.fromkeys(targets, 0), {s: sum(r[3] == s for r in rows) for s in targets}
+    for r in out:
+        seen[r["source"]] += 1
+        for s, w in targets.items():
+            assert seen[s] == left[s] or abs(seen[s] - (r["slot"] + 1) * w) < 1 + 1e-6
