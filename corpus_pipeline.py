@@ -15,7 +15,7 @@ from strandline.llm.toxicity_fst import toxicity_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The mixture of stages 3 and 4: a source's weight is its number of documents to this power.
-POWER, MOST_TARGETS = 0.5, 63
+POWER = 0.5
 #: Pieces that a worker caches: fewer than pack() by itself has, since workers also hold what other stages left.
 CACHE = 150_000
 
@@ -42,8 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 2048-token sequences at the mixture's proportions; queues follow the order that the last stage wrote."""
-    counts = docs.where("source IS NOT NULL").groupBy("source").count().orderBy(F.desc("count"), "source").limit(MOST_TARGETS).collect()
-    targets = {r["source"]: r["count"] ** POWER for r in counts} or None
+    counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}  # a row for each source
+    unnamed = counts.get(None, 0) + counts.get("", 0)  # one source in the mixture
+    targets = {s: n**POWER if s else n * unnamed ** (POWER - 1) for s, n in counts.items()} or None
     try:
         placed = docs.select("doc_id", "source", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:  # not read from files: there is no written order

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import sliced, stage
 from strandline.llm.fast_ids import HALF, encoder
 
-#: Queues of their own at most; the sources beyond, those with the least text, share the queue OTHERS.
+#: Queues of their own at most where no targets are given; the sources beyond, those with the least text, share the queue
+#: OTHERS. Targets give every source that they name a queue.
 QUEUES, OTHERS = 64, "*"
 SHIFT = 20  # shares are multiples of 2^-20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
@@ -31,9 +32,7 @@ def pick_queues(docs: DataFrame, targets: dict[str, float] | None, length: int)
     """The sources that get queues of their own: those of targets, else the ones with the most characters."""
     most = min(QUEUES, max(2, length // 4)) - 1
     if targets is not None:
-        if len(targets) > most:
-            raise ValueError(f"more than {most} targets")
-        return sorted(targets)
+        return sorted(s for s in targets if s is not None)
     sums = docs.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum(F.length("text")).alias("n"))
     return sorted(r["source"] for r in sums.orderBy(F.desc_nulls_last("n"), "source").limit(most).collect())
 
@@ -60,7 +59,7 @@ def plan_windows(totals: list[int], targets: list[float] | None, length: int) ->
         # A queue takes a token of each window at least, so that its position never runs backwards.
         weights = [max(w, 1.02 * sum(weights) / length) if x else 0 for w, x in zip(weights, left, strict=True)]
         cum = shares(weights)
-        each = lambda m, cum=cum: [(m * length * b >> SHIFT) - (m * length * a >> SHIFT) for a, b in zip(cum, cum[1:])]
+        each = lambda m, cum=np.array(cum): np.diff(m * length * cum >> SHIFT).tolist()
         low, high = 0, sum(left) // length + 1
         while low < high:  # the most windows that no queue is too short for
             mid = (low + high + 1) // 2
@@ -140,7 +139,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, t
     """Rows of PIECES: every id of docs (doc_id, source, text) in exactly one piece of one sequence of `length` tokens.
 
     All sequences but the last are full. targets: token share by source (others: the mean of the targets), default the
-    sources' own token shares. Null texts are empty and hold the end id; null sources are in the queue OTHERS; repeated
+    sources' own token shares; the target of None is that of the sources without one and of null sources, else the mean. More
+    than length/4 queues share windows of several sequences, so that each has some tokens in them. Null texts are empty and hold the end id; null sources are in the queue OTHERS; repeated
     ids and rows each get pieces; an empty table gives no row; other columns are left out. cache: see FastEncoder."""
     queues = pick_queues(docs, targets, length)
     names = [OTHERS, *queues]
@@ -151,8 +151,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, t
     totals = [0] * len(names)
     for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # at most QUEUES rows
         totals[r["queue"]] = r["n"]
-    weights = None if targets is None else [sum(targets.values()) / max(1, len(targets)), *(targets[s] for s in queues)]
-    plan = plan_windows(totals, weights, length)
+    weights = None if targets is None else [targets.get(None, sum(targets.values()) / max(1, len(targets))), *(targets[s] for s in queues)]
+    span = length * max(1, -(-4 * len(names) // length)) if targets is not None else length
+    plan = plan_windows(totals, weights, span)
     firsts = [[seg[1][q] for seg in plan] for q in range(len(names))]
     wide = encoder(tokenizer).tok.get_vocab_size() > 65536 or end_id >= 65536
 
@@ -161,10 +162,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = 2048, t
             out = [[] for _ in range(8)]
             for q, begin, doc_id, n, ids in zip(b["queue"].to_pylist(), b["begin"].to_pylist(), b["doc_id"].to_pylist(), b["n"].to_pylist(), b["ids"], strict=True):
                 raw = np.frombuffer(ids.as_py(), "<u4" if wide else "<u2").astype("<u4").tobytes()
-                for at, size, window, offset in cut(plan, firsts[q], q, begin, begin + n, length):
-                    start = at - begin
-                    for to, x in zip(out, (doc_id, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n, window, offset, names[q]), strict=True):
-                        to.append(x)
+                for at, run, window, offset in cut(plan, firsts[q], q, begin, begin + n, span):
+                    start, place, stop = at - begin, window * span + offset, window * span + offset + run
+                    while place < stop:
+                        size = min(stop, (place // length + 1) * length) - place
+                        for to, x in zip(out, (doc_id, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n, place // length, place % length, names[q]), strict=True):
+                            to.append(x)
+                        start, place = start + size, place + size
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:7]), pa.array(out[7], pa.string())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
 
     placed = staged.join(bases, ["queue", "part"]).select("queue", (F.col("base") + F.col("first")).alias("begin"), "doc_id", "n", "ids")

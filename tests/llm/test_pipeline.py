@@ -65,3 +65,21 @@ def test_queue_order_is_the_written_order(spark, tmp_path):
     pieces = cp.pack_windows(spark, spark.read.parquet(f"{tmp_path}/m"), str(tmp_path)).collect()
     packed = [p["doc_id"] for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])) if p["start"] == 0]
     assert packed == order and order != sorted(order)
+
+
+def test_packing_follows_the_mixture_of_many_sources(spark, tmp_path):
+    """80 sources of equal size and null rows as many as all of them: each window has the mixture's shares."""
+    import corpus_pipeline as cp
+
+    rows = [[i, " ".join(["word"] * 200), "en", f"s{i % 80}" if i < 960 else None] for i in range(1920)]
+    documents(spark, rows).select(*cp.COLUMNS).write.parquet(f"{tmp_path}/m")
+    pieces = cp.pack_windows(spark, spark.read.parquet(f"{tmp_path}/m"), str(tmp_path)).collect()
+    total = 80 * 12**0.5 + 960**0.5
+    used, windows = {}, 20
+    for p in pieces:
+        if p["sequence_id"] < windows:
+            used[p["queue"]] = used.get(p["queue"], 0) + p["length"]
+    assert len(used) == 81
+    for q, n in used.items():
+        share = (960**0.5 if q == "*" else 12**0.5) / total
+        assert abs(n / (windows * 2048) - share) < 0.05 * share
