@@ -495,8 +495,7 @@ def sliding_windows(spark, d):
 @query()
 def random_walk_pairs(spark, d):
     edges = rwr.bipartite(P.variants(spark, d).join(P.gene_pathways(spark, d), "gene").select("v", F.col("pathway").alias("gene")))
-    seeds = P.variants(spark, d).where("v % 10 = 0").select("v")  # every tenth variant is a seed of the walk
-    return rwr.mutual_pairs(rwr.walk(rwr.transition(edges), seeds, rounds=20), 200)
+    return rwr.mutual_pairs(rwr.walk(rwr.transition(edges), P.variants(spark, d).select("v")), 200)
 
 
 @query("""WITH e AS (SELECT a, b, 'x' AS source, score/1000e0 AS w FROM ppi UNION ALL SELECT a, b, 'y', ((a*13+b)%10)/10e0 FROM ppi), p AS (SELECT a, b, CASE WHEN max(w)>=1 THEN 1 ELSE 1-exp(sum(ln(1-w))) END AS w FROM e GROUP BY 1,2),
@@ -512,6 +511,11 @@ def graph_components(spark, d):
     return graph.connected_components(P.interactions(spark, d).where("a % 4 <> 3").select("a", "b"))
 
 
+@query()
+def graph_components_all(spark, d):
+    return graph.connected_components(P.interactions(spark, d).select("a", "b"))
+
+
 @query()
 def graph_pagerank(spark, d):
     return graph.pagerank(P.interactions(spark, d).select("a", "b", F.col("score").cast("double").alias("w")), rounds=20)
@@ -610,10 +614,16 @@ z AS (SELECT af.v, few.s, (coalesce(g,0)-2*af)/sqrt(2*af*(1-af)) AS z FROM af JO
 SELECT a.s AS i, b.s AS j, round(sum(a.z*b.z)/(SELECT count(*) FROM af),6) AS w FROM z a JOIN z b ON a.v=b.v AND a.s<=b.s GROUP BY 1,2""")
 def relationship_matrix(spark, d):
     g, s, _ = base(spark, d)
-    few = s.where("s % 8 = 0")  # a subset of people is this matrix's own argument: it has a row for each pair
+    few = s.where("s % 8 = 0")  # as its SQL; relationship_matrix_all has every sample
     return rounded(structure.grm(g.join(few.select("s"), "s", "left_semi"), few))
 
 
+@query()
+def relationship_matrix_all(spark, d):
+    g, s, _ = base(spark, d)
+    return rounded(structure.grm(g, s))
+
+
 @query()
 def corrected_scan(spark, d):
     g, s, _ = base(spark, d)

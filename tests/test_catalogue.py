@@ -50,3 +50,43 @@ def test_entry_points_without_the_training_data_modules():
 
     code = "import sys; sys.modules['strandline.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'assoc_top_hits' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent))
+
+
+def test_relationship_matrix_of_all_samples(spark):
+    from strandline.plans import panel
+
+    ids = sorted(r["s"] for r in panel.samples(spark, DATA).collect())
+    at, rows = {s: k for k, s in enumerate(ids)}, panel.genotypes(spark, DATA).collect()
+    vs = {v: k for k, v in enumerate(sorted({r["v"] for r in rows}))}
+    g = np.zeros((len(vs), len(ids)))
+    for r in rows:
+        g[vs[r["v"]], at[r["s"]]] = r["g"]
+    af = g.mean(1) / 2
+    z = ((g.T - 2 * af) / np.sqrt(np.maximum(2 * af * (1 - af), 1e-300))).T[(af > 0.01) & (af < 0.99)]
+    want = z.T @ z / len(z)
+    got = catalogue.QUERIES["relationship_matrix_all"](spark, DATA).collect()
+    assert len(got) == len(ids) * (len(ids) + 1) // 2
+    assert all(abs(r["w"] - want[at[r["i"]], at[r["j"]]]) < 1e-5 for r in got)
+
+
+def test_components_and_walks_of_all_nodes(spark):
+    from strandline.plans import panel
+
+    genes = {r["gene"] for r in panel.genes(spark, DATA).collect()}
+    got = catalogue.QUERIES["graph_components_all"](spark, DATA).collect()
+    edges = [(r["a"], r["b"]) for r in panel.interactions(spark, DATA).collect()]
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r["node"]: r["component"] for r in got} == root and len(genes) > 1
+
+
+def test_every_variant_seeds_a_walk(spark, monkeypatch):
+    from strandline.operators import rwr
+
+    seen, walk = [], rwr.walk
+    monkeypatch.setattr(rwr, "walk", lambda *a, **k: seen.append((a, k)) or walk(*a, **k))
+    catalogue.QUERIES["random_walk_pairs"](spark, DATA).collect()
+    (a, k), = seen
+    assert a[1].count() == spark.read.parquet(f"{DATA}/supplier.parquet").count() * 4 and not k
