@@ -627,7 +627,7 @@ def relationship_matrix_all(spark, d):
 @query()
 def corrected_scan(spark, d):
     g, s, _ = base(spark, d)
-    return structure.corrected_scan(g, s, "none")[0]
+    return structure.corrected_scan(g, s)[0]
 
 
 @query()

@@ -90,3 +90,15 @@ def test_every_variant_seeds_a_walk(spark, monkeypatch):
     catalogue.QUERIES["random_walk_pairs"](spark, DATA).collect()
     (a, k), = seen
     assert a[1].count() == spark.read.parquet(f"{DATA}/supplier.parquet").count() * 4 and not k
+
+
+def test_corrected_scan_chooses_its_correction(spark, monkeypatch):
+    from strandline.operators import structure
+
+    tried, lam = [], structure.lambda_gc
+    monkeypatch.setattr(structure, "lambda_gc", lambda df: tried.append(df) or lam(df))
+    got = catalogue.QUERIES["corrected_scan"](spark, DATA)
+    assert tried and got.count() > 0
+    best = min(abs(lam(df).first()["lambda_gc"] - 1) for df in tried)
+    assert len(tried) == 3 or best <= 0.05
+    assert abs(lam(got).first()["lambda_gc"] - 1) == pytest.approx(best)
