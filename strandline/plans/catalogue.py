@@ -542,7 +542,7 @@ def conductance(spark, d):
 @query()
 def conductance_heritability(spark, d):
     g, s, _ = base(spark, d)
-    return structure.conductance_heritability(g, s, 0.06, 20)
+    return structure.conductance_heritability(g, s, 0.06)
 
 
 @query()
@@ -634,13 +634,13 @@ def corrected_scan(spark, d):
 def flow_tests(spark, d):
     g, s, v = base(spark, d)
     vg = v.select("v", "gene", F.when(F.col("v") % 4 == 0, "HIGH").otherwise("MODERATE").alias("impact"))
-    return flow.test_flows(g, s, vg, P.gene_pathways(spark, d), 0.06, 5)
+    return flow.test_flows(g, s, vg, P.gene_pathways(spark, d), 0.06)
 
 
 @query()
 def module_permutations(spark, d):
     g, s, v = base(spark, d)
-    return epistasis.module_permutation(g, s, v.select("v", F.col("gene").alias("module")), 50)
+    return epistasis.module_permutation(g, s, v.select("v", F.col("gene").alias("module")))
 
 
 @query()

@@ -102,3 +102,21 @@ def test_corrected_scan_chooses_its_correction(spark, monkeypatch):
     best = min(abs(lam(df).first()["lambda_gc"] - 1) for df in tried)
     assert len(tried) == 3 or best <= 0.05
     assert abs(lam(got).first()["lambda_gc"] - 1) == pytest.approx(best)
+
+
+@pytest.mark.parametrize(("name", "draws"), [("flow_tests", 100), ("conductance_heritability", 200), ("module_permutations", 1000)])
+def test_nulls_have_the_default_draws(spark, monkeypatch, name, draws):
+    import inspect
+
+    module, f = {"flow_tests": (catalogue.flow, "test_flows"), "conductance_heritability": (catalogue.structure, name), "module_permutations": (catalogue.epistasis, "module_permutation")}[name]
+    used, real = [], getattr(module, f)
+
+    def spy(*a, **k):
+        bound = inspect.signature(real).bind(*a, **k)
+        bound.apply_defaults()
+        used.append(bound.arguments["draws"])
+        return real(*a, **k)
+
+    monkeypatch.setattr(module, f, spy)
+    p = [r["p_value"] for r in catalogue.QUERIES[name](spark, DATA).collect()]
+    assert used == [draws] and all(abs(x * (draws + 1) - round(x * (draws + 1))) < 1e-6 for x in p)
