@@ -52,6 +52,102 @@ def chi2_1_tail(x: Column) -> Column:
     return F.least(erfc_col(F.sqrt(F.greatest(x, F.lit(0.0)) / 2.0)), F.lit(1.0))
 
 
+#: Terms of Stirling's series of the log gamma function, from 1/x to 1/x^9.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
+def _col(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def lgamma_col(x: Column) -> Column:
+    """Log gamma of x > 0: Stirling's series eight steps further on."""
+
+    def series(z: Column) -> Column:
+        out = (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi))
+        for k, c in enumerate(STIRLING):
+            out = out + F.lit(c) / F.pow(z, F.lit(2 * k + 1.0))
+        return out
+
+    def shifted(v: Column) -> Column:
+        steps = v
+        for k in range(1, 8):
+            steps = steps * (v + float(k))
+        return let(v + 8.0, series) - F.log(steps)
+
+    return let(x.cast("double"), shifted)
+
+
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+
+
+def _beta_series(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta below its turning point, 400 terms of the hypergeometric series."""
+    front = F.exp(a * F.log(x) + b * F.log(1 - x) + lgamma_col(a + b) - lgamma_col(a) - lgamma_col(b)) / a
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("all"))
+
+    def step(s: Column, k: Column) -> Column:
+        return let(s["term"] * (a + b + k) / (a + 1 + k) * x, lambda t: F.struct(t.alias("term"), (s["all"] + t).alias("all")))
+
+    return front * F.aggregate(F.sequence(F.lit(0), F.lit(399)), start, step)["all"]
+
+
+def t_p(t, df) -> Column:
+    """Two-sided tail of Student's t; null, NaN or no degrees of freedom: 1.
+
+    From 20 degrees of freedom on by Hill's expansion (see t_p_sql), below by the incomplete beta series."""
+    t, df = F.abs(_col(t)).cast("double"), _col(df).cast("double")
+    a = df - 0.5
+    b = 48 * a * a
+    y = a * F.log1p(t * t / df)
+    hill = let(y, lambda y: (((((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b) + y + 3) / b + 1) * F.sqrt(y))
+    x = df / (df + t * t)
+    few = F.when(x < (df / 2 + 1) / (df / 2 + 2.5), _beta_series(df / 2, F.lit(0.5), x)).otherwise(1 - _beta_series(F.lit(0.5), df / 2, 1 - x))
+    tail = F.when(t == 0, 1.0).when(df >= 20, erfc_col(hill / math.sqrt(2.0))).otherwise(few)
+    return F.when((df > 0) & t.isNotNull() & ~F.isnan(t), F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0))).otherwise(1.0)
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """The same as SQL text from 20 degrees of freedom on."""
+    a = f"({df}-0.5e0)"
+    b, y = f"(48e0*{a}*{a})", f"({a}*ln(1e0+({t})*({t})/{df}))"
+    hill = f"(((((-0.4e0*{y}-3.3e0)*{y}-24e0)*{y}-85.5e0)/(0.8e0*{y}*{y}+100e0+{b})+{y}+3e0)/{b}+1e0)*sqrt({y})"
+    return f"least({erfc_sql(f'({hill}/sqrt(2e0))')},1e0)"
+
+
+def fisher_p(a, b, c, d) -> Column:
+    """Two-sided Fisher p of [[a, b], [c, d]]: the tables no likelier than the one seen."""
+    a, b, c, d = (_col(x).cast("long") for x in (a, b, c, d))
+    r1, r2, c1 = a + b, c + d, a + c
+    log = lambda x: -lgamma_col(x + 1) - lgamma_col(r1 - x + 1) - lgamma_col(c1 - x + 1) - lgamma_col(r2 - c1 + x + 1)
+    all_ = lgamma_col(r1 + 1) + lgamma_col(r2 + 1) + lgamma_col(c1 + 1) + lgamma_col(r1 + r2 - c1 + 1) - lgamma_col(r1 + r2 + 1)
+    logs = F.transform(F.sequence(F.greatest(F.lit(0).cast("long"), c1 - r2), F.least(r1, c1)), log)
+    tail = let(log(a), lambda seen: _sum(F.transform(logs, lambda x: F.when(x <= seen + 1e-7, F.exp(x + all_)).otherwise(0.0))))
+    return F.least(tail, F.lit(1.0))
+
+
+def poisson_p(k, mu) -> Column:
+    """P(X <= k)."""
+    k, mu = _col(k).cast("long"), _col(mu).cast("double")
+    return F.least(_sum(F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.exp(i * F.log(mu) - mu - lgamma_col(i + 1)))), F.lit(1.0))
+
+
+def hwe_p(het, hom_minor, n) -> Column:
+    """Exact Hardy-Weinberg p: the heterozygote counts no likelier than the one seen; no samples: 1."""
+    het, aa, n = (_col(x).cast("long") for x in (het, hom_minor, n))
+    minor = F.least(2 * aa + het, 2 * n - 2 * aa - het)
+    log = lambda k: k * math.log(2.0) - lgamma_col((minor - k) / 2 + 1) - lgamma_col(k + 1) - lgamma_col(n - k - (minor - k) / 2 + 1)
+    logs = F.transform(F.sequence(minor % 2, minor, F.lit(2).cast("long")), log)
+
+    def share(x: Column) -> Column:
+        top = F.array_max(x)
+        e = F.transform(x, lambda v: F.exp(v - top))
+        return let(F.exp(log(het) - top), lambda seen: _sum(F.transform(e, lambda v: F.when(v <= seen * (1 + 1e-9), v).otherwise(0.0))) / _sum(e))
+
+    return F.when(n > 0, F.least(let(logs, share), F.lit(1.0))).otherwise(1.0)
+
+
 def _each(f, x) -> np.ndarray:
     x = np.asarray(x, float)
     return np.array([f(v) for v in x.ravel()]).reshape(x.shape)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from strandline.functions.special import chi2_1_tail, chi2_sf, fisher_two_sided, normal_sf, normal_two_sided, t_two_sided
+from strandline.functions.special import chi2_1_tail, chi2_sf, fisher_p, normal_sf, normal_two_sided, t_p
 from strandline.operators.genotype import allelic, count_tables, moments, z_score
 
 Z95 = 1.959963984540054
@@ -34,12 +34,6 @@ def chi2_allelic(counts: DataFrame) -> DataFrame:
     return out.withColumns({"ci_lower": F.exp(F.col("beta") - Z95 * F.col("se")), "ci_upper": F.exp(F.col("beta") + Z95 * F.col("se"))})
 
 
-@pandas_udf(T.DoubleType())
-def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided Fisher p of [[a, b], [c, d]]."""
-    return pd.Series([fisher_two_sided(*map(int, r)) for r in zip(a, b, c, d, strict=True)])
-
-
 def _design(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cases and totals by dosage 0, 1, 2."""
     return cells[:, :3].astype(float), cells[:, :3] + cells[:, 3:].astype(float)
@@ -119,12 +113,6 @@ def _count_model(firth: bool):
 logistic_udf, firth_udf = _count_model(False), _count_model(True)
 
 
-@pandas_udf(T.DoubleType())
-def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided t tail."""
-    return pd.Series([t_two_sided(abs(a), b) if b > 0 and a == a else 1.0 for a, b in zip(t, df, strict=True)])
-
-
 def linear_stats(m: DataFrame, min_n: int = 10) -> DataFrame:
     """moments() to n, beta, se, t, r2: the simple regression of y on dosage; no variance or too few: 0, null, 0, 0."""
     n = F.col("n").cast("double")

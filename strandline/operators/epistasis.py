@@ -10,16 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from strandline.functions.special import poisson_cdf, t_two_sided
-from strandline.operators.assoc import fisher_p
+from strandline.functions.special import fisher_p, poisson_p, t_p
 from strandline.operators.genotype import ld_pairs
 from strandline.operators.graph import adjacency, louvain
-
-
-@pandas_udf(T.DoubleType())
-def poisson_p(k: pd.Series, mu: pd.Series) -> pd.Series:
-    """P(X <= k)."""
-    return pd.Series([poisson_cdf(a, b) for a, b in zip(k, mu, strict=True)])
+from strandline.operators.lineage import cut
 
 
 def sliding_windows(variants: DataFrame, size: int = 1_000_000, step: int = 500_000) -> DataFrame:
@@ -122,9 +116,9 @@ def interaction_moments(genotypes: DataFrame, samples: DataFrame, pairs: DataFra
     return both.withColumns({"n": F.lit(n["n"]), "y": F.lit(n["y"]), "yy": F.lit(n["yy"])})
 
 
-@pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("beta1", "beta2", "beta", "se", "p_value")]))
+@pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("beta1", "beta2", "beta", "se", "t")]))
 def interaction_fit(m: pd.DataFrame) -> pd.DataFrame:
-    """y on 1, g1, g2 and their product from the sums: all 4x4 systems at once; singular or below 20 samples: (0.., 1)."""
+    """y on 1, g1, g2 and their product from the sums: all 4x4 systems at once; singular or below 20 samples: zeros."""
     c = {k: m[k].to_numpy(float) for k in m}
     n = c["n"]
     xtx = np.array([[n, c["g_1"], c["g_2"], c["x"]], [c["g_1"], c["gg_1"], c["x"], c["xg1"]], [c["g_2"], c["x"], c["gg_2"], c["xg2"]], [c["x"], c["xg1"], c["xg2"], c["xx"]]]).transpose(2, 0, 1)
@@ -135,30 +129,50 @@ def interaction_fit(m: pd.DataFrame) -> pd.DataFrame:
     b = (inv @ xty[:, :, None])[:, :, 0]
     rss = np.maximum(c["yy"] - (b * xty).sum(1), 0.0)
     se = np.sqrt(np.maximum(rss / np.maximum(n - 4, 1) * inv[:, 3, 3], 0.0))
-    p = [t_two_sided(x / s, k - 4) if g and s > 0 else 1.0 for x, s, k, g in zip(b[:, 3], se, n, good, strict=True)]
-    return pd.DataFrame({"beta1": b[:, 1], "beta2": b[:, 2], "beta": b[:, 3], "se": se, "p_value": p})
+    t = np.divide(b[:, 3], se, out=np.zeros_like(se), where=good & (se > 0))
+    return pd.DataFrame({"beta1": b[:, 1], "beta2": b[:, 2], "beta": b[:, 3], "se": se, "t": t})
 
 
 def test_interactions(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
     """(v1, v2, beta1, beta2, beta, se, p_value) for each pair with a shared carrier."""
     m = interaction_moments(genotypes, samples, pairs)
     columns = [c for c in m.columns if c not in ("v1", "v2")]
-    return m.select("v1", "v2", interaction_fit(F.struct(*columns)).alias("f")).select("v1", "v2", "f.*")
+    fit = m.select("v1", "v2", "n", interaction_fit(F.struct(*columns)).alias("f")).select("v1", "v2", "n", "f.*")
+    return fit.select("v1", "v2", "beta1", "beta2", "beta", "se", t_p("t", F.col("n") - 4).alias("p_value"))
 
 
 test_interactions.__test__ = False
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p_value", name: str = "p_corrected") -> DataFrame:
-    """Adjusted p over all rows, monotone. Rank and reverse minimum are windows over tested pairs."""
-    rank = F.row_number().over(Window.orderBy(p, *[c for c in ("v1", "v2") if c in df.columns]))
-    out = df.withColumn("_k", rank).withColumn("_m", F.count("*").over(Window.partitionBy(F.lit(1))))
-    raw = F.least(F.col(p) * F.col("_m") / F.col("_k"), F.lit(1.0))
-    return out.withColumn("_q", raw).withColumn(name, F.min("_q").over(Window.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0))).drop("_k", "_m", "_q")
+def benjamini_hochberg(df: DataFrame, p: str = "p_value", name: str = "p_corrected", parts: int = 64) -> DataFrame:
+    """Adjusted p over all rows, monotone; a null p stays null. Runs df.
+
+    Works on distinct values, so that a value which many rows share is one row, and in ranges of them cut at quantiles: the
+    driver holds three numbers for each range, no window more than a range."""
+    df = cut(df)
+    by = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    cuts = by.agg(F.percentile_approx("_p", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []
+    edges = F.lit(sorted({float(c) for c in cuts}) or [0.0]).cast("array<double>")
+    rows = cut(by.withColumn("_part", F.size(F.filter(edges, lambda e: e < F.col("_p")))))
+    sizes = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.sum("_n").alias("n")).collect()}
+    total, before, run = sum(sizes.values()), {}, 0
+    for k in sorted(sizes):
+        before[k], run = run, run + sizes[k]
+    number = lambda found, k: F.element_at(F.create_map(*[F.lit(x) for e in found.items() for x in e]), k) if found else F.lit(0)
+    inside = Window.partitionBy("_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_q", F.least(F.col("_p") * float(total) / (number(before, F.col("_part")) + F.sum("_n").over(inside)), F.lit(1.0)))
+    lows, least = {}, 1.0
+    for r in sorted(ranked.groupBy("_part").agg(F.min("_q").alias("q")).collect(), key=lambda r: -r["_part"]):
+        lows[r["_part"]], least = least, min(least, r["q"])
+    after = F.min("_q").over(Window.partitionBy("_part").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    found = ranked.select("_p", F.least(after, number(lows, F.col("_part")).cast("double")).alias(name))
+    return df.join(found, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def bonferroni(df: DataFrame, p: str = "p_value", name: str = "p_corrected") -> DataFrame:
-    return df.withColumn(name, F.least(F.col(p) * F.count("*").over(Window.partitionBy(F.lit(1))), F.lit(1.0)))
+    """p times the number of rows, at most 1; the rows are counted first."""
+    df = cut(df)
+    return df.withColumn(name, F.least(F.col(p) * float(df.count()), F.lit(1.0)))
 
 
 def motif_pairs(motif: str, variant_gene: DataFrame, gene_pathway: DataFrame | None = None, ppi: DataFrame | None = None, variants: DataFrame | None = None, min_gap: int = 1000, direct: bool = False) -> DataFrame:
@@ -313,7 +327,9 @@ def interaction_matrix(genotypes: DataFrame, samples: DataFrame, pairs: DataFram
     rows = pairs.select("v1", "v2")
     for k in ("1", "2"):
         rows = rows.join(mean.select(F.col("v").alias(f"v{k}"), F.col("m").alias(f"m{k}")), f"v{k}")
-    dense = rows.join(samples.select("s"))
+    # Every pair has a row for each sample by definition; both sides meet on a bin, so that no task holds a product.
+    bins = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bin")
+    dense = rows.select("*", bins).join(samples.select("s", F.pmod(F.xxhash64("s"), F.lit(64)).cast("int").alias("bin")), "bin").drop("bin")
     for k in ("1", "2"):
         dense = dense.join(g.select(F.col("v").alias(f"v{k}"), "s", F.col("g").alias(f"g{k}")), [f"v{k}", "s"], "left")
     zero = F.lit(0)

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
-from strandline.functions.special import hwe_exact
+from strandline.functions.special import hwe_p
 from strandline.operators.genotype import count_tables
 
 
-@pandas_udf(T.DoubleType())
-def hwe_p(het: pd.Series, hom_minor: pd.Series, n: pd.Series) -> pd.Series:
-    """Exact Hardy-Weinberg p."""
-    return pd.Series([hwe_exact(int(a), int(b), int(c)) for a, b, c in zip(het, hom_minor, n, strict=True)])
-
-
 def variant_qc(genotypes: DataFrame, samples: DataFrame, mac_min: int = 5, hwe_min: float = 1e-10) -> DataFrame:
     """v, mac_cases, mac_controls, af_controls, hwe_pvalue_controls, passed."""
     c = count_tables(genotypes, samples)
