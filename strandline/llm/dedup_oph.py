@@ -9,9 +9,12 @@
 4. Candidates are confirmed on full shingle sets, rebuilt from whole texts; a center's text is sent once for each
    STREAM members, not once for each of them.
 5. Components of confirmed edges. A member that was a center has met all of its bucket. Where the others of a bucket are
-   in more than one component, GROWTH times as many centers as before are taken from them, those of the smallest
-   components first, and steps 4 and 5 repeat until no bucket is left: every two members of a bucket are then in one
-   component, or compared, or of sizes that rule the similarity out.
+   in more than one component, as in a family that shares a passage, they are open: pairs among them are not yet known.
+6. Open sets are dealt anew by their rarest shingles (rare(): a pair of similarity percent / 100 shares one, whatever the
+   order, so nothing is lost), and star edges are taken from CENTERS centers of each such group, those first that have the
+   least of their own: what a family was copied from comes before its copies. A passage that makes the family is common and
+   is nobody's rare shingle. GROWTH times as many centers as before are taken and steps 4 and 5 repeat until no group is
+   left: every two members of a group are then in one component, or compared, or of sizes that rule the similarity out.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import bloom, bloom_columns, bloom_has, mix64, sliced, stage, text_bytes, worker_state
 from strandline.llm.components import components
 
-BANDS, ROWS, GROWTH, STREAM = 40, 5, 4, 256
+BANDS, ROWS, CENTERS, GROWTH, STREAM = 40, 5, 8, 4, 256
 BINS = BANDS * ROWS
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -204,13 +207,35 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(texts, pa.binary())], ["node", "text"])
 
     found = docs.select("text", *bloom_columns("doc_id")).mapInArrow(run, "node long, text binary")
-    return found.join(wanted, "node")
+    return found.join(wanted, "node").dropDuplicates(["node"])
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) with 100 * intersection >= percent * union."""
-    wanted = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    texts = stage(_texts(docs, nodes, stage(wanted, "oph-wanted")), "oph-texts")
+def rare(texts: DataFrame, percent: int) -> DataFrame:
+    """(key, node, size, own, few) for each rarest shingle (key) of each of texts (node, text); own: the share of the set's
+    shingles that no other text has.
+
+    Shingles are ordered by the number of these texts that hold them, then by hash. Two sets of similarity percent / 100
+    share one of the first size * (1 - percent / 100) + 1 shingles of each; of sets as large as their partner or smaller
+    size * (100 - percent) / (100 + percent) + 1 do, which few marks. Shingles of one text only count but give no row."""
+
+    def run(batches):
+        for b in sliced(batches):
+            sets = shingle_sets(text_bytes(b["text"]))
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "size", "keys"])
+
+    sets = stage(texts.mapInArrow(run, "node long, size long, keys array<long>"), "oph-sets")
+    held = sets.select("node", "size", F.explode("keys").alias("key"))
+    common = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    order = held.join(common, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))
+    alone = F.col("size") - F.size("order")
+    reach = lambda share: (F.floor(F.col("size") * share + 1e-9) + 1 - alone).cast("int")
+    least, most = reach((100 - percent) / (100 + percent)), reach((100 - percent) / 100)
+    first = order.where(most > 0).select("node", "size", (alone / F.col("size")).alias("own"), least.alias("least"), F.posexplode(F.slice("order", 1, F.greatest(most, F.lit(1)))))
+    return first.select(F.col("col.key").alias("key"), "node", "size", "own", (F.col("pos") < F.col("least")).alias("few"))
+
+
+def _confirmed(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) with 100 * intersection >= percent * union; texts (node, text) has every node."""
     spread = edges.groupBy("a").agg(F.ceil(F.count("*") / STREAM).alias("parts"))
     edges = edges.join(spread, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     centers = edges.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
@@ -237,6 +262,15 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame, percent: int
     return stage(rows.mapInArrow(run, "a long, b long"), "oph-edges")
 
 
+def _grown(tree: DataFrame, links: DataFrame) -> DataFrame:
+    """tree (node, component) with further links (a, b): only the components that these touch are worked on."""
+    of = lambda c: tree.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    more = stage(components(between), "oph-tree")
+    moved = tree.join(more.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return stage(moved.union(more.join(tree.select("node"), "node", "left_anti").select("node", "component")), "oph-tree")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -249,30 +283,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = stage(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"), F.any_value("n_shingles").alias("size")), "oph-nodes")
     ids = nodes.select("node", "doc_id")
     keyed = nodes.where(F.size("keys") > 0).select("node", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("most")).where("center != most").select("key", "center")
-    # Members that were no center yet; a bucket's first center is its least node.
-    open_ = stage(keyed.join(shared, "key").select("key", "node", "size", F.col("node").alias("component"), (F.col("node") == F.col("center")).alias("center")), "oph-members")
-    tested, links, tree, most = None, None, None, 1
-    alike = (100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size")) & (F.col("component") != F.col("c_component"))
-    while not open_.isEmpty():
-        centers = open_.where("center").select("key", F.col("node").alias("c_node"), F.col("size").alias("c_size"), F.col("component").alias("c_component"))
-        edges = open_.join(centers, "key").where(alike).select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct()
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = stage(edges, "oph-pairs")
-        open_ = open_.where("NOT center").select("key", "node", "size", "component")
-        if not edges.isEmpty():
-            tested = edges if tested is None else tested.union(edges)
-            found = _confirmed(docs, ids, edges, percent)
-            links = found if links is None else links.union(found)
-            tree = stage(components(links), "oph-tree")
-            open_ = open_.drop("component").join(tree, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-        most *= GROWTH
-        of = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
-        several = of.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-        left = open_.join(several, "key", "left_semi").join(of, ["key", "component"])
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("n", "component", "node"))
-        open_ = stage(left.select("key", "node", "size", "component", (turn <= most).alias("center")), "oph-members")
+    # A bucket's center is its least node.
+    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("most")).where("least.node != most")
+    shared = shared.select("key", F.col("least.node").alias("center"), F.col("least.size").alias("c_size"))
+    members = stage(keyed.join(shared, "key").where("node != center").select("key", "node", "size", "center", "c_size"), "oph-members")
+    alike = 100 * F.least("size", "c_size") >= percent * F.greatest("size", "c_size")
+    edges = stage(members.where(alike).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "oph-pairs")
+    tree = None
+    if not edges.isEmpty():
+        wanted = stage(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct(), "oph-wanted")
+        tested = edges
+        tree = stage(components(_confirmed(stage(_texts(docs, ids, wanted), "oph-texts"), edges, percent)), "oph-tree")
+        named = members.join(tree, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        several = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
+        wanted = stage(named.join(several, "key", "left_semi").select("node").distinct(), "oph-wanted")
+        texts = stage(_texts(docs, ids, wanted), "oph-texts")
+        open_, most = rare(texts, percent), CENTERS
+        # Of two sets the larger one is met in its longer list of rare shingles, the smaller one in its shorter list.
+        meets = F.when(F.col("size") < F.col("c_size"), F.col("few")).when(F.col("size") > F.col("c_size"), F.col("c_few")).otherwise(F.col("few") & F.col("c_few"))
+        while True:
+            open_ = open_.select("key", "node", "size", "own", "few").join(tree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            several = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
+            left = open_.join(several, "key", "left_semi")
+            turn = F.row_number().over(Window.partitionBy("key").orderBy("own", "node"))
+            open_ = stage(left.select("key", "node", "size", "own", "few", "component", (turn <= most).alias("center")), "oph-members")
+            if open_.isEmpty():
+                break
+            centers = open_.where("center").select("key", F.col("node").alias("c_node"), F.col("size").alias("c_size"), F.col("few").alias("c_few"), F.col("component").alias("c_component"))
+            pairs = open_.join(centers, "key").where(alike & meets & (F.col("component") != F.col("c_component")))
+            edges = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+            edges = stage(edges, "oph-pairs")
+            open_, most = open_.where("NOT center"), most * GROWTH
+            if not edges.isEmpty():
+                tested, tree = tested.union(edges), _grown(tree, _confirmed(texts, edges, percent))
     if tree is None:
         best = ids.select("node", F.col("doc_id").alias("component_id"))
     else:
