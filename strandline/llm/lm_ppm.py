@@ -2,14 +2,20 @@
 
 Symbols are the 256 bytes and BOUNDARY, which stands before a text (as often as contexts reach back) and ends it. The
 corpus is counted as grams of ORDER + 1 symbols; every shorter context's counts are sums of those, so the symbols seen
-after a context are also seen after its suffixes and exclusion sets are nested. A context is a node of the trie if at
-least 1 in MAX_CONTEXTS training symbols follow it, at any corpus size: each order has MAX_CONTEXTS nodes at most, which
-bounds the model that workers hold. All grams count, those of dropped contexts in their suffixes.
+after a context are also seen after its suffixes and exclusion sets are nested. Every context that MIN_COUNT training
+symbols follow is a node of the trie, at any corpus size: the trie grows with the corpus and no worker holds all of it.
+
+1. Documents are read in batches of about BATCH bytes. A batch gives its distinct grams and words with their counts in
+   training texts, sorted and packed, one row for each bucket; buckets grow in number with the corpus.
+2. A bucket holds all grams whose contexts have the same end, from all batches: the trie's levels from LOW on are sums
+   there, those below are one table of at most 257^LOW counts. Each batch's grams get their prices back.
+3. A batch's prices and texts meet in one task, which goes through the texts.
 
 A symbol's probability (T: the node's total, D: its distinct symbols, d: DISCOUNT): (n-d)/T at the longest node, else
 escape dD/T to the suffix, where the symbols of the longer node are excluded from T and D; below order 0 the rest of the
 257 symbols are equally likely. d = 0.5 is escape method D. A text is scored as its tokens joined by single blanks.
-With fixed counts this depends on the gram alone. Model is the same trie in one table, for corpora that one worker holds.
+With fixed counts this depends on the gram alone. Model is the same trie in one table, for corpora that one worker holds;
+there a context needs 1 in MAX_CONTEXTS training symbols.
 """
 
 from __future__ import annotations
@@ -18,15 +24,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import sliced, stage, text_bytes
+from strandline.llm.common import mix64, sliced, stage, text_bytes
 from strandline.llm.dedup_oph import word_hashes
 
-ORDER, MAX_CONTEXTS, HEAD_WORDS, BOUNDARY, DISCOUNT = 6, 1 << 17, 1 << 20, 256, 0.4
-#: Symbols that must follow a context; bytes of text in a batch; distinct grams in a bucket, in the mean.
-MIN_COUNT, BATCH, BUCKET = 2, 48_000_000, 100_000
+ORDER, MAX_CONTEXTS, BOUNDARY, DISCOUNT = 6, 1 << 17, 256, 0.4
+#: Symbols that must follow a context; bytes of text in a batch and, in the mean, behind a bucket.
+MIN_COUNT, BATCH, BUCKET = 2, 64_000_000, 16_000_000
+#: Keys that wait to be merged; bytes of text that are counted, stored and scored at once.
+PENDING, SLICE = 1_500_000, 500_000
+#: Orders below this are counted as one table that every bucket has.
+LOW = 3
+ROWS = "kind byte, batch long, bucket long, keys binary, n binary, doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary"
+VALUES = "batch long, kind byte, bucket long, keys binary, value binary"
 _BITS = 9
 #: The end token's key among the words' hashes.
 END_WORD = 0
@@ -203,58 +216,92 @@ def fit(counts: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS)
     return Model(levels[::-1])
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Integers, sorted or not, as the differences' bytes plane by plane, compressed."""
+    deltas = np.diff(keys.astype(np.int64), prepend=np.int64(0))
+    return zstandard.ZstdCompressor(level=1).compress(deltas.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    return np.cumsum(planes.reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
+def _mask(symbols_: int) -> int:
+    return (1 << (_BITS * symbols_)) - 1
+
+
+def _dealt(keys: np.ndarray, buckets: int, order: int | None) -> np.ndarray:
+    """The bucket of each key: of a gram by the end of its context, so that all levels from LOW on are in one bucket."""
+    x = keys.view(np.uint64) if order is None else ((keys >> _BITS) & _mask(min(order, LOW))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return (mix64(x + np.uint64(5)) % np.uint64(buckets)).astype(np.int64)
+
+
 def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Staged rows of docs (doc_id, text, held_out), kind 0: words by hash (key, n) of those not held out; kind 1: distinct
-    grams of a batch (batch, key) and how often they are in texts not held out (n, from 0); kind 2: the documents with
-    their batch."""
+    """Staged rows of docs (doc_id, text, held_out) with the batch they fell into.
+
+    kind 0: distinct words by hash of a batch that fall into one bucket, kind 1: grams alike; keys sorted and packed, n: how
+    often each is in texts not held out, from 0. kind 2: some documents, their texts one after another, compressed. kind 3:
+    counts of the LOW last symbols of grams."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, -(-size // BUCKET))
+    types = {"kind": pa.int8(), "batch": pa.int64(), "bucket": pa.int64(), "keys": pa.binary(), "n": pa.binary(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "texts": pa.binary()}
 
     def run(batches):
         from pyspark import TaskContext
 
-        batch, held, room = TaskContext.get().partitionId() << 20, 0, []
-        words = Tally(0)
+        batch, held = TaskContext.get().partitionId() << 20, 0
+        room: list[list] = [[], []]  # of each kind what is merged, then what came since
+        zstd = zstandard.ZstdCompressor(level=3)
 
         def rows(kind, size, /, **columns):
-            types = {"batch": pa.int64(), "key": pa.int64(), "n": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), *(columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items())], ["kind", *types])
+            fixed = {"kind": pa.array(np.full(size, kind, np.int8)), "batch": pa.array(np.full(size, batch))}
+            return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
 
         def flush():
-            keys, counts = merged(room)
-            for k in range(0, len(keys), 100_000):
-                part = keys[k : k + 100_000]
-                yield rows(1, len(part), batch=pa.array(np.full(len(part), batch)), key=pa.array(part), n=pa.array(counts[k : k + 100_000]))
-
-        def told(found):
-            for b in found:
-                yield rows(0, b.num_rows, key=b["key"], n=b["n"])
+            for kind in (0, 1):
+                keys, n = merged(room[kind])
+                room[kind].clear()
+                at = _dealt(keys, buckets, order if kind else None)
+                sort = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[sort], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(ends)).tolist():
+                    part = sort[ends[k] : ends[k + 1]]
+                    yield rows(kind, 1, bucket=pa.array([k]), keys=pa.array([packed(keys[part])], pa.binary()), n=pa.array([packed(n[part])], pa.binary()))
+                if kind:
+                    low, n = merged([(keys[n > 0] & _mask(min(order, LOW)), n[n > 0])])
+                    yield rows(3, 1, bucket=pa.array([batch % 16]), keys=pa.array([packed(low)], pa.binary()), n=pa.array([packed(n)], pa.binary()))
+
+        def add(kind, trained, other):
+            room[kind].append(np.unique(trained, return_counts=True))
+            seen = np.unique(other)
+            room[kind].append((seen, np.zeros(len(seen), np.int64)))
+            if sum(len(k) for k, _ in room[kind][1:]) > PENDING:
+                room[kind][1:] = [merged(room[kind][1:])]
+                room[kind][:] = [merged(room[kind])]
 
         for b in sliced(batches):
             at = 0
-            for texts in chunks(text_bytes(b["text"])):
-                part, at = b.slice(at, len(texts)), at + len(texts)
-                raw, texts = texts, plain(texts)
+            for raw in chunks(text_bytes(b["text"]), SLICE):
+                part, at, texts = b.slice(at, len(raw)), at + len(raw), plain(raw)
                 if held > BATCH:
                     yield from flush()
-                    batch, held, room = batch + 1, 0, []
-                yield rows(2, len(raw), batch=pa.array(np.full(len(raw), batch)), doc_id=part["doc_id"], held_out=part["held_out"], text=pa.array(raw, pa.binary()))
-                out = part["held_out"].to_pylist()
-                trained = [t for t, h in zip(texts, out, strict=True) if not h]
-                hashes, _ = word_hashes(trained)
-                yield from told(words.add(np.concatenate([hashes.view(np.int64), np.full(len(trained), END_WORD, np.int64)])))
-                room.append(np.unique(grams(trained, order), return_counts=True))
-                other = np.unique(grams([t for t, h in zip(texts, out, strict=True) if h], order))
-                room.append((other, np.zeros(len(other), np.int64)))
+                    batch, held, room = batch + 1, 0, [[], []]
+                each = {"doc_id": [part["doc_id"].to_pylist()], "held_out": [part["held_out"].to_pylist()], "sizes": [[len(t) for t in texts]], "texts": [zstd.compress(b"".join(texts))]}
+                yield rows(2, 1, **{c: pa.array(x, types[c]) for c, x in each.items()})
+                out = each["held_out"][0]
+                split = [t for t, h in zip(texts, out, strict=True) if not h], [t for t, h in zip(texts, out, strict=True) if h]
+                end = [np.full(len(x), END_WORD, np.int64) for x in split]
+                add(0, *(np.concatenate([word_hashes(x)[0].view(np.int64), e]) for x, e in zip(split, end, strict=True)))
+                add(1, *(grams(x, order) for x in split))
                 held += sum(map(len, texts))
-                if sum(len(k) for k, _ in room) > 3 * len(room[0][0]) + 2_000_000:
-                    room = [merged(room)]
-        if room:
+        if room[0]:
             yield from flush()
-        yield from told(words.flush())
 
     parts = max(1, -(-size // BATCH))
     few = docs.coalesce(parts) if parts > 1 else docs
-    return stage(few.mapInArrow(run, "kind byte, batch long, key long, n long, doc_id long, held_out boolean, text binary"), "ppm-corpus")
+    return stage(few.mapInArrow(run, ROWS), "ppm-corpus")
 
 
 def prices(levels: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, least: int = MIN_COUNT) -> np.ndarray:
@@ -292,27 +339,64 @@ def prices(levels: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, least
     return np.log10(p)
 
 
-def priced(corpus: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFrame:
-    """(key, cost) for each distinct gram of read_corpus()."""
-    known = stage(corpus.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "ppm-grams")
-    low = min(order, 2)
-    mask = lambda k: (1 << (_BITS * k)) - 1
-    # Levels below low: at most 257 contexts of 257 symbols.
-    short = known.where("n > 0").groupBy(F.col("key").bitwiseAND(mask(max(1, low))).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    top = short["key"].to_numpy().astype(np.int64), short["n"].to_numpy().astype(np.int64)
-    shared = [merged([(top[0] & mask(k + 1), top[1])]) for k in range(low)]
-    buckets = max(16, -(-known.count() // BUCKET))
+def short_counts(corpus: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The LOW last symbols of all training grams, sorted, and their counts: at most 257^LOW, whatever the corpus."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, n = merged([(unpacked(k), unpacked(x)) for k, x in zip(table["keys"].to_pylist(), table["n"].to_pylist(), strict=True)])
+        return pa.table({"keys": pa.array([packed(keys)], pa.binary()), "n": pa.array([packed(n)], pa.binary())})
+
+    found = corpus.where("kind = 3").select("bucket", "keys", "n").groupBy("bucket").applyInArrow(run, "keys binary, n binary").toArrow()
+    none = np.zeros(0, np.int64)
+    return merged([(none, none), *((unpacked(k), unpacked(x)) for k, x in zip(found["keys"].to_pylist(), found["n"].to_pylist(), strict=True))])
+
+
+def priced_batches(corpus: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFrame:
+    """(batch, kind, bucket, keys, value) for the packed grams of each batch: value holds their float32 costs."""
+    low = min(order, LOW)
+    top = short_counts(corpus, order)
+    shared = [merged([(top[0] & _mask(k + 1), top[1])]) for k in range(low)]
 
     def run(table: pa.Table) -> pa.Table:
-        keys, n = table["key"].to_numpy().astype(np.int64), table["n"].to_numpy().astype(np.int64)
+        packs = table["keys"].to_pylist()
+        each = [unpacked(k) for k in packs]
+        keys, n = merged([(k, unpacked(x)) for k, x in zip(each, table["n"].to_pylist(), strict=True)])
         now, levels = (keys[n > 0], n[n > 0]), []
         for k in range(order, low - 1, -1):
-            now = merged([(now[0] & mask(k + 1), now[1])])
+            now = merged([(now[0] & _mask(k + 1), now[1])])
             levels.append(now)
-        return pa.table({"key": pa.array(keys), "cost": pa.array(prices(shared + levels[::-1], keys, least).astype(np.float32))})
+        cost = prices(shared + levels[::-1], keys, least).astype(np.float32)
+        values = [cost[np.searchsorted(keys, k)].tobytes() for k in each]
+        return pa.table({"batch": table["batch"], "kind": pa.array([1] * len(each), pa.int8()), "bucket": table["bucket"], "keys": pa.array(packs, pa.binary()), "value": pa.array(values, pa.binary())})
+
+    return corpus.where("kind = 1").select("batch", "bucket", "keys", "n").groupBy("bucket").applyInArrow(run, VALUES)
+
+
+def priced(corpus: DataFrame, order: int = ORDER, least: int = MIN_COUNT) -> DataFrame:
+    """(key, cost) for each distinct gram of read_corpus()."""
+
+    def run(batches):
+        for b in batches:
+            for k, x in zip(b["keys"].to_pylist(), b["value"].to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(k)), pa.array(np.frombuffer(x, np.float32))], ["key", "cost"])
+
+    return priced_batches(corpus, order, least).mapInArrow(run, "key long, cost float").distinct()
 
-    bucket = F.pmod(F.xxhash64(F.shiftright("key", _BITS).bitwiseAND(mask(low))), F.lit(buckets)).alias("bucket")
-    return known.select(bucket, "key", "n").groupBy("bucket").applyInArrow(run, "key long, cost float")
+
+def counted_words(corpus: DataFrame) -> DataFrame:
+    """Staged (batch, kind, bucket, keys, value, total, distinct) for the packed words of each batch: value holds their packed
+    counts in all training texts; total and distinct are the bucket's, in one of its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        packs = table["keys"].to_pylist()
+        each = [unpacked(k) for k in packs]
+        keys, n = merged([(k, unpacked(x)) for k, x in zip(each, table["n"].to_pylist(), strict=True)])
+        values = [packed(n[np.searchsorted(keys, k)]) for k in each]
+        sums = {c: pa.array([x, *[0] * (len(each) - 1)], pa.int64()) for c, x in (("total", int(n.sum())), ("distinct", int(np.count_nonzero(n))))}
+        return pa.table({"batch": table["batch"], "kind": pa.array([0] * len(each), pa.int8()), "bucket": table["bucket"], "keys": pa.array(packs, pa.binary()), "value": pa.array(values, pa.binary()), **sums})
+
+    words = corpus.where("kind = 0").select("batch", "bucket", "keys", "n").groupBy("bucket").applyInArrow(run, VALUES + ", total long, distinct long")
+    return stage(words, "ppm-words")
 
 
 def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
@@ -325,58 +409,52 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out"))
     corpus = read_corpus(docs, order)
-    answers = corpus.where("kind = 1").select(F.col("batch").alias("of"), "key").join(priced(corpus, order), "key").select("of", "key", "cost")
-    counts = stage(corpus.where("kind = 0").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
-    vocabulary = counts.where("kind = 0").select("key", "n")
-    size = vocabulary.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = size["n"] or 0, size["v"]
+    words = counted_words(corpus)
+    size = words.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
+    total, distinct = size["n"] or 0, size["v"] or 0
     floor = math.log10(total + 0.1 * (distinct + 1)) if total or distinct else math.log10(0.1)
-    # Words of at least 1 in HEAD_WORDS tokens, so never more than HEAD_WORDS; the others are joined below.
-    head = vocabulary.where(F.col("n") >= max(1, math.ceil(total / HEAD_WORDS))).toArrow().sort_by("key")
-    keys, logs = head["key"].to_numpy(), np.log10(head["n"].to_numpy() + 0.1) - floor
-    shared = docs.sparkSession.sparkContext.broadcast((keys, logs))
-    unknown = math.log10(0.1) - floor
-
-    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
-        keys, logs = shared.value
-        grams_, costs = told["key"].to_numpy().astype(np.int64), told["cost"].to_numpy()
-        sort = np.argsort(grams_)
-        grams_, costs = grams_[sort], costs[sort]
-        row, out = asked["batch"][0].as_py() << 24 if asked.num_rows else 0, []
-        for b in sliced(asked.to_batches()):
-            at = 0
-            for texts in chunks(text_bytes(b["text"])):
+
+    def run(batches):
+        now, told, known, logs, counts, seen, costs = None, ([], []), None, None, None, None, None
+        unzip = zstandard.ZstdDecompressor()
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b[c][k] for c in ("batch", "kind", "keys", "value", "doc_id", "held_out", "sizes", "texts")}
+                kind = row["kind"].as_py()
+                if row["batch"].as_py() != now:
+                    now, told, known = row["batch"].as_py(), ([], []), None
+                if kind < 2:
+                    value = row["value"].as_py()
+                    told[kind].append((unpacked(row["keys"].as_py()), np.frombuffer(value, np.float32) if kind else unpacked(value)))
+                    continue
+                if known is None:
+                    known, counts = (np.concatenate(x) for x in zip(*told[0], strict=True))
+                    sort = np.argsort(known)
+                    known, logs, counts = known[sort], np.log10(counts[sort] + 0.1) - floor, counts[sort] > 0
+                    seen, costs = (np.concatenate(x) for x in zip(*told[1], strict=True))
+                    told = ([], [])
+                    sort = np.argsort(seen)
+                    seen, costs = seen[sort], costs[sort]
+                sizes = row["sizes"].as_py()
+                ends, text = np.cumsum([0, *sizes]).tolist(), unzip.decompress(row["texts"].as_py())
+                texts = [text[x:y] for x, y in zip(ends, ends[1:], strict=False)]
                 n = len(texts)
-                part, at = b.slice(at, n), at + n
-                texts = plain(texts)
-                hashes, words = word_hashes(texts)
-                hashes, doc = hashes.view(np.int64), np.repeat(np.arange(n), words)
-                place = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
-                hit = keys[place] == hashes if len(keys) else np.zeros(len(hashes), bool)
-                base, known = np.bincount(doc[hit], logs[place[hit]], n), np.bincount(doc[hit], minlength=n)
-                if len(keys) and (e := np.searchsorted(keys, END_WORD)) < len(keys) and keys[e] == END_WORD:
-                    base, known = base + logs[e], known + 1
-                else:
-                    base = base + unknown
-                rare, of = hashes[~hit], doc[~hit]
-                order_ = np.lexsort((rare, of))
-                rare, of = rare[order_], of[order_]
-                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rare)))
-                offsets = pa.array(np.searchsorted(of[first], np.arange(n + 1)).astype(np.int32))
+                hashes, each = word_hashes(texts)
+                place = np.searchsorted(known, np.concatenate([hashes.view(np.int64), np.full(n, END_WORD, np.int64)]))
+                doc = np.concatenate([np.repeat(np.arange(n), each), np.arange(n)])
+                base, hit = np.bincount(doc, logs[place], n), np.bincount(doc, counts[place], n)
                 some, back = np.unique(grams(texts, order), return_inverse=True)
-                begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
-                score = np.add.reduceat(costs[np.searchsorted(grams_, some)].astype(np.float64)[back], begin)
-                arrays = [pa.array(np.arange(row, row + n)), part["doc_id"], part["held_out"], pa.array(words.astype(np.int64) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, pa.array(rare[first])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
-                out.append(pa.RecordBatch.from_arrays(arrays, names))
-                row += n
-        return pa.Table.from_batches(out, types)
-
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
-    types = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())], strict=True)))
-    texts = corpus.where("kind = 2").select("batch", "doc_id", "held_out", "text")
-    scored = stage(texts.groupBy("batch").cogroup(answers.groupBy("of")).applyInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"), "ppm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    found = rare.join(vocabulary, "key", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * (F.log10(F.coalesce(F.col("n"), F.lit(0)) + F.lit(0.1)) - F.lit(floor))).alias("rest"))
-    none = F.lit(0)
-    return scored.join(found, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", none)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+                begin = np.concatenate([[0], np.cumsum([x + 1 for x in sizes])])[:-1]
+                score = np.add.reduceat(costs[np.searchsorted(seen, some)].astype(np.float64)[back], begin)
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"].as_py(), pa.int64()), pa.array(row["held_out"].as_py(), pa.bool_()), pa.array(each.astype(np.int64) + 1), pa.array(hit.astype(np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    own = [("doc_id", "array<long>"), ("held_out", "array<boolean>"), ("sizes", "array<long>"), ("texts", "binary")]
+    texts = corpus.where("kind = 2").select("batch", "kind", none("keys", "binary"), none("value", "binary"), *[c for c, _ in own])
+    known = words.select("batch", "kind", "keys", "value").union(priced_batches(corpus, order).select("batch", "kind", "keys", "value"))
+    known = known.select("*", *[none(c, t) for c, t in own])
+    # A batch is scored in one task: what is known of its words and grams comes first, then its texts, one slice at a time.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = known.union(texts).repartition(parts, "batch").sortWithinPartitions("batch", "kind")
+    scored = dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
