@@ -1,12 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is read as clauses of classed tokens. Three transducers are composed over each clause: negation turns an insult or
-threat within NEGATION_SCOPE tokens after a negator into a negated one; reported speech turns what follows a verb of saying,
-or stands between quotation marks, into a reported one; target marks a clause that also names a person. The composition
-writes the weight of each matched pattern on the tape of its kind; a clause without insult or threat writes nothing.
-The insult lexicon (words and stems of four to seven letters) is learnt from labelled texts of any language by class
-odds over all of them; threats, targets, negators and verbs of saying are fixed. A logistic layer over the clause tapes,
-fitted on a sample of FIT_ROWS labelled texts, gives the score.
+A text is read as a tape of token classes, cut into clauses by STOP. Five transducers, each a table of (state, class) to
+(next state, marks written, weight), are composed into one: insult marks insults; threat marks a verb of violence that
+stands within REACH tokens of a person; target marks the end of a clause that names a person; negation marks what follows a
+negator within NEGATION_SCOPE tokens; reported speech marks what follows a verb of saying or stands between quotation
+marks. Weights along the cascade multiply. A clause's marked matches are summed by kind; a clause without a match, and a
+word outside of a matched pattern, such as a verb of violence with nobody near, writes nothing.
+
+The insult lexicon (words and stems of four to seven letters) is learnt from labelled texts of any language by a lower
+bound of class odds; threats, targets, negators and verbs of saying are fixed. A logistic layer over the clause sums gives
+the score. Lexicon and layer are fitted on bounded samples of labelled rows (LEXICON_ROWS and FIT_ROWS in the mean, chosen
+by a hash of doc_id); every text is scored whole.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import bloom, bloom_columns, bloom_has, sliced, stage
 
-#: Bound of the rows (in the mean, chosen by a hash of doc_id) that the logistic layer is fitted on, and of the lexicon.
-FIT_ROWS, LEXICON, COMMON = 20_000, 4096, 0.003
+#: Labelled rows, in the mean, that the lexicon and the logistic layer are fitted on; the log likelihood ratio that a term
+#: needs, which chance gives one term in a million.
+LEXICON_ROWS, FIT_ROWS, LEAST_RATIO = 200_000, 20_000, 14.0
 STEMS = (4, 5, 6, 7)
-NEGATION_SCOPE = 3
+NEGATION_SCOPE, REACH = 3, 4
 # Closed word classes of the grammar.
 THREATS = "kill hurt destroy burn punch beat stab shoot töten umbringen schlagen tuer frapper matar golpear".split()
 TARGETS = "you your yours he him his she her they them their du dich dir ihr euch sie er tu toi vous il elle ils usted ustedes él ella ellos".split()
@@ -58,23 +63,82 @@ class Classes(dict):
         return got
 
 
-def negation(clause: list[int]):
-    """State: tokens that the last negator still reaches."""
-    reach = 0
-    for c in clause:
-        kind = c & 7
-        yield c, kind >= INSULT and reach > 0
-        reach = NEGATION_SCOPE if kind == NEGATOR else max(0, reach - 1)
+#: Marks on the tape, beside a symbol's class in the lowest three bits.
+HIT, VIOLENT, NAMED, DENIED, TOLD = 8, 16, 32, 64, 128
 
 
-def reported(marked):
-    """State: whether a verb of saying or an open quotation precedes."""
-    said = quoted = False
-    for c, negated in marked:
-        kind = c & 7
-        quoted ^= kind == QUOTE
-        yield c, negated, said or quoted
-        said |= kind == SAYS
+class Transducer:
+    """start, and step: {(state, class): (next state, marks, weight)}; pairs that are missing keep the state, write nothing."""
+
+    def __init__(self, start, step: dict):
+        self.start, self.step = start, step
+
+    def __call__(self, state, symbol: int):
+        then, marks, weight = self.step.get((state, symbol & 7), (state, 0, 1.0))
+        # Negation and reported speech weigh what earlier transducers marked as a match, and nothing else.
+        return (then, symbol | marks, weight) if not marks & (DENIED | TOLD) or symbol & HIT else (then, symbol, 1.0)
+
+
+def insult() -> Transducer:
+    return Transducer(0, {(0, INSULT): (0, HIT, 1.0)})
+
+
+def threat() -> Transducer:
+    """States: what is near (a verb of violence, a person or neither) and how many tokens ago."""
+    step = {}
+    for near in [(NONE, 0), *((c, k) for c in (THREAT, TARGET) for k in range(1, REACH + 1))]:
+        kind, ago = near
+        later = (kind, ago + 1) if kind and ago < REACH else (NONE, 0)
+        for c in range(8):
+            step[near, c] = (later, 0, 1.0)
+        step[near, THREAT] = ((NONE, 0), HIT | VIOLENT, 1.0) if kind == TARGET else ((THREAT, 1), 0, 1.0)
+        step[near, TARGET] = ((NONE, 0), HIT | VIOLENT, 1.0) if kind == THREAT else ((TARGET, 1), 0, 1.0)
+        step[near, STOP] = ((NONE, 0), 0, 1.0)
+    return Transducer((NONE, 0), step)
+
+
+def target() -> Transducer:
+    return Transducer(0, {(0, TARGET): (1, 0, 1.0), (1, STOP): (0, NAMED, 1.0)})
+
+
+def negation() -> Transducer:
+    """States: tokens that the last negator still reaches."""
+    step = {(k, c): (max(0, k - 1), DENIED if k else 0, 0.3 if k else 1.0) for k in range(NEGATION_SCOPE + 1) for c in range(8)}
+    step |= {(k, NEGATOR): (NEGATION_SCOPE, 0, 1.0) for k in range(NEGATION_SCOPE + 1)}
+    return Transducer(0, step | {(k, STOP): (0, 0, 1.0) for k in range(NEGATION_SCOPE + 1)})
+
+
+def reported() -> Transducer:
+    """States: whether a verb of saying precedes, whether a quotation is open."""
+    states = [(said, quoted) for said in (0, 1) for quoted in (0, 1)]
+    step = {(s, c): (s, TOLD if any(s) else 0, 0.5 if any(s) else 1.0) for s in states for c in range(8)}
+    step |= {((said, quoted), SAYS): ((1, quoted), 0, 1.0) for said, quoted in states} | {((said, quoted), QUOTE): ((said, 1 - quoted), 0, 1.0) for said, quoted in states}
+    return Transducer((0, 0), step | {(s, STOP): ((0, 0), 0, 1.0) for s in states})
+
+
+def compose(*cascade: Transducer) -> tuple[list[int], list[int], list[float]]:
+    """One deterministic transducer of the states that can be reached: next state times 8, symbol written and weight, each
+    at state * 8 + class; it starts in state 0."""
+    number, todo = {tuple(t.start for t in cascade): 0}, [tuple(t.start for t in cascade)]
+    then, wrote, weight = [], [], []
+    for state in todo:
+        for c in range(8):
+            symbol, w, after = c, 1.0, []
+            for t, s in zip(cascade, state, strict=True):
+                s, symbol, x = t(s, symbol)
+                after.append(s)
+                w *= x
+            key = tuple(after)
+            if key not in number:
+                number[key] = len(number)
+                todo.append(key)
+            then.append(8 * number[key])
+            wrote.append(symbol)
+            weight.append(w)
+    return then, wrote, weight
+
+
+NEXT, WROTE, WEIGHT = compose(insult(), threat(), target(), negation(), reported())
 
 
 def tapes(text: str, classes: Classes) -> list[float]:
@@ -82,26 +146,27 @@ def tapes(text: str, classes: Classes) -> list[float]:
     out = [0.0] * 8
     tokens = [classes[t] for t in _TOKEN.findall(text.lower())]
     out[WORDS] = len(tokens)
-    if not tokens or max(tokens) < INSULT:
+    if not tokens or max(tokens) < INSULT or not any(c & 7 >= INSULT for c in tokens):
         return out
-    if not any(c & 7 >= INSULT for c in tokens):
-        return out
-    clause: list[int] = []
+    state, matched, plain, total = 0, False, 0.0, 0.0
     for c in [*tokens, STOP]:
-        if c & 7 != STOP:
-            clause.append(c)
-            continue
-        if any(x & 7 >= INSULT for x in clause):
-            person, total = any(x & 7 == TARGET for x in clause), 0.0
-            for x, negated, told in reported(negation(clause)):
-                if x & 7 >= INSULT:
-                    w = classes.weights[x >> 3]
-                    kind = NEGATED if negated else REPORTED if told else MENACE if x & 7 == THREAT else TARGETED if person else PLAIN
-                    out[kind] += w
-                    total += w * (0.3 if negated else 0.5 if told else 1.2 if person else 1.0)
-            out[CLAUSES] += 1
-            out[PEAK] = max(out[PEAK], total)
-        clause = []
+        at = state + (c & 7)
+        state, symbol = NEXT[at], WROTE[at]
+        if symbol & HIT:
+            w = 1.0 if symbol & VIOLENT else classes.weights[c >> 3]
+            kind = NEGATED if symbol & DENIED else REPORTED if symbol & TOLD else MENACE if symbol & VIOLENT else PLAIN
+            if kind == PLAIN:
+                plain += w
+            else:
+                out[kind] += w
+            matched, total = True, total + w * WEIGHT[at]
+        elif c & 7 == STOP:
+            if matched:
+                person = symbol & NAMED
+                out[TARGETED if person else PLAIN] += plain
+                out[CLAUSES] += 1
+                out[PEAK] = max(out[PEAK], total + 0.2 * plain if person else total)
+            matched, plain, total = False, 0.0, 0.0
     return out
 
 
@@ -163,36 +228,38 @@ def term_counts(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """The LEXICON terms with the highest lower bounds of their log odds, over all rows of train; weight: that bound.
-
-    Only terms in COMMON of the toxic texts or more can be chosen, so their number does not depend on the corpus; the
-    clean texts are counted for those alone."""
+    """Every term whose lower bound of the log odds (at 1.64 deviations) is above log 3 and whose likelihood ratio against
+    chance is above LEAST_RATIO; weight: that bound. Rows of train are bounded by the caller, so the terms are; clean texts
+    are counted only for terms that no number of clean texts from none on rules out."""
     sums = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     clean, toxic = sums.get(0, 0), sums.get(1, 0)
-    bad = term_counts(train.where("toxic = 1").select("text")).where(F.col("n") >= max(3, math.ceil(COMMON * toxic)))
+    rate = toxic / max(1, clean + toxic)
+    if not 0 < rate < 1:
+        return {}
+    bad = term_counts(train.where("toxic = 1").select("text")).where(F.col("n") * -math.log(rate) > LEAST_RATIO)
     often = {r["term"]: r["n"] for r in bad.collect()}
     good = {r["term"]: r["n"] for r in term_counts(train.where("toxic = 0").select("text"), set(often)).collect()} if often else {}
     rows = {}
     for term, n in often.items():
         m = good.get(term, 0)
+        ratio = n * math.log(n / ((n + m) * rate)) + (m * math.log(m / ((n + m) * (1 - rate))) if m else 0.0)
         w = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (clean + 1)) - 1.64 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-        if w > math.log(3):
+        if w > math.log(3) and ratio > LEAST_RATIO:
             rows[term] = (n, w)
-    rows = dict(sorted(rows.items(), key=lambda e: (-e[1][1], e[0]))[:LEXICON])
     # A stem that one word accounts for says nothing about other words.
     alone: dict[str, int] = {}
     for term, (n, _) in rows.items():
         for k in STEMS:
             if not term.endswith("*") and len(term) >= k:
                 alone[term[:k] + "*"] = max(n, alone.get(term[:k] + "*", 0))
-    return {t: w for t, (n, w) in rows.items() if alone.get(t, 0) < 0.6 * n}
+    return {t: w for t, (n, w) in sorted(rows.items()) if alone.get(t, 0) < 0.6 * n}
 
 
 def train_model(docs: DataFrame, labels: DataFrame, keep) -> tuple[dict[str, float], np.ndarray]:
     train = labelled(docs, labels, keep)
-    lexicon = learn_lexicon(train)
     n = train.count()
-    sample = train.where(F.pmod("h", F.lit(1 << 20)) < (FIT_ROWS << 20) // n) if n > FIT_ROWS else train
+    some = lambda rows: train.where(F.pmod("h", F.lit(1 << 30)) < (rows << 30) // n) if n > rows else train
+    lexicon, sample = learn_lexicon(some(LEXICON_ROWS)), some(FIT_ROWS)
 
     def run(batches):
         classes = Classes(lexicon)
