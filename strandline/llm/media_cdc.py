@@ -6,6 +6,10 @@ occur more often are stored once, in a chunk table keyed by digest; recipes name
 often is found by a Spark aggregation over digests and handed to the writers as a Bloom filter of fixed size: a chunk
 that the filter takes by mistake is in the chunk table too, so no join and no shuffle carries the bytes of other chunks.
 Reading joins the named chunks by digest, checks every digest, and puts payloads together in order.
+
+Stored form of a payload: its recipe (`CDC1`, then for each chunk a byte that says whether the chunk table has it, its length
+in four bytes and its digest in sixteen), the compressed bytes of its own chunks, and the chunk table's compressed bodies that
+the recipe names, in order. All of it is in files; media_bytes and media_sha256 are of these bytes as they were read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from strandline.llm.common import mix64, shared_dir, sliced, stage, text_bytes
 
 SMALLEST, LARGEST, CUT_BITS, UNIT, FILL, LEVEL = 256, 8192, 10, 576, 255, 9
 FILTER_BITS = 25
-RECIPES, CHUNKS = "media binary, lengths array<int>, digests array<binary>, shared array<boolean>, own binary", "digest binary, body binary"
+RECIPES, CHUNKS = "media binary, recipe binary, own binary", "digest binary, body binary"
+MAGIC, ENTRY = b"CDC1", 21
 with np.errstate(over="ignore"):
     _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -66,6 +71,17 @@ def chunks_of(payload: bytes) -> list[tuple[bytes, bytes]]:
     return [(digest_of(p), p) for p in parts]
 
 
+def recipe_of(parts: list[tuple[bytes, bytes]], shared: list[bool]) -> bytes:
+    return MAGIC + b"".join(bytes([s]) + len(x).to_bytes(4, "little") + d for (d, x), s in zip(parts, shared, strict=True))
+
+
+def entries_of(recipe: bytes) -> list[tuple[bool, int, bytes]]:
+    """(shared, length, digest) of each chunk in order."""
+    if recipe[:4] != MAGIC or (len(recipe) - 4) % ENTRY:
+        raise ValueError("not a recipe")
+    return [(recipe[k] == 1, int.from_bytes(recipe[k + 1 : k + 5], "little"), recipe[k + 5 : k + ENTRY]) for k in range(4, len(recipe), ENTRY)]
+
+
 def _known(digest: bytes, words: np.ndarray) -> bool:
     mask = (1 << FILTER_BITS) - 1
     return all(int(words[at >> 6]) >> (at & 63) & 1 for at in (int.from_bytes(digest[k : k + 4], "big") & mask for k in (0, 4)))
@@ -109,7 +125,7 @@ def repeated_filter(listed: DataFrame) -> np.ndarray:
 
 
 def store(docs: DataFrame, path: str) -> DataFrame:
-    """Writes recipes (media, lengths, digests, shared, own) and chunks (digest, body) to path; returns the catalogue."""
+    """Writes recipes (media, recipe, own) and chunks (digest, body) to path; returns the catalogue."""
     spark = docs.sparkSession
     listed = catalogue(docs)
     shared = spark.sparkContext.broadcast(repeated_filter(listed))
@@ -131,7 +147,7 @@ def store(docs: DataFrame, path: str) -> DataFrame:
     def recipes(batches):
         zstd, seen = zstandard.ZstdCompressor(level=LEVEL), set()
         for b in sliced(batches):
-            out = [], [], [], [], []
+            out = [], [], []
             for t in text_bytes(b["text"]):
                 p = payload_of(t)
                 parts = chunks_of(p)
@@ -144,9 +160,9 @@ def store(docs: DataFrame, path: str) -> DataFrame:
                         seen.clear()
                     seen.add(key)
                 own = b"".join(x for (_, x), f in zip(parts, flags, strict=True) if not f)
-                for to, x in zip(out, (key, [len(x) for _, x in parts], [d for d, _ in parts], flags, zstd.compress(own) if own else b""), strict=True):
+                for to, x in zip(out, (key, recipe_of(parts, flags), zstd.compress(own) if own else b""), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.binary())), pa.array(out[3], pa.list_(pa.bool_())), pa.array(out[4], pa.binary())], ["media", "lengths", "digests", "shared", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["media", "recipe", "own"])
 
     text = docs.select("text")
     text.mapInArrow(bodies, CHUNKS).dropDuplicates(["digest"]).write.option("compression", "none").parquet(f"{path}/chunks")
@@ -157,9 +173,9 @@ def store(docs: DataFrame, path: str) -> DataFrame:
 READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _describe(lengths: list[int], digests: list[bytes], shared: list[bool], own: bytes, bodies: list[bytes], unzip) -> tuple:
+def _describe(recipe: bytes, own: bytes, bodies: list[bytes], unzip) -> tuple:
     rest, at, parts, k = (unzip.decompress(own) if own else b""), 0, [], 0
-    for n, d, s in zip(lengths, digests, shared, strict=True):
+    for s, n, d in entries_of(recipe):
         if s:
             part, k = unzip.decompress(bodies[k]), k + 1
         else:
@@ -167,9 +183,8 @@ def _describe(lengths: list[int], digests: list[bytes], shared: list[bool], own:
         if len(part) != n or digest_of(part) != d:
             raise ValueError("a stored chunk does not match its digest")
         parts.append(part)
-    payload = b"".join(parts)
-    recipe = b"CDC1" + b"".join(n.to_bytes(4, "little") + d for n, d in zip(lengths, digests, strict=True))
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(recipe), hashlib.sha256(recipe).hexdigest(), features(payload, len(parts))
+    payload, form = b"".join(parts), b"".join([recipe, own, *bodies])
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), features(payload, len(parts))
 
 
 def _rows(keys: list[bytes], found: list[tuple]) -> pa.RecordBatch:
@@ -184,15 +199,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         unzip = zstandard.ZstdDecompressor()
         for b in sliced(batches):
             rows = b.to_pylist()
-            yield _rows([r["media"] for r in rows], [_describe(r["lengths"], r["digests"], r["shared"], r["own"], [], unzip) for r in rows])
+            yield _rows([r["media"] for r in rows], [_describe(r["recipe"], r["own"], [], unzip) for r in rows])
 
     def joined(batches):
         unzip, now, bodies = zstandard.ZstdDecompressor(), None, []
 
         def done():
-            if sum(now["shared"]) != len(bodies):
+            if sum(s for s, _, _ in entries_of(now["recipe"])) != len(bodies):
                 raise ValueError("a named chunk is missing")
-            return _describe(now["lengths"], now["digests"], now["shared"], now["own"], bodies, unzip)
+            return _describe(now["recipe"], now["own"], bodies, unzip)
 
         for b in sliced(batches):
             keys, out = [], []
@@ -210,12 +225,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield _rows([now["media"]], [done()])
 
     recipes = spark.read.schema(RECIPES).parquet(f"{path}/recipes")
-    alone = recipes.where(~F.exists("shared", lambda s: s)).mapInArrow(whole, READ)
-    named = recipes.where(F.exists("shared", lambda s: s))
-    at = F.expr("filter(transform(digests, (d, k) -> named_struct('d', d, 'at', k)), e -> shared[e.at])")
-    refs = named.select("media", "digests", "shared").dropDuplicates(["media"]).select("media", F.explode(at).alias("e")).select("media", F.col("e.d").alias("digest"), F.col("e.at").alias("at"))
-    bodies = refs.join(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), "digest").select("media", "at", "body", *[F.lit(None).cast(t).alias(c) for c, t in (("lengths", "array<int>"), ("digests", "array<binary>"), ("shared", "array<boolean>"), ("own", "binary"))])
-    heads = named.dropDuplicates(["media"]).select("media", F.lit(-1).alias("at"), F.lit(None).cast("binary").alias("body"), "lengths", "digests", "shared", "own")
+    entry = f"{len(MAGIC) + 1} + {ENTRY} * k"
+    named_at = f"filter(sequence(0, CAST((length(recipe) - {len(MAGIC)}) / {ENTRY} AS INT) - 1), k -> substring(recipe, {entry}, 1) = X'01')"
+    listed = recipes.withColumn("named", F.expr(f"transform({named_at}, k -> struct(substring(recipe, {entry} + 5, 16) AS d, k AS at))"))
+    alone = listed.where(F.size("named") == 0).mapInArrow(whole, READ)
+    named = listed.where(F.size("named") > 0).dropDuplicates(["media"])
+    refs = named.select("media", F.explode("named").alias("e")).select("media", F.col("e.d").alias("digest"), F.col("e.at").alias("at"))
+    bodies = refs.join(spark.read.schema(CHUNKS).parquet(f"{path}/chunks"), "digest").select("media", "at", "body", F.lit(None).cast("binary").alias("recipe"), F.lit(None).cast("binary").alias("own"))
+    heads = named.select("media", F.lit(-1).alias("at"), F.lit(None).cast("binary").alias("body"), "recipe", "own")
     return alone.union(heads.union(bodies).repartition("media").sortWithinPartitions("media", "at").mapInArrow(joined, READ))
 
 
@@ -223,8 +240,7 @@ def media_query(docs: DataFrame) -> DataFrame:
     """Stores every text of docs (doc_id, text) and returns what is read back, for each row.
 
     Null and empty texts are one unit of FILL; equal texts are one stored payload and have equal values; repeated rows and
-    null doc_ids keep their rows; an empty table gives no row; other columns are left out. The stored form of a payload is
-    its recipe: `CDC1`, then length and digest of each chunk."""
+    null doc_ids keep their rows; an empty table gives no row; other columns are left out."""
     path = f"{shared_dir(docs.sparkSession)}/strandline/media-{uuid.uuid4().hex}"
     listed = store(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), path).select("doc_id", "n_bytes", "media")
     found = read(docs.sparkSession, path)
