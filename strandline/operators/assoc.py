@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from strandline.functions.special import chi2_1_tail, chi2_sf, fisher_p, normal_sf, normal_two_sided, t_p
+from strandline.functions.special import chi2_1_tail, chi2_sf, fisher_p, normal_two_sided, t_p
 from strandline.operators.genotype import allelic, count_tables, moments, z_score
 
 Z95 = 1.959963984540054
@@ -39,11 +39,18 @@ def _design(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cells[:, :3].astype(float), cells[:, :3] + cells[:, 3:].astype(float)
 
 
-def logistic_from_counts(cells: np.ndarray, firth: bool = False, steps: int = 50, tol: float = 1e-8) -> np.ndarray:
-    """Rows (beta, se, p) of case status on dosage from 2x3 counts, all rows at once.
+def logistic_from_counts(cells: np.ndarray, firth: bool = False, steps: int = 50, tol: float = 1e-12) -> np.ndarray:
+    """Rows (beta, se, p) of case status on dosage from 2x3 counts; see fit_counts."""
+    out = fit_counts(cells, firth, steps, tol)
+    out[:, 2] = [chi2_sf(x, 1) for x in out[:, 2]]
+    return out
+
+
+def fit_counts(cells: np.ndarray, firth: bool = False, steps: int = 50, tol: float = 1e-12) -> np.ndarray:
+    """Rows (beta, se, chi2) of case status on dosage from 2x3 counts, all rows at once.
 
     Newton's method on the three dosage classes; with firth the penalised score (leverages from the Fisher information)
-    and a penalised likelihood-ratio p, else Wald. No variance, fewer than ten samples or no convergence: (0, nan, 1)."""
+    and a penalised likelihood ratio, else Wald. No variance, fewer than ten samples or no convergence: (0, nan, 0)."""
     y, n = _design(np.asarray(cells))
     x = np.array([0.0, 1.0, 2.0])
     b = np.zeros((len(y), 2))
@@ -90,12 +97,12 @@ def logistic_from_counts(cells: np.ndarray, firth: bool = False, steps: int = 50
         if firth:
             null, ok = solve(False)
             good &= ok
-            p = np.array([chi2_sf(max(0.0, v), 1) if np.isfinite(v) else 1.0 for v in 2 * (ll(full) - ll(null))])
+            x = np.maximum(np.nan_to_num(2 * (ll(full) - ll(null)), posinf=0.0, neginf=0.0), 0.0)
         else:
-            p = 2 * normal_sf(np.abs(full[:, 1] / se))
+            x = (full[:, 1] / se) ** 2
     spread = (n > 0).sum(1) > 1
     good &= spread & (n_all >= 10) & np.isfinite(se) & (y.sum(1) > 0) & (y.sum(1) < n_all)
-    return np.column_stack([np.where(good, full[:, 1], 0.0), np.where(good, se, np.nan), np.where(good, p, 1.0)])
+    return np.column_stack([np.where(good, full[:, 1], 0.0), np.where(good, se, np.nan), np.where(good, x, 0.0)])
 
 
 def _fields(*names: str) -> T.StructType:
@@ -103,9 +110,9 @@ def _fields(*names: str) -> T.StructType:
 
 
 def _count_model(firth: bool):
-    @pandas_udf(_fields("beta", "se", "p_value"))
+    @pandas_udf(_fields("beta", "se", "chi2"))
     def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(logistic_from_counts(np.column_stack([a, b, c, d, e, f]), firth), columns=["beta", "se", "p_value"])
+        return pd.DataFrame(fit_counts(np.column_stack([a, b, c, d, e, f]), firth), columns=["beta", "se", "chi2"])
 
     return run
 
@@ -154,6 +161,75 @@ def linear_scan_adjusted(genotypes: DataFrame, samples: DataFrame, covariates: l
     return out.select("v", "n", "beta", "se", "t", t_p("t", F.lit(df)).alias("p_value"))
 
 
+#: Bytes of the covariate matrix that every worker holds in an adjusted logistic scan.
+MAX_DESIGN = 512_000_000
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, firth: bool = False, fixed: int | None = None, steps: int = 100, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, float, bool]:
+    """Coefficients, their covariance, log likelihood (penalised with firth) and whether the steps converged.
+
+    Newton's method; with firth the score has the leverages' correction. fixed: a column whose coefficient stays 0 while
+    leverages and penalty are those of all columns."""
+    b, free = np.zeros(x.shape[1]), [k for k in range(x.shape[1]) if k != fixed]
+    rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    b[0] = math.log(rate / (1 - rate))
+    step = np.ones(1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
+        w = p * (1 - p)
+        info = (x * w[:, None]).T @ x
+        cov = np.linalg.pinv(info)
+        r = y - p
+        if firth:
+            r = r + w * ((x @ cov) * x).sum(1) * (0.5 - p)
+        part = info[np.ix_(free, free)]
+        step = np.clip(np.linalg.pinv(part) @ (x[:, free].T @ r), -2, 2)
+        b[free] += step
+        if np.abs(step).max() < tol:
+            break
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ b, -35, 35))), 1e-15, 1 - 1e-15)
+    info = (x * (p * (1 - p))[:, None]).T @ x
+    like = float((y * np.log(p) + (1 - y) * np.log1p(-p)).sum())
+    return b, np.linalg.pinv(info), like + (0.5 * np.linalg.slogdet(info)[1] if firth else 0.0), bool(np.abs(step).max() < 1e-4)
+
+
+def logistic_scan_adjusted(genotypes: DataFrame, samples: DataFrame, covariates: list[str], firth: bool = True, max_bytes: int = MAX_DESIGN) -> DataFrame:
+    """v, n, beta, se, odds_ratio, p_value of case status on dosage with an intercept and covariates.
+
+    A variant's carriers are one group; the covariates of all samples with status and covariates are one matrix that each
+    worker holds, refused beyond max_bytes. firth: penalised likelihood and its ratio test, else Wald. Missing genotypes
+    count as 0. No carriers, one class only or no convergence: 0, null, 1, 1."""
+    known = samples.dropna(subset=["is_case", *covariates]).select("s", F.col("is_case").cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(covariates)])
+    size = known.count() * 8 * (len(covariates) + 3)
+    if size > max_bytes:
+        raise ValueError(f"covariates of {size} bytes: more than {max_bytes}")
+    table = known.orderBy("s").toPandas()
+    design = np.column_stack([np.ones(len(table)), table[[f"_x{k}" for k in range(len(covariates))]].to_numpy(float)])
+    scale = np.where(design.std(0) > 0, design.std(0), 1.0)
+    shared = samples.sparkSession.sparkContext.broadcast((table["s"].to_numpy(), (design - np.where(design.std(0) > 0, design.mean(0), 0.0)) / scale, table["_y"].to_numpy(float)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, c, y = shared.value
+        at = np.searchsorted(ids, pdf["s"].to_numpy())
+        ok = (at < len(ids)) & (ids[np.minimum(at, max(len(ids) - 1, 0))] == pdf["s"].to_numpy()) if len(ids) else np.zeros(len(pdf), bool)
+        g = np.zeros(len(ids))
+        g[at[ok]] = np.nan_to_num(pdf["g"].to_numpy(float)[ok])
+        out = {"v": pdf["v"].iloc[0], "n": len(ids), "beta": 0.0, "se": None, "chi2": 0.0}
+        if len(ids) >= 10 and g.std() > 0 and 0 < y.sum() < len(y):
+            x = np.column_stack([c[:, :1], g, c[:, 1:]])
+            b, cov, like, good = fit_logistic(x, y, firth)
+            if firth and good:
+                _, _, null, good = fit_logistic(x, y, True, fixed=1)
+            if good:
+                se = math.sqrt(max(cov[1, 1], 0.0))
+                out |= {"beta": b[1], "se": se, "chi2": max(0.0, 2 * (like - null)) if firth else (b[1] / se) ** 2 if se > 0 else 0.0}
+        return pd.DataFrame([out]).astype({"se": float})
+
+    kind = genotypes.schema["v"].dataType.simpleString()
+    fit = genotypes.join(known.select("s"), "s", "left_semi").groupBy("v").applyInPandas(run, f"v {kind}, n long, beta double, se double, chi2 double")
+    return fit.select("v", "n", "beta", "se", F.exp("beta").alias("odds_ratio"), chi2_1_tail(F.col("chi2")).alias("p_value"))
+
+
 def score_test(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
     """v, u, variance, z, p_value of the logistic score test; samples (s, is_case)."""
     m = moments(genotypes, samples.select("s", F.col("is_case").cast("double").alias("y")))
@@ -180,7 +256,7 @@ def single_locus_scan(genotypes: DataFrame, samples: DataFrame, method: str = "a
         c = c.withColumn("method", F.lit(method))
     columns = ["v", "method", "mac", "beta", "se", "odds_ratio", "p_value"]
     chi2 = chi2_allelic(c.where("method = 'chi2'")).select(*columns)
-    model = lambda name, f: c.where(F.col("method") == name).withColumn("m", f(*CELLS)).select("v", "method", "mac", "m.beta", "m.se", F.exp("m.beta").alias("odds_ratio"), "m.p_value")
+    model = lambda name, f: c.where(F.col("method") == name).withColumn("m", f(*CELLS)).select("v", "method", "mac", "m.beta", "m.se", F.exp("m.beta").alias("odds_ratio"), chi2_1_tail(F.col("m.chi2")).alias("p_value"))
     a, b, cc, d = ("case_alt", "case_ref", "ctrl_alt", "ctrl_ref")
     ratio = F.col(a) * F.col(d) / F.nullif(F.col(b) * F.col(cc), F.lit(0))
     fisher = c.where("method = 'fisher'").withColumn("odds_ratio", F.coalesce(ratio, F.lit(math.inf))).select("v", "method", "mac", F.when((F.col("odds_ratio") > 0) & (F.col("odds_ratio") < math.inf), F.log("odds_ratio")).otherwise(0.0).alias("beta"), F.lit(None).cast("double").alias("se"), "odds_ratio", fisher_p(a, b, cc, d).alias("p_value"))

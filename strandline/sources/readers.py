@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import json
+import io
+import struct
+import zlib
 
 import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +32,48 @@ def _tsv(spark: SparkSession, path: str, header: bool = True, sep: str = "\t") -
     return spark.read.option("header", header).option("sep", sep).option("quote", "").csv(path)
 
 
-def _bgz(path: str) -> str:
-    """Block-gzipped files are gzip by content; Hadoop picks the codec by name, so they are read by their .gz link."""
-    if path.endswith(".bgz"):
-        raise ValueError("rename .bgz to .gz: the content is gzip, the codec is chosen by name")
-    return path
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated table with a header; `.bgz` is block-gzipped, which is gzip by content.
+
+    Hadoop picks codecs by name, so `.bgz` files come as whole values (2 GB each at most), one task for each file, and are
+    unpacked as a stream."""
+    if not path.endswith(".bgz"):
+        return _tsv(spark, path)
+
+    def unpack(batches):
+        for b in batches:
+            for raw in b["content"]:
+                lines, rest, number = [], b"", 0
+                for piece in gunzipped(memoryview(raw.as_buffer())):
+                    *full, rest = (rest + piece).split(b"\n")
+                    lines += full
+                    if len(lines) >= 50_000:
+                        yield _numbered(lines, number)
+                        number, lines = number + len(lines), []
+                lines += [rest] if rest else []
+                yield _numbered(lines, number)
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "n long, line string")
+    header = rows.where("n = 0").first()["line"].rstrip("\r").split("\t")
+    cells = F.split(F.regexp_replace("line", "\r$", ""), "\t")
+    return rows.where("n > 0 AND line <> ''").select(*[F.nullif(F.get(cells, k), F.lit("")).alias(c) for k, c in enumerate(header)])
+
+
+def _numbered(lines: list[bytes], first: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(lines)), pa.int64()), pa.array([x.decode() for x in lines], pa.string())], ["n", "line"])
+
+
+def gunzipped(raw, step: int = 1 << 20):
+    """The bytes of one gzip member after another."""
+    unzip, at = zlib.decompressobj(31), 0
+    while at < len(raw):
+        piece = bytes(raw[at : at + step])
+        at += len(piece)
+        while piece:
+            yield unzip.decompress(piece)
+            piece = unzip.unused_data
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
 
 
 def gtf_genes(spark: SparkSession, path: str, biotypes: tuple[str, ...] = ("protein_coding",)) -> DataFrame:
@@ -99,7 +140,7 @@ def regenie(spark: SparkSession, path: str, p_threshold: float = 1.0) -> DataFra
 
 def panukb(spark: SparkSession, path: str, ancestry: str = "EUR", p_threshold: float | None = None, exclude_low_confidence: bool = True) -> DataFrame:
     """(chr, pos, ref, alt, beta, se, pval, neglog10p) of one ancestry; p above the threshold goes, equal stays."""
-    raw = _tsv(spark, _bgz(path))
+    raw = _table(spark, path)
     nl = number(f"neglog10_pval_{ancestry}")
     rows = raw.where(F.coalesce(F.lower(f"low_confidence_{ancestry}"), F.lit("")) != "true") if exclude_low_confidence else raw
     out = rows.select("chr", F.col("pos").cast("long").alias("pos"), "ref", "alt", number(f"beta_{ancestry}").alias("beta"), number(f"se_{ancestry}").alias("se"), F.pow(F.lit(10.0), -nl).alias("pval"), nl.alias("neglog10p")).dropna(subset=["beta", "se", "pval"])
@@ -108,7 +149,7 @@ def panukb(spark: SparkSession, path: str, ancestry: str = "EUR", p_threshold: f
 
 def panukb_locus(spark: SparkSession, path: str, chr: str, start: int, end: int, ancestries: tuple[str, ...] = ("EUR", "CSA", "AFR", "EAS")) -> DataFrame:
     """(ancestry, variant_id, chr, pos, beta, se, z) of a region, one row for each ancestry that has numbers."""
-    raw = _tsv(spark, _bgz(path)).where((F.col("chr") == chr) & F.col("pos").cast("long").between(start, end))
+    raw = _table(spark, path).where((F.col("chr") == chr) & F.col("pos").cast("long").between(start, end))
     held = [a for a in ancestries if f"beta_{a}" in raw.columns]
     cells = F.array(*[F.struct(F.lit(a).alias("ancestry"), number(f"beta_{a}").alias("beta"), number(f"se_{a}").alias("se")) for a in held])
     out = raw.select("chr", F.col("pos").cast("long").alias("pos"), "ref", "alt", F.explode(cells).alias("c")).select("c.ancestry", F.concat_ws(":", "chr", "pos", "ref", "alt").alias("variant_id"), "chr", "pos", "c.beta", "c.se")
@@ -187,8 +228,9 @@ def distance_matrix(spark: SparkSession, path: str, keep: list[str] | None = Non
 
 
 def ld_npz(spark: SparkSession, path: str, key: str = "R", locus: str = "locus") -> DataFrame:
-    """(locus, v1, v2, r, r2), v1 < v2 by index, of a locus's square matrix in a NumPy archive that the driver can open."""
-    with np.load(path) as held:
+    """(locus, v1, v2, r, r2), v1 < v2 by index, of a locus's square matrix in a NumPy archive."""
+    content = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    with np.load(io.BytesIO(bytes(content))) as held:
         r = held[key if key in held else held.files[0]]
     i, j = np.triu_indices(len(r), 1)
     import pandas as pd
@@ -213,10 +255,106 @@ def write_graph_cache(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def bgen_rows(path: str) -> None:
-    """BGEN needs a library that is not installed; convert to Parquet or VCF first."""
-    try:
-        import bgen  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading BGEN needs the bgen package") from e
-    raise NotImplementedError(json.dumps({"path": path}))
+def phenotype_manifest(spark: SparkSession, path: str, trait_type: str | None = None) -> DataFrame:
+    """The manifest's rows (`.bgz` or plain), of one trait type if given."""
+    raw = _table(spark, path)
+    return raw if trait_type is None else raw.where(F.col("trait_type") == trait_type)
+
+
+def ld_slice(ld: DataFrame, variants: DataFrame, chr: str, start: int, end: int, r2_min: float = 0.0) -> DataFrame:
+    """ld (v1, v2, r) among the variants (v, chr, pos) of a region, with r2."""
+    few = variants.where((F.regexp_replace(F.col("chr").cast("string"), "^chr", "") == chr.removeprefix("chr")) & F.col("pos").between(start, end)).select("v")
+    out = ld.join(few.withColumnRenamed("v", "v1"), "v1", "left_semi").join(few.withColumnRenamed("v", "v2"), "v2", "left_semi")
+    return out.withColumn("r2", F.col("r") * F.col("r")).where(F.col("r2") >= r2_min).select("v1", "v2", "r", "r2")
+
+
+def _bgen_head(raw) -> tuple[int, int, int, list[str]]:
+    """Where variants begin, their number, the compression and the sample ids of a layout-2 file."""
+    offset, size, variants, samples = struct.unpack_from("<4I", raw, 0)
+    if bytes(raw[16:20]) not in (b"bgen", b"\0\0\0\0"):
+        raise ValueError("not a BGEN file")
+    flags = struct.unpack_from("<I", raw, size)[0]
+    if flags >> 2 & 15 != 2:
+        raise ValueError("only layout 2 of BGEN is read")
+    ids, at = [], 4 + size
+    if flags >> 31:
+        at += 8
+        for _ in range(samples):
+            n = struct.unpack_from("<H", raw, at)[0]
+            ids.append(bytes(raw[at + 2 : at + 2 + n]).decode())
+            at += 2 + n
+    return offset + 4, variants, flags & 3, ids or [str(k) for k in range(samples)]
+
+
+def _dosages(data: bytes) -> np.ndarray:
+    """Expected copies of the second allele of two, NaN where missing; diploid samples, phased or not."""
+    n, alleles, _, top = struct.unpack_from("<IHBB", data, 0)
+    ploidy = np.frombuffer(data, np.uint8, n, 8)
+    phased, bits = data[8 + n], data[9 + n]
+    if alleles != 2 or top != 2 or ((ploidy & 63) != 2).any():
+        raise ValueError("only diploid samples and two alleles are read")
+    if bits in (8, 16, 32):
+        p = np.frombuffer(data, f"<u{bits // 8}", 2 * n, 10 + n).astype(np.float64)
+    else:
+        every = np.unpackbits(np.frombuffer(data, np.uint8, -1, 10 + n), bitorder="little")[: 2 * n * bits]
+        p = every.reshape(2 * n, bits) @ (2.0 ** np.arange(bits))
+    p = p.reshape(n, 2) / ((1 << bits) - 1)
+    out = 2 - p.sum(1) if phased else p[:, 1] + 2 * (1 - p.sum(1))
+    out[ploidy >> 7 == 1] = np.nan
+    return out
+
+
+BGEN = "variant_id string, rsid string, chr string, pos long, ref string, alt string, sample array<string>, dosage array<float>"
+
+
+def bgen(spark: SparkSession, path: str, chr: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Variants of BGEN files (layout 2, zlib, zstandard or no compression; path may be a glob) with all samples' dosages of
+    the second allele, null where missing; variants of other than two alleles are left out.
+
+    A file is a value of at most 2 GB and one task: give one for each chromosome or piece of one. Blocks outside of the
+    region are passed over without unpacking."""
+
+    def run(batches):
+        for b in batches:
+            for value in b["content"]:
+                raw = memoryview(value.as_buffer())
+                at, count, packing, ids = _bgen_head(raw)
+                rows: list = []
+                for _ in range(count):
+                    words = []
+                    for _ in range(3):
+                        n = struct.unpack_from("<H", raw, at)[0]
+                        words.append(bytes(raw[at + 2 : at + 2 + n]).decode())
+                        at += 2 + n
+                    pos, k = struct.unpack_from("<IH", raw, at)
+                    at, alleles = at + 6, []
+                    for _ in range(k):
+                        n = struct.unpack_from("<I", raw, at)[0]
+                        alleles.append(bytes(raw[at + 4 : at + 4 + n]).decode())
+                        at += 4 + n
+                    size = struct.unpack_from("<I", raw, at)[0]
+                    data, at = raw[at + 4 : at + 4 + size], at + 4 + size
+                    name = words[2].removeprefix("chr")
+                    if k != 2 or chr is not None and name != chr.removeprefix("chr") or start is not None and pos < start or end is not None and pos > end:
+                        continue
+                    unpacked = bytes(data) if packing == 0 else zlib.decompress(data[4:]) if packing == 1 else zstandard.ZstdDecompressor().decompress(bytes(data[4:]))
+                    d = _dosages(unpacked)
+                    rows.append((f"chr{name}:{pos}:{alleles[0]}:{alleles[1]}", words[1], words[2], pos, alleles[0], alleles[1], ids, [None if x != x else float(x) for x in d]))
+                    if len(rows) * len(ids) > 1_000_000:
+                        yield _bgen_rows(rows)
+                        rows = []
+                if rows:
+                    yield _bgen_rows(rows)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, BGEN)
+
+
+def _bgen_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float32())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in BGEN.split(", ")])
+
+
+def dosage_rows(variants: DataFrame, hard_calls: bool = False) -> DataFrame:
+    """(v, s, g) of bgen(): the sparse form of the operators; zeros go, missing stays null. hard_calls: nearest whole dosage."""
+    cells = variants.select(F.col("variant_id").alias("v"), F.explode(F.arrays_zip("sample", "dosage")).alias("c")).select("v", F.col("c.sample").alias("s"), F.col("c.dosage").cast("double").alias("g"))
+    return (cells.withColumn("g", F.round("g").cast("int")) if hard_calls else cells).where("g IS NULL OR g <> 0")
