@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from strandline.functions.special import fisher_p, poisson_p, t_p
 from strandline.operators.genotype import ld_pairs
 from strandline.operators.graph import adjacency, louvain
-from strandline.operators.lineage import cut
+from strandline.operators.lineage import cut, md5_number
 
 
 def sliding_windows(variants: DataFrame, size: int = 1_000_000, step: int = 500_000) -> DataFrame:
@@ -227,10 +227,14 @@ def ld_prune(genotypes: DataFrame, variants: DataFrame, n_samples: int, r2_prune
         for r in pdf.sort_values(["pos", "v"]).itertuples():
             if r.linked is None or not kept.intersection(r.linked):
                 kept.add(r.v)
-        return pdf[pdf["v"].isin(kept)].drop(columns="linked")
+        return pdf[pdf["v"].isin(kept)].drop(columns=["linked", "_piece"])
 
+    # Chromosomes are cut at gaps wider than distance, which no link crosses; each piece is one group.
+    order = Window.partitionBy("chr").orderBy("pos", "v")
+    far = (F.col("pos") - F.lag("pos").over(order) > distance).cast("int")
+    pieces = variants.withColumn("_far", far).withColumn("_piece", F.sum(F.coalesce("_far", F.lit(0))).over(order)).drop("_far")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in variants.schema)
-    return variants.join(links, "v", "left").groupBy("chr").applyInPandas(run, schema)
+    return pieces.join(links, "v", "left").groupBy("chr", "_piece").applyInPandas(run, schema)
 
 
 def pruned_cooccurrence(genotypes: DataFrame, samples: DataFrame, variants: DataFrame, r2_prune: float = 0.5, min_cocarriers: int = 5, min_distance: int = 100_000, reach: int = 10_000_000, p_max: float = 0.05) -> DataFrame:
@@ -277,8 +281,9 @@ def depletion(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, thresh
 
 def mdr(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, folds: int = 10) -> DataFrame:
     """(v1, v2, accuracy): multifactor dimensionality reduction; nine cells, high risk where the training folds' case rate
-    is at least the overall one; balanced accuracy on the fold left out, mean over folds. Folds by hash within class."""
-    known = samples.where("is_case IS NOT NULL").select("s", "is_case", F.pmod(F.xxhash64("s"), F.lit(folds)).alias("fold"))
+    is at least the overall one; balanced accuracy on the fold left out, mean over folds. Folds by md5 of the sample; a
+    fold without cases or controls does not count."""
+    known = samples.where("is_case IS NOT NULL").select("s", "is_case", (md5_number(F.col("s")) % folds).cast("int").alias("fold"))
     size = known.groupBy("fold").agg(F.count_if("is_case").alias("na"), F.count_if(~F.col("is_case")).alias("nb"))
     g = genotypes.where("g > 0").select("v", "s", "g")
     left = pairs.select("v1", "v2").join(g.select(F.col("v").alias("v1"), "s", F.col("g").alias("g1")), "v1")
@@ -296,7 +301,7 @@ def mdr(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, folds: int =
     rows = all_.withColumns({"ta": rest("a", cell, None), "tb": rest("b", cell, None), "pa": rest("a", pair, fold), "pb": rest("b", pair, fold)})
     high = F.col("ta") * F.col("pb") >= F.col("tb") * F.col("pa")
     high = high & (F.col("ta") + F.col("tb") > 0)
-    per = rows.groupBy("v1", "v2", "fold").agg((F.sum(F.when(high, F.col("a")).otherwise(0)) / F.sum("a")).alias("sens"), (F.sum(F.when(high, F.lit(0)).otherwise(F.col("b"))) / F.sum("b")).alias("spec"))
+    per = rows.groupBy("v1", "v2", "fold").agg(F.try_divide(F.sum(F.when(high, F.col("a")).otherwise(0)), F.sum("a")).alias("sens"), F.try_divide(F.sum(F.when(high, F.lit(0)).otherwise(F.col("b"))), F.sum("b")).alias("spec"))
     return per.groupBy("v1", "v2").agg(F.avg((F.col("sens") + F.col("spec")) / 2).alias("accuracy"))
 
 

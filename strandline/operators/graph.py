@@ -32,6 +32,8 @@ def connected_components(edges: DataFrame, max_steps: int = 50) -> DataFrame:
         if total == before:
             break
         before = total
+    else:
+        raise RuntimeError(f"connected_components: no end after {max_steps} steps")
     return labels.select("node", F.col("l").alias("component"))
 
 

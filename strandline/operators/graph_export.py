@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def export(genotypes: DataFrame, samples: DataFrame, variants: DataFrame, variant_gene: DataFrame, af_range: tuple[float, float] = (0.001, 0.5), max_variants: int = 10_000) -> dict[str, DataFrame]:
     """sample, variant and gene nodes with features, carries and in_gene edges; the max_variants most carried variants."""
     n = samples.count()
-    af = genotypes.groupBy("v").agg((F.sum("g") / (2.0 * n)).alias("af"), F.count("*").alias("carriers")).where(F.col("af").between(*af_range))
+    af = genotypes.groupBy("v").agg((F.sum("g") / (2.0 * n)).alias("af"), F.count("*").alias("carriers"), F.sum("g").alias("alleles"), F.lit(2 * n).alias("chromosomes")).where(F.col("af").between(*af_range))
     nodes = variants.select("v", "chr", "pos").join(af, "v").orderBy(F.desc("carriers"), "v").limit(max_variants)
     in_gene = variant_gene.select("v", "gene").distinct().join(nodes.select("v"), "v", "left_semi")
     carries = genotypes.where("g > 0").join(nodes.select("v"), "v", "left_semi").select("s", "v", "g")
@@ -23,9 +23,10 @@ def export(genotypes: DataFrame, samples: DataFrame, variants: DataFrame, varian
 
 def neighbour_features(graph: dict[str, DataFrame]) -> DataFrame:
     """(s, own burden, mean af of carried variants, mean size of their genes): two rounds of mean aggregation."""
-    size = graph["in_gene"].join(graph["gene"], "gene").groupBy("v").agg(F.avg("n_variants").alias("gene_size"))
-    v = graph["variant"].select("v", "af").join(size, "v", "left")
-    near = graph["carries"].join(v, "v").groupBy("s").agg(F.avg("af").alias("mean_af"), F.avg("gene_size").alias("mean_gene_size"))
+    size = graph["in_gene"].join(graph["gene"], "gene").groupBy("v").agg(F.sum("n_variants").alias("size"), F.count("*").alias("genes"))
+    v = graph["variant"].select("v", "alleles", "chromosomes").join(size, "v", "left")
+    sums = graph["carries"].join(v, "v").groupBy("s").agg(F.sum("alleles").alias("a"), F.sum("chromosomes").alias("c"), F.sum("size").alias("z"), F.sum("genes").alias("k"))
+    near = sums.select("s", (F.col("a") / F.col("c")).alias("mean_af"), (F.col("z") / F.col("k")).alias("mean_gene_size"))  # of whole numbers: no order of sums shows
     return graph["sample"].join(near, "s", "left").fillna(0.0, ["mean_af", "mean_gene_size"])
 
 

@@ -1,15 +1,26 @@
-"""Cutting lineage with checkpoints in the folder that the cluster shares."""
+"""Cutting lineage with checkpoints in the folder that the cluster shares; numbers by hash that any engine can repeat."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint(); a folder of our own only where spark.checkpoint.dir is unset, as in tests."""
+    """df.checkpoint() in spark.checkpoint.dir. Where that is unset a local session gets a folder of its own, a cluster an
+    error: its executors would not see the driver's folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-"))
+        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint()
+
+
+def md5_number(*parts: Column, digits: int = 13) -> Column:
+    """The first hexadecimal digits of md5 of the parts joined by `:`, as a number: the same in Spark and SQL."""
+    text = F.concat_ws(":", *[x.cast("string") for x in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.special import normal_two_sided
+from strandline.operators.graph import connected_components, symmetric
+from strandline.operators.lineage import cut
 
 
 def select_instruments(exposure: DataFrame, outcome: DataFrame, ld: DataFrame | None = None, p_threshold: float = 5e-8, r2_threshold: float = 0.01) -> DataFrame:
@@ -19,20 +21,23 @@ def select_instruments(exposure: DataFrame, outcome: DataFrame, ld: DataFrame |
     both = x.join(outcome.select("v", F.col("beta").alias("by"), F.col("se").alias("sy")), "v").where("sx > 0 AND sy > 0")
     if ld is None:
         return both
-    near = ld.where(F.col("r2") >= r2_threshold)
-    links = near.select(F.col("v1").alias("v"), F.col("v2").alias("u")).union(near.select(F.col("v2").alias("v"), F.col("v1").alias("u"))).groupBy("v").agg(F.collect_set("u").alias("linked"))
+    ids = both.select("v")
+    near = ld.where(F.col("r2") >= r2_threshold).join(ids.withColumnRenamed("v", "v1"), "v1", "left_semi").join(ids.withColumnRenamed("v", "v2"), "v2", "left_semi")
+    tree = connected_components(near.select(F.col("v1").alias("a"), F.col("v2").alias("b")))
+    links = symmetric(near, "v1", "v2").groupBy("a").agg(F.collect_set("b").alias("linked"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, gone = [], set()
         for r in pdf.sort_values(["px", "v"]).itertuples():
             if r.v not in gone:
                 kept.append(r.Index)
-                gone.update(r.linked if r.linked is not None else ())
-        return pdf.loc[kept].drop(columns="linked")
+                gone.update(r.linked)
+        return pdf.loc[kept].drop(columns=["linked", "component"])
 
-    group = ["chr"] if "chr" in both.columns else [F.lit(1).alias("one")]  # linkage never crosses chromosomes
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema)
-    return both.join(links, "v", "left").groupBy(*group).applyInPandas(run, schema)
+    rows = both.join(tree, F.col("v") == F.col("node"), "left").drop("node")
+    some = rows.where("component IS NOT NULL").join(links, F.col("v") == F.col("a")).drop("a")  # a component of linked variants is a group
+    return rows.where("component IS NULL").drop("component").unionByName(some.groupBy("component").applyInPandas(run, schema))
 
 
 def ivw(instruments: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -68,16 +73,36 @@ def weighted_median_of(ratio: np.ndarray, weight: np.ndarray) -> float:
 
 
 def weighted_median(instruments: DataFrame) -> DataFrame:
-    """n, estimate: the Wald ratio at which the running weight (bx/sy)^2 reaches half; ties by v."""
+    """n, estimate: the Wald ratio at which the running weight (bx/sy)^2 reaches half; ties by v. Runs instruments.
+
+    Ratios are sorted by range partitions; the driver holds a sum for each, and one partition is looked through."""
+    spark = instruments.sparkSession
     rows = instruments.where("bx <> 0").select("v", (F.col("by") / F.col("bx")).alias("ratio"), F.pow(F.col("bx") / F.col("sy"), 2).alias("w"))
-    over = Window.orderBy("ratio", "v")  # instruments are a selection, not the table
-    run = rows.withColumn("run", F.sum("w").over(over.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy(F.lit(1))))
-    return run.agg(F.count("*").alias("n"), F.min(F.when(F.col("run") >= 0.5, F.struct("run", "ratio")))["ratio"].alias("estimate"))
+    placed = cut(rows.repartitionByRange("ratio", "v").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["n"], r["w"]) for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect())
+    total, run, estimate = sum(w for _, _, w in sums), 0.0, None
+    for part, _, w in sums:
+        if run + w >= 0.5 * total - 1e-12 * total:
+            over = Window.partitionBy("part").orderBy("ratio", "v").rowsBetween(Window.unboundedPreceding, 0)
+            inside = placed.where(F.col("part") == part).withColumn("run", F.sum("w").over(over) + run)
+            hit = inside.where(F.col("run") >= 0.5 * total).orderBy("ratio", "v").first()
+            if hit is not None:
+                estimate = float(hit["ratio"])
+                break
+        run += w
+    return spark.createDataFrame([(sum(n for _, n, _ in sums), estimate)], "n long, estimate double")
+
+
+#: Instruments that every draw of the bootstrap holds.
+MAX_INSTRUMENTS = 1_000_000
 
 
 def weighted_median_se(instruments: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
     """estimate, se, p_value: parametric bootstrap, a seed for each block of draws, so that partitions do not matter."""
-    rows = instruments.where("bx <> 0").select("v", "bx", "sx", "by", "sy").orderBy("v").toPandas()
+    some = instruments.where("bx <> 0").select("v", "bx", "sx", "by", "sy").orderBy("v").limit(MAX_INSTRUMENTS + 1).toPandas()
+    if len(some) > MAX_INSTRUMENTS:
+        raise ValueError(f"more than {MAX_INSTRUMENTS} instruments: select and prune them first")
+    rows = some
     if rows.empty:
         return instruments.sparkSession.createDataFrame([], "estimate double, se double, p_value double")
     bx, sx, b, sy = (rows[c].to_numpy(float) for c in ("bx", "sx", "by", "sy"))

@@ -57,7 +57,8 @@ def pathway_effects(scores: DataFrame, samples: DataFrame) -> DataFrame:
     pooled = F.sqrt((a * va + b * vb) / (a + b))
     total = (F.col("qa") + F.col("qb")) / (a + b) - F.pow((F.col("sa") + F.col("sb")) / (a + b), 2)
     out = sums.select("pathway", (F.col("sa") / a).alias("mean_cases"), (F.col("sb") / b).alias("mean_controls"), F.when(pooled > 0, (F.col("sa") / a - F.col("sb") / b) / pooled).otherwise(0.0).alias("cohens_d"), total.alias("variance"))
-    return out.withColumn("variance_share", F.col("variance") / F.sum("variance").over(Window.partitionBy(F.lit(1))))
+    total = float(out.agg(F.sum("variance")).first()[0] or 0.0)
+    return out.withColumn("variance_share", F.col("variance") / total if total > 0 else F.lit(None).cast("double"))
 
 
 def auroc(scores: DataFrame) -> DataFrame:

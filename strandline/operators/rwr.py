@@ -25,6 +25,13 @@ def transition(edges: DataFrame, substrate: DataFrame | None = None) -> DataFram
     return vg.join(gv, "gene").groupBy(F.col("v").alias("i"), "j").agg(F.sum(F.col("p") * F.col("q")).alias("p"))
 
 
+def factors(edges: DataFrame) -> list[DataFrame]:
+    """transition() as two tables (i, j, p), gene from variant and variant from gene: a round over both has as many rows as
+    there are edges, where their product has a row for every two variants of a gene."""
+    gv = edges.select(F.col("gene").alias("i"), F.col("v").alias("j"), (F.col("w") / F.sum("w").over(Window.partitionBy("gene"))).alias("p"))
+    return [gv, edges.select(F.col("v").alias("i"), F.col("gene").alias("j"), (F.col("w") / F.sum("w").over(Window.partitionBy("v"))).alias("p"))]
+
+
 def gene_transition(edges: DataFrame) -> DataFrame:
     """(i, j, p): gene -> variant -> gene, the walk's matrix on the gene side."""
     gv = edges.select("v", F.col("gene").alias("i"), (F.col("w") / F.sum("w").over(Window.partitionBy("gene"))).alias("p"))
@@ -38,15 +45,20 @@ def gene_pair_scores(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, to
     return mutual_pairs(walks, top_k).select(F.col("v1").alias("a"), F.col("v2").alias("b"), "score")
 
 
-def walk(step: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 50, tol: float = 1e-6, every: int = 10) -> DataFrame:
+def walk(step: DataFrame | list[DataFrame], seeds: DataFrame, alpha: float = 0.15, rounds: int = 50, tol: float = 1e-9, every: int = 10) -> DataFrame:
     """(seed, v, p): all seeds at once. p <- (1 - alpha) M p + alpha e with the row-stochastic M on the left, until no entry
-    moves by tol; normalised to sum 1. Lineage is checkpointed every few rounds."""
+    moves by tol; normalised to sum 1. step: M (i, j, p), or factors of it, the one that is applied first coming first.
+    Lineage is checkpointed every few rounds."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
     start = seeds.select(F.col("v").alias("seed"), F.col("v"), F.lit(1.0).alias("p"))
-    now, step = start, cut(step)
+    now, steps = start, [cut(x) for x in (step if isinstance(step, list) else [step])]
     for k in range(rounds):
-        moved = step.join(now.withColumnRenamed("v", "j").withColumnRenamed("p", "x"), "j").select("seed", F.col("i").alias("v"), ((1 - alpha) * F.col("p") * F.col("x")).alias("p"))
+        for n, x in enumerate(steps):
+            keep = 1 - alpha if n == len(steps) - 1 else 1.0
+            moved = x.join((now if n == 0 else moved).withColumnRenamed("v", "j").withColumnRenamed("p", "x"), "j").select("seed", F.col("i").alias("v"), (keep * F.col("p") * F.col("x")).alias("p"))
+            if n < len(steps) - 1:
+                moved = moved.groupBy("seed", "v").agg(F.sum("p").alias("p"))
         now = moved.union(start.select("seed", "v", F.lit(alpha).alias("p"))).groupBy("seed", "v").agg(F.sum("p").alias("p"))
         if k % every == every - 1:
             was, now = (None if k < every else held), cut(now)  # noqa: F821
@@ -59,11 +71,11 @@ def walk(step: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: int = 5
 
 
 def mutual_pairs(walks: DataFrame, top_k: int = 1000) -> DataFrame:
-    """(v1, v2, score): p_i(j) p_j(i) > 0 of seeds i < j, highest first."""
+    """(v1, v2, score): p_i(j) p_j(i) > 0 of seeds i < j, highest first; equal to 12 places, by v1 and v2."""
     a = walks.select(F.col("seed").alias("v1"), F.col("v").alias("v2"), F.col("p").alias("x"))
     b = walks.select(F.col("v").alias("v1"), F.col("seed").alias("v2"), F.col("p").alias("y"))
     out = a.where("v1 < v2").join(b, ["v1", "v2"]).select("v1", "v2", (F.col("x") * F.col("y")).alias("score"))
-    return out.where("score > 0").orderBy(F.desc("score"), "v1", "v2").limit(top_k)
+    return out.where("score > 0").orderBy(F.desc(F.round("score", 12)), "v1", "v2").limit(top_k)
 
 
 def hub_deflated(walks: DataFrame, degrees: DataFrame, top_k: int = 1000) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import md5_number
+
 
 def select_by_frequency(variants: DataFrame, af_min: float, af_max: float, n: int, min_spacing: int = 100_000, seed: int = 42) -> DataFrame:
     """n variants (v, chr, pos, af) in the frequency range, in hash order, at least min_spacing apart on a chromosome."""
@@ -26,25 +28,26 @@ def select_by_frequency(variants: DataFrame, af_min: float, af_max: float, n: in
 
 def gaussian(seed: int):
     """A standard normal number of each sample, the same however rows are partitioned (Box-Muller on hashes)."""
-    u = lambda k: (F.pmod(F.xxhash64("s", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    u = lambda k: (md5_number(F.col("s"), F.lit(seed), F.lit(k)) + 1) / float((1 << 52) + 1)
     return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2))
 
 
 def with_noise(value: DataFrame, h2: float, seed: int) -> DataFrame:
-    """(s, genetic_value, y) of (s, x)."""
-    var = F.var_pop("x").over(Window.partitionBy(F.lit(1)))
-    scale = F.sqrt(F.greatest(var, F.lit(1e-12)) * (1 / h2 - 1))
+    """(s, genetic_value, y) of (s, x). The variance of x is worked out first."""
+    var = float(value.agg(F.var_pop("x")).first()[0] or 0.0)
+    scale = math.sqrt(max(var, 1e-12) * (1 / h2 - 1))
     return value.select("s", F.col("x").alias("genetic_value"), (F.col("x") + scale * gaussian(seed)).alias("y"))
 
 
 def dense_dosages(genotypes: DataFrame, samples: DataFrame, chosen: list) -> DataFrame:
-    """(s, g0, g1, ...): mean-centred dosages of the chosen variants; missing ones are at the mean."""
-    out = samples.select("s")
-    for k, v in enumerate(chosen):
-        col = genotypes.where(F.col("v") == v).select("s", F.col("g").alias("_g"), F.lit(1).alias("_has"))
-        out = out.join(col, "s", "left").withColumn("_d", F.when(F.col("_has").isNull(), F.lit(0)).otherwise(F.col("_g")).cast("double"))
-        out = out.withColumn(f"g{k}", F.coalesce(F.col("_d") - F.avg("_d").over(Window.partitionBy(F.lit(1))), F.lit(0.0))).drop("_g", "_has", "_d")
-    return out
+    """(s, g0, g1, ...): mean-centred dosages of the chosen variants; missing ones are at the mean. Means come first."""
+    n = samples.count()
+    rows = genotypes.where(F.col("v").isin(*chosen)).join(samples.select("s"), "s", "left_semi")
+    sums = {r["v"]: r for r in rows.groupBy("v").agg(F.sum("g").alias("g"), F.count_if(F.col("g").isNull()).alias("m")).collect()}  # one for each chosen variant
+    mean = [float(sums[v]["g"] or 0) / max(n - sums[v]["m"], 1) if v in sums else 0.0 for v in chosen]
+    own = [F.max(F.when(F.col("v") == v, F.coalesce(F.col("g").cast("double"), F.lit(mean[k])))).alias(f"g{k}") for k, v in enumerate(chosen)]
+    wide = samples.select("s").join(rows.groupBy("s").agg(*own), "s", "left")
+    return wide.select("s", *[(F.coalesce(f"g{k}", F.lit(0.0)) - mean[k]).alias(f"g{k}") for k in range(len(chosen))])
 
 
 def pure_interaction(genotypes, samples, pairs: list[tuple], beta: float = 1.5, h2: float = 0.3, seed: int = 42) -> DataFrame:
@@ -104,6 +107,6 @@ def pathways_with_genes(gene_pathway: DataFrame, k: int, limit: int = 10) -> Dat
 def no_path_null(samples: DataFrame, z: DataFrame, lam: float, seed: int = 42) -> DataFrame:
     """y = u + e with u in the span of Z (s, z) alone and var(u) = lam / (1 - lam)."""
     rows = samples.select("s").join(z, "s")
-    w = Window.partitionBy(F.lit(1))
-    std = (F.col("z") - F.avg("z").over(w)) / F.stddev_pop("z").over(w)
+    m = rows.agg(F.avg("z").alias("a"), F.stddev_pop("z").alias("d")).first()
+    std = (F.col("z") - float(m["a"] or 0.0)) / (float(m["d"] or 0.0) or 1.0)
     return rows.select("s", (math.sqrt(lam / (1 - lam)) * std + gaussian(seed)).alias("y"))

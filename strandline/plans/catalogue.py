@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.special import erfc_sql
 from strandline.operators import assoc, bias, epistasis, finemap, flow, gene_tests, genotype, graph, intervals, ld_graph, met, mr, multivariate, prs, qc, rwr, simulate, store, structure, sumstats, sv
 from strandline.plans import panel as P
+from strandline.plans import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +22,7 @@ def query(sql: str | None = None, panel: bool = True):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = ("WITH " + P.PANEL + ("," + sql.split("WITH ", 1)[1] if sql.lstrip().startswith("WITH ") else sql)) if panel else sql
+            SQL[f.__name__] = ("WITH RECURSIVE " + P.PANEL + ("," + sql.split("WITH ", 1)[1] if sql.lstrip().startswith("WITH ") else sql)) if panel else sql
         return f
 
     return add
@@ -105,16 +106,23 @@ def assoc_top_hits(spark, d, p_threshold=0.05):
     return hits.select("v", "chr", "pos", F.round("p_value", 6).alias("p_value"), F.element_at("genes", 1).alias("gene"))
 
 
-@query()
+@query(COUNTS + Q.LOCI)
 def single_locus_scan(spark, d):
     g, s, _ = base(spark, d)
-    return assoc.single_locus_scan(g, s)
+    return rounded(assoc.single_locus_scan(g, s))
 
 
-@query()
+@query(Q.ADJUSTED)
 def linear_scan_adjusted(spark, d):
     g, s, _ = base(spark, d)
-    return assoc.linear_scan_adjusted(g, s.withColumn("x", F.col("population").cast("double")), ["x"])
+    return rounded(assoc.linear_scan_adjusted(g, s.withColumn("x", F.col("population").cast("double")), ["x"]))
+
+
+@query()
+def logistic_scan_adjusted(spark, d):
+    """Penalised logistic scan with a covariate; tests hold the operator against the score equations."""
+    g, s, _ = base(spark, d)
+    return assoc.logistic_scan_adjusted(g, s.withColumn("x", F.col("population").cast("double")), ["x"])
 
 
 @query("""WITH m AS (SELECT v, (SELECT n FROM n) AS n, CAST(sum(g) AS DOUBLE) AS sg, CAST(sum(g*g) AS DOUBLE) AS sgg, CAST(sum(CASE WHEN is_case THEN g ELSE 0 END) AS DOUBLE) AS sgy FROM genotype JOIN sample USING (s) GROUP BY v)
@@ -136,10 +144,10 @@ def variant_qc(spark, d):
     return rounded(qc.variant_qc(g, s).select("v", "mac_cases", "mac_controls", "af_controls"))
 
 
-@query()
+@query(COUNTS + Q.HARDY)
 def hardy_weinberg(spark, d):
     g, s, _ = base(spark, d)
-    return qc.variant_qc(g, s).select("v", "hwe_pvalue_controls", "passed")
+    return rounded(qc.variant_qc(g, s).select("v", "hwe_pvalue_controls", "passed"))
 
 
 @query("""WITH per AS (SELECT s, coalesce(h,0)/CAST((SELECT count(*) FROM variant) AS DOUBLE) AS het_rate FROM sample LEFT JOIN (SELECT s, count(*) FILTER (g=1) AS h FROM genotype GROUP BY s) USING (s))
@@ -168,9 +176,9 @@ def ld_pairs(spark, d):
     return rounded(genotype.ld_pairs(g, v, s.count(), 5000).select("v1", "v2", "r"))
 
 
-@query()
+@query("WITH " + LD + Q.CENTRALITY)
 def ld_centrality(spark, d):
-    return ld_graph.centrality(ld_graph.ld_graph(panel_ld(spark, d), 0.3))
+    return rounded(ld_graph.centrality(ld_graph.ld_graph(panel_ld(spark, d), 0.3)))
 
 
 def candidates(spark, d) -> DataFrame:
@@ -216,21 +224,21 @@ def annotation_cache(spark, d):
     return annotations(spark, d).select("v", "genes", "pathways")
 
 
-@query()
+@query("WITH " + FM.format(alpha="0.6e0") + Q.HBP)
 def finemap_hbp(spark, d):
-    return finemap.hbp(candidates(spark, d), panel_ld(spark, d), annotations(spark, d))
+    return rounded(finemap.hbp(candidates(spark, d), panel_ld(spark, d), annotations(spark, d)))
 
 
-@query()
+@query("WITH " + FM.format(alpha="0.7e0") + Q.ensemble(_ABF))
 def finemap_ensemble(spark, d):
     c, ld, n = candidates(spark, d), panel_ld(spark, d), P.samples(spark, d).count()
-    return finemap.ensemble(finemap.gafm_mx(c, ld, n), finemap.hbp_mx(c, ld, annotations(spark, d), n))
+    return rounded(finemap.ensemble(finemap.gafm_mx(c, ld, n), finemap.hbp_mx(c, ld, annotations(spark, d), n)))
 
 
-@query()
+@query("WITH " + FM.format(alpha="0.7e0") + Q.cross_locus())
 def finemap_cross_locus(spark, d):
     vp = P.variants(spark, d).select("v", "gene").join(P.gene_pathways(spark, d), "gene").select("v", "pathway")
-    return finemap.cross_locus(candidates(spark, d), panel_ld(spark, d), vp)
+    return rounded(finemap.cross_locus(candidates(spark, d), panel_ld(spark, d), vp))
 
 
 @query()
@@ -283,9 +291,9 @@ def trait_pleiotropy(spark, d):
     return sumstats.pleiotropy(traits(spark, d), 0.2).select("chr", "pos", "n_traits")
 
 
-@query()
+@query("WITH " + SUMS + "," + RUN_B + Q.CLUMPED.replace("{p}", TAIL.format(x="(t*t)")))
 def clumped_leads(spark, d):
-    return sumstats.clump(traits(spark, d)["b"].where("pval < 0.2"), 250_000)
+    return rounded(sumstats.clump(traits(spark, d)["b"].where("pval < 0.2"), 250_000))
 
 
 @query("WITH " + SUMS + "," + RUN_B + """, i AS (SELECT run_a.beta AS bx, run_b.beta AS by_, run_b.beta/run_b.t AS sy FROM run_a JOIN run_b USING (v) WHERE run_a.beta<>0 AND run_b.beta<>0)
@@ -333,9 +341,9 @@ def prs_by_pathway(spark, d):
     return out.select("pathway", "s", F.round("score", 4).alias("score"))
 
 
-@query()
+@query("WITH " + LD + "," + SUMS + Q.PRUNED.replace("{p}", TAIL.format(x="(t*t)")))
 def prs_pruned(spark, d):
-    return prs.prune(run_a(spark, d).select("v", "beta", "p_value"), panel_ld(spark, d), 0.2)
+    return rounded(prs.prune(run_a(spark, d).select("v", "beta", "p_value"), panel_ld(spark, d), 0.2))
 
 
 @query("""WITH w AS (SELECT s, is_case, CAST(coalesce(sum(g),0) AS DOUBLE) AS score FROM sample LEFT JOIN genotype USING (s) GROUP BY 1,2),
@@ -350,9 +358,9 @@ def burden(spark, d) -> DataFrame:
     return s.join(g.groupBy("s").agg(F.sum("g").alias("b")), "s", "left").select("s", "is_case", F.coalesce("b", F.lit(0)).cast("double").alias("score"))
 
 
-@query()
+@query(Q.evaluation())
 def prs_evaluation(spark, d):
-    return prs.evaluate(burden(spark, d))
+    return rounded(prs.evaluate(burden(spark, d)))
 
 
 @query("WITH " + SUMS + "," + RUN_B + f""", h AS (SELECT gene, 'a' AS r, v FROM run_a JOIN variant USING (v) WHERE {TAIL.format(x='(t*t)')}<0.3 UNION ALL SELECT gene, 'b', v FROM run_b JOIN variant USING (v) WHERE {TAIL.format(x='(t*t)')}<0.3),
@@ -441,13 +449,13 @@ def gene_pairs(spark, d) -> DataFrame:
     return epistasis.motif_pairs("same_gene", v.select("v", "gene"), variants=v)
 
 
-@query()
-def motif_interactions(spark, d):
-    g, s, _ = base(spark, d)
-    return epistasis.motif_scan(g, s, gene_pairs(spark, d))
+CO = "WITH mp AS (" + MOTIF_GENE + """), co AS (SELECT v1, v2, count(*) FILTER (is_case) AS co_case, count(*) FILTER (NOT is_case) AS co_ctrl FROM mp JOIN genotype a ON a.v=v1 JOIN genotype b ON b.v=v2 AND b.s=a.s JOIN sample ON sample.s=a.s GROUP BY 1,2)"""
 
 
-CO = "WITH mp AS (" + MOTIF_GENE + """), co AS (SELECT v1, v2, count(*) FILTER (is_case) AS co_case, count(*) FILTER (NOT is_case) AS co_ctrl FROM mp JOIN genotype a ON a.v=v1 JOIN genotype b ON b.v=v2 AND b.s=a.s JOIN sample ON sample.s=a.s GROUP BY 1,2)"""
+@query(CO + Q.MOTIF_SCAN.replace("{it}", Q.interactions("SELECT v1, v2 FROM mp WHERE v1 IN (SELECT v FROM mac) AND v2 IN (SELECT v FROM mac)")))
+def motif_interactions(spark, d):
+    g, s, _ = base(spark, d)
+    return rounded(epistasis.motif_scan(g, s, gene_pairs(spark, d)))
 
 
 @query(CO + " SELECT v1, v2, co_case, co_ctrl FROM co")
@@ -462,22 +470,22 @@ def cooccurrence(spark, d):
     return rounded(epistasis.cooccurrence(g, s, v, 150_000, 3, 1.2))
 
 
-@query()
+@query(CO + Q.DIFFERENTIAL)
 def epistasis_differential(spark, d):
     g, s, _ = base(spark, d)
-    return epistasis.differential(g, s, gene_pairs(spark, d))
+    return rounded(epistasis.differential(g, s, gene_pairs(spark, d)))
 
 
-@query()
+@query(Q.DEPLETION)
 def epistasis_depletion(spark, d):
     g, s, v = base(spark, d)
-    return epistasis.depletion(g, s, epistasis.window_pairs(v, 150_000), 0.8, 1.0)
+    return rounded(epistasis.depletion(g, s, epistasis.window_pairs(v, 150_000), 0.8, 1.0))
 
 
-@query()
+@query(Q.MDR.replace("{pairs}", MOTIF_GENE))
 def epistasis_mdr(spark, d):
     g, s, _ = base(spark, d)
-    return epistasis.mdr(g, s, gene_pairs(spark, d))
+    return rounded(epistasis.mdr(g, s, gene_pairs(spark, d)))
 
 
 @query()
@@ -492,10 +500,10 @@ def sliding_windows(spark, d):
     return epistasis.sliding_windows(P.variants(spark, d), 100_000, 50_000).select("window", "v")
 
 
-@query()
+@query(Q.WALKS.replace("{panel}", P.PANEL), panel=False)
 def random_walk_pairs(spark, d):
     edges = rwr.bipartite(P.variants(spark, d).join(P.gene_pathways(spark, d), "gene").select("v", F.col("pathway").alias("gene")))
-    return rwr.mutual_pairs(rwr.walk(rwr.transition(edges), P.variants(spark, d).select("v")), 200)
+    return rounded(rwr.mutual_pairs(rwr.walk(rwr.factors(edges), P.variants(spark, d).select("v")), 200), 9)
 
 
 @query("""WITH e AS (SELECT a, b, 'x' AS source, score/1000e0 AS w FROM ppi UNION ALL SELECT a, b, 'y', ((a*13+b)%10)/10e0 FROM ppi), p AS (SELECT a, b, CASE WHEN max(w)>=1 THEN 1 ELSE 1-exp(sum(ln(1-w))) END AS w FROM e GROUP BY 1,2),
@@ -506,19 +514,14 @@ def gene_substrate(spark, d):
     return rounded(rwr.row_normalise(rwr.gene_matrix(rwr.clean_edges(e), P.genes(spark, d), "noisy_or")))
 
 
-@query("""WITH u AS (SELECT a, b FROM ppi WHERE a % 4 <> 3), r(node, k) AS (SELECT b, a - a % 4 FROM u UNION SELECT a, a - a % 4 FROM u) SELECT node, min(k) AS component FROM r GROUP BY node""")
+@query("""WITH u AS (SELECT a, b FROM ppi UNION SELECT b, a FROM ppi), r(node, k) AS (SELECT a, a FROM u UNION SELECT u.b, k FROM r JOIN u ON u.a = r.node) SELECT node, min(k) AS component FROM r GROUP BY node""")
 def graph_components(spark, d):
-    return graph.connected_components(P.interactions(spark, d).where("a % 4 <> 3").select("a", "b"))
-
-
-@query()
-def graph_components_all(spark, d):
     return graph.connected_components(P.interactions(spark, d).select("a", "b"))
 
 
-@query()
+@query(Q.PAGERANK.replace("{panel}", P.PANEL), panel=False)
 def graph_pagerank(spark, d):
-    return graph.pagerank(P.interactions(spark, d).select("a", "b", F.col("score").cast("double").alias("w")), rounds=20)
+    return rounded(graph.pagerank(P.interactions(spark, d).select("a", "b", F.col("score").cast("double").alias("w"))), 9)
 
 
 RARE = """rare AS (SELECT v, CAST(count(*) AS DOUBLE) AS k, sum(g)/(2e0*(SELECT n FROM n)) AS af FROM genotype GROUP BY v HAVING sum(g)/(2e0*(SELECT n FROM n))<0.06 AND count(*)>=2)"""
@@ -539,10 +542,10 @@ def conductance(spark, d):
     return out.select(*[F.round(c, 3).alias(c) for c in ("cut", "vol_case", "vol_ctrl")], F.round("phi", 6).alias("phi"))
 
 
-@query()
+@query("WITH " + RARE + Q.PERMUTED)
 def conductance_heritability(spark, d):
     g, s, _ = base(spark, d)
-    return structure.conductance_heritability(g, s, 0.06)
+    return rounded(structure.conductance_heritability(g, s, 0.06))
 
 
 @query()
@@ -566,25 +569,27 @@ def gene_test_undirected(spark, d):
     return gene_tests.undirected(z, panel_ld(spark, d).select("v1", "v2", "r"))
 
 
-@query()
+@query(Q.SV_SCAN)
 def sv_scan(spark, d):
     g, s, _ = base(spark, d)
     m = sv.combine({"snp": g, "cnv": g.where("v % 4 = 0").select((F.col("v") + 1_000_000).alias("v"), "s", F.col("g") * 2).toDF("v", "s", "g")})
-    return sv.fast_gwas(m, s)
+    out = sv.fast_gwas(m, s)
+    return out.select("v", "n", *[F.round(c, k).alias(c) for c, k in (("beta", 4), ("r2", 9), ("t", 6), ("se", 4), ("p_value", 6))])
 
 
-@query()
+@query(Q.BIAS)
 def bias_diagnostic(spark, d):
     g, s, _ = base(spark, d)
     n = s.count()
     dense = s.select("s").join(g.where("v = 0"), "s", "left").select(F.lit(0).alias("v"), "s", F.coalesce("g", F.lit(0)).alias("g"))
-    return bias.diagnostic(bias.rho_one(dense, g.where("v = 1").select("s", F.col("g").cast("double").alias("z"))), n, 0.2)
+    out = rounded(bias.diagnostic(bias.rho_one(dense, g.where("v = 1").select("s", F.col("g").cast("double").alias("z"))), n, 0.2))
+    return out.withColumn("ratio", F.round("ratio", 4))
 
 
-@query()
+@query(Q.SIMULATED)
 def simulated_trait(spark, d):
     g, s, _ = base(spark, d)
-    return simulate.causal(g, s, {0: 0.5, 7: 0.3})
+    return rounded(simulate.causal(g, s, {0: 0.5, 7: 0.3}))
 
 
 @query("""WITH h AS (SELECT pathway, count(DISTINCT gene) AS n_genes FROM gene_pathway GROUP BY 1 HAVING count(DISTINCT gene)>=3) SELECT pathway, n_genes FROM h ORDER BY n_genes DESC, pathway LIMIT 10""")
@@ -608,18 +613,8 @@ def qq(spark, d):
     return rounded(store.qq(run_a(spark, d)).select("v", "expected"))
 
 
-@query("""WITH few AS (SELECT s FROM sample WHERE s%8=0), fg AS (SELECT v, s, g FROM genotype WHERE s%8=0), m AS (SELECT count(*) AS k FROM few),
-af AS (SELECT v, sum(g)/(2e0*(SELECT k FROM m)) AS af FROM fg GROUP BY v HAVING sum(g)/(2e0*(SELECT k FROM m))>0.01 AND sum(g)/(2e0*(SELECT k FROM m))<0.99),
-z AS (SELECT af.v, few.s, (coalesce(g,0)-2*af)/sqrt(2*af*(1-af)) AS z FROM af JOIN few ON true LEFT JOIN fg ON fg.v=af.v AND fg.s=few.s)
-SELECT a.s AS i, b.s AS j, round(sum(a.z*b.z)/(SELECT count(*) FROM af),6) AS w FROM z a JOIN z b ON a.v=b.v AND a.s<=b.s GROUP BY 1,2""")
+@query(Q.RELATIONSHIP)
 def relationship_matrix(spark, d):
-    g, s, _ = base(spark, d)
-    few = s.where("s % 8 = 0")  # as its SQL; relationship_matrix_all has every sample
-    return rounded(structure.grm(g.join(few.select("s"), "s", "left_semi"), few))
-
-
-@query()
-def relationship_matrix_all(spark, d):
     g, s, _ = base(spark, d)
     return rounded(structure.grm(g, s))
 
@@ -643,15 +638,15 @@ def module_permutations(spark, d):
     return epistasis.module_permutation(g, s, v.select("v", F.col("gene").alias("module")))
 
 
-@query()
+@query(Q.SV_HERITABILITY)
 def sv_heritability(spark, d):
     g, s, _ = base(spark, d)
-    return sv.heritability(sv.combine({"snp": g.where("v % 4 > 0"), "cnv": g.where("v % 4 = 0")}), s)
+    return rounded(sv.heritability(sv.combine({"snp": g.where("v % 4 > 0"), "cnv": g.where("v % 4 = 0")}), s))
 
 
-@query("""WITH vf AS (SELECT v, sum(g)/(2e0*(SELECT n FROM n)) AS af, count(*) AS k FROM genotype GROUP BY v), nv AS (SELECT v, af FROM vf WHERE af BETWEEN 0.001 AND 0.5 ORDER BY k DESC, v LIMIT 10000),
-gs AS (SELECT gene, count(*) AS z FROM variant JOIN nv USING (v) GROUP BY 1), vv AS (SELECT v, af, z FROM nv JOIN variant USING (v) JOIN gs USING (gene)),
-f AS (SELECT s, count(*) AS n_carried, sum(g) AS burden, avg(af) AS mean_af, avg(z) AS mean_gene_size FROM genotype JOIN vv USING (v) GROUP BY s)
+@query("""WITH vf AS (SELECT v, sum(g) AS a, sum(g)/(2e0*(SELECT n FROM n)) AS af, count(*) AS k FROM genotype GROUP BY v), nv AS (SELECT v, a FROM vf WHERE af BETWEEN 0.001 AND 0.5 ORDER BY k DESC, v LIMIT 10000),
+gs AS (SELECT gene, count(*) AS z FROM variant JOIN nv USING (v) GROUP BY 1), vv AS (SELECT v, a, z FROM nv JOIN variant USING (v) JOIN gs USING (gene)),
+f AS (SELECT s, count(*) AS n_carried, sum(g) AS burden, sum(a)/(count(*)*2e0*(SELECT n FROM n)) AS mean_af, sum(z)/CAST(count(*) AS DOUBLE) AS mean_gene_size FROM genotype JOIN vv USING (v) GROUP BY s)
 SELECT s, is_case AS label, coalesce(n_carried,0) AS n_carried, CAST(coalesce(burden,0) AS BIGINT) AS burden, round(coalesce(mean_af,0),6) AS mean_af, round(coalesce(mean_gene_size,0),6) AS mean_gene_size FROM sample LEFT JOIN f USING (s)""")
 def graph_export_features(spark, d):
     from strandline.operators import graph_export
@@ -687,3 +682,184 @@ def pair_triangles(spark, d):
     pairs = epistasis.motif_pairs("same_gene", vg)
     co = epistasis.carrier_pairs(g, s, pairs).select("v1", "v2", ((F.col("co_case") + F.col("co_ctrl")) / 100.0).alias("score"))
     return rounded(rwr.triplets(co))
+
+
+@query("""SELECT x.v AS v1, y.v AS v2, min(p.pathway) AS entity, 'same_pathway' AS motif FROM variant x JOIN gene_pathway p ON p.gene=x.gene JOIN gene_pathway q ON q.pathway=p.pathway JOIN variant y ON y.gene=q.gene WHERE x.v<y.v AND x.gene<>y.gene GROUP BY 1,2""")
+def motif_same_pathway(spark, d):
+    return epistasis.motif_pairs("same_pathway", P.variants(spark, d).select("v", "gene"), gene_pathway=P.gene_pathways(spark, d))
+
+
+@query(CO + """, one AS (SELECT v, count(*) FILTER (is_case) AS a, count(*) FILTER (NOT is_case) AS b FROM genotype JOIN sample USING (s) GROUP BY v),
+r AS (SELECT mp.v1, mp.v2, coalesce(co_case,0)+0.5e0 AS c11, x.a-coalesce(co_case,0)+0.5e0 AS c10, y.a-coalesce(co_case,0)+0.5e0 AS c01, n_case-x.a-y.a+coalesce(co_case,0)+0.5e0 AS c00, coalesce(co_ctrl,0)+0.5e0 AS d11, x.b-coalesce(co_ctrl,0)+0.5e0 AS d10, y.b-coalesce(co_ctrl,0)+0.5e0 AS d01, n-n_case-x.b-y.b+coalesce(co_ctrl,0)+0.5e0 AS d00
+ FROM mp LEFT JOIN co USING (v1,v2) JOIN one x ON x.v=mp.v1 JOIN one y ON y.v=mp.v2, n)
+SELECT v1, v2, round(power(ln(c11*c00/(c10*c01))-ln(d11*d00/(d10*d01)),2)/(1/c11+1/c10+1/c01+1/c00+1/d11+1/d10+1/d01+1/d00),6) AS chi2 FROM r""")
+def pair_chi2(spark, d):
+    g, s, _ = base(spark, d)
+    return rounded(epistasis.pair_chi2(g, s, gene_pairs(spark, d)))
+
+
+@query("""WITH m AS (SELECT v, sum(g)/CAST((SELECT n FROM n) AS DOUBLE) AS m FROM genotype GROUP BY v), mp AS (SELECT a.v AS v1, b.v AS v2 FROM variant a JOIN variant b ON a.gene=b.gene AND a.v<b.v)
+SELECT v1, v2, sample.s, round((coalesce(a.g,0)-x.m)*(coalesce(b.g,0)-y.m),6) AS x FROM mp JOIN m x ON x.v=v1 JOIN m y ON y.v=v2 JOIN sample ON true LEFT JOIN genotype a ON a.v=v1 AND a.s=sample.s LEFT JOIN genotype b ON b.v=v2 AND b.s=sample.s""")
+def interaction_matrix(spark, d):
+    g, s, v = base(spark, d)
+    pairs = epistasis.motif_pairs("same_gene", v.select("v", "gene"))
+    return rounded(epistasis.interaction_matrix(g, s, pairs))
+
+
+PRUNE = "WITH " + LD.replace("<=5000", "<=100000") + """, lk AS (SELECT v1 AS v, v2 AS u FROM ld WHERE r*r>0.5 UNION ALL SELECT v2, v1 FROM ld WHERE r*r>0.5), od AS (SELECT v, chr, row_number() OVER (PARTITION BY chr ORDER BY pos, v) AS k, coalesce((SELECT list(u) FROM lk WHERE lk.v=variant.v),[]) AS near FROM variant),
+st(chr,k,kept) AS (SELECT chr, k, [v] FROM od WHERE k=1 UNION ALL SELECT od.chr, od.k, CASE WHEN len(list_intersect(kept,near))=0 THEN list_append(kept, od.v) ELSE kept END FROM st JOIN od ON od.chr=st.chr AND od.k=st.k+1),
+kv AS (SELECT unnest(kept) AS v FROM st WHERE (chr,k) IN (SELECT chr, max(k) FROM od GROUP BY chr))"""
+
+
+@query(PRUNE + " SELECT v, chr, pos FROM kv JOIN variant USING (v)")
+def ld_pruned(spark, d):
+    g, s, v = base(spark, d)
+    return epistasis.ld_prune(g, v, s.count()).select("v", "chr", "pos")
+
+
+@query(PRUNE + """, mp AS (SELECT a.v AS v1, b.v AS v2 FROM variant a JOIN variant b ON a.chr=b.chr AND a.v<b.v AND abs(a.pos-b.pos) BETWEEN 100000 AND 10000000 WHERE a.v IN (SELECT v FROM kv) AND b.v IN (SELECT v FROM kv)),
+co AS (SELECT v1, v2, count(*) FILTER (is_case) AS co_case FROM mp JOIN genotype a ON a.v=v1 JOIN genotype b ON b.v=v2 AND b.s=a.s JOIN sample ON sample.s=a.s GROUP BY 1,2 HAVING count(*) FILTER (is_case)>=5),
+""" + Q.interactions("SELECT v1, v2 FROM co") + """ SELECT v1, v2, round(beta,6) AS beta, round(se,6) AS se, round(p,6) AS p_value, round(least(p*m,1),6) AS p_corrected FROM (SELECT *, count(*) OVER () AS m FROM it) WHERE p<0.05""")
+def pruned_cooccurrence(spark, d):
+    g, s, v = base(spark, d)
+    return rounded(epistasis.pruned_cooccurrence(g, s, v).select("v1", "v2", "beta", "se", "p_value", "p_corrected"))
+
+
+@query("WITH " + SUMS + f""", w AS (SELECT DISTINCT v, beta, pathway FROM run_a JOIN variant USING (v) JOIN gene_pathway USING (gene) WHERE {TAIL.format(x='(t*t)')}<0.1), sc AS (SELECT pathway, s, sum(beta*g) AS x FROM genotype JOIN w USING (v) GROUP BY 1,2),
+u AS (SELECT pathway, coalesce(sum(x) FILTER (is_case),0) AS sa, coalesce(sum(x) FILTER (NOT is_case),0) AS sb, coalesce(sum(x*x) FILTER (is_case),0) AS qa, coalesce(sum(x*x) FILTER (NOT is_case),0) AS qb FROM sc JOIN sample USING (s) GROUP BY 1),
+e AS (SELECT pathway, sa/na AS ma, sb/nb AS mb, sqrt((na*(qa/na-power(sa/na,2))+nb*(qb/nb-power(sb/nb,2)))/(na+nb)) AS pooled, (qa+qb)/(na+nb)-power((sa+sb)/(na+nb),2) AS var FROM u, (SELECT n_case*1e0 AS na, (n-n_case)*1e0 AS nb FROM n))
+SELECT pathway, round(ma,4) AS mean_cases, round(mb,4) AS mean_controls, round((ma-mb)/pooled,6) AS cohens_d, round(var/sum(var) OVER (),6) AS variance_share FROM e""")
+def prs_pathway_effects(spark, d):
+    g, s, v = base(spark, d)
+    vp = v.select("v", "gene").join(P.gene_pathways(spark, d), "gene").select("v", "pathway")
+    out = prs.pathway_effects(prs.by_pathway(g, run_a(spark, d).select("v", "beta", "p_value"), vp, 0.1), s)
+    return out.select("pathway", F.round("mean_cases", 4).alias("mean_cases"), F.round("mean_controls", 4).alias("mean_controls"), F.round("cohens_d", 6).alias("cohens_d"), F.round("variance_share", 6).alias("variance_share"))
+
+
+MR_ROWS = "WITH " + SUMS + "," + RUN_B + ", i AS (SELECT v, run_a.beta AS bx, run_a.beta/run_a.t AS sx, run_b.beta AS by_, run_b.beta/run_b.t AS sy FROM run_a JOIN run_b USING (v) WHERE run_a.beta<>0 AND run_b.beta<>0), vp AS (SELECT DISTINCT v, pathway FROM variant JOIN gene_pathway USING (gene))"
+
+
+def variant_pathways(spark, d) -> DataFrame:
+    return P.variants(spark, d).select("v", "gene").join(P.gene_pathways(spark, d), "gene").select("v", "pathway")
+
+
+@query(MR_ROWS + """ SELECT pathway, count(*) AS n, round(sum(bx*by_/(sy*sy))/sum(bx*bx/(sy*sy)),6) AS estimate, round(sqrt(1/sum(bx*bx/(sy*sy))),6) AS se FROM i JOIN vp USING (v) GROUP BY 1""")
+def mr_by_pathway(spark, d):
+    return rounded(mr.by_pathway(instruments(spark, d), variant_pathways(spark, d)).select("pathway", "n", "estimate", "se"))
+
+
+@query(MR_ROWS + """, rk AS (SELECT v, row_number() OVER (ORDER BY abs(bx)/sx DESC, v) AS r, count(*) OVER () AS n FROM i), core AS (SELECT DISTINCT pathway FROM rk JOIN vp USING (v) WHERE r<=greatest(1,ceil(n/3e0)))
+SELECT v, CASE WHEN count(pathway)=0 THEN 'unknown' WHEN count(pathway) FILTER (pathway NOT IN (SELECT pathway FROM core))>0 THEN 'pleiotropic' ELSE 'valid' END AS status FROM rk LEFT JOIN vp USING (v) GROUP BY v""")
+def mr_pleiotropy_classes(spark, d):
+    return mr.pleiotropy_classes(instruments(spark, d), variant_pathways(spark, d))
+
+
+@query("WITH " + MET + """, c AS (SELECT DISTINCT genotype, environment FROM cell) SELECT environment, count(*) AS n, count(sample.s) AS n_genotyped, count(sample.s)>=20 AS ready FROM c LEFT JOIN sample ON sample.s=c.genotype GROUP BY 1""")
+def met_gwas_readiness(spark, d):
+    return met.gwas_readiness(trial(spark, d), P.samples(spark, d))
+
+
+@query("""WITH l AS (SELECT environment, row_number() OVER (ORDER BY environment) AS x FROM (SELECT DISTINCT concat(CAST(year(o_orderdate) AS VARCHAR),'_',o_orderpriority) AS environment FROM orders)),
+e AS (SELECT l_suppkey AS v, concat(CAST(year(o_orderdate) AS VARCHAR),'_',o_orderpriority) AS environment, avg(l_quantity) AS beta FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1,2)
+SELECT v, count(*) AS n_env, round(CASE WHEN count(*)>=3 THEN regr_slope(beta,length(environment)*1e0) END,6) AS slope FROM e JOIN l USING (environment) GROUP BY v HAVING count(*)>=2 ORDER BY var_pop(beta) DESC, v LIMIT 100""")
+def met_reaction_slopes(spark, d):
+    """Slopes on an environment covariate: here the length of the environment's name."""
+    e = met.cell_means(trial(spark, d)).select(F.col("genotype").alias("v"), "environment", F.col("m").alias("beta"))
+    x = e.select("environment").distinct().withColumn("x", F.length("environment").cast("double"))
+    return rounded(met.reaction_norms(e, x).select("v", "n_env", "slope"))
+
+
+@query("""WITH ra AS (SELECT v FROM genotype GROUP BY v HAVING sum(g)/(2e0*(SELECT n FROM n))<0.06), z AS (SELECT gene, count(*) AS n FROM variant JOIN ra USING (v) GROUP BY 1), w AS (SELECT DISTINCT gene, s FROM genotype JOIN ra USING (v) JOIN variant USING (v))
+SELECT a.s AS i, b.s AS j, round(sum(1e0/n),6) AS w FROM w a JOIN w b ON a.gene=b.gene AND a.s<=b.s JOIN z ON z.gene=a.gene GROUP BY 1,2""")
+def gene_similarity(spark, d):
+    g, s, v = base(spark, d)
+    return rounded(structure.set_similarity(g, v.select("v", F.col("gene").alias("set")), s.count(), 0.06))
+
+
+@query("""SELECT a AS i, b AS j, round(1-score*1e0/(SELECT max(score) FROM ppi),6) AS w FROM ppi""")
+def kinship_from_distances(spark, d):
+    return rounded(structure.kinship_from_distances(P.interactions(spark, d).select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("score").cast("double").alias("d"))))
+
+
+@query("""WITH e AS (SELECT a, b FROM ppi UNION ALL SELECT b, a FROM ppi), w AS (SELECT a, b, score*1e0 AS w FROM ppi UNION ALL SELECT b, a, score FROM ppi) SELECT a AS node, count(*) AS degree, sum(w) AS strength FROM w GROUP BY 1""")
+def degree_centrality(spark, d):
+    return graph.degree_centrality(P.interactions(spark, d).select("a", "b", F.col("score").cast("double").alias("w")))
+
+
+@query("""WITH e AS (SELECT a, b, 'x' AS source, score/1000e0 AS w FROM ppi UNION ALL SELECT a, b, 'y', ((a*13+b)%10)/10e0 FROM ppi) SELECT source, count(*) AS n, round(min(w),6) AS lo, round(max(w),6) AS hi, round(quantile_cont(w,0.5),6) AS median, round(avg(w),6) AS mean FROM e GROUP BY 1""")
+def edge_diagnostics(spark, d):
+    p = P.interactions(spark, d)
+    e = p.select("a", "b", F.lit("x").alias("source"), (F.col("score") / 1000.0).alias("w")).union(p.select("a", "b", F.lit("y"), F.expr("((a * 13 + b) % 10) / 10e0")))
+    return rounded(rwr.diagnostics(rwr.clean_edges(e)))
+
+
+@query("""WITH an AS (SELECT v, gene, (SELECT list_sort(list(DISTINCT x)) FROM (SELECT b AS x FROM ppi WHERE a=variant.gene AND score<850 UNION SELECT a FROM ppi WHERE b=variant.gene AND score<850)) AS own, (SELECT list(DISTINCT x) FROM (SELECT b AS x FROM ppi WHERE a=variant.gene AND score>=850 UNION SELECT a FROM ppi WHERE b=variant.gene AND score>=850)) AS more FROM variant)
+SELECT v, list_sort(list_distinct(list_concat(coalesce(own,[]),coalesce(more,[])))) AS ppi FROM an""")
+def injected_partners(spark, d):
+    """Partners below a score of 850 from the cache, those above from the injected edges."""
+    v, p = P.variants(spark, d).select("v", "gene"), P.interactions(spark, d)
+    cache = finemap.annotation_cache(v, P.gene_pathways(spark, d), p.where("score < 850"))
+    return rwr.inject_partners(cache, p.where("score >= 850").select("a", "b")).select("v", "ppi")
+
+
+@query("WITH " + SUMS + f", r AS (SELECT t*t AS x, {TAIL.format(x='(t*t)')} AS p FROM run_a), s AS (SELECT count(*) AS n, count(*) FILTER (p<5e-8) AS h, quantile_cont(x,0.5)/0.4549 AS l FROM r) SELECT n AS n_tested, h AS n_hits, round(l,6) AS lambda_gc, CASE WHEN l>1.1 THEN 'inflated: correct for structure' WHEN l<0.9 THEN 'deflated: check the model or power' ELSE 'calibrated' END AS verdict FROM s")
+def interpretation(spark, d):
+    return rounded(sumstats.interpret(run_a(spark, d)))
+
+
+@query("""WITH c AS (SELECT v, chr, pos, af, abs(pos-1000001) AS far FROM variant JOIN (SELECT v, sum(g)/(2e0*(SELECT n FROM n)) AS af FROM genotype GROUP BY v) USING (v) WHERE chr=1 AND pos BETWEEN 500001 AND 1500001 AND af BETWEEN 0.05 AND 0.5) SELECT v, chr, pos, round(af,6) AS af FROM c ORDER BY far, v""")
+def near_center(spark, d):
+    g, s, v = base(spark, d)
+    af = structure.allele_frequencies(g, s.count())
+    return rounded(simulate.near_center(v.select("v", "chr", "pos").join(af, "v"), 1, 1_000_001, 1_000_000))
+
+
+@query("""WITH w AS (SELECT trait, x FROM (SELECT 'balance' AS trait, c_acctbal AS x FROM customer UNION ALL SELECT 'nation', c_nationkey FROM customer)) SELECT trait, count(*) AS n, count(x) AS n_numeric, round(min(x),2) AS lo, round(max(x),2) AS hi, round(avg(x),6) AS mean FROM w GROUP BY 1""")
+def trait_summary(spark, d):
+    c = P.table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    out = store.trait_summary(store.long_phenotypes(c, "c_custkey"))
+    return out.select("trait", "n", "n_numeric", F.round("lo", 2).alias("lo"), F.round("hi", 2).alias("hi"), F.round("mean", 6).alias("mean"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS s, CASE c_mktsegment WHEN 'BUILDING' THEN true WHEN 'MACHINERY' THEN false END AS is_case, CASE c_mktsegment WHEN 'BUILDING' THEN 1e0 WHEN 'MACHINERY' THEN 0e0 END AS y FROM customer""")
+def active_phenotype(spark, d):
+    c = P.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("market segment"))
+    return store.activate(store.long_phenotypes(c, "c_custkey"), "market segment", "BUILDING", "MACHINERY")
+
+
+@query("""WITH e AS (SELECT gene, chr, "start"-20000 AS lo, "end"+20000 AS hi FROM gene), q AS (SELECT v, chr, pos, gene, 'blood' AS tissue, ((v*7)%100)/100e0 AS pval FROM variant)
+SELECT q.v, q.tissue, x.gene, round(pval,6) AS pval FROM q JOIN variant x ON x.v=q.v AND x.chr=q.chr AND x.pos=q.pos AND x.gene=q.gene WHERE pval<0.5""")
+def expression_links(spark, d):
+    """The composite join of expression rows with variants, on variant, chromosome, position and gene."""
+    v = P.variants(spark, d).select("v", "chr", "pos", "gene")
+    rows = v.select("v", "chr", "pos", "gene", F.lit("blood").alias("tissue"), F.expr("((v * 7) % 100) / 100e0").alias("pval"))
+    return rounded(rows.where("pval < 0.5").join(v, ["v", "chr", "pos", "gene"]).select("v", "tissue", "gene", "pval"))
+
+
+@query("""SELECT v, count(*) FILTER (g=1) AS het, count(*) FILTER (g=2) AS hom_alt, (SELECT n FROM n)-count(*) AS hom_ref FROM genotype GROUP BY v""")
+def packed_round_trip(spark, d):
+    """Genotypes packed four to a byte and read back: counts of the codes."""
+    g, s, _ = base(spark, d)
+    place = s.select("s", (F.col("s") - s.agg(F.min("s")).first()[0]).cast("int").alias("packed_index"))
+    rows = g.join(place, "s").groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("packed_index", "g"))).alias("m"))
+    size = place.agg(F.max("packed_index")).first()[0]
+    codes = F.transform(F.sequence(F.lit(0), F.lit(size)), lambda k: F.coalesce(F.element_at(F.col("m"), k), F.lit(0)).cast("byte"))
+    packed = rows.select("v", genotype.pack_genotypes(codes).alias("gt_packed"))
+    back = genotype.explode_packed(packed, place)
+    n = s.count()
+    return back.groupBy("v").agg(F.count_if(F.col("g") == 1).alias("het"), F.count_if(F.col("g") == 2).alias("hom_alt"), (F.lit(n) - F.count("*")).alias("hom_ref"))
+
+
+@query("WITH " + SUMS + "," + RUN_B + f""", r AS (SELECT v, 'a' AS trait, {TAIL.format(x='(t*t)')} AS p FROM run_a UNION ALL SELECT v, 'b', {TAIL.format(x='(t*t)')} FROM run_b), k AS (SELECT v, count(DISTINCT trait) FILTER (p<0.2) AS k FROM r GROUP BY v)
+SELECT CASE WHEN v%4=0 THEN 'cnv' ELSE 'snp' END AS type, count(*) AS n, count(*) FILTER (k>=2) AS n_pleiotropic, max(k) AS max_traits FROM k GROUP BY 1""")
+def sv_pleiotropy(spark, d):
+    runs = run_a(spark, d).select(F.lit("a").alias("trait"), "v", "p_value").union(run_b(spark, d).select(F.lit("b"), "v", "p_value"))
+    types = P.variants(spark, d).select("v", F.when(F.col("v") % 4 == 0, "cnv").otherwise("snp").alias("type"))
+    return sv.pleiotropy(runs, types, 0.2)
+
+
+@query("WITH " + SUMS + f""", r AS (SELECT CASE WHEN v%4=0 THEN 'cnv' ELSE 'snp' END AS type, {TAIL.format(x='(t*t)')} AS p, count(*) OVER () AS m FROM run_a)
+SELECT type, count(*) AS n, count(*) FILTER (p<0.05/m) AS n_bonferroni, count(*) FILTER (p<1e-4) AS n_suggestive, round(min(p),6) AS min_p, round(count(*)/CAST(any_value(m) AS DOUBLE),6) AS fraction FROM r GROUP BY 1""")
+def sv_by_type(spark, d):
+    types = P.variants(spark, d).select("v", F.when(F.col("v") % 4 == 0, "cnv").otherwise("snp").alias("type"))
+    return rounded(sv.by_type(run_a(spark, d).select("v", "p_value"), types))

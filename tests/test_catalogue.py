@@ -29,6 +29,8 @@ def plain(x):
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, DATA)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     want = duck.execute(catalogue.SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
@@ -37,19 +39,23 @@ def test_query_equals_sql(spark, duck, name):
     assert a == b
 
 
-def test_no_nested_loops_or_products(spark):
-    for name in ("interval_join", "ld_pairs", "motif_same_gene", "cooccurrence", "op"):
-        if name in catalogue.QUERIES:
-            plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
-            assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
+def test_no_nested_loops_or_products(spark, name):
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_entry_points_without_the_training_data_modules():
+def test_the_rest_stands_without_the_training_data_folders(tmp_path):
+    """A copy without strandline/llm, tests/llm and corpus_pipeline.py has all other queries."""
+    import shutil
     import subprocess
     import sys
+    from pathlib import Path
 
-    code = "import sys; sys.modules['strandline.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'assoc_top_hits' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent))
+    here = Path(__file__).parent.parent
+    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "*.md", "*.json", "*.txt"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'assoc_top_hits' in q and not any(n == 'pipeline' or n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q); import strandline.surfaces.dispatch, strandline.__main__"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path / "r")
 
 
 def test_relationship_matrix_of_all_samples(spark):
@@ -64,7 +70,7 @@ def test_relationship_matrix_of_all_samples(spark):
     af = g.mean(1) / 2
     z = ((g.T - 2 * af) / np.sqrt(np.maximum(2 * af * (1 - af), 1e-300))).T[(af > 0.01) & (af < 0.99)]
     want = z.T @ z / len(z)
-    got = catalogue.QUERIES["relationship_matrix_all"](spark, DATA).collect()
+    got = catalogue.QUERIES["relationship_matrix"](spark, DATA).collect()
     assert len(got) == len(ids) * (len(ids) + 1) // 2
     assert all(abs(r["w"] - want[at[r["i"]], at[r["j"]]]) < 1e-5 for r in got)
 
@@ -73,7 +79,7 @@ def test_components_and_walks_of_all_nodes(spark):
     from strandline.plans import panel
 
     genes = {r["gene"] for r in panel.genes(spark, DATA).collect()}
-    got = catalogue.QUERIES["graph_components_all"](spark, DATA).collect()
+    got = catalogue.QUERIES["graph_components"](spark, DATA).collect()
     edges = [(r["a"], r["b"]) for r in panel.interactions(spark, DATA).collect()]
     root = {n: n for e in edges for n in e}
     for _ in root:

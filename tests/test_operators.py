@@ -426,3 +426,51 @@ def test_reports(spark, panel):
     edges = rwr.bipartite(vg)
     pairs = rwr.gene_pair_scores(edges.union(spark.createDataFrame([(0, 1, 1.0)], "v long, gene long, w double")), vg.select("gene").distinct(), rounds=10).collect()
     assert {(p["a"], p["b"]) for p in pairs} == {(0, 1)}
+
+
+def test_tails_as_columns_equal_the_exact_ones(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(abs(rng.gauss(0, 3)), float(rng.choice([1, 2, 3, 7, 19, 20, 60, 1498]))) for _ in range(150)] + [(0.0, 5.0), (float("nan"), 5.0), (2.0, 0.0), (None, 4.0)]
+    for r in spark.createDataFrame(rows, "t double, df double").withColumn("p", S.t_p("t", "df")).collect():
+        want = S.t_two_sided(r["t"], r["df"]) if r["t"] is not None and r["t"] == r["t"] and r["df"] > 0 else 1.0
+        assert r["p"] == pytest.approx(want, rel=1e-5)
+    cells = [tuple(rng.randrange(0, 80) for _ in range(4)) for _ in range(60)] + [(0, 5, 0, 7), (3, 0, 0, 3)]
+    for r in spark.createDataFrame(cells, "a long, b long, c long, d long").withColumn("p", S.fisher_p("a", "b", "c", "d")).collect():
+        assert r["p"] == pytest.approx(S.fisher_two_sided(r["a"], r["b"], r["c"], r["d"]), rel=1e-9)
+    counts = [(h, a, h + a + rng.randrange(a, 200)) for h in range(0, 40, 7) for a in range(0, 16, 5)] + [(0, 0, 0)]
+    for r in spark.createDataFrame(counts, "h long, a long, n long").withColumn("p", S.hwe_p("h", "a", "n")).collect():
+        assert r["p"] == pytest.approx(S.hwe_exact(r["h"], r["a"], r["n"]), rel=1e-9)
+    for r in spark.createDataFrame([(k, 0.3 + k / 2) for k in range(30)], "k long, mu double").withColumn("p", S.poisson_p("k", "mu")).collect():
+        assert r["p"] == pytest.approx(S.poisson_cdf(r["k"], r["mu"]), rel=1e-9)
+
+
+def test_corrections_over_many_ranges(spark):
+    import random
+
+    from strandline.operators.epistasis import benjamini_hochberg, bonferroni
+
+    rng = random.Random(2)
+    p = [rng.random() ** 3 for _ in range(700)] + [1.0] * 200 + [0.01] * 50 + [None]
+    df = spark.createDataFrame([(i, i + 1, x) for i, x in enumerate(p)], "v1 long, v2 long, p_value double")
+    known = sorted((x, i) for i, x in enumerate(p) if x is not None)
+    want, least = {}, 1.0
+    for k in range(len(known), 0, -1):
+        least = min(least, known[k - 1][0] * len(known) / k)
+        want[known[k - 1][1]] = least
+    got = {r["v1"]: r["p_corrected"] for r in benjamini_hochberg(df).collect()}
+    assert len(got) == len(p) and got[len(p) - 1] is None and all(got[i] == pytest.approx(x) for i, x in want.items())
+    assert {r["p_corrected"] for r in bonferroni(df).where("p_value = 1").collect()} == {1.0}
+
+
+def test_interaction_matrix_has_every_sample(spark):
+    from strandline.operators.epistasis import interaction_matrix
+
+    g = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (2, 1, 1)], "v long, s long, g int")
+    s = spark.createDataFrame([(k,) for k in range(5)], "s long")
+    out = interaction_matrix(g, s, spark.createDataFrame([(1, 2)], "v1 long, v2 long"))
+    rows = {r["s"]: r["x"] for r in out.collect()}
+    assert set(rows) == set(range(5)) and rows[1] == pytest.approx((2 - 0.6) * (1 - 0.2)) and rows[4] == pytest.approx(0.6 * 0.2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
