@@ -102,43 +102,64 @@ def module_permutation(genotypes: DataFrame, samples: DataFrame, members: DataFr
     return rows.groupBy("module").applyInPandas(run, f"module {members.schema['module'].dataType.simpleString()}, score double, p_value double")
 
 
-def interaction_moments(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sums of 1, g1, g2, g1 g2 and y for given pairs over samples with a trait; absent genotypes are 0."""
-    known = samples.where("y IS NOT NULL").select("s", "y")
-    n = known.agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy")).first()
-    rows = genotypes.where("g > 0").join(known, "s").select("v", "s", F.col("g").cast("double").alias("g"), "y")
-    one = rows.groupBy("v").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"), F.sum(F.col("g") * F.col("y")).alias("gy"))
-    a, b = rows.select(F.col("v").alias("v1"), "s", F.col("g").alias("g1"), "y"), rows.select(F.col("v").alias("v2"), "s", F.col("g").alias("g2"))
+def interaction_moments(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, covariates: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of 1, covariates, g1, g2, g1 g2 and y for given pairs over samples with a trait and all covariates; absent
+    genotypes are 0. Only carriers of both variants meet for a pair; the rest are sums of a variant or of the samples."""
+    cs = [f"c{k}" for k in range(len(covariates))]
+    known = samples.dropna(subset=["y", *covariates]).select("s", "y", *[F.col(c).cast("double").alias(n) for c, n in zip(covariates, cs, strict=True)])
+    plain = ["y", *cs]
+    n = known.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in plain], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(plain) for b in plain[i:]]).first()
+    rows = genotypes.where("g > 0").join(known, "s").withColumn("g", F.col("g").cast("double")).select("v", "s", "g", *plain)
+    one = rows.groupBy("v").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"), *[F.sum(F.col("g") * F.col(c)).alias(f"g{c}") for c in plain])
+    a, b = rows.select(F.col("v").alias("v1"), "s", F.col("g").alias("g1"), *plain), rows.select(F.col("v").alias("v2"), "s", F.col("g").alias("g2"))
     x = F.col("g1") * F.col("g2")
-    both = pairs.select("v1", "v2").join(a, "v1").join(b, ["v2", "s"]).groupBy("v1", "v2").agg(F.sum(x).alias("x"), F.sum(x * x).alias("xx"), F.sum(x * F.col("y")).alias("xy"), F.sum(x * F.col("g1")).alias("xg1"), F.sum(x * F.col("g2")).alias("xg2"))
+    sums = [F.sum(x).alias("x"), F.sum(x * x).alias("xx"), F.sum(x * F.col("g1")).alias("xg1"), F.sum(x * F.col("g2")).alias("xg2"), *[F.sum(x * F.col(c)).alias(f"x{c}") for c in plain]]
+    both = pairs.select("v1", "v2").join(a, "v1").join(b, ["v2", "s"]).groupBy("v1", "v2").agg(*sums)
     for k in ("1", "2"):
-        both = both.join(one.select(F.col("v").alias(f"v{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("g", "gg", "gy")]), f"v{k}")
-    return both.withColumns({"n": F.lit(n["n"]), "y": F.lit(n["y"]), "yy": F.lit(n["yy"])})
-
-
-@pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("beta1", "beta2", "beta", "se", "t")]))
-def interaction_fit(m: pd.DataFrame) -> pd.DataFrame:
-    """y on 1, g1, g2 and their product from the sums: all 4x4 systems at once; singular or below 20 samples: zeros."""
-    c = {k: m[k].to_numpy(float) for k in m}
-    n = c["n"]
-    xtx = np.array([[n, c["g_1"], c["g_2"], c["x"]], [c["g_1"], c["gg_1"], c["x"], c["xg1"]], [c["g_2"], c["x"], c["gg_2"], c["xg2"]], [c["x"], c["xg1"], c["xg2"], c["xx"]]]).transpose(2, 0, 1)
-    xty = np.array([c["y"], c["gy_1"], c["gy_2"], c["xy"]]).T
-    good = (n >= 20) & (np.linalg.cond(xtx) < 1e10)
-    inv = np.zeros_like(xtx)
-    inv[good] = np.linalg.inv(xtx[good])
-    b = (inv @ xty[:, :, None])[:, :, 0]
-    rss = np.maximum(c["yy"] - (b * xty).sum(1), 0.0)
-    se = np.sqrt(np.maximum(rss / np.maximum(n - 4, 1) * inv[:, 3, 3], 0.0))
-    t = np.divide(b[:, 3], se, out=np.zeros_like(se), where=good & (se > 0))
-    return pd.DataFrame({"beta1": b[:, 1], "beta2": b[:, 2], "beta": b[:, 3], "se": se, "t": t})
-
-
-def test_interactions(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(v1, v2, beta1, beta2, beta, se, p_value) for each pair with a shared carrier."""
-    m = interaction_moments(genotypes, samples, pairs)
+        both = both.join(one.select(F.col("v").alias(f"v{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("g", "gg", *[f"g{c}" for c in plain])]), f"v{k}")
+    return both.withColumns({c: F.lit(float(n[c] or 0.0) if c != "n" else n[c]) for c in n.asDict()})
+
+
+def _interaction_fit(covariates: int):
+    """y on 1, covariates, g1, g2 and their product from the sums: all systems at once; singular or below 20 samples: zeros."""
+    cs = [f"c{k}" for k in range(covariates)]
+
+    def cross(a: str, b: str) -> str:
+        """The column that holds the sum of a times b."""
+        known = {("1", "1"): "n", ("1", "g1"): "g_1", ("1", "g2"): "g_2", ("1", "x"): "x", ("g1", "g1"): "gg_1", ("g2", "g2"): "gg_2", ("g1", "g2"): "x", ("g1", "x"): "xg1", ("g2", "x"): "xg2", ("x", "x"): "xx", ("1", "y"): "y", ("g1", "y"): "gy_1", ("g2", "y"): "gy_2", ("x", "y"): "xy"}
+        for c in cs:
+            known |= {("1", c): c, (c, "g1"): f"g{c}_1", (c, "g2"): f"g{c}_2", (c, "x"): f"x{c}", (c, "y"): f"y{c}"}
+        known |= {(a, b): f"{a}{b}" for i, a in enumerate(cs) for b in cs[i:]}
+        return known.get((a, b)) or known[b, a]
+
+    terms = ["1", *cs, "g1", "g2", "x"]
+
+    @pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("beta1", "beta2", "beta", "se", "t")]))
+    def run(m: pd.DataFrame) -> pd.DataFrame:
+        column = {k: m[k].to_numpy(float) for k in m}
+        n, size = column["n"], len(terms)
+        xtx = np.array([[column[cross(a, b)] for b in terms] for a in terms]).transpose(2, 0, 1)
+        xty = np.array([column[cross(a, "y")] for a in terms]).T
+        scale = np.sqrt(np.maximum(np.einsum("pii->pi", xtx), 1e-300)) if covariates else np.ones((len(n), size))
+        scaled = xtx / scale[:, :, None] / scale[:, None, :]  # covariates may have any unit
+        good = (n >= 20) & (np.linalg.cond(scaled) < 1e10)
+        inv = np.zeros_like(xtx)
+        inv[good] = np.linalg.inv(scaled[good]) / scale[good][:, :, None] / scale[good][:, None, :]
+        b = (inv @ xty[:, :, None])[:, :, 0]
+        rss = np.maximum(column["yy"] - (b * xty).sum(1), 0.0)
+        se = np.sqrt(np.maximum(rss / np.maximum(n - size, 1) * inv[:, -1, -1], 0.0))
+        t = np.divide(b[:, -1], se, out=np.zeros_like(se), where=good & (se > 0))
+        return pd.DataFrame({"beta1": b[:, -3], "beta2": b[:, -2], "beta": b[:, -1], "se": se, "t": t})
+
+    return run
+
+
+def test_interactions(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, covariates: tuple[str, ...] = ()) -> DataFrame:
+    """(v1, v2, beta1, beta2, beta, se, p_value) for each pair with a shared carrier, adjusted for the covariates."""
+    m = interaction_moments(genotypes, samples, pairs, covariates)
     columns = [c for c in m.columns if c not in ("v1", "v2")]
-    fit = m.select("v1", "v2", "n", interaction_fit(F.struct(*columns)).alias("f")).select("v1", "v2", "n", "f.*")
-    return fit.select("v1", "v2", "beta1", "beta2", "beta", "se", t_p("t", F.col("n") - 4).alias("p_value"))
+    fit = m.select("v1", "v2", "n", _interaction_fit(len(covariates))(F.struct(*columns)).alias("f")).select("v1", "v2", "n", "f.*")
+    return fit.select("v1", "v2", "beta1", "beta2", "beta", "se", t_p("t", F.col("n") - 4 - len(covariates)).alias("p_value"))
 
 
 test_interactions.__test__ = False
@@ -204,7 +225,7 @@ def motif_pairs(motif: str, variant_gene: DataFrame, gene_pathway: DataFrame | N
     return out.groupBy("v1", "v2").agg(F.min("entity").alias("entity")).withColumn("motif", F.lit(motif))
 
 
-def motif_scan(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, mac_min: int = 10, correction: str = "BH") -> DataFrame:
+def motif_scan(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, mac_min: int = 10, correction: str = "BH", covariates: tuple[str, ...] = ()) -> DataFrame:
     """Interactions of motif pairs whose variants have mac_min minor alleles, corrected over all pairs; of several motifs
     the first by name is kept."""
     one = pairs.groupBy("v1", "v2").agg(F.min_by("entity", "motif").alias("entity"), F.min("motif").alias("motif"))
@@ -212,7 +233,7 @@ def motif_scan(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, mac_m
     mac = genotypes.groupBy("v").agg(F.sum("g").alias("k")).where(F.least(F.col("k"), F.lit(2 * n) - F.col("k")) >= mac_min).select("v")
     for k in ("v1", "v2"):
         one = one.join(mac.select(F.col("v").alias(k)), k, "left_semi")
-    tested = test_interactions(genotypes, samples, one)
+    tested = test_interactions(genotypes, samples, one, covariates)
     out = benjamini_hochberg(tested) if correction == "BH" else bonferroni(tested)
     return out.join(one, ["v1", "v2"])
 

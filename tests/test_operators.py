@@ -474,3 +474,27 @@ def test_interaction_matrix_has_every_sample(spark):
     assert set(rows) == set(range(5)) and rows[1] == pytest.approx((2 - 0.6) * (1 - 0.2)) and rows[4] == pytest.approx(0.6 * 0.2)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_interactions_with_covariates(spark):
+    from strandline.operators.epistasis import test_interactions as interactions
+
+    rng = np.random.default_rng(11)
+    n = 300
+    g = rng.binomial(2, 0.4, (3, n))
+    c = np.column_stack([rng.normal(1000, 300, n), rng.integers(0, 3, n)])
+    y = 0.3 * g[0] - 0.2 * g[1] + 0.5 * g[0] * g[1] + 0.002 * c[:, 0] + rng.normal(size=n)
+    genos = spark.createDataFrame([(v, s, int(g[v, s])) for v in range(3) for s in range(n) if g[v, s]], "v long, s long, g int")
+    people = spark.createDataFrame([(s, float(y[s]), float(c[s, 0]), float(c[s, 1])) for s in range(n)] + [(n, 5.0, None, 1.0)], "s long, y double, age double, site double")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "v1 long, v2 long")
+    for names, extra in (((), np.zeros((n, 0))), (("age", "site"), c)):
+        got = {(r["v1"], r["v2"]): r for r in interactions(genos, people.where("s < 300"), pairs, names).collect()}
+        for a, b in got:
+            x = np.column_stack([np.ones(n), extra, g[a], g[b], g[a] * g[b]])
+            beta = np.linalg.lstsq(x, y, rcond=None)[0]
+            r = y - x @ beta
+            se = math.sqrt(r @ r / (n - x.shape[1]) * np.linalg.inv(x.T @ x)[-1, -1])
+            row = got[a, b]
+            assert (row["beta1"], row["beta2"], row["beta"], row["se"]) == pytest.approx((*beta[-3:], se), rel=1e-6)
+            assert row["p_value"] == pytest.approx(S.t_two_sided(abs(beta[-1] / se), n - x.shape[1]), rel=1e-4)
+    assert len(interactions(genos, people, pairs, ("age",)).collect()) == 3
