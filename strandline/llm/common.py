@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); only where it is unset, as in tests, a folder of our own."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset a local session gets a folder of its own, a
+    cluster an error: its executors would not see the driver's folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -1,7 +1,7 @@
 """Token ids in a binary container: one zstandard frame for each document, a shared dictionary, an offset index.
 
 Format (a Parquet folder, so that any store that Spark reaches holds it and its commit protocol survives lost executors):
-`shards`: one row holds up to SHARD_BYTES of frames: part, shard, first_start (ids before it in its part), dict_hash,
+`shards`: one row holds up to SHARD_BYTES of frames: part, shard, low and high (of its doc_ids), first_start (ids before it in its part), dict_hash,
 doc_ids, id_counts, offsets (n + 1 byte offsets into blob), blob. `parts`: part, base (ids of all documents before the
 part). `dictionary`: one row, dict_hash and the trained dictionary (empty where there was too little to train on).
 Frames hold little-endian unsigned 16-bit ids where the vocabulary has at most 65536 ids, else 32-bit ids (`width`)."""
@@ -22,7 +22,7 @@ from strandline.llm.common import shared_dir, sliced
 from strandline.llm.fast_ids import encoder
 
 SHARD_BYTES = 1 << 20
-SHARD_SCHEMA = "part int, shard int, first_start long, dict_hash string, width int, doc_ids array<long>, id_counts array<long>, offsets array<long>, blob binary"
+SHARD_SCHEMA = "part int, shard int, low long, high long, first_start long, dict_hash string, width int, doc_ids array<long>, id_counts array<long>, offsets array<long>, blob binary"
 READ_SCHEMA = "part int, local_start long, doc_id long, n_tokens long, ids_crc32 long"
 #: The dictionary is trained on so many documents in the mean, of each at most so many bytes of ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 8192, 65536
@@ -36,7 +36,10 @@ def _serial(ids: bytes, end_id: int, width: int) -> bytes:
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
     """From documents chosen by their ids' hashes: the same ones however the rows are partitioned, and no top-n to gather."""
     share = (SAMPLE_DOCS << 30) // max(1, docs.count())
-    keyed = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select(F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("text").alias("h"))
+    # Of a long text a stretch of SAMPLE_BYTES characters whose place follows from its hash, so that no part of texts is left out.
+    room = F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(0)) + 1
+    begin = F.pmod(F.xxhash64("text", F.lit(3)), room.cast("long")).cast("int") + 1
+    keyed = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select(F.substring(F.col("text"), begin, F.lit(SAMPLE_BYTES)).alias("text"), F.xxhash64("text").alias("h"))
     picked = [r["text"] for r in keyed.orderBy("h").limit(8 * SAMPLE_DOCS).collect()]
     enc = encoder(tokenizer)
     samples = [_serial(enc.encode(x or ""), end_id, width)[:SAMPLE_BYTES] for x in picked]
@@ -65,9 +68,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, level:
         ids, counts, offsets, blob = [], [], [0], []
 
         def full():
-            return pa.RecordBatch.from_pylist([dict(part=part, shard=number, first_start=first, dict_hash=name, width=width, doc_ids=ids, id_counts=counts, offsets=offsets, blob=b"".join(blob))], schema=arrow)
+            known = [i for i in ids if i is not None]
+            return pa.RecordBatch.from_pylist([dict(part=part, shard=number, low=min(known, default=None), high=max(known, default=None), first_start=first, dict_hash=name, width=width, doc_ids=ids, id_counts=counts, offsets=offsets, blob=b"".join(blob))], schema=arrow)
 
-        arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_start", pa.int64()), ("dict_hash", pa.string()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("id_counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("blob", pa.binary())])
+        arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("first_start", pa.int64()), ("dict_hash", pa.string()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("id_counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("blob", pa.binary())])
         for b in sliced(batches):
             for doc_id, text in zip(b["doc_id"].to_pylist(), enc.encode_column(b["text"]), strict=True):
                 raw = _serial(text, end_id, width)
@@ -118,9 +122,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """The ids of one document: its shard's index row and one frame are read."""
+    """The ids of one document: its shard's index row and one frame are read.
+
+    Shards are in ascending order of doc_id with least and greatest id as columns of their own, so Parquet's statistics pass
+    over the row groups and files of other shards."""
     trained = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
-    shard = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("width", F.array_position("doc_ids", F.lit(doc_id).cast("long")).alias("k"), "offsets", "blob")
+    near = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").where((F.col("low") <= doc_id) & (F.col("high") >= doc_id))
+    shard = near.where(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).select("width", F.array_position("doc_ids", F.lit(doc_id).cast("long")).alias("k"), "offsets", "blob")
     cut = shard.select("width", F.expr("substring(blob, CAST(offsets[k - 1] + 1 AS INT), CAST(offsets[k] - offsets[k - 1] AS INT))").alias("frame")).first()
     if cut is None:
         raise KeyError(doc_id)
