@@ -37,6 +37,14 @@ def pick_queues(docs: DataFrame, targets: dict[str, float] | None, length: int)
     return sorted(r["source"] for r in sums.orderBy(F.desc_nulls_last("n"), "source").limit(most).collect())
 
 
+def balanced_targets(docs: DataFrame, power: float = 0.5) -> dict[str | None, float] | None:
+    """Targets between the sources' own sizes and equal parts: (number of documents) ** power; null and empty sources are one,
+    under None. The driver holds a number for each source; no documents: None."""
+    counts = {r["source"]: r["count"] for r in docs.groupBy(F.col("source").cast("string").alias("source")).count().collect()}
+    unnamed = counts.get(None, 0) + counts.get("", 0)
+    return {s: n**power if s else n * unnamed ** (power - 1) for s, n in counts.items()} or None
+
+
 def shares(weights: list[int | float]) -> list[int]:
     """Cumulative shares in 2^-SHIFT, from 0 to 2^SHIFT."""
     total, out, run = sum(weights), [0], 0

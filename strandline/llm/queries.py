@@ -13,7 +13,7 @@ from strandline.llm.dedup_oph import near_duplicates
 from strandline.llm.lm_ppm import score_documents
 from strandline.llm.media_cdc import media_query
 from strandline.llm.mix_pfair import mix
-from strandline.llm.pack_drr import pack
+from strandline.llm.pack_drr import balanced_targets, pack
 from strandline.llm.token_store import tokens_query
 from strandline.llm.toxicity_fst import toxicity_scores
 from strandline.llm.url_rules import judge_urls
@@ -41,7 +41,8 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pack_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048)
+    docs = table(spark, sf_dir, "documents")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, length=2048, targets=balanced_targets(docs))
 
 
 def op6_media_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Keys of urls, edges of html, union by recursive reachability, decisions of components.
 _OP3 = r"""
-WITH RECURSIVE tags AS (SELECT url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) AS c, regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) AS m FROM pages),
-links AS (SELECT url, replace(dst, '&amp;', '&') AS dst FROM (SELECT url, unnest([regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(m, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1)]) AS dst FROM tags) WHERE dst <> '' AND url IS NOT NULL),
+WITH RECURSIVE raw AS (SELECT url, replace(dst, '&amp;', '&') AS t FROM (SELECT url, unnest(list_concat(
+  list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+  list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), lambda x: regexp_extract(x, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*([^"''\s>]+)', 1)))) AS dst FROM pages) WHERE dst <> '' AND url IS NOT NULL),
+bits AS (SELECT *, regexp_extract(url, '^([^:/?#]*://[^/?#]*)', 1) AS head, coalesce(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(t, '^([^?#]*)', 1) AS own FROM raw),
+flat AS (SELECT *, list_reduce(list_prepend('', string_split(CASE WHEN starts_with(t, '/') THEN own ELSE regexp_replace(path, '[^/]*$', '') || own END, '/')), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x IN ('.', '') THEN a ELSE a || '/' || x END) AS f FROM bits),
+links AS (SELECT url, dst FROM (SELECT url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:/?#]*:)', 1) || t WHEN head = '' THEN NULL WHEN starts_with(t, '?') THEN head || path || t WHEN starts_with(t, '#') THEN url ELSE head || f || substr(t, length(own) + 1) END AS dst FROM flat) WHERE dst IS NOT NULL),
 urls AS (SELECT url FROM pages UNION SELECT dst FROM links),
 cut AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM urls WHERE url IS NOT NULL),
 parts AS (SELECT *, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,

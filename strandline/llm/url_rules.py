@@ -61,10 +61,23 @@ def match_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.join(fit.groupBy("host", "path").agg(one), ["host", "path"], "left").withColumns({"rule": F.col("_best.rule"), "action": F.when(F.col("_best.allow"), "allow").when(F.col("_best").isNotNull(), "block")}).drop("_best")
 
 
+def resolved(url: Column, to: Column) -> Column:
+    """to as an absolute url, read from the page's url where it is relative; dot segments are worked off."""
+    head, path = F.regexp_extract(url, r"^([^:/?#]*://[^/?#]*)", 1), path_of(url)
+    own = F.regexp_extract(to, r"^([^?#]*)", 1)
+    full = F.when(to.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), own))
+    step = lambda a, x: F.when(x == "..", F.regexp_replace(a, "/[^/]*$", "")).when((x == ".") | (x == ""), a).otherwise(F.concat(a, F.lit("/"), x))
+    flat = F.aggregate(F.split(full, "/"), F.lit(""), step)
+    rest = F.substring(to, F.length(own) + 1, F.length(to))
+    local = F.when(to.startswith("?"), F.concat(head, path, to)).when(to.startswith("#"), url).otherwise(F.concat(head, flat, rest))
+    return F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to).when(to.startswith("//"), F.concat(F.regexp_extract(url, "^([^:/?#]*:)", 1), to)).when(head != "", local)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(url, to) of the canonical links and refreshes in html."""
-    found = pages.select("url", F.explode(F.array(F.regexp_extract("html", CANONICAL, 1), F.regexp_extract("html", REFRESH, 1))).alias("to"))
-    return found.where((F.col("to") != "") & F.col("url").isNotNull()).select("url", F.regexp_replace("to", "&amp;", "&").alias("to"))
+    """(url, to) of all canonical links and refreshes in html, relative ones resolved."""
+    each = [F.coalesce(F.regexp_extract_all("html", F.lit(x), F.lit(1)), F.array().cast("array<string>")) for x in (CANONICAL, REFRESH)]
+    found = pages.select("url", F.explode(F.concat(*each)).alias("to")).where((F.col("to") != "") & F.col("url").isNotNull())
+    return found.select("url", resolved(F.col("url"), F.regexp_replace("to", "&amp;", "&")).alias("to")).where("to IS NOT NULL")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
