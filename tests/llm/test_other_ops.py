@@ -140,6 +140,29 @@ def test_url_rules(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_relative_links_in_spark_and_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from strandline.llm.queries import SQL
+    from strandline.llm.url_rules import judge_urls
+
+    link = '<link rel="canonical" href="{}">'.format
+    pages = [
+        (1, "http://a.com/x/y", link("/b")), (2, "http://a.com/b", link("//z.net/q") + link("c/../d")), (3, "http://a.com/d", None), (4, "https://z.net/q", ""),
+        (5, "http://e.com/1/2/", link("../k?u=1#f") + "<meta http-equiv=refresh content='0;url=./m'>"), (6, "http://e.com/1/k?u=1", link("?v=2")), (7, "http://e.com/1/k?v=2", link("#top")), (8, "http://e.com/1/2/m", link("mailto:x@y.net")),
+        (9, "http://e.com", link("n")), (10, "http://e.com/n", link("http://org/fr/1")), (11, "nothing", link("/b")), (12, None, link("/b")), (13, "http://lone.com/../../p", link("../../../r")), (14, "http://lone.com/r", link("")),
+    ]
+    got = {r["page_id"]: tuple(r) for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    verdict = {i: r[-1] for i, r in got.items()}
+    assert {i for i, v in verdict.items() if v == "block"} == {1, 2, 3, 4}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    assert {r[0]: tuple(r) for r in con.execute(SQL["op3_url_rules"]).fetchall()} == got
+    con.execute("create or replace temp view pages as select 1::bigint page_id, 'http://a.com/x/y' url, '<link rel=canonical href=/b><link rel=canonical href=http://q.net/>' html union all select 2, 'http://a.com/b', ''")
+    assert [r[-1] for r in con.execute(SQL["op3_url_rules"]).fetchall()] == ["block", "block"]
+
+
 def fold_schedule(quotas, frame):
     """Earliest deadline first, slot by slot."""
     done, out = dict.fromkeys(quotas, 0), {}
@@ -183,6 +206,27 @@ def test_native_plans_hold_no_python(spark):
         assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
 
 
+def test_pfair_deviation_with_uneven_weights(spark):
+    """Frames that need other bounds, and the run in one frame, stay within a block of the targets and within the windows."""
+    import random
+
+    from strandline.llm import mix_pfair
+
+    rng = random.Random(8)
+    sizes = {f"s{k:02d}": int(rng.expovariate(1) ** 3 * 15) + 1 for k in range(20)}
+    w = mix_pfair.whole_weights(sizes, None, 1.0)
+    for frame in (64, 16, 1 << 13):
+        got = sorted((r["slot"], r["source"], r["j"], r["release"], r["deadline"]) for r in mix_pfair.schedule(spark, w, mix_pfair.WHOLE, sizes, frame).collect())
+        assert len(got) == sum(sizes.values()) and len({g[0] for g in got}) == len(got)
+        seen = dict.fromkeys(w, 0)
+        for slot, s, j, release, deadline in got:
+            assert release <= slot < deadline and j == seen[s]
+            seen[s] += 1
+            assert all(seen[k] == sizes[k] or abs(seen[k] * mix_pfair.WHOLE - (slot + 1) * x) < mix_pfair.WHOLE for k, x in w.items())
+    with pytest.raises(ValueError, match="slots"):
+        mix_pfair.schedule(spark, {"a": mix_pfair.WHOLE - 1, "b": 1}, mix_pfair.WHOLE, {"a": 1, "b": 4})
+
+
 def test_pfair_follows_the_targets_over_many_frames(spark):
     from strandline.llm.mix_pfair import mix
 

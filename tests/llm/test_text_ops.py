@@ -214,7 +214,7 @@ def test_media_round_trip(spark):
 def test_toxicity_held_out(spark):
     import random
 
-    from strandline.llm.toxicity_fst import Classes, negation, reported, tapes, toxicity_scores
+    from strandline.llm.toxicity_fst import Classes, tapes, toxicity_scores
 
     rng = random.Random(7)
     bad = ["vile", "scoundrel", "wretch", "rotten"]
@@ -240,12 +240,83 @@ def test_toxicity_held_out(spark):
     told, quoted, menace = tapes("He said: fine. They called you an idiot", c), tapes('"an idiot"', c), tapes("I will kill them", c)
     assert plain[3] == 4.0 and negated[1] == 4.0 and told[2] == 4.0 and quoted[2] == 4.0 and menace[4] == 1.0
     assert plain[6] > negated[6] > 0 and tapes("réeuxpa", c)[0] == 3.0 and tapes("", c) == [0.0] * 8
-    assert [n for _, n, _ in reported(negation([4, 0, 6, 0, 0, 6]))] == [False, False, True, False, False, False]
+    assert tapes("to kill time is no crime", c)[5] == 0  # nobody near: no match
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity_scores(documents(spark, rows[:5]), empty).collect()} == {0}
     assert toxicity_scores(spark.createDataFrame([], DOCS), empty).count() == 0
 
 
+def test_grammar_against_a_plain_reading(spark):
+    """The composed transducer writes what positions in the clause say, for random clauses."""
+    import random
+
+    from strandline.llm import toxicity_fst as T
+
+    c = T.Classes({"idiot": 4.0, "fool": 2.0})
+    words = {"idiot": T.INSULT, "fool": T.INSULT, "kill": T.THREAT, "you": T.TARGET, "not": T.NEGATOR, "said": T.SAYS, '"': T.QUOTE, "a": T.NONE, "b": T.NONE, ".": T.STOP}
+
+    def plain(tokens):
+        out = [0.0] * 8
+        out[T.WORDS] = len(tokens)
+        if not any(words[t] in (T.INSULT, T.THREAT) for t in tokens):
+            return out
+        clauses, now = [], []
+        for t in [*tokens, "."]:
+            if t == ".":
+                clauses.append(now)
+                now = []
+            else:
+                now.append(t)
+        for clause in clauses:
+            kinds, held, near, total, direct = [words[t] for t in clause], [], None, 0.0, 0.0
+            for k, (t, kind) in enumerate(zip(clause, kinds)):
+                if kind == T.INSULT:
+                    held.append((k, c.weights[c[t] >> 3], False))
+                if kind in (T.THREAT, T.TARGET):  # the nearest other one, each used once
+                    if near and near[0] != kind and k - near[1] <= T.REACH:
+                        held.append((k, 1.0, True))
+                        near = None
+                    else:
+                        near = (kind, k)
+            for k, w, violent in held:
+                denied = T.NEGATOR in kinds[max(0, k - T.NEGATION_SCOPE) : k]
+                told = T.SAYS in kinds[:k] or kinds[:k].count(T.QUOTE) % 2 == 1
+                out[T.NEGATED if denied else T.REPORTED if told else T.MENACE if violent else T.PLAIN] += 0 if not (denied or told or violent) else w
+                direct += 0 if denied or told or violent else w
+                total += w * (0.3 if denied else 1.0) * (0.5 if told else 1.0)
+            person = T.TARGET in kinds
+            out[T.TARGETED if person else T.PLAIN] += direct
+            if held:
+                out[T.CLAUSES] += 1
+                out[T.PEAK] = max(out[T.PEAK], total + (0.2 * direct if person else 0))
+        return out
+
+    rng = random.Random(9)
+    for _ in range(3000):
+        tokens = rng.choices(list(words), [3, 2, 3, 3, 2, 1, 1, 6, 6, 2], k=rng.randint(0, 30))
+        assert T.tapes(" ".join(tokens), c) == pytest.approx(plain(tokens)), tokens
+
+
+def test_media_forms_are_what_the_files_hold(spark, tmp_path):
+    from strandline.llm import media_cdc as M
+
+    text = {i: (t or "").encode() for i, t, *_ in corpus(5)}
+    path = str(tmp_path / "m")
+    M.store(documents(spark, corpus(5)).select("doc_id", "text"), path)
+    bodies = {bytes(r["digest"]): bytes(r["body"]) for r in spark.read.parquet(f"{path}/chunks").collect()}
+    forms = {}
+    for r in spark.read.parquet(f"{path}/recipes").collect():
+        named = [bodies[d] for s, _, d in M.entries_of(bytes(r["recipe"])) if s]
+        forms[bytes(r["media"])] = bytes(r["recipe"]) + bytes(r["own"]) + b"".join(named)
+    for r in M.read(spark, path).collect():
+        form = forms.pop(bytes(r["media"]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(form), hashlib.sha256(form).hexdigest())
+    assert not forms
+    with pytest.raises(ValueError, match="recipe"):
+        M.entries_of(b"CDC1x")
+    assert len(text) > 0
+
+
 def test_ppm_nodes_grow_with_the_corpus(spark, monkeypatch):
     """Scores of the bucketed trie are those of the trie in one table, whatever the batches; rare contexts are kept."""
     from strandline.llm import lm_ppm
@@ -290,3 +361,15 @@ def test_near_duplicates_in_a_family_below_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(dedup_oph, "_profiles", lambda docs: made)
     got = {r["doc_id"]: r["component_id"] for r in dedup_oph.near_duplicates(documents(spark, rows)).collect()}
     assert got == group
+
+
+def test_near_duplicates_loses_no_pair_of_a_template(spark):
+    """Pairs at 0.77 in a family whose other pairs are at 0.74: every bucket is full of strangers, every pair is found."""
+    from strandline.llm.dedup_oph import near_duplicates
+
+    template = [f"p{k}" for k in range(320)]
+    rows = [[i, " ".join(template + [f"q{i // 2}_{k}" for k in range(8)] + [f"x{i}_{k}" for k in range(48)]), "en", "s0"] for i in range(80)]
+    group, sets = near_groups(rows)
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert share(0, 1) > 0.75 > share(0, 2) > 0.73 and len(set(group.values())) == 40
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows)).collect()} == group
