@@ -1,14 +1,17 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
 Each of CURVES orderings takes DIMS coordinates of a rotation of the unit vectors (rotations are fixed by the curve's
-number), shifts them, and walks them along a Hilbert curve. Its keys are range-partitioned into blocks of about
-BLOCK_ROWS rows; a query is sent to the blocks of its window around its own key, scored there against whole blocks by
-inner product in double precision, and the nearest of all curves are merged. Equal vectors are one row of the search and
-are opened afterwards by their smallest ids, so that copies crowd out nobody.
+number), shifts them, and walks them along a Hilbert curve. Its keys are cut at quantiles into blocks; a query is sent to
+the blocks of its window around its own key, scored there against whole blocks by inner product in double precision, and the
+nearest of all curves are merged. Blocks are dealt by Spark range partitioning over (curve, block), so that neighbouring
+windows meet in neighbouring partitions. Equal vectors are one row of the search and are opened afterwards by their smallest
+ids, so that copies crowd out nobody.
 
 The window is a share of the blocks (WINDOW) on each side. Directions that carry no structure, such as independent
 normal components, leave no ordering a better choice: their recall is bought by the share that is scored, and the cost of
-a query grows with the table. Clustered vectors can do with fewer and narrower windows; both are parameters.
+a query grows with the table. Clustered vectors can do with fewer and narrower windows; both are parameters. Blocks are as
+many as keep them at BLOCK_ROWS rows, but no more than BLOCKS until they reach WIDEST rows: a query is copied to a number of
+blocks that does not grow with the table before that, and the driver holds a bound for each WIDEST rows of a large one.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import stage
 
-CURVES, DIMS, BITS, BLOCK_ROWS, WINDOW = 16, 6, 10, 256, 0.025
+CURVES, DIMS, BITS, BLOCK_ROWS, WINDOW = 16, 6, 10, 256, 0.03
+BLOCKS, WIDEST = 200, 1 << 15
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -94,7 +98,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
     table = stage(kept.groupBy("h", "vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "ann-rows")
     asked = stage(clean(queries).select("vec_id", "h").distinct(), "ann-queries")
     total = table.count()
-    blocks = max(1, -(-total // block_rows))
+    blocks = max(1, min(-(-total // block_rows), BLOCKS), -(-total // WIDEST))
     sides = max(1, math.ceil(window * blocks))
 
     def keys(batches):
@@ -137,8 +141,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
             x, q = np.array([np.frombuffer(v, "<f8") for v in rows_]), np.array([np.frombuffer(v, "<f8") for v in ask])
             take = min(len(x), k + 1)
             out = []
-            for lo in range(0, len(q), 512):
-                s = q[lo : lo + 512] @ x.T
+            step = max(1, 4_000_000 // len(x))  # 32 MB of scores at once
+            for lo in range(0, len(q), step):
+                s = q[lo : lo + step] @ x.T
                 top = np.argpartition(-s, take - 1, axis=1)[:, :take]
                 edge = np.take_along_axis(s, top, 1).min(1)
                 for n in range(len(s)):
@@ -163,7 +168,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
         if (done := answer()) is not None:
             yield done
 
-    both = points.union(wanted).repartition("curve", "block").sortWithinPartitions("curve", "block")
+    parts = max(1, min(blocks * curves, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    both = points.union(wanted).repartitionByRange(parts, "curve", "block").sortWithinPartitions("curve", "block")
     found = both.mapInArrow(search, "h long, ids array<long>, scores array<double>")
 
     def merge(batches):
