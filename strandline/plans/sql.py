@@ -213,10 +213,10 @@ SELECT round(phi,6) AS phi, round(m,6) AS phi_null, round(CASE WHEN m>0 THEN gre
 
 #: One row for each variant of the combined matrices: cells that a matrix lacks are no rows here.
 SV_SCAN = f"""WITH cm AS (SELECT s FROM genotype INTERSECT SELECT s FROM genotype WHERE v%4=0), ce AS (SELECT CAST(v AS VARCHAR) AS v, s, CAST(g AS DOUBLE) AS g FROM genotype UNION ALL SELECT CAST(v+1000000 AS VARCHAR), s, g*2 FROM genotype WHERE v%4=0),
-mo AS (SELECT v, count(*) AS n, sum(g) AS sg, sum(g*g) AS sgg, sum(g*y) AS sgy, sum(y) AS sy, sum(y*y) AS syy FROM ce JOIN sample USING (s) WHERE s IN (SELECT s FROM cm) GROUP BY v),
+mo AS (SELECT v, count(*) AS n, sum(g) AS sg, sum(g*g) AS sgg, sum(g*y) AS sgy, sum(y) AS sy, sum(y*y) AS syy FROM ce JOIN (SELECT s, round(y*100) AS y FROM sample) USING (s) WHERE s IN (SELECT s FROM cm) GROUP BY v),
 cv AS (SELECT *, sgg*n-sg*sg AS vg, syy*n-sy*sy AS vy, sgy*n-sg*sy AS c FROM mo), ft AS (SELECT v, n, CASE WHEN n>=10 AND vg>0 AND vy>0 THEN c/vg ELSE 0 END AS beta, CASE WHEN n>=10 AND vg>0 AND vy>0 THEN least(c*c/(vg*vy),1) ELSE 0 END AS r2 FROM cv),
 tt AS (SELECT *, CASE WHEN r2<1 AND beta<>0 THEN sign(beta)*sqrt(r2*(n-2)/(1-r2)) ELSE 0 END AS t FROM ft)
-SELECT v, n, round(beta,4) AS beta, round(r2,9) AS r2, round(t,6) AS t, CASE WHEN t<>0 THEN round(beta/t,4) END AS se, round(CASE WHEN t=0 THEN 1 ELSE {t_p_sql('t', '(n-2)')} END,6) AS p_value FROM tt"""
+SELECT v, n, round(beta/100,6) AS beta, round(r2,9) AS r2, round(t,6) AS t, CASE WHEN t<>0 THEN round(beta/t/100,6) END AS se, round(CASE WHEN t=0 THEN 1 ELSE {t_p_sql('t', '(n-2)')} END,6) AS p_value FROM tt"""
 
 SV_HERITABILITY = f"""WITH cm AS (SELECT s FROM genotype WHERE v%4>0 INTERSECT SELECT s FROM genotype WHERE v%4=0), ty AS (SELECT CAST(v AS VARCHAR) AS v, s, CAST(g AS DOUBLE) AS g, CASE WHEN v%4=0 THEN 'cnv' ELSE 'snp' END AS type FROM genotype WHERE s IN (SELECT s FROM cm)),
 ce AS (SELECT type AS "set", v, s, g FROM ty UNION ALL SELECT 'all', v, s, g FROM ty), pa AS (SELECT s, y, {md5_number('CAST(s AS VARCHAR)')}%2 AS k FROM sample),
