@@ -14,6 +14,8 @@ from strandline.llm.lm_ppm import score_documents
 from strandline.llm.media_cdc import media_query
 from strandline.llm.mix_pfair import mix
 from strandline.llm.pack_drr import balanced_targets, pack
+from strandline.llm.prefix_trie import trie_query
+from strandline.llm.sketch_scaled import fingerprint_edits
 from strandline.llm.token_store import tokens_query
 from strandline.llm.toxicity_fst import toxicity_scores
 from strandline.llm.url_rules import judge_urls
@@ -67,6 +69,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_query(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm": op1_ppm,
     "op2_hilbert_ann": op2_hilbert_ann,
@@ -78,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_fst": op8_toxicity_fst,
     "op9_chat_parts": op9_chat_parts,
     "op10_token_store": op10_token_store,
+    "op11_scaled_sketch": op11_scaled_sketch,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 #: Keys of urls, edges of html, union by recursive reachability, decisions of components.
@@ -129,4 +141,36 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, documents.doc
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN comp ON comp.d = documents.doc_id
 """
 
-SQL: dict[str, str] = {"op3_url_rules": _OP3, "op7_near_duplicates": _OP7, "op9_chat_parts": _OP9}
+#: Sketches of all texts and edited texts by lists of words.
+_OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT *, length(t) AS n, row_number() OVER (ORDER BY doc_id NULLS FIRST, md5(t)) AS k, count(*) OVER () AS c FROM d),
+e AS (SELECT o.*, substr(o.t, 1, o.n - o.n // 4) || substr(x.t, 1, o.n // 4) AS e FROM o JOIN o x ON x.k = o.k % o.c + 1),
+texts AS (SELECT k, 0 AS edited, t FROM e UNION ALL SELECT k, 1, e FROM e),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
+sh AS (SELECT k, edited, md5(t) AS m, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS sh FROM w),
+s AS (SELECT k, edited, m, list_sort(list_distinct(list_filter(list_transform(sh, lambda x: substr(md5(x), 1, 12)), lambda h: h < '200000000000'))) AS s FROM sh),
+j AS (SELECT e.doc_id, e.n, e.e, a.m AS am, a.s AS a, b.m AS bm, b.s AS b, x.m AS xm, x.s AS x, len(list_intersect(a.s, b.s)) AS ab, len(list_intersect(a.s, x.s)) AS ax
+ FROM e JOIN s a ON a.k = e.k AND a.edited = 0 JOIN s b ON b.k = e.k AND b.edited = 1 JOIN s x ON x.k = e.k % e.c + 1 AND x.edited = 0)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, am || ':' || coalesce(array_to_string(a, ''), '') AS fingerprint, bm || ':' || coalesce(array_to_string(b, ''), '') AS edited_fingerprint,
+ CASE WHEN len(a) + len(b) > 0 THEN ab / (len(a) + len(b) - ab) ELSE CAST(am = bm AS INT)::DOUBLE END AS near_edited, CASE WHEN len(a) + len(x) > 0 THEN ax / (len(a) + len(x) - ax) ELSE CAST(am = xm AS INT)::DOUBLE END AS near_next,
+ CASE WHEN len(a) > 0 THEN ab / len(a) ELSE CAST(am = bm AS INT)::DOUBLE END AS held_by_edited, CASE WHEN len(a) > 0 THEN ax / len(a) ELSE CAST(am = xm AS INT)::DOUBLE END AS held_by_next FROM j
+"""
+
+#: crc32 bit by bit over the digits of conv_id, rebuilt turn lists, their prefixes, and the prefixes below each prefix.
+_OP12 = r"""
+WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS a FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda x, y: xor(xor(x, y) >> 1, 3988292384 * (xor(x, y) & 1))), 4294967295) % 6 AS BIGINT) AS h FROM t),
+b AS (SELECT h.conv_id, list_concat(coalesce(base.a[1:h.h], []), h.a[h.h + 1:]) AS a FROM h LEFT JOIN t base ON base.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(a) AS n, a, unnest(range(len(a) + 1)) AS depth FROM b),
+q AS (SELECT conv_id, n, depth, a[1:depth] AS k, CASE WHEN depth > 0 THEN length(a[depth].t) ELSE 0 END AS chars FROM p),
+g AS (SELECT k, depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth) AS ends FROM q GROUP BY k, depth),
+up AS (SELECT k, depth, k[1:depth - 1] AS pk FROM g WHERE depth > 0),
+kids AS (SELECT pk, count(*) AS n FROM up GROUP BY pk),
+node AS (SELECT g.*, coalesce(kids.n, 0) AS n_children FROM g LEFT JOIN kids ON kids.pk = g.k),
+under AS (SELECT node.k[1:d.d] AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM node, LATERAL (SELECT unnest(range(node.depth + 1)) AS d) d GROUP BY 1)
+SELECT node.conv_id, node.depth, par.conv_id AS parent_conv_id, node.n_convs, node.n_children, under.n_leaves, CAST(under.saved AS BIGINT) AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN under ON under.top = node.k LEFT JOIN up ON up.k = node.k LEFT JOIN node par ON par.k = up.pk
+"""
+
+SQL: dict[str, str] = {"op3_url_rules": _OP3, "op7_near_duplicates": _OP7, "op9_chat_parts": _OP9, "op11_scaled_sketch": _OP11, "op12_prefix_trie": _OP12}

@@ -4,7 +4,7 @@ import pytest
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op3_url_rules", "op7_near_duplicates", "op9_chat_parts"])
+@pytest.mark.parametrize("name", ["op3_url_rules", "op7_near_duplicates", "op9_chat_parts", "op11_scaled_sketch", "op12_prefix_trie"])
 def test_query_equals_sql(spark, name):
     from strandline.llm.queries import QUERIES, SQL
 
@@ -29,6 +29,8 @@ def test_every_query_has_its_contract_columns(spark):
         "op6": [("doc_id", "bigint"), ("n_bytes", "bigint"), ("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")],
         "op7": [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")],
         "op8": [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")],
+        "op11": [("doc_id", "bigint"), ("n_chars", "bigint"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")],
+        "op12": [(x, "bigint") for x in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")] + [("ends_sha256", "string")],
         "op9": [("conv_id", "bigint"), ("n_turns", "bigint"), ("turns_sha256", "string"), ("loss_chars", "bigint"), ("loss_sha256", "string"), ("formatted_chars", "bigint")],
         "op10": [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")],
     }
