@@ -14,6 +14,7 @@ from strandline.functions.special import fisher_p, poisson_p, t_p
 from strandline.operators.genotype import ld_pairs
 from strandline.operators.graph import adjacency, louvain
 from strandline.operators.lineage import cut, md5_number
+from strandline.operators.tiles import BITS, bit_blocks, blocks_of, pair_counts
 
 
 def sliding_windows(variants: DataFrame, size: int = 1_000_000, step: int = 500_000) -> DataFrame:
@@ -25,12 +26,15 @@ def sliding_windows(variants: DataFrame, size: int = 1_000_000, step: int = 500_
 
 
 def carrier_pairs(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(v1, v2, co_case, co_ctrl): shared carriers of given pairs, by joins on variant and then (variant, sample)."""
-    c = genotypes.where("g > 0").join(samples.where("is_case IS NOT NULL").select("s", "is_case"), "s")
-    a = c.select(F.col("v").alias("v1"), "s", "is_case")
-    b = c.select(F.col("v").alias("v2"), "s")
-    hit = pairs.select("v1", "v2").join(a, "v1").join(b, ["v2", "s"])
-    return hit.groupBy("v1", "v2").agg(F.count_if("is_case").alias("co_case"), F.count_if(~F.col("is_case")).alias("co_ctrl"))
+    """(v1, v2, co_case, co_ctrl): shared carriers of given pairs, counted on bitmaps of case and control carriers.
+
+    Pairs without a shared carrier have no row."""
+    known = samples.where("is_case IS NOT NULL").select("s", "is_case")
+    at, _, bits = blocks_of(known, "s", BITS)
+    c = genotypes.where("g > 0").join(known, "s")
+    held = cut(bit_blocks(c, at, bits, {"case": F.col("is_case"), "ctrl": ~F.col("is_case")}))
+    counts = pair_counts(pairs.select("v1", "v2").distinct(), held, {"co_case": ("case", "case"), "co_ctrl": ("ctrl", "ctrl")})
+    return counts.where("co_case > 0 OR co_ctrl > 0")
 
 
 def window_pairs(variants: DataFrame, size: int, min_distance: int = 0) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from strandline.operators.lineage import cut
+from strandline.operators.tiles import BITS, bit_blocks, blocks_of, pair_counts
+
 #: Two-bit codes, four samples a byte, lowest bits first.
 HOM_REF, HET, HOM_ALT, MISSING = 0, 1, 2, 3
 
@@ -93,21 +96,18 @@ def moments(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
 def ld_pairs(genotypes: DataFrame, variants: DataFrame, n_samples: int, window: int = 100_000, min_valid: int = 10) -> DataFrame:
     """(v1, v2, r, r2) for v1 < v2 on a chromosome at most `window` apart: pairs meet by (chr, bin), never by a product.
 
-    Pairwise-complete correlation from sums over shared carriers: n, means and products are corrected for the pairs'
-    missing codes; 0 below min_valid samples or without variance. Pairs without any shared carrier or missing code are
-    completed from the margins."""
+    Pairwise-complete correlation from counts over bitmaps of carriers, doubled carriers and missing codes: a pair has a row
+    for each block of samples, whatever its carriers. n, means and products are corrected for the pairs' missing codes; 0
+    below min_valid samples or without variance. Pairs without any shared bit are completed from the margins."""
     place = variants.select("v", "chr", "pos", (F.col("pos") / window).cast("long").alias("bin"))
     left = place.select(F.col("v").alias("v1"), "chr", F.col("pos").alias("p1"), F.explode(F.array(F.col("bin"), F.col("bin") + 1, F.col("bin") - 1)).alias("bin"))
     near = left.join(place.select(F.col("v").alias("v2"), "chr", F.col("pos").alias("p2"), "bin"), ["chr", "bin"])
     pairs = near.where((F.col("v1") < F.col("v2")) & (F.abs(F.col("p1") - F.col("p2")) <= window)).select("v1", "v2")
-    g1 = genotypes.select(F.col("v").alias("v1"), "s", F.col("g").alias("g1"))
-    g2 = genotypes.select(F.col("v").alias("v2"), "s", F.col("g").alias("g2"))
-    # Of shared samples: products, and what a missing code takes out of the other variant's sums.
-    both = pairs.join(g1, "v1").join(g2, ["v2", "s"]).groupBy("v1", "v2").agg(
-        F.sum(F.coalesce(F.col("g1") * F.col("g2"), F.lit(0))).alias("s12"),
-        F.count_if(F.col("g1").isNull() & F.col("g2").isNull()).alias("mm"),
-        *[F.sum(F.when(F.col(f"g{b}").isNull(), F.coalesce(f, F.lit(0))).otherwise(0)).alias(name) for a, b in ((1, 2), (2, 1)) for name, f in ((f"x{a}", F.col(f"g{a}")), (f"xx{a}", F.col(f"g{a}") * F.col(f"g{a}")))],
-    )
+    at, _, bits = blocks_of(genotypes, "s", BITS)
+    held = cut(bit_blocks(genotypes, at, bits, {"c": F.col("g") > 0, "d": F.col("g") == 2, "m": F.col("g").isNull()}))
+    seen = pair_counts(pairs, held, {x + y: (x, y) for x in "cdm" for y in "cdm"})
+    # Dosage is c + d, its square c + 3 d: of shared samples, products and what a missing code takes out of the other's sums.
+    both = seen.select("v1", "v2", F.expr("cc + cd + dc + dd").alias("s12"), F.col("mm"), F.expr("cm + dm").alias("x1"), F.expr("cm + 3 * dm").alias("xx1"), F.expr("mc + md").alias("x2"), F.expr("mc + 3 * md").alias("xx2"))
     one = genotypes.groupBy("v").agg(F.coalesce(F.sum("g"), F.lit(0)).alias("sg"), F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0)).alias("sgg"), F.count_if(F.col("g").isNull()).alias("m"))
     out = pairs.join(both, ["v1", "v2"], "left")
     for k in (1, 2):

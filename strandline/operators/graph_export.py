@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def export(genotypes: DataFrame, samples: DataFrame, variants: DataFrame, variant_gene: DataFrame, af_range: tuple[float, float] = (0.001, 0.5), max_variants: int = 10_000) -> dict[str, DataFrame]:
-    """sample, variant and gene nodes with features, carries and in_gene edges; the max_variants most carried variants."""
+def export(genotypes: DataFrame, samples: DataFrame, variants: DataFrame, variant_gene: DataFrame, af_range: tuple[float, float] = (0.001, 0.5), max_variants: int | None = None) -> dict[str, DataFrame]:
+    """sample, variant and gene nodes with features, carries and in_gene edges; all variants, or the max_variants most
+    carried ones."""
     n = samples.count()
     af = genotypes.groupBy("v").agg((F.sum("g") / (2.0 * n)).alias("af"), F.count("*").alias("carriers"), F.sum("g").alias("alleles"), F.lit(2 * n).alias("chromosomes")).where(F.col("af").between(*af_range))
-    nodes = variants.select("v", "chr", "pos").join(af, "v").orderBy(F.desc("carriers"), "v").limit(max_variants)
+    nodes = variants.select("v", "chr", "pos").join(af, "v")
+    nodes = nodes if max_variants is None else nodes.orderBy(F.desc("carriers"), "v").limit(max_variants)
     in_gene = variant_gene.select("v", "gene").distinct().join(nodes.select("v"), "v", "left_semi")
     carries = genotypes.where("g > 0").join(nodes.select("v"), "v", "left_semi").select("s", "v", "g")
     load = carries.groupBy("s").agg(F.count("*").alias("n_carried"), F.sum("g").alias("burden"))

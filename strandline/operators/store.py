@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,14 +44,14 @@ def top_hits(results: DataFrame, variants: DataFrame, variant_gene: DataFrame, p
     return named.groupBy(*hits.columns).agg(F.array_sort(F.collect_set("_g")).alias("genes")).orderBy("p_value", "v")
 
 
-def manhattan(results: DataFrame, variants: DataFrame, gap: int = 1_000_000, keep_below: float = 0.05, keep_percent: int = 1, min_rows: int = 1000) -> DataFrame:
-    """(v, chr, pos, x, p_value): cumulative offsets by chromosome; of p >= keep_below one in a hundred by hash, once
-    there are more than min_rows."""
+def manhattan(results: DataFrame, variants: DataFrame, gap: int = 1_000_000, keep_below: float = 0.05, keep_percent: int = 100, min_rows: int = 1000) -> DataFrame:
+    """(v, chr, pos, x, p_value): cumulative offsets by chromosome. All rows, unless a drawing asks for fewer: with keep_percent
+    below 100 that share of p >= keep_below by hash, once there are more than min_rows."""
     rows = results.select("v", "p_value").join(variants.select("v", "chr", "pos"), "v")
     spans = rows.groupBy("chr").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     before = F.coalesce(F.sum(F.col("hi") - F.col("lo") + gap).over(Window.orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = rows.join(spans.select("chr", "lo", before.alias("off")), "chr").select("v", "chr", "pos", (F.col("pos") - F.col("lo") + F.col("off")).alias("x"), "p_value")
-    if rows.count() <= min_rows:
+    if keep_percent >= 100 or rows.count() <= min_rows:
         return out
     return out.where((F.col("p_value") < keep_below) | (F.pmod(F.xxhash64("v"), F.lit(100)) < keep_percent))
 
@@ -125,10 +126,47 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Functions that call any method of the JVM.
+_REFLECTIVE = re.compile(r"(?i)\b(java_method|reflect|try_reflect)\b")
+
+
+def _parsed(plan) -> Iterator:
+    """A parsed plan's nodes, with those of its common table expressions and subqueries."""
+    yield plan
+    for held in (plan.children(), plan.innerChildren(), plan.subqueries()):
+        for k in range(held.size()):
+            if hasattr(held.apply(k), "children"):
+                yield from _parsed(held.apply(k))
+
+
+def check_read_only(spark: SparkSession, query: str, tables: set[str]) -> None:
+    """Raises unless the parsed query reads the named tables and its own common table expressions, and nothing else.
+
+    Commands and writes are refused wherever they stand (FROM t INSERT ..., WITH t AS (...) INSERT ...), so are paths as
+    tables, other tables and views, and functions that reflect into the JVM."""
+    nodes = list(_parsed(spark._jsparkSession.sessionState().sqlParser().parsePlan(query)))
+    known = {t.lower() for t in tables}
+    for x in nodes:
+        if x.nodeName() == "UnresolvedWith":
+            known |= {x.cteRelations().apply(k)._1().lower() for k in range(x.cteRelations().size())}
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    for x in nodes:
+        if command.isInstance(x) or x.nodeName().startswith("Insert"):
+            raise ValueError(f"only a single SELECT is allowed, not {x.nodeName()}")
+        if x.nodeName() == "UnresolvedRelation":
+            name = x.multipartIdentifier()
+            if name.size() != 1 or name.apply(0).lower() not in known:
+                raise ValueError(f"only tables of the store can be read, not {x.tableName()}")
+    if _REFLECTIVE.search(query):
+        raise ValueError("functions that reflect into the JVM are not allowed")
+
+
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> DataFrame:
     """A read-only query over the given tables as views, its whole result; anything but one query is refused."""
-    if not re.match(r"(?is)^\s*(select|with|from|values)\b", query) or ";" in query.rstrip().rstrip(";"):
+    text = query.rstrip().rstrip(";")
+    if ";" in text:
         raise ValueError("only a single SELECT is allowed")
+    check_read_only(spark, text, set(tables))
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(query.rstrip().rstrip(";"))
+    return spark.sql(text)

@@ -55,15 +55,20 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def put(self, name: str, df: DataFrame) -> None:
-        """Replaces a table, which df may be made from: written beside it first."""
+        """Replaces a table, which df may be made from: written beside it first, and the old one goes once the new one has its
+        place, so that at every moment one of them is whole."""
         beside = f"{self.path}/_{name}_{time.time_ns()}"
         df.write.parquet(beside)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         fs = old.getFileSystem(conf)
-        fs.delete(old, True)
+        aside = jvm.org.apache.hadoop.fs.Path(f"{beside}_old")
+        if fs.exists(old) and not fs.rename(old, aside):
+            raise OSError(f"{name} could not be put aside")
         if not fs.rename(new, old):
+            fs.rename(aside, old)
             raise OSError(f"{beside} could not take the place of {name}")
+        fs.delete(aside, True)
 
     def region(self, chr: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
         v = self["variant"]

@@ -339,6 +339,14 @@ def test_store_is_idempotent(spark, tmp_path):
     with pytest.raises(ValueError):
         store.run_sql(spark, "select 1; drop table x", {})
     assert store.run_sql(spark, "select count(*) n from r", {"r": r}).first()["n"] == 1
+    for q in (
+        "FROM r INSERT OVERWRITE DIRECTORY '/tmp/none' USING parquet SELECT *", "WITH t AS (SELECT 1) INSERT OVERWRITE DIRECTORY '/tmp/none' USING parquet SELECT * FROM t", "WITH t AS (SELECT 1) INSERT INTO r SELECT * FROM t",
+        "SELECT * FROM parquet.`/tmp/x`", "SELECT (SELECT max(a) FROM csv.`/tmp/x`) FROM r", "WITH t AS (SELECT * FROM text.`/etc/hosts`) SELECT * FROM t", "SELECT * FROM other", "SELECT reflect('java.lang.System', 'exit', 1)", "CACHE TABLE r", "VALUES (1); SELECT 2",
+    ):
+        with pytest.raises(ValueError, match="allowed|tables of the store"):
+            store.run_sql(spark, q, {"r": r})
+    ok = ("WITH t AS (SELECT * FROM r), u AS (SELECT * FROM t) SELECT * FROM u UNION ALL SELECT * FROM R ORDER BY 1;", "FROM r SELECT *", "VALUES (1), (2)", "SELECT * FROM r WHERE EXISTS (SELECT 1 FROM r x) GROUP BY ALL HAVING count(*) > 0", "SELECT k FROM range(2) t(k)")
+    assert [store.run_sql(spark, q, {"r": r}).count() for q in ok] == [2, 1, 2, 1, 2]
     assert store.check_schema({"r": r}, {"r": ["beta", "x"], "q": []}) == ["r has no column x", "table q is missing"]
 
 
