@@ -231,18 +231,20 @@ def times(t: Tiles, x: DataFrame, transposed: bool, width: int, change: np.ndarr
     return _summed(partial, to, (cols if transposed else rows, width))
 
 
-def gram(x: DataFrame, key: str, width: int) -> np.ndarray:
-    """x' x over all blocks: width x width numbers from each partition."""
+def grams(frame: DataFrame, pairs: list[tuple[str, str]], width: int) -> list[np.ndarray]:
+    """a' b over all blocks for each pair of columns: width x width numbers from each partition."""
+    names = sorted({c for pair in pairs for c in pair})
 
     def own(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros((width, width))
+        total = np.zeros((len(pairs), width, width))
         for b in batches:
-            for raw in b["x"]:
-                v = np.frombuffer(raw.as_buffer()).reshape(-1, width)
-                total += v.T @ v
+            for r in range(b.num_rows):
+                x = {c: np.frombuffer(b[c][r].as_buffer()).reshape(-1, width) for c in names}
+                total += [x[p].T @ x[q] for p, q in pairs]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
 
-    return sum((np.frombuffer(r["x"]).reshape(width, width) for r in x.mapInArrow(own, "x binary").toLocalIterator()), np.zeros((width, width)))
+    shape = (len(pairs), width, width)
+    return list(sum((np.frombuffer(r["x"]).reshape(shape) for r in frame.select(*names).mapInArrow(own, "x binary").toLocalIterator()), np.zeros(shape)))
 
 
 def blocks_from(values: Callable[[int], np.ndarray], spark, key: str, n: int) -> DataFrame:
@@ -273,17 +275,19 @@ def principal_components(t: Tiles, k: int = 10, more: int = 10, passes: int = 60
         good = value > value[-1] * 1e-14
         return u / np.sqrt(np.where(good, value, 1.0)) * good
 
-    before = None
+    before, (square,) = None, grams(y, [("x", "x")], width)
     for _ in range(passes):
-        change = orthonormal(gram(y, "bi", width))
-        x = written(times(t, y, True, width, change))
-        value, w = np.linalg.eigh(gram(x, "bk", width))
+        change = orthonormal(square)
+        held = written(y.withColumnRenamed("x", "q").join(times(t, times(t, y, True, width, change), False, width), "bi"))
+        square, inner = grams(held, [("x", "x"), ("q", "x")], width)
+        inner = change.T @ inner  # Q' Z Z' Q
+        value, w = np.linalg.eigh((inner + inner.T) / 2)
         value, w = value[::-1] / t.m, w[:, ::-1]
         if before is not None and np.abs(value[:k] - before).max() <= tolerance * max(value[0], 1e-300):
             break
-        before = value[:k]
-        y = written(times(t, x, False, width))
+        before, y = value[:k], held.select("bi", "x")
     keep = change @ w[:, :k] * np.sqrt(np.maximum(value[:k], 0.0))
+    y = held.select("bi", F.col("q").alias("x"))
 
     def spread(batches: Iterator[pa.RecordBatch]):
         for b in batches:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.special import erfc_sql
-from strandline.operators import assoc, bias, epistasis, finemap, flow, gene_tests, genotype, graph, intervals, ld_graph, met, mr, multivariate, prs, qc, rwr, simulate, store, structure, sumstats, sv
+from strandline.operators import assoc, bias, epistasis, finemap, flow, gene_tests, genotype, graph, intervals, ld_graph, met, mr, multivariate, prs, qc, rwr, simulate, store, structure, sumstats, sv, tiles
+from strandline.operators.lineage import cut
 from strandline.plans import panel as P
 from strandline.plans import sql as Q
 
@@ -621,6 +622,16 @@ def relationship_matrix(spark, d):
     return rounded(structure.grm(g, s))
 
 
+@query(Q.LEADING_COMPONENT)
+def leading_component(spark, d):
+    """The largest eigenvalue of the relationship matrix of all samples and its eigenvector."""
+    g, s, _ = base(spark, d)
+    g = cut(g)
+    t = tiles.genotype_tiles(g, s, structure.standard_variants(g, s.count(), 0.01, 0.99))
+    values, pcs = tiles.principal_components(t, 1, passes=25, tolerance=0.0)  # the SQL makes a fixed number of steps, too
+    return pcs.select("s", (F.round(F.col("pc")[0], 4) + 0.0).alias("pc"), F.lit(round(float(values[0]), 4)).alias("eigenvalue"))
+
+
 @query()
 def corrected_scan(spark, d):
     g, s, _ = base(spark, d)

@@ -244,6 +244,21 @@ ow AS (SELECT sample.s, coalesce(sum(x*c),0) AS xc FROM sample LEFT JOIN sd USIN
 SELECT p.s AS i, q.s AS j, round((coalesce(xx,0)-p.xc-q.xc+cc)/m,6) AS w FROM ow p JOIN ow q ON p.s<=q.s LEFT JOIN bo ON i=p.s AND j=q.s, tt"""
 
 
+def leading_component(rounds: int = 45) -> str:
+    """Power steps from a vector of remainders; products with the standardised genotypes by carriers and constants."""
+    out = """WITH fr AS MATERIALIZED (SELECT v, sum(g)/(2e0*(SELECT n FROM n)) AS af FROM genotype GROUP BY v HAVING sum(g)/(2e0*(SELECT n FROM n))>0.01 AND sum(g)/(2e0*(SELECT n FROM n))<0.99),
+sd AS MATERIALIZED (SELECT v, s, g/sqrt(2*af*(1-af)) AS x, 2*af/sqrt(2*af*(1-af)) AS c FROM genotype JOIN fr USING (v)), p0 AS MATERIALIZED (SELECT s, (s%7)-3e0 AS x, 1e0 AS size FROM sample)"""
+    for k in range(1, rounds + 1):
+        out += f""", u{k} AS MATERIALIZED (SELECT v, sum(sd.x*p.x)-any_value(c)*(SELECT sum(x) FROM p{k - 1}) AS u, any_value(c) AS c FROM sd JOIN p{k - 1} p USING (s) GROUP BY v),
+y{k} AS MATERIALIZED (SELECT sample.s, coalesce(sum(sd.x*u),0)-(SELECT sum(c*u) FROM u{k}) AS y FROM sample LEFT JOIN sd USING (s) LEFT JOIN u{k} USING (v) GROUP BY 1),
+p{k} AS MATERIALIZED (SELECT s, y/sqrt((SELECT sum(y*y) FROM y{k})) AS x, sqrt((SELECT sum(y*y) FROM y{k})) AS size FROM y{k})"""
+    return out + f""", w AS (SELECT s, x*sign((SELECT arg_max(x, abs(x)) FROM p{rounds})) AS x, size/(SELECT count(*) FROM fr) AS value FROM p{rounds})
+SELECT s, round(x*sqrt(value),4)+0e0 AS pc, round(value,4) AS eigenvalue FROM w"""
+
+
+LEADING_COMPONENT = leading_component()
+
+
 def evaluation(rounds: int = 10) -> str:
     """Newton's rounds of the logistic regression on the scaled score, each a row of sums."""
     out = """WITH w AS (SELECT s, is_case, CAST(coalesce(sum(g),0) AS DOUBLE) AS score FROM sample LEFT JOIN genotype USING (s) GROUP BY 1,2), st AS (SELECT avg(score) AS m, stddev_pop(score) AS d, quantile_cont(score,0.1) AS lo, quantile_cont(score,0.9) AS hi FROM w),
