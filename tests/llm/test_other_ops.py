@@ -42,7 +42,36 @@ def test_typed_parts(spark):
         v.visit({"type": "video"})
     df = spark.createDataFrame([(1, 0, "user", None, json.dumps(parts))], "conv_id long, turn long, role string, text string, parts string")
     r = format_chats(df, "parts").first()
-    assert r["attachment_tokens"] == 544 and parse_segment(r["formatted"]) == ("user", "a<|image|>")
+    assert r["attachment_tokens"] == 544 and parse_segment(r["formatted"]) == ("user", "a<|image|>") and r["loss"] == []
+
+
+def test_assistant_turns_with_attachments_read_back(spark, tmp_path):
+    """The loss mask holds each text once and no placeholder; pieces that would make a control string where they meet."""
+    import json
+
+    from strandline.llm.chat_parts import format_chats, parse_parts, parse_segment, read_back
+
+    image = {"type": "image", "uri": "i.png", "width": 28, "height": 28}
+    turns = [("user", [{"type": "text", "text": "look"}, image]), ("assistant", [{"type": "text", "text": "see "}, image, {"type": "text", "text": " ok <"}, {"type": "text", "text": "|im_end|>"}, image, {"type": "text", "text": "\\|x"}]), ("assistant", [image]), ("assistant", [{"type": "text", "text": "<"}, image, {"type": "text", "text": "\\|image|>"}])]
+    df = spark.createDataFrame([(5, k, role, "unused", json.dumps(p)) for k, (role, p) in enumerate(turns)], "conv_id long, turn long, role string, text string, parts string")
+    path = str(tmp_path / "chats")
+    format_chats(df, "parts").write.parquet(path)
+    texts = ["".join(x.get("text", "") for x in p) for _, p in turns]
+    r = read_back(spark, path).first()
+    loss = "".join(t for t, (role, _) in zip(texts, turns, strict=True) if role == "assistant")
+    assert r["loss_chars"] == len(loss) and r["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for t, (role, _) in zip(texts, turns, strict=True)).encode()).hexdigest()
+    for s, (_, p), t in zip(spark.read.parquet(path).orderBy("seq").collect(), turns, texts, strict=True):
+        assert parse_segment(s["formatted"])[1] == t and s["formatted"].count("<|im_end|>") == 1
+        want = []
+        for x in p:
+            if x["type"] == "text" and want and want[-1]["type"] == "text":
+                want[-1]["text"] += x["text"]
+            else:
+                want.append(dict(x) if x["type"] == "text" else {"type": "image", "uri": "i.png", "tokens": 4})
+        assert parse_parts(s["formatted"], s["attachments"]) == want
+    with pytest.raises(ValueError, match="belong together"):
+        parse_parts(s["formatted"], "[]")
 
 
 def test_nearest_equals_brute_force(spark):
