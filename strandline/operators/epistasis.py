@@ -14,7 +14,7 @@ from strandline.functions.special import fisher_p, poisson_p, t_p
 from strandline.operators.genotype import ld_pairs
 from strandline.operators.graph import adjacency, louvain
 from strandline.operators.lineage import cut, md5_number
-from strandline.operators.tiles import BITS, bit_blocks, blocks_of, pair_counts
+from strandline.operators.tiles import BITS, bit_blocks, blocks_of, carrier_lists, pair_counts, pair_sums
 
 
 def sliding_windows(variants: DataFrame, size: int = 1_000_000, step: int = 500_000) -> DataFrame:
@@ -108,17 +108,17 @@ def module_permutation(genotypes: DataFrame, samples: DataFrame, members: DataFr
 
 def interaction_moments(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame, covariates: tuple[str, ...] = ()) -> DataFrame:
     """Sums of 1, covariates, g1, g2, g1 g2 and y for given pairs over samples with a trait and all covariates; absent
-    genotypes are 0. Only carriers of both variants meet for a pair; the rest are sums of a variant or of the samples."""
+    genotypes are 0. What both variants carry is summed on blocks of samples, a few rows for a pair; the rest are sums of a
+    variant or of the samples."""
     cs = [f"c{k}" for k in range(len(covariates))]
     known = samples.dropna(subset=["y", *covariates]).select("s", "y", *[F.col(c).cast("double").alias(n) for c, n in zip(covariates, cs, strict=True)])
     plain = ["y", *cs]
     n = known.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in plain], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(plain) for b in plain[i:]]).first()
-    rows = genotypes.where("g > 0").join(known, "s").withColumn("g", F.col("g").cast("double")).select("v", "s", "g", *plain)
+    rows = cut(genotypes.where("g > 0").join(known, "s").withColumn("g", F.col("g").cast("double")).select("v", "s", "g", *plain))
     one = rows.groupBy("v").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"), *[F.sum(F.col("g") * F.col(c)).alias(f"g{c}") for c in plain])
-    a, b = rows.select(F.col("v").alias("v1"), "s", F.col("g").alias("g1"), *plain), rows.select(F.col("v").alias("v2"), "s", F.col("g").alias("g2"))
-    x = F.col("g1") * F.col("g2")
-    sums = [F.sum(x).alias("x"), F.sum(x * x).alias("xx"), F.sum(x * F.col("g1")).alias("xg1"), F.sum(x * F.col("g2")).alias("xg2"), *[F.sum(x * F.col(c)).alias(f"x{c}") for c in plain]]
-    both = pairs.select("v1", "v2").join(a, "v1").join(b, ["v2", "s"]).groupBy("v1", "v2").agg(*sums)
+    at, _, bits = blocks_of(known, "s", BITS)
+    held = cut(bit_blocks(rows, at, bits, {"c": F.col("g") > 0, "d": F.col("g") == 2}))
+    both = pair_sums(pairs, carrier_lists(rows, at, plain), held, plain)
     for k in ("1", "2"):
         both = both.join(one.select(F.col("v").alias(f"v{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("g", "gg", *[f"g{c}" for c in plain])]), f"v{k}")
     return both.withColumns({c: F.lit(float(n[c] or 0.0) if c != "n" else n[c]) for c in n.asDict()})

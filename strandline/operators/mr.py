@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.special import normal_two_sided
-from strandline.operators.graph import connected_components, symmetric
+from strandline.operators.greedy import independent
 from strandline.operators.lineage import cut
 
 
@@ -23,21 +23,7 @@ def select_instruments(exposure: DataFrame, outcome: DataFrame, ld: DataFrame |
         return both
     ids = both.select("v")
     near = ld.where(F.col("r2") >= r2_threshold).join(ids.withColumnRenamed("v", "v1"), "v1", "left_semi").join(ids.withColumnRenamed("v", "v2"), "v2", "left_semi")
-    tree = connected_components(near.select(F.col("v1").alias("a"), F.col("v2").alias("b")))
-    links = symmetric(near, "v1", "v2").groupBy("a").agg(F.collect_set("b").alias("linked"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, gone = [], set()
-        for r in pdf.sort_values(["px", "v"]).itertuples():
-            if r.v not in gone:
-                kept.append(r.Index)
-                gone.update(r.linked)
-        return pdf.loc[kept].drop(columns=["linked", "component"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema)
-    rows = both.join(tree, F.col("v") == F.col("node"), "left").drop("node")
-    some = rows.where("component IS NOT NULL").join(links, F.col("v") == F.col("a")).drop("a")  # a component of linked variants is a group
-    return rows.where("component IS NULL").drop("component").unionByName(some.groupBy("component").applyInPandas(run, schema))
+    return independent(both, near.select(F.col("v1").alias("a"), F.col("v2").alias("b")), ["px"])
 
 
 def ivw(instruments: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from strandline.functions.special import normal_isf, normal_two_sided
+from strandline.operators.greedy import apart
 from strandline.operators.intervals import interval_join
 
 KEY = ["chr", "pos", "ref", "alt"]
@@ -73,22 +73,8 @@ def pleiotropy(traits: dict[str, DataFrame], p_threshold: float = 5e-8, key: lis
 def clump(df: DataFrame, distance: int = 500_000) -> DataFrame:
     """Lead variants: by ascending p, each takes the ones within distance; greedy. Adds rank, by p within a chromosome.
 
-    Chromosomes are cut at gaps wider than distance, which no lead reaches across; each piece is one group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leads: list = []  # sorted positions
-        kept = []
-        for r in pdf.sort_values(["pval", "pos"]).itertuples():
-            k = bisect_left(leads, r.pos - distance)
-            if k == len(leads) or leads[k] > r.pos + distance:
-                insort(leads, r.pos)
-                kept.append(r.Index)
-        return pdf.loc[kept].drop(columns="_piece")
-
-    order = Window.partitionBy("chr").orderBy("pos")
-    pieces = df.withColumn("_far", (F.col("pos") - F.lag("pos").over(order) > distance).cast("int")).withColumn("_piece", F.sum(F.coalesce("_far", F.lit(0))).over(order)).drop("_far")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    leads = pieces.groupBy("chr", "_piece").applyInPandas(run, schema)
+    Found in rounds over the whole genome: a chromosome without gaps is no group."""
+    leads = apart(df, distance, ["pval"])
     return leads.withColumn("rank", F.row_number().over(Window.partitionBy("chr").orderBy("pval", "pos")))
 
 

@@ -95,6 +95,45 @@ def pair_counts(pairs: DataFrame, blocks: DataFrame, products: dict[str, tuple[s
     return each.groupBy("v1", "v2").agg(*[F.sum(p).alias(p) for p in products])
 
 
+def carrier_lists(rows: DataFrame, at: DataFrame, values: list[str]) -> DataFrame:
+    """(v, b, o, g, a list for each value) of the carriers of rows (v, s, g, values): the lists of a block stand in one order."""
+    held = rows.where("g > 0").join(at, "s").select("v", "b", F.struct("o", F.col("g").cast("int").alias("g"), *[F.col(c).cast("double").alias(c) for c in values]).alias("x"))
+    held = held.groupBy("v", "b").agg(F.collect_list("x").alias("x"))
+    return held.select("v", "b", *[F.col(f"x.{c}").alias(c) for c in ("o", "g", *values)])
+
+
+def pair_sums(pairs: DataFrame, carriers: DataFrame, blocks: DataFrame, values: list[str]) -> DataFrame:
+    """(v1, v2, x, xx, xg1, xg2, and x times each value) of pairs that share a carrier, x = g1 g2: sums over shared carriers.
+
+    carriers: carrier_lists() of v1's side; blocks: bitmaps c (carried) and d (carried twice). A pair's rows are its shared
+    blocks; the second variant's dosages are looked up in its bitmaps at the first one's carriers."""
+    kind = pairs.schema["v1"].dataType.simpleString()
+    names = ["x", "xx", "xg1", "xg2", *[f"x{c}" for c in values]]
+    left = carriers.withColumnRenamed("v", "v1")
+    met = pairs.select("v1", "v2").join(left, "v1").join(blocks.select(F.col("v").alias("v2"), "b", "c", "d"), ["v2", "b"])
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                place, g1 = part["o"].flatten().to_numpy(), part["g"].flatten().to_numpy().astype(float)
+                row = np.repeat(np.arange(part.num_rows), np.diff(part["o"].offsets.to_numpy()))
+                g2 = np.zeros(len(row))
+                for plane in ("c", "d"):
+                    raw = part[plane].to_pylist()
+                    width = max((len(x) for x in raw if x is not None), default=0)
+                    if width:
+                        bits = np.frombuffer(b"".join(x if x is not None else bytes(width) for x in raw), np.uint8)
+                        g2 += bits[row * width + (place >> 3)] >> (place & 7) & 1
+                x = g1 * g2
+                total = lambda w: pa.array(np.bincount(row, w, part.num_rows).astype(float))  # noqa: E731, B023
+                made = [total(w) for w in (x, x * x, x * g1, x * g2, *[x * part[c].flatten().to_numpy() for c in values])]
+                yield pa.RecordBatch.from_arrays([part["v1"], part["v2"], *made], ["v1", "v2", *names])
+
+    each = met.mapInArrow(add, f"v1 {kind}, v2 {kind}, " + ", ".join(f"{c} double" for c in names))
+    return each.groupBy("v1", "v2").agg(*[F.sum(c).alias(c) for c in names]).where("x > 0")
+
+
 # ---- tiles
 
 
