@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.intervals import undirected
+from strandline.sources.block_gzip import BlockGzipTable, is_block_gzip
 
 MISSING = ("", "NA", "NaN", "nan", ".")
 
@@ -32,11 +33,22 @@ def _tsv(spark: SparkSession, path: str, header: bool = True, sep: str = "\t") -
     return spark.read.option("header", header).option("sep", sep).option("quote", "").csv(path)
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated table with a header; `.bgz` is block-gzipped, which is gzip by content.
+def _table(spark: SparkSession, path: str, region: tuple[str, int, int] | None = None) -> DataFrame:
+    """A tab-separated table with a header, or its rows of a region (chr, start, end) by columns chr and pos.
 
-    Hadoop picks codecs by name, so `.bgz` files come as whole values (2 GB each at most), one task for each file, and are
-    unpacked as a stream."""
+    `.bgz` files of blocks are read in splits, regions by the `.tbi` beside them (block_gzip.py). Those that are gzip in one
+    piece, or on a file system that only Hadoop reads, come as whole values (2 GB each at most), a task for each."""
+    if path.endswith(".bgz") and is_block_gzip(path):
+        spark.dataSource.register(BlockGzipTable)
+        reader = spark.read.format(BlockGzipTable.name())
+        return (reader.option("region", "{}:{}-{}".format(*region)) if region else reader).load(path)
+    raw = _whole_table(spark, path)
+    if region is None:
+        return raw
+    return raw.where((F.regexp_replace("chr", "^chr", "") == region[0].removeprefix("chr")) & F.col("pos").cast("long").between(region[1], region[2]))
+
+
+def _whole_table(spark: SparkSession, path: str) -> DataFrame:
     if not path.endswith(".bgz"):
         return _tsv(spark, path)
 
@@ -149,7 +161,7 @@ def panukb(spark: SparkSession, path: str, ancestry: str = "EUR", p_threshold: f
 
 def panukb_locus(spark: SparkSession, path: str, chr: str, start: int, end: int, ancestries: tuple[str, ...] = ("EUR", "CSA", "AFR", "EAS")) -> DataFrame:
     """(ancestry, variant_id, chr, pos, beta, se, z) of a region, one row for each ancestry that has numbers."""
-    raw = _table(spark, path).where((F.col("chr") == chr) & F.col("pos").cast("long").between(start, end))
+    raw = _table(spark, path, (chr, start, end))
     held = [a for a in ancestries if f"beta_{a}" in raw.columns]
     cells = F.array(*[F.struct(F.lit(a).alias("ancestry"), number(f"beta_{a}").alias("beta"), number(f"se_{a}").alias("se")) for a in held])
     out = raw.select("chr", F.col("pos").cast("long").alias("pos"), "ref", "alt", F.explode(cells).alias("c")).select("c.ancestry", F.concat_ws(":", "chr", "pos", "ref", "alt").alias("variant_id"), "chr", "pos", "c.beta", "c.se")
