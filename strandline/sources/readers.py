@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import io
-import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators.intervals import undirected
+from strandline.sources.bgen_source import BGEN, BgenVariants, bgen_batches, bgen_head, readable
 from strandline.sources.block_gzip import BlockGzipTable, is_block_gzip
 
 MISSING = ("", "NA", "NaN", "nan", ".")
@@ -280,92 +279,27 @@ def ld_slice(ld: DataFrame, variants: DataFrame, chr: str, start: int, end: int,
     return out.withColumn("r2", F.col("r") * F.col("r")).where(F.col("r2") >= r2_min).select("v1", "v2", "r", "r2")
 
 
-def _bgen_head(raw) -> tuple[int, int, int, list[str]]:
-    """Where variants begin, their number, the compression and the sample ids of a layout-2 file."""
-    offset, size, variants, samples = struct.unpack_from("<4I", raw, 0)
-    if bytes(raw[16:20]) not in (b"bgen", b"\0\0\0\0"):
-        raise ValueError("not a BGEN file")
-    flags = struct.unpack_from("<I", raw, size)[0]
-    if flags >> 2 & 15 != 2:
-        raise ValueError("only layout 2 of BGEN is read")
-    ids, at = [], 4 + size
-    if flags >> 31:
-        at += 8
-        for _ in range(samples):
-            n = struct.unpack_from("<H", raw, at)[0]
-            ids.append(bytes(raw[at + 2 : at + 2 + n]).decode())
-            at += 2 + n
-    return offset + 4, variants, flags & 3, ids or [str(k) for k in range(samples)]
-
-
-def _dosages(data: bytes) -> np.ndarray:
-    """Expected copies of the second allele of two, NaN where missing; diploid samples, phased or not."""
-    n, alleles, _, top = struct.unpack_from("<IHBB", data, 0)
-    ploidy = np.frombuffer(data, np.uint8, n, 8)
-    phased, bits = data[8 + n], data[9 + n]
-    if alleles != 2 or top != 2 or ((ploidy & 63) != 2).any():
-        raise ValueError("only diploid samples and two alleles are read")
-    if bits in (8, 16, 32):
-        p = np.frombuffer(data, f"<u{bits // 8}", 2 * n, 10 + n).astype(np.float64)
-    else:
-        every = np.unpackbits(np.frombuffer(data, np.uint8, -1, 10 + n), bitorder="little")[: 2 * n * bits]
-        p = every.reshape(2 * n, bits) @ (2.0 ** np.arange(bits))
-    p = p.reshape(n, 2) / ((1 << bits) - 1)
-    out = 2 - p.sum(1) if phased else p[:, 1] + 2 * (1 - p.sum(1))
-    out[ploidy >> 7 == 1] = np.nan
-    return out
-
-
-BGEN = "variant_id string, rsid string, chr string, pos long, ref string, alt string, sample array<string>, dosage array<float>"
-
-
 def bgen(spark: SparkSession, path: str, chr: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Variants of BGEN files (layout 2, zlib, zstandard or no compression; path may be a glob) with all samples' dosages of
+    """Variants of BGEN files (layout 2, zlib, zstandard or no compression; path may be a pattern) with all samples' dosages of
     the second allele, null where missing; variants of other than two alleles are left out.
 
-    A file is a value of at most 2 GB and one task: give one for each chromosome or piece of one. Blocks outside of the
-    region are passed over without unpacking."""
+    Files are read in splits (bgen_source.py), regions by the `.bgi` beside them. On a file system that only Hadoop reads a
+    file is a value of at most 2 GB and one task; variants outside of the region are passed over without unpacking."""
+    if readable(path):
+        spark.dataSource.register(BgenVariants)
+        options = {k: str(v) for k, v in (("chr", chr), ("start", start), ("end", end)) if v is not None}
+        return spark.read.format(BgenVariants.name()).options(**options).load(path)
 
     def run(batches):
         for b in batches:
             for value in b["content"]:
                 raw = memoryview(value.as_buffer())
-                at, count, packing, ids = _bgen_head(raw)
-                rows: list = []
-                for _ in range(count):
-                    words = []
-                    for _ in range(3):
-                        n = struct.unpack_from("<H", raw, at)[0]
-                        words.append(bytes(raw[at + 2 : at + 2 + n]).decode())
-                        at += 2 + n
-                    pos, k = struct.unpack_from("<IH", raw, at)
-                    at, alleles = at + 6, []
-                    for _ in range(k):
-                        n = struct.unpack_from("<I", raw, at)[0]
-                        alleles.append(bytes(raw[at + 4 : at + 4 + n]).decode())
-                        at += 4 + n
-                    size = struct.unpack_from("<I", raw, at)[0]
-                    data, at = raw[at + 4 : at + 4 + size], at + 4 + size
-                    name = words[2].removeprefix("chr")
-                    if k != 2 or chr is not None and name != chr.removeprefix("chr") or start is not None and pos < start or end is not None and pos > end:
-                        continue
-                    unpacked = bytes(data) if packing == 0 else zlib.decompress(data[4:]) if packing == 1 else zstandard.ZstdDecompressor().decompress(bytes(data[4:]))
-                    d = _dosages(unpacked)
-                    rows.append((f"chr{name}:{pos}:{alleles[0]}:{alleles[1]}", words[1], words[2], pos, alleles[0], alleles[1], ids, [None if x != x else float(x) for x in d]))
-                    if len(rows) * len(ids) > 1_000_000:
-                        yield _bgen_rows(rows)
-                        rows = []
-                if rows:
-                    yield _bgen_rows(rows)
+                at, count, packing, ids = bgen_head(raw)
+                yield from bgen_batches(raw, at, count, packing, ids, chr, start, end)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, BGEN)
 
 
-def _bgen_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.float32())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in BGEN.split(", ")])
-
-
 def dosage_rows(variants: DataFrame, hard_calls: bool = False) -> DataFrame:
     """(v, s, g) of bgen(): the sparse form of the operators; zeros go, missing stays null. hard_calls: nearest whole dosage."""
     cells = variants.select(F.col("variant_id").alias("v"), F.explode(F.arrays_zip("sample", "dosage")).alias("c")).select("v", F.col("c.sample").alias("s"), F.col("c.dosage").cast("double").alias("g"))

@@ -201,6 +201,45 @@ def test_bgen_round_trip(spark, tmp_path, packing, bits, phased):
         bgen(spark, str(tmp_path / "bad.bgen")).collect()
 
 
+def test_bgen_splits_and_index(spark, tmp_path):
+    """Splits of every size give the same rows; with an index only the region's bytes are read."""
+    import sqlite3
+
+    from strandline.sources.bgen_source import BgenVariants, bgen_head, passed_over
+    from strandline.sources.readers import bgen
+
+    rng = np.random.default_rng(9)
+    samples = [f"s{k}" for k in range(11)]
+    variants = [("22" if k % 3 else "chr2", 10 * k, ["A", "G" * (1 + 700 * (k == 5))], rng.dirichlet([1, 1, 1], 11)[:, :2], np.zeros(11, bool)) for k in range(60)]
+    raw = bgen_bytes(variants, samples, 1, 8, 0)
+    path = tmp_path / "x.bgen"
+    path.write_bytes(raw)
+    spark.dataSource.register(BgenVariants)
+    read = lambda **o: spark.read.format("bgen_variants").options(**o).load(str(path))
+    key = lambda df: sorted((r["chr"], r["pos"], tuple(r["dosage"])) for r in df.collect())
+    whole = key(read())
+    assert len(whole) == 60 and read().rdd.getNumPartitions() == 1
+    for split in (1, 500):
+        assert key(read(split_bytes=split)) == whole and read(split_bytes=split).rdd.getNumPartitions() > 8
+    wanted = [x for x in whole if x[0] == "22" and 100 <= x[1] <= 300]
+    assert key(bgen(spark, str(path), "chr22", 100, 300)) == wanted and len(wanted) == 14
+    first, count, *_ = bgen_head(raw)
+    with path.open("rb") as f:
+        places = list(passed_over(f, first, count))
+    db = sqlite3.connect(tmp_path / "x.bgen.bgi")
+    db.execute("CREATE TABLE Variant (chromosome TEXT, position INT, rsid TEXT, number_of_alleles INT, allele1 TEXT, allele2 TEXT, file_start_position INT, size_in_bytes INT)")
+    db.executemany("INSERT INTO Variant VALUES (?, ?, ?, 2, ?, ?, ?, ?)", [(c, p, f"rs{p}", a[0], a[1], *place) for (c, p, a, *_), place in zip(variants, places)])
+    db.commit()
+    db.close()
+    broken = bytearray(raw)
+    for (c, p, *_), (at, size) in zip(variants, places):
+        if c != "22" or not 100 <= p <= 300:
+            broken[at : at + size] = bytes(size)
+    path.write_bytes(broken)
+    assert key(bgen(spark, str(path), "22", 100, 300)) == wanted
+    assert bgen(spark, str(path), "7").count() == 0
+
+
 def test_block_gzip(spark, tmp_path):
     from strandline.sources.readers import panukb, phenotype_manifest
 
