@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import adjacency, betweenness, connected_components, louvain
+from strandline.operators.graph import adjacency, connected_components, louvain, path_betweenness
 
 
 def dimensions(obs: DataFrame, covariates: list[str] = ()) -> dict[str, DataFrame]:
@@ -82,11 +82,10 @@ def design(obs: DataFrame) -> dict[str, DataFrame]:
     parts = connected_components(cells.select(F.concat(F.lit("g:"), "genotype").alias("a"), F.concat(F.lit("e:"), "environment").alias("b")).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
     near = cells.join(cells.select("genotype", F.col("environment").alias("e2")), "genotype").where("environment < e2").groupBy("environment", "e2").agg(F.count("*").cast("double").alias("w"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        score = betweenness(adjacency(pdf[["environment", "e2", "w"]].itertuples(index=False)))
-        return pd.DataFrame({"environment": list(score), "betweenness": list(score.values())})
-
-    return {"balance": balance, "components": parts.agg(F.count_distinct("component").alias("n_components")), "betweenness": near.groupBy(F.lit(1).alias("one")).applyInPandas(run, "environment string, betweenness double")}
+    through = path_betweenness(near.select(F.col("environment").alias("a"), F.col("e2").alias("b")))
+    n = through.count()
+    score = through.select(F.col("node").alias("environment"), (F.col("paths_through") / max((n - 1) * (n - 2), 1)).alias("betweenness"))
+    return {"balance": balance, "components": parts.agg(F.count_distinct("component").alias("n_components")), "betweenness": score}
 
 
 def impute(obs: DataFrame, genotype, environment, k_neighbors: int = 10, min_shared: int = 3) -> DataFrame:

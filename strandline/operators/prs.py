@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.graph import adjacency, betweenness, connected_components
+from strandline.operators.graph import connected_components, path_betweenness
 from strandline.operators.greedy import independent
 
 
@@ -20,25 +19,17 @@ def classical(genotypes: DataFrame, weights: DataFrame, samples: DataFrame, p_th
 
 def prune(weights: DataFrame, ld: DataFrame, p_threshold: float = 5e-8, r2_threshold: float = 0.2, method: str = "centrality") -> DataFrame:
     """weights of one variant for each component of the linkage graph (highest betweenness, ties by p then v), or of a
-    maximal independent set by ascending p, found in rounds. Components are found set at a time; for centrality each then is
-    one group."""
+    maximal independent set by ascending p. Both are found in rounds of joins; no component is a group."""
     w = weights.where(F.col("p_value") < p_threshold)
     ids = w.select("v")
     edges = ld.where(F.col("r2") >= r2_threshold).join(ids.select(F.col("v").alias("v1")), "v1").join(ids.select(F.col("v").alias("v2")), "v2").select(F.col("v1").alias("a"), F.col("v2").alias("b"))
     if method != "centrality":
         return independent(w, edges, ["p_value"])
     tree = connected_components(edges)
-    linked = edges.groupBy("a").agg(F.collect_list("b").alias("near")).select(F.col("a").alias("v"), "near")
-    rows = w.join(tree, F.col("v") == F.col("node"), "left").withColumn("component", F.coalesce("component", "v")).drop("node").join(linked, "v", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = adjacency((v, u, 1.0) for v, near in zip(pdf["v"], pdf["near"], strict=True) if near is not None for u in near)
-        by_p = pdf.sort_values(["p_value", "v"])["v"].tolist()
-        score = betweenness(g) if len(g) > 2 else {}
-        kept = max(by_p, key=lambda v: (score.get(v, 0.0), -by_p.index(v)))
-        return pdf[pdf["v"] == kept].drop(columns=["near", "component"])
-
-    return rows.groupBy("component").applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in w.select(*[c for c in rows.columns if c not in ("near", "component")]).schema))
+    through = path_betweenness(edges).select(F.col("node").alias("v"), F.round("paths_through", 9).alias("through"))
+    rows = w.join(tree, F.col("v") == F.col("node"), "left").join(through, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    best = rows.groupBy("component").agg(F.min_by("v", F.struct(-F.coalesce("through", F.lit(0.0)), F.col("p_value"), F.col("v"))).alias("v"))
+    return w.join(best.select("v"), "v", "left_semi")
 
 
 def by_pathway(genotypes: DataFrame, weights: DataFrame, variant_pathway: DataFrame, p_threshold: float = 1e-5) -> DataFrame:

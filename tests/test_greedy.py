@@ -1,4 +1,4 @@
-"""Greedy selections in rounds against the loop."""
+"""Greedy selections and betweenness in rounds against the loop."""
 
 import random
 
@@ -42,3 +42,21 @@ def test_apart_equals_the_loop(spark, distance):
             kept.append((c, pos, p))
     assert got == sorted(x for x in kept if x[2] is not None)
     assert apart(df, distance, ["pval"]).count() == len(kept) and apart(df.limit(0), 5, ["pval"]).columns == df.columns
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "star", "two", "none"])
+def test_path_betweenness_equals_the_loop(spark, kind):
+    from strandline.operators.graph import adjacency, betweenness, path_betweenness
+
+    rng = random.Random(4)
+    edges = {
+        "random": [(rng.randrange(30), rng.randrange(30)) for _ in range(45)] + [(40, 41), (41, 42), (3, 3), (42, 41)],
+        "path": [(k, k + 1) for k in range(9)],
+        "star": [(0, k) for k in range(1, 40)] + [(50, 51)],
+        "two": [(1, 2)],
+        "none": [(1, 1)],
+    }[kind]
+    want = betweenness(adjacency((a, b, 1.0) for a, b in edges))
+    n = len(want)
+    got = {r["node"]: r["paths_through"] for r in path_betweenness(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == set(want) and all(got[v] == pytest.approx(x * max((n - 1) * (n - 2), 1), abs=1e-9) for v, x in want.items())
