@@ -31,17 +31,21 @@ PLACES = 8
 
 
 def whole_weights(sizes: dict[str, int], targets: dict[str, float] | None, power: float, whole: int = WHOLE) -> dict[str, int]:
-    """Weights in 1/whole by source, at least 1, their sum whole: each less than 1 from the target but the largest, which
-    takes the rest.
+    """Weights in 1/whole by source, at least 1, their sum whole: each less than 1 from the target, by largest remainders; the
+    largest also gives what sources below 1 take. So over t slots a source is at most t / whole blocks from its target, besides
+    what the schedule itself deviates.
 
     targets: weights by source, others the least of them; default n ** power of each source."""
     least = min(targets.values()) if targets else 0
     raw = {s: Fraction(float(targets.get(s, least) if targets is not None else n**power)) for s, n in sorted(sizes.items())}
     total = sum(raw.values())
-    out = {s: max(1, int(x * whole / total)) for s, x in raw.items()}
-    if out:
-        top = max(out, key=out.get)
-        out[top] += whole - sum(out.values())
+    exact = {s: x * whole / total for s, x in raw.items()}
+    out = {s: max(1, int(x)) for s, x in exact.items()}
+    left = whole - sum(out.values())
+    for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[: max(left, 0)]:
+        out[s] += 1
+    if left < 0:
+        out[max(out, key=out.get)] += left
     return out
 
 

@@ -256,6 +256,23 @@ def test_pfair_deviation_with_uneven_weights(spark):
         mix_pfair.schedule(spark, {"a": mix_pfair.WHOLE - 1, "b": 1}, mix_pfair.WHOLE, {"a": 1, "b": 4})
 
 
+def test_weights_are_dealt_by_largest_remainders():
+    """No source is a unit away from its target, however many there are; so 2e8 slots are not a tenth of a block."""
+    import random
+    from fractions import Fraction
+
+    from strandline.llm.mix_pfair import WHOLE, whole_weights
+
+    rng = random.Random(3)
+    for n in (1, 20, 20_000):
+        sizes = {f"s{k}": int(rng.expovariate(1) ** 2 * 1e6) + 1000 for k in range(n)}
+        w, raw = whole_weights(sizes, None, 1.0), {s: Fraction(x) for s, x in sizes.items()}
+        total = sum(raw.values())
+        assert sum(w.values()) == WHOLE and all(abs(w[s] - x * WHOLE / total) < 1 for s, x in raw.items())
+    tiny = whole_weights({"a": 1, "b": 1, "c": 1}, {"a": 1.0, "b": 1e-15, "c": 1e-15}, 1.0)
+    assert tiny == {"a": WHOLE - 2, "b": 1, "c": 1} and whole_weights({}, None, 1.0) == {}
+
+
 def test_pfair_follows_the_targets_over_many_frames(spark):
     from strandline.llm.mix_pfair import mix
 
