@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--data", required=True, help="folder of the tables")
     p.add_argument("--out", required=True)
     p.add_argument("--phenotypes", help="out/cases of jobs.note_phenotypes; names by note_phenotypes of the configuration")
-    p.add_argument("--config", help="JSON; default: the one beside this file")
+    p.add_argument("--config", help="TOML; default: the one beside this file")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = session("association_release")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import tomllib
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -14,12 +15,12 @@ log = logging.getLogger("strandline.jobs")
 
 def shipped_config(name: str) -> dict:
     """The configuration beside the job's file."""
-    return json.loads(Path(__file__).with_name(f"{name}.json").read_text())
+    return tomllib.loads(Path(__file__).with_name(f"{name}.toml").read_text())
 
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """A configuration anywhere that Spark reads."""
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    return tomllib.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

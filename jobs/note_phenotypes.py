@@ -85,7 +85,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--notes", required=True, help="folder of Parquet files of notes, or a pattern")
     p.add_argument("--out", required=True)
     p.add_argument("--checkpoint", help="default: checkpoint under --out")
-    p.add_argument("--config", help="JSON; default: the one beside this file")
+    p.add_argument("--config", help="TOML; default: the one beside this file")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = session("note_phenotypes")

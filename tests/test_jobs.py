@@ -99,14 +99,13 @@ def test_release_replaces_its_own_partitions(spark, tmp_path):
 
 def test_command_lines(tmp_path):
     """Each job as a process of its own, twice, with a configuration in a file."""
-    import json
     import subprocess
     import sys
     from pathlib import Path
 
     here = Path(__file__).parent.parent
-    c = tmp_path / "c.json"
-    c.write_text(json.dumps(config(phenotypes={"er": ["er"]})))
+    c = tmp_path / "c.toml"
+    c.write_text((here / "jobs" / "note_phenotypes.toml").read_text().partition("[phenotypes]")[0] + '[phenotypes]\ner = ["er"]\n')
     cmd = [sys.executable, "-m", "jobs.note_phenotypes", "--notes", f"{DATA}/document[s].parquet", "--out", str(tmp_path / "o"), "--config", str(c)]
     said = [subprocess.run(cmd, cwd=here, check=True, capture_output=True, text=True).stderr for _ in range(2)]
     assert "read 200 new notes" in said[0] and "read 0 new notes" in said[1] and "cases/phenotype=er" in said[1]
