@@ -10,8 +10,9 @@ ids, so that copies crowd out nobody.
 The window is a share of the blocks (WINDOW) on each side. Directions that carry no structure, such as independent
 normal components, leave no ordering a better choice: their recall is bought by the share that is scored, and the cost of
 a query grows with the table. Clustered vectors can do with fewer and narrower windows; both are parameters. Blocks are as
-many as keep them at BLOCK_ROWS rows, but no more than BLOCKS until they reach WIDEST rows: a query is copied to a number of
-blocks that does not grow with the table before that, and the driver holds a bound for each WIDEST rows of a large one.
+many as keep them at BLOCK_ROWS rows, but no more than BLOCKS until they reach WIDEST rows: before that a query is copied to
+three blocks of a curve at most, whatever the table, and the driver holds a bound for each WIDEST rows of a large one. Vectors
+of floats travel as floats and are multiplied as doubles.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import stage
 
-CURVES, DIMS, BITS, BLOCK_ROWS, WINDOW = 16, 6, 10, 256, 0.03
-BLOCKS, WIDEST = 200, 1 << 15
+CURVES, DIMS, BITS, BLOCK_ROWS, WINDOW = 12, 6, 10, 256, 0.046
+BLOCKS, WIDEST = 32, 1 << 15
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -77,6 +78,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
     that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids; vectors of different
     lengths do not meet. Repeated rows count as one. Empty tables give no row; other columns are left out."""
     spark = rows.sparkSession
+    single = all(df.schema["embedding"].dataType.elementType.typeName() == "float" for df in (queries, rows))
+    kind = "<f4" if single else "<f8"
 
     def valid(batches):
         for b in batches:
@@ -87,7 +90,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
                 x = np.asarray(v, np.float64) + 0.0
                 if np.isfinite(x).all() and x.any():
                     ids.append(i)
-                    out.append(x.astype("<f8").tobytes())
+                    out.append(x.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
     def clean(df):
@@ -99,7 +102,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
     asked = stage(clean(queries).select("vec_id", "h").distinct(), "ann-queries")
     total = table.count()
     blocks = max(1, min(-(-total // block_rows), BLOCKS), -(-total // WIDEST))
-    sides = max(1, math.ceil(window * blocks))
+    sides = max(1, round(window * blocks))
 
     def keys(batches):
         for b in batches:
@@ -107,7 +110,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
             for n, v in enumerate(vecs):
                 place.setdefault(len(v), []).append(n)
             for size, at in place.items():
-                x = np.array([np.frombuffer(vecs[n], "<f8") for n in at])
+                x = np.array([np.frombuffer(vecs[n], kind) for n in at], np.float64)
                 for c, key in enumerate(curve_keys(x, curves)):
                     yield pa.RecordBatch.from_arrays([pa.array([c + (size << 16)] * len(at), pa.int64()), pa.array(key), pa.array(b["h"].to_numpy()[at])], ["curve", "key", "h"])
 
@@ -138,7 +141,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 20, curves: int = CURV
         def answer():
             if not rows_ or not ask:
                 return None
-            x, q = np.array([np.frombuffer(v, "<f8") for v in rows_]), np.array([np.frombuffer(v, "<f8") for v in ask])
+            x, q = (np.frombuffer(b"".join(vs), kind).reshape(len(vs), -1).astype(np.float64) for vs in (rows_, ask))
             take = min(len(x), k + 1)
             out = []
             step = max(1, 4_000_000 // len(x))  # 32 MB of scores at once
