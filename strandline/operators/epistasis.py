@@ -79,7 +79,7 @@ def module_permutation(genotypes: DataFrame, samples: DataFrame, members: DataFr
 
     A module's carriers are one group; each draw has its own seed."""
     n_case, n_ctrl = _sizes(samples)
-    rows = genotypes.where("g > 0").join(members, "v").join(samples.select("s", "is_case"), "s")
+    rows = genotypes.where("g > 0").join(members, "v").join(samples.where("is_case IS NOT NULL").select("s", "is_case"), "s")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         who, vs = pd.factorize(pdf["s"])[0], pd.factorize(pdf["v"])[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+    """df with its rank, from 1, in the order of the columns: ranks within range partitions, plus the rows of those before.
+
+    The one window over all is over a row for each partition. Rows alike in all columns are ranked in some order."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    local = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("_at")))
+    return local.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_before") + F.col("_k")).select(*df.columns, name)
+
+
 def md5_number(*parts: Column, digits: int = 13) -> Column:
     """The first hexadecimal digits of md5 of the parts joined by `:`, as a number: the same in Spark and SQL."""
     text = F.concat_ws(":", *[x.cast("string") for x in parts])

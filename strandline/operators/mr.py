@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.special import normal_two_sided
 from strandline.operators.greedy import independent
-from strandline.operators.lineage import cut
+from strandline.operators.lineage import cut, ranked
 
 
 def select_instruments(exposure: DataFrame, outcome: DataFrame, ld: DataFrame | None = None, p_threshold: float = 5e-8, r2_threshold: float = 0.01) -> DataFrame:
@@ -110,15 +110,13 @@ def weighted_median_se(instruments: DataFrame, draws: int = 1000, seed: int = 42
 
 def pleiotropy_classes(instruments: DataFrame, variant_pathway: DataFrame) -> DataFrame:
     """(v, status): valid, pleiotropic or unknown by pathways outside those of the top third by |bx|/sx."""
-    ranked = instruments.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(F.abs(F.col("bx")) / F.col("sx")), "v")))
-    n = instruments.count()
-    top = max(1, math.ceil(n / 3))
-    paths = variant_pathway.groupBy("v").agg(F.collect_set("pathway").alias("p"))
-    rows = ranked.join(paths, "v", "left")
-    core = rows.where(F.col("_r") <= top).agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("p", F.array().cast("array<string>"))))).alias("c")).first()["c"] or []
-    known = F.array(*[F.lit(x) for x in core]).cast("array<string>") if core else F.array().cast("array<string>")
-    outside = F.size(F.array_except("p", known))
-    return rows.select("v", F.when(F.col("p").isNull(), "unknown").when(outside > 0, "pleiotropic").otherwise("valid").alias("status"))
+    strength = ranked(instruments.withColumn("_x", -F.abs(F.col("bx")) / F.col("sx")), "_x", "v", name="_r")
+    top = max(1, math.ceil(instruments.count() / 3))
+    paths = variant_pathway.select("v", "pathway").distinct()
+    core = paths.join(strength.where(F.col("_r") <= top).select("v"), "v", "left_semi").select("pathway").distinct()
+    outside = paths.join(core, "pathway", "left_anti").select("v").distinct().withColumn("_outside", F.lit(True))
+    rows = strength.select("v").join(paths.select("v").distinct().withColumn("_known", F.lit(True)), "v", "left").join(outside, "v", "left")
+    return rows.select("v", F.when(F.col("_known").isNull(), "unknown").when(F.col("_outside"), "pleiotropic").otherwise("valid").alias("status"))
 
 
 def by_pathway(instruments: DataFrame, variant_pathway: DataFrame) -> DataFrame:
