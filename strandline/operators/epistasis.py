@@ -13,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from strandline.functions.special import fisher_p, poisson_p, t_p
 from strandline.operators.genotype import ld_pairs
 from strandline.operators.graph import adjacency, louvain
-from strandline.operators.lineage import cut, md5_number
+from strandline.operators.lineage import cut, md5_number, written
 from strandline.operators.tiles import BITS, bit_blocks, blocks_of, carrier_lists, pair_counts, pair_sums
 
 
@@ -32,7 +32,7 @@ def carrier_pairs(genotypes: DataFrame, samples: DataFrame, pairs: DataFrame) ->
     known = samples.where("is_case IS NOT NULL").select("s", "is_case")
     at, _, bits = blocks_of(known, "s", BITS)
     c = genotypes.where("g > 0").join(known, "s")
-    held = cut(bit_blocks(c, at, bits, {"case": F.col("is_case"), "ctrl": ~F.col("is_case")}))
+    held = written(bit_blocks(c, at, bits, {"case": F.col("is_case"), "ctrl": ~F.col("is_case")}))
     counts = pair_counts(pairs.select("v1", "v2").distinct(), held, {"co_case": ("case", "case"), "co_ctrl": ("ctrl", "ctrl")})
     return counts.where("co_case > 0 OR co_ctrl > 0")
 
@@ -114,10 +114,10 @@ def interaction_moments(genotypes: DataFrame, samples: DataFrame, pairs: DataFra
     known = samples.dropna(subset=["y", *covariates]).select("s", "y", *[F.col(c).cast("double").alias(n) for c, n in zip(covariates, cs, strict=True)])
     plain = ["y", *cs]
     n = known.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in plain], *[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for i, a in enumerate(plain) for b in plain[i:]]).first()
-    rows = cut(genotypes.where("g > 0").join(known, "s").withColumn("g", F.col("g").cast("double")).select("v", "s", "g", *plain))
+    rows = written(genotypes.where("g > 0").join(known, "s").withColumn("g", F.col("g").cast("double")).select("v", "s", "g", *plain))
     one = rows.groupBy("v").agg(F.sum("g").alias("g"), F.sum(F.col("g") * F.col("g")).alias("gg"), *[F.sum(F.col("g") * F.col(c)).alias(f"g{c}") for c in plain])
     at, _, bits = blocks_of(known, "s", BITS)
-    held = cut(bit_blocks(rows, at, bits, {"c": F.col("g") > 0, "d": F.col("g") == 2}))
+    held = written(bit_blocks(rows, at, bits, {"c": F.col("g") > 0, "d": F.col("g") == 2}))
     both = pair_sums(pairs, carrier_lists(rows, at, plain), held, plain)
     for k in ("1", "2"):
         both = both.join(one.select(F.col("v").alias(f"v{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("g", "gg", *[f"g{c}" for c in plain])]), f"v{k}")

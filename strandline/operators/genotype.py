@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from strandline.operators.lineage import cut
+from strandline.operators.lineage import written
 from strandline.operators.tiles import BITS, bit_blocks, blocks_of, pair_counts
 
 #: Two-bit codes, four samples a byte, lowest bits first.
@@ -103,8 +103,9 @@ def ld_pairs(genotypes: DataFrame, variants: DataFrame, n_samples: int, window:
     left = place.select(F.col("v").alias("v1"), "chr", F.col("pos").alias("p1"), F.explode(F.array(F.col("bin"), F.col("bin") + 1, F.col("bin") - 1)).alias("bin"))
     near = left.join(place.select(F.col("v").alias("v2"), "chr", F.col("pos").alias("p2"), "bin"), ["chr", "bin"])
     pairs = near.where((F.col("v1") < F.col("v2")) & (F.abs(F.col("p1") - F.col("p2")) <= window)).select("v1", "v2")
+    genotypes = written(genotypes.select("v", "s", "g"))
     at, _, bits = blocks_of(genotypes, "s", BITS)
-    held = cut(bit_blocks(genotypes, at, bits, {"c": F.col("g") > 0, "d": F.col("g") == 2, "m": F.col("g").isNull()}))
+    held = written(bit_blocks(genotypes, at, bits, {"c": F.col("g") > 0, "d": F.col("g") == 2, "m": F.col("g").isNull()}))
     seen = pair_counts(pairs, held, {x + y: (x, y) for x in "cdm" for y in "cdm"})
     # Dosage is c + d, its square c + 3 d: of shared samples, products and what a missing code takes out of the other's sums.
     both = seen.select("v1", "v2", F.expr("cc + cd + dc + dd").alias("s12"), F.col("mm"), F.expr("cm + dm").alias("x1"), F.expr("cm + 3 * dm").alias("xx1"), F.expr("mc + md").alias("x2"), F.expr("mc + 3 * md").alias("xx2"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.lineage import cut, written
+from strandline.operators.lineage import written
 
 #: Samples of a bitmap, samples and variants of a tile: means, since blocks are dealt by hash.
 BITS, TILE = 4096, 1024
@@ -23,10 +23,10 @@ BITS, TILE = 4096, 1024
 
 def blocks_of(ids: DataFrame, id: str, size: int) -> tuple[DataFrame, int, int]:
     """((id, b, o), number of blocks, largest block): block and place in it of each distinct id."""
-    ids = ids.select(id).distinct()
+    ids = written(ids.select(id).distinct())
     n = max(1, -(-ids.count() // size))
     placed = ids.withColumn("b", F.pmod(F.xxhash64(id), F.lit(n)).cast("int"))
-    placed = cut(placed.withColumn("o", (F.row_number().over(Window.partitionBy("b").orderBy(id)) - 1).cast("int")))
+    placed = written(placed.withColumn("o", (F.row_number().over(Window.partitionBy("b").orderBy(id)) - 1).cast("int")))
     return placed, n, (placed.agg(F.max("o")).first()[0] or 0) + 1
 
 
