@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.graph import connected_components, path_betweenness
 from strandline.operators.greedy import independent
+from strandline.operators.lineage import written
 
 
 def classical(genotypes: DataFrame, weights: DataFrame, samples: DataFrame, p_threshold: float = 5e-8) -> DataFrame:
@@ -20,9 +21,10 @@ def classical(genotypes: DataFrame, weights: DataFrame, samples: DataFrame, p_th
 def prune(weights: DataFrame, ld: DataFrame, p_threshold: float = 5e-8, r2_threshold: float = 0.2, method: str = "centrality") -> DataFrame:
     """weights of one variant for each component of the linkage graph (highest betweenness, ties by p then v), or of a
     maximal independent set by ascending p. Both are found in rounds of joins; no component is a group."""
-    w = weights.where(F.col("p_value") < p_threshold)
+    w = written(weights.where(F.col("p_value") < p_threshold))
     ids = w.select("v")
     edges = ld.where(F.col("r2") >= r2_threshold).join(ids.select(F.col("v").alias("v1")), "v1").join(ids.select(F.col("v").alias("v2")), "v2").select(F.col("v1").alias("a"), F.col("v2").alias("b"))
+    edges = written(edges)  # read by components and by paths
     if method != "centrality":
         return independent(w, edges, ["p_value"])
     tree = connected_components(edges)
@@ -63,7 +65,9 @@ def auroc(scores: DataFrame) -> DataFrame:
 
 
 def evaluate(scores: DataFrame) -> DataFrame:
-    """n_cases, n_controls, auroc, nagelkerke_r2, decile_or (top tenth against the bottom tenth, halves added)."""
+    """n_cases, n_controls, auroc, nagelkerke_r2, decile_or (top tenth against the bottom tenth, halves added). Runs
+    scores once."""
+    scores = written(scores.select("score", "is_case"))  # every round reads them
     roc = auroc(scores)
     row = scores.agg(F.percentile("score", F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.avg("score").alias("m"), F.stddev_pop("score").alias("d")).first()
     lo, hi = row["q"]
