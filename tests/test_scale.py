@@ -41,3 +41,83 @@ def test_rows_sent_for_pairs_do_not_grow_with_the_samples(spark):
     finally:
         tiles.written = real
     assert seen["binary"] == 0
+
+
+def test_evaluation_runs_its_scores_once(spark):
+    from strandline.operators import prs
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(s, bool(rng.random() < 0.4), float(rng.normal())) for s in range(100)], "s long, is_case boolean, x double")
+    assert prs.evaluate(rows.select("s", "is_case", F.udf(note, "double")("x").alias("score"))).count() == 1
+    assert seen.value == 100
+
+
+def test_module_permutations_equal_a_loop(spark):
+    from strandline.operators import epistasis
+
+    rng = np.random.default_rng(4)
+    gt = [(v, s, 1) for v in range(5) for s in range(80) if rng.random() < 0.4]
+    case = {s: bool(rng.random() < 0.5) for s in range(100)}
+    a, b = sum(case.values()), 100 - sum(case.values())
+    got = epistasis.module_permutation(spark.createDataFrame(gt, "v long, s long, g int"), spark.createDataFrame(list(case.items()), "s long, is_case boolean"), spark.createDataFrame([(v, 0) for v in range(5)], "v long, module long"), 50).first()
+    who = sorted({s for _, s, _ in gt})
+    m = np.zeros((5, len(who)))
+    for v, s, _ in gt:
+        m[v, who.index(s)] = 1
+    pairs = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    score = lambda c: np.mean([((m[i] * m[j] * c).sum() / a) / ((m[i] * m[j] * (1 - c)).sum() / b + 0.5 / b) for i, j in pairs])
+    assert got["score"] == pytest.approx(score(np.array([float(case[s]) for s in who])))
+    assert epistasis._labels(42, a, b, len(who), 0, 50) is epistasis._labels(42, a, b, len(who), 0, 50)  # kept, not drawn anew
+    labels = epistasis._labels(42, a, b, len(who), 0, 50)
+    # Which carrier is which column depends on the order of rows; what a draw gives each number of cases does not.
+    assert 1 / 51 <= got["p_value"] <= 1 and labels.shape == (50, len(who)) and (labels.sum(1) <= a).all()
+
+
+def test_pathway_pairs_need_no_merging(spark):
+    from strandline.operators import epistasis
+
+    vg = [(v, v // 2) for v in range(12)]
+    gp = [(g, f"N{g % 2}") for g in range(6)] + [(g, f"M{g % 3}") for g in range(6)]
+    out = epistasis.motif_pairs("same_pathway", spark.createDataFrame(vg, "v long, gene long"), gene_pathway=spark.createDataFrame(gp, "gene long, pathway string"))
+    of = {g: {p for h, p in gp if h == g} for g in range(6)}
+    want = {(a, b): min(of[g] & of[h]) for a, g in vg for b, h in vg if a < b and g != h and of[g] & of[h]}
+    rows = out.collect()
+    assert len(rows) == len(want) and {(r["v1"], r["v2"]): r["entity"] for r in rows} == want
+    assert "keys=[v1" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_logistic_scan_holds_patterns_not_samples(spark):
+    from strandline.operators.assoc import fit_logistic, logistic_scan_adjusted
+
+    rng = np.random.default_rng(6)
+    n = 600
+    x, g = rng.integers(0, 4, n).astype(float), rng.binomial(2, 0.2, n)
+    y = (rng.random(n) < 0.3 + 0.1 * g).astype(float)
+    people = spark.createDataFrame([(s, bool(y[s]), float(x[s])) for s in range(n)], "s long, is_case boolean, x double")
+    got = logistic_scan_adjusted(spark.createDataFrame([(0, s, int(g[s])) for s in range(n) if g[s]], "v long, s long, g int"), people, ["x"], max_bytes=1000).first()
+    b, cov, _, good = fit_logistic(np.column_stack([np.ones(n), g, (x - x.mean()) / x.std()]), y, True)
+    assert good and got["n"] == n and got["beta"] == pytest.approx(b[1], rel=1e-6) and got["se"] == pytest.approx(cov[1, 1] ** 0.5, rel=1e-6)
+
+
+def test_graph_features_take_the_limit_of_their_sql(spark, monkeypatch):
+    from strandline.operators import graph_export
+    from strandline.plans import catalogue
+
+    used, real = [], graph_export.export
+    monkeypatch.setattr(graph_export, "export", lambda *a, **k: used.append(k) or real(*a, **k))
+    catalogue.QUERIES["graph_export_features"](spark, "/root/testdata/sf0.001")
+    assert used == [{"max_variants": 10_000}] and "LIMIT 10000" in catalogue.SQL["graph_export_features"]
+
+
+def test_no_common_variant_gives_null_components(spark, monkeypatch):
+    from strandline.plans import catalogue
+
+    monkeypatch.setattr(catalogue.structure, "standard_variants", lambda g, *a: g.selectExpr("v", "1D AS mean", "1D AS scale").limit(0))
+    rows = catalogue.QUERIES["leading_component"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 150 and all(r["pc"] is None and r["eigenvalue"] is None for r in rows)
