@@ -121,3 +121,37 @@ def test_no_common_variant_gives_null_components(spark, monkeypatch):
     monkeypatch.setattr(catalogue.structure, "standard_variants", lambda g, *a: g.selectExpr("v", "1D AS mean", "1D AS scale").limit(0))
     rows = catalogue.QUERIES["leading_component"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 150 and all(r["pc"] is None and r["eigenvalue"] is None for r in rows)
+
+
+def test_shared_products_equal_a_loop_whatever_the_cut(spark):
+    rng = np.random.default_rng(8)
+    has = {(v, s) for v in range(12) for s in range(30) if rng.random() < 0.2}
+    weight = {v: float(v + 1) for v in range(12)}
+    want = {(i, j): x for i in range(30) for j in range(i, 30) if (x := sum(weight[v] for v in range(12) if (v, i) in has and (v, j) in has))}
+    rows = spark.createDataFrame([(v, s, weight[v]) for v, s in has], "v long, s long, x double")
+    for side, entries in ((64, 10**6), (7, 10**6), (7, 10)):
+        got = tiles.shared_products(rows, "v", "s", "x", side, entries)
+        found = got.collect()
+        assert len(found) == len(want) and {(r["i"], r["j"]): r["w"] for r in found} == want
+
+
+def test_similarity_shuffles_no_pairs_of_samples(spark):
+    from strandline.operators import structure
+
+    rows = spark.createDataFrame([(v, s, 1) for v in range(3) for s in range(v, 9)], "v long, s long, g int")
+    for out in (structure.similarity(rows, 100, 0.5), structure.set_similarity(rows, rows.select("v", F.lit(0).alias("set")).distinct(), 100, 0.5)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "keys=[i" not in plan and out.count() == 45
+
+
+def test_permuted_labels_are_the_least_numbers_of_each_draw(spark):
+    import hashlib
+
+    from strandline.operators import structure
+
+    got = structure.permuted_labels(spark.range(70).select(F.col("id").alias("s")), 23, 60, 42).collect()
+    assert len(got) == 70 and set(got[0].asDict()) == {"s", "m0", "m1"}
+    for d in (0, 49, 50, 59):
+        number = lambda s: int(hashlib.md5(f"{s}:{d}:42".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        want = set(sorted(range(70), key=lambda s: (number(s), s))[:23])
+        assert {r["s"] for r in got if r[f"m{d // 50}"] >> d % 50 & 1} == want
