@@ -155,3 +155,15 @@ def test_permuted_labels_are_the_least_numbers_of_each_draw(spark):
         number = lambda s: int(hashlib.md5(f"{s}:{d}:42".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
         want = set(sorted(range(70), key=lambda s: (number(s), s))[:23])
         assert {r["s"] for r in got if r[f"m{d // 50}"] >> d % 50 & 1} == want
+
+
+def test_packed_blocks_follow_the_carriers(spark):
+    from strandline.operators import genotype
+
+    rows = [(0, 3, 1), (0, 4001, 2), (1, 9, None), (2, 5002, 1)]
+    gt = spark.createDataFrame(rows, "v long, packed_index int, g int")
+    packed = genotype.pack_carriers(gt, 5003, 1000)
+    assert packed.count() == 4 and packed.agg(F.max(F.length("gt_packed"))).first()[0] == 250
+    assert {len(r["gt_packed"]) for r in packed.where("packed_from = 5000").collect()} == {1}
+    place = spark.range(5003).select(F.col("id").alias("s"), F.col("id").cast("int").alias("packed_index"))
+    assert {tuple(r) for r in genotype.explode_packed(packed, place).collect()} == set(rows)
