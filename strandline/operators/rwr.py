@@ -32,6 +32,21 @@ def factors(edges: DataFrame) -> list[DataFrame]:
     return [gv, edges.select(F.col("v").alias("i"), F.col("gene").alias("j"), (F.col("w") / F.sum("w").over(Window.partitionBy("v"))).alias("p"))]
 
 
+def lumps(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, at, n), (at, gene, w, n): variants with the same genes and weights are one lump, named by its least variant (at), of n
+    variants. A walk cannot tell them apart, so all it says of two variants depends on their lumps and on being the seed."""
+    own = edges.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("gene", "w"))).alias("like"))
+    named = own.groupBy("like").agg(F.min("v").alias("at"), F.count("*").alias("n"))
+    members = cut(own.join(named, "like").select("v", "at", "n"))
+    return members, edges.join(members.where(F.col("v") == F.col("at")), "v").select("at", "gene", "w", "n")
+
+
+def lump_factors(edges: DataFrame) -> list[DataFrame]:
+    """factors() on lumps (at, gene, w, n): a lump's entry is the sum of its variants'."""
+    gv = edges.select(F.col("gene").alias("i"), F.col("at").alias("j"), (F.col("w") / F.sum(F.col("n") * F.col("w")).over(Window.partitionBy("gene"))).alias("p"))
+    return [gv, edges.select(F.col("at").alias("i"), F.col("gene").alias("j"), (F.col("n") * F.col("w") / F.sum("w").over(Window.partitionBy("at"))).alias("p"))]
+
+
 def gene_transition(edges: DataFrame) -> DataFrame:
     """(i, j, p): gene -> variant -> gene, the walk's matrix on the gene side."""
     gv = edges.select("v", F.col("gene").alias("i"), (F.col("w") / F.sum("w").over(Window.partitionBy("gene"))).alias("p"))
@@ -48,10 +63,13 @@ def gene_pair_scores(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, to
 def walk(step: DataFrame | list[DataFrame], seeds: DataFrame, alpha: float = 0.15, rounds: int = 50, tol: float = 1e-9, every: int = 10) -> DataFrame:
     """(seed, v, p): all seeds at once. p <- (1 - alpha) M p + alpha e with the row-stochastic M on the left, until no entry
     moves by tol; normalised to sum 1. step: M (i, j, p), or factors of it, the one that is applied first coming first.
-    Lineage is checkpointed every few rounds."""
+    seeds: (v), or (v, at) with the lump of each: seeds of a lump walk once, under its name, and column own has what the last
+    restart gave to the seed alone. Lineage is checkpointed every few rounds."""
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    start = seeds.select(F.col("v").alias("seed"), F.col("v"), F.lit(1.0).alias("p"))
+    lumped = "at" in seeds.columns
+    at = seeds.select(F.col("at").alias("v")).distinct() if lumped else seeds
+    start = at.select(F.col("v").alias("seed"), F.col("v"), F.lit(1.0).alias("p"))
     now, steps = start, [cut(x) for x in (step if isinstance(step, list) else [step])]
     for k in range(rounds):
         for n, x in enumerate(steps):
@@ -67,7 +85,10 @@ def walk(step: DataFrame | list[DataFrame], seeds: DataFrame, alpha: float = 0.1
                 if gap is None or gap < tol:
                     break
             held = now
-    return now.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("seed")))
+    total = F.sum("p").over(Window.partitionBy("seed"))
+    if lumped:
+        return now.select("seed", "v", (F.col("p") / total).alias("p"), (F.lit(alpha if rounds else 1.0) / total).alias("own"))
+    return now.withColumn("p", F.col("p") / total)
 
 
 def mutual_pairs(walks: DataFrame, top_k: int = 1000) -> DataFrame:
@@ -78,6 +99,30 @@ def mutual_pairs(walks: DataFrame, top_k: int = 1000) -> DataFrame:
     return out.where("score > 0").orderBy(F.desc(F.round("score", 12)), "v1", "v2").limit(top_k)
 
 
+def mutual_pairs_of_lumps(walks: DataFrame, members: DataFrame, top_k: int = 1000) -> DataFrame:
+    """mutual_pairs() of all variants from the walks of their lumps; members: (v, at, n).
+
+    All pairs of two lumps have one score. Only the first top_k pairs of lumps, by score and then by their first pair of
+    variants, can hold one of the first top_k pairs; of those only pairs are made that fewer than top_k others of the same two
+    lumps precede: the a-th variant of one and the b-th of the other come after all a * b pairs of those before them."""
+    ranked = members.withColumn("k", F.row_number().over(Window.partitionBy("at").orderBy("v"))).where(F.col("k") <= 2 * top_k + 2)
+    size = members.groupBy("at").agg(F.first("n").alias("n"))
+    least = size.join(ranked.where("k = 1").select("at", F.col("v").alias("first")), "at").join(ranked.where("k = 2").select("at", F.col("v").alias("second")), "at", "left")
+    to = walks.join(size.select(F.col("at").alias("v"), "n"), "v").withColumn("p", (F.col("p") - F.when(F.col("seed") == F.col("v"), F.col("own")).otherwise(0.0)) / F.col("n"))
+    a = to.select(F.col("seed").alias("c1"), F.col("v").alias("c2"), F.col("p").alias("x"))
+    b = to.select(F.col("v").alias("c1"), F.col("seed").alias("c2"), F.col("p").alias("y"))
+    both = a.where("c1 <= c2").join(b, ["c1", "c2"]).select("c1", "c2", (F.col("x") * F.col("y")).alias("score")).where("score > 0")
+    both = both.join(least.select(F.col("at").alias("c1"), F.col("first").alias("f1"), "second"), "c1").join(least.select(F.col("at").alias("c2"), F.col("first").alias("f2")), "c2")
+    both = both.where("c1 <> c2 OR second IS NOT NULL")
+    same = F.col("c1") == F.col("c2")
+    best = both.orderBy(F.desc(F.round("score", 12)), F.least("f1", "f2"), F.when(same, F.col("second")).otherwise(F.greatest("f1", "f2"))).limit(top_k)
+    for k in ("1", "2"):
+        best = best.join(ranked.select(F.col("at").alias(f"c{k}"), F.col("v").alias(f"x{k}"), F.col("k").alias(f"k{k}")), f"c{k}")
+    out = best.where((F.col("k1") * F.col("k2") <= 2 * top_k + 2) & ((F.col("c1") != F.col("c2")) | (F.col("k1") < F.col("k2"))))
+    out = out.select(F.least("x1", "x2").alias("v1"), F.greatest("x1", "x2").alias("v2"), "score")
+    return out.orderBy(F.desc(F.round("score", 12)), "v1", "v2").limit(top_k)
+
+
 def hub_deflated(walks: DataFrame, degrees: DataFrame, top_k: int = 1000) -> DataFrame:
     """(v1, v2, score): (p_i(j) + p_j(i)) / (d_i d_j). degrees: (v, d)."""
     a = walks.select(F.least("seed", "v").alias("v1"), F.greatest("seed", "v").alias("v2"), "p").where("v1 < v2").groupBy("v1", "v2").agg(F.sum("p").alias("p"))

@@ -167,3 +167,20 @@ def test_packed_blocks_follow_the_carriers(spark):
     assert {len(r["gt_packed"]) for r in packed.where("packed_from = 5000").collect()} == {1}
     place = spark.range(5003).select(F.col("id").alias("s"), F.col("id").cast("int").alias("packed_index"))
     assert {tuple(r) for r in genotype.explode_packed(packed, place).collect()} == set(rows)
+
+
+def test_walks_of_lumps_equal_walks_of_all_variants(spark):
+    from strandline.operators import rwr
+
+    rng = np.random.default_rng(4)
+    rows = [(v, g) for v in range(60) for g in ({v % 3, 3 + v % 2} if v % 5 else set(rng.integers(0, 6, 3).tolist()))] + [(60, 9), (61, 9), (62, 10)]
+    edges = rwr.bipartite(spark.createDataFrame(rows, "v long, gene long"))
+    members, lumped = rwr.lumps(edges)
+    assert members.select("at").distinct().count() < 25 and members.count() == 63
+    for top_k in (7, 40, 5000):
+        want = rwr.mutual_pairs(rwr.walk(rwr.factors(edges), edges.select("v").distinct(), rounds=20), top_k).collect()
+        walks = rwr.walk(rwr.lump_factors(lumped), members.select("v", "at"), rounds=20)
+        assert walks.count() < 25**2  # the walks of all variants have 60 rows for each of 60
+        got = rwr.mutual_pairs_of_lumps(walks, members, top_k).collect()
+        assert [(r["v1"], r["v2"]) for r in got] == [(r["v1"], r["v2"]) for r in want]
+        assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], rel=1e-9)
