@@ -184,3 +184,47 @@ def test_walks_of_lumps_equal_walks_of_all_variants(spark):
         got = rwr.mutual_pairs_of_lumps(walks, members, top_k).collect()
         assert [(r["v1"], r["v2"]) for r in got] == [(r["v1"], r["v2"]) for r in want]
         assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], rel=1e-9)
+
+
+def test_flows_of_filled_and_scarce_variants_equal_a_maximum_flow(spark):
+    """Genes that their carriers fill, genes that compete for few samples, and permuted labels, against Dinic on whole networks."""
+    from strandline.operators import flow, graph
+
+    rng = np.random.default_rng(8)
+    rows = [(v, s, 1 + int(rng.integers(0, 2))) for v in range(24) for s in range(90) if rng.random() < (0.25 if v < 12 else 0.02) or v > 21 and s == 5]
+    g = spark.createDataFrame(rows, "v long, s long, g int")
+    samples = spark.createDataFrame([(s, s % 3 != 0) for s in range(90)], "s long, is_case boolean")
+    vg = spark.createDataFrame([(v, v // 2, "HIGH" if v % 4 == 0 else "MODERATE") for v in range(24)], "v long, gene long, impact string")
+    gp = spark.createDataFrame([(k, f"A{k % 2}") for k in range(12)] + [(k, f"B{k % 5}") for k in range(12)], "gene long, pathway string")
+    sent, real = [], flow._split
+
+    def whole(edges):
+        by, out = {}, {}
+        for r in edges.collect():
+            by.setdefault(r["kind"], []).append((r["src"], r["dst"], r["cap"]))
+        for name in {b for _, b, _ in by["in_pathway"]}:
+            value, cut = graph.max_flow(by["source"] + by["carries"] + by["in_gene"] + [e for e in by["in_pathway"] if e[1] == name], "SOURCE", name)
+            genes = {a for a, b, _ in by["in_pathway"] if b == name}
+            held = {a for a, b, _ in by["in_gene"] if b in genes}
+            own = genes | held | {a for a, b, _ in by["carries"] if b in held} | {name}
+            out[name[2:]] = value, sorted({x for e in cut for x in e if x != "SOURCE" and x in own})
+        return out
+
+    flow._split = lambda *a, **k: sent.append(real(*a, **k)) or sent[-1]
+    try:
+        net = flow.network(g, samples.where("is_case"), vg, gp, 90, 0.9)
+        got = {r["pathway"]: (r["flow"], r["cut"]) for r in flow.pathway_flows(net).collect()}
+    finally:
+        flow._split = real
+    rich, poor, left = sent[0]
+    assert rich.count() and poor.count() and left.count() < net.where("kind = 'carries'").count()
+    want = whole(net)
+    assert set(got) == set(want)
+    for k, (value, cut) in want.items():
+        assert got[k][0] == pytest.approx(value) and got[k][1] == cut
+    null = {(r["d"], r["pathway"]): r["flow"] for r in flow.observed_and_null(g, samples, vg, gp, 0.9, 3)[1].collect()}
+    order = F.xxhash64("s", "d", F.lit(42))
+    for d in (1, 2, 3):
+        cases = samples.select("s").withColumn("d", F.lit(d)).orderBy(order, "s").limit(60).select("s")
+        want = whole(flow.network(g, cases, vg, gp, 90, 0.9))
+        assert {p: x for (k, p), x in null.items() if k == d} == pytest.approx({p: x for p, (x, _) in want.items()})
