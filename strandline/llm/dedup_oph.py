@@ -13,7 +13,7 @@
 6. Open sets are dealt anew by their rarest shingles (rare(): a pair of similarity percent / 100 shares one, whatever the
    order, so nothing is lost), and star edges are taken from CENTERS centers of each such group, those first that have the
    least of their own: what a family was copied from comes before its copies. A passage that makes the family is common and
-   is nobody's rare shingle. GROWTH times as many centers as before are taken and steps 4 and 5 repeat until no group is
+   is nobody's rare shingle. Pairs whose bitmaps rule the similarity out make no row (_may_link). GROWTH times as many centers as before are taken and steps 4 and 5 repeat until no group is
    left: every two members of a group are then in one component, or compared, or of sizes that rule the similarity out.
 """
 
@@ -29,6 +29,7 @@ from strandline.llm.components import components
 
 BANDS, ROWS, CENTERS, GROWTH, STREAM = 40, 5, 8, 4, 256
 BINS = BANDS * ROWS
+BITS = 1024
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -210,9 +211,25 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "node").dropDuplicates(["node"])
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS bits of a set, each flipped by every shingle that falls on it: where the bitmaps of two sets differ in d bits, the sets
+    differ in d shingles at least."""
+    with np.errstate(over="ignore"):
+        odd = np.bincount((mix64(s + np.uint64(0x9E3779B9)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(percent: int, column: str = "bits", other: str = "c_bits"):
+    """False only of pairs whose bitmaps differ in more bits than sets of these sizes and that similarity do in shingles.
+
+    Sets of sizes a and b with intersection i differ in a + b - 2i shingles; linked ones have (100 + percent) i >= percent (a + b)."""
+    differ = sum((F.bit_count(F.col(f"{column}{k}").bitwiseXOR(F.col(f"{other}{k}"))) for k in range(BITS // 64)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("c_size"))
+
+
 def rare(texts: DataFrame, percent: int) -> DataFrame:
-    """(key, node, size, own, few) for each rarest shingle (key) of each of texts (node, text); own: the share of the set's
-    shingles that no other text has.
+    """(key, node, size, own, few, bits0, bits1, ...) for each rarest shingle (key) of each of texts (node, text); own: the share of
+    the set's shingles that no other text has; bits: the words of its bitmap.
 
     Shingles are ordered by the number of these texts that hold them, then by hash. Two sets of similarity percent / 100
     share one of the first size * (1 - percent / 100) + 1 shingles of each; of sets as large as their partner or smaller
@@ -221,9 +238,9 @@ def rare(texts: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in sliced(batches):
             sets = shingle_sets(text_bytes(b["text"]))
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], ["node", "size", "keys", "bits"])
 
-    sets = stage(texts.mapInArrow(run, "node long, size long, keys array<long>"), "oph-sets")
+    sets = stage(texts.mapInArrow(run, "node long, size long, keys array<long>, bits array<long>"), "oph-sets")
     held = sets.select("node", "size", F.explode("keys").alias("key"))
     common = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     order = held.join(common, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("order"))
@@ -231,7 +248,7 @@ def rare(texts: DataFrame, percent: int) -> DataFrame:
     reach = lambda share: (F.floor(F.col("size") * share + 1e-9) + 1 - alone).cast("int")
     least, most = reach((100 - percent) / (100 + percent)), reach((100 - percent) / 100)
     first = order.where(most > 0).select("node", "size", (alone / F.col("size")).alias("own"), least.alias("least"), F.posexplode(F.slice("order", 1, F.greatest(most, F.lit(1)))))
-    return first.select(F.col("col.key").alias("key"), "node", "size", "own", (F.col("pos") < F.col("least")).alias("few"))
+    return first.join(sets.select("node", "bits"), "node").select(F.col("col.key").alias("key"), "node", "size", "own", (F.col("pos") < F.col("least")).alias("few"), *[F.col("bits")[k].alias(f"bits{k}") for k in range(BITS // 64)])
 
 
 def _confirmed(texts: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
@@ -301,16 +318,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         open_, most = rare(texts, percent), CENTERS
         # Of two sets the larger one is met in its longer list of rare shingles, the smaller one in its shorter list.
         meets = F.when(F.col("size") < F.col("c_size"), F.col("few")).when(F.col("size") > F.col("c_size"), F.col("c_few")).otherwise(F.col("few") & F.col("c_few"))
+        words = [f"bits{k}" for k in range(BITS // 64)]
         while True:
-            open_ = open_.select("key", "node", "size", "own", "few").join(tree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            open_ = open_.select("key", "node", "size", "own", "few", *words).join(tree, "node", "left").withColumn("component", F.coalesce("component", "node"))
             several = open_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
             left = open_.join(several, "key", "left_semi")
             turn = F.row_number().over(Window.partitionBy("key").orderBy("own", "node"))
-            open_ = stage(left.select("key", "node", "size", "own", "few", "component", (turn <= most).alias("center")), "oph-members")
+            open_ = stage(left.select("key", "node", "size", "own", "few", *words, "component", (turn <= most).alias("center")), "oph-members")
             if open_.isEmpty():
                 break
-            centers = open_.where("center").select("key", F.col("node").alias("c_node"), F.col("size").alias("c_size"), F.col("few").alias("c_few"), F.col("component").alias("c_component"))
-            pairs = open_.join(centers, "key").where(alike & meets & (F.col("component") != F.col("c_component")))
+            centers = open_.where("center").select("key", F.col("node").alias("c_node"), F.col("size").alias("c_size"), F.col("few").alias("c_few"), F.col("component").alias("c_component"), *[F.col(w).alias(f"c_{w}") for w in words])
+            pairs = open_.join(centers, "key").where(alike & meets & (F.col("component") != F.col("c_component")) & _may_link(percent))
             edges = pairs.select(F.least("c_node", "node").alias("a"), F.greatest("c_node", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
             edges = stage(edges, "oph-pairs")
             open_, most = open_.where("NOT center"), most * GROWTH

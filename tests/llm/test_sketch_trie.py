@@ -156,3 +156,38 @@ def test_trie_of_keys_with_hot_prefixes(spark, kids, run):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == brute_trie([(c, tuple(("", x) for x in s)) for c, s in rows])
+
+
+def test_bitmaps_never_hide_a_link():
+    """Sets that differ in n shingles differ in n bits at most, so the bound of _may_link holds for every similar pair."""
+    import numpy as np
+
+    from strandline.llm import dedup_oph as D
+
+    rng = np.random.default_rng(6)
+    for size in (1, 3, 40, 400, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        far = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for cut in range(0, size, max(1, size // 7)):
+            b = np.unique(np.concatenate([a[cut:], far[:cut]]))
+            differ = int(np.bitwise_count((D.bitmap(a) ^ D.bitmap(b)).view(np.uint64)).sum())
+            both = D.overlap(a, b)
+            assert differ <= len(a) + len(b) - 2 * both
+            if 100 * both >= 75 * (len(a) + len(b) - both):
+                assert 175 * differ <= 25 * (len(a) + len(b))
+    assert 175 * int(np.bitwise_count((D.bitmap(a[:400]) ^ D.bitmap(far[:400])).view(np.uint64)).sum()) > 25 * 800
+
+
+def test_rounds_meet_no_pair_that_bitmaps_rule_out(spark, monkeypatch):
+    """Texts that share one rare passage only: in its group no pair is a candidate."""
+    from pyspark.sql import functions as F
+
+    from strandline.llm import dedup_oph as D
+
+    rows = [(n, 100, float(n) / 20, True, n) for n in range(20)]
+    sets = [[int(x) for x in D.bitmap(__import__("numpy").arange(n * 1000, n * 1000 + 100, dtype="uint64"))] for n in range(20)]
+    names = ", ".join(f"bits{k} long" for k in range(D.BITS // 64))
+    left = spark.createDataFrame([(*r, *b) for r, b in zip(rows, sets, strict=True)], f"node long, size long, own double, few boolean, at long, {names}")
+    right = left.select(F.col("node").alias("c_node"), F.col("size").alias("c_size"), *[F.col(f"bits{k}").alias(f"c_bits{k}") for k in range(D.BITS // 64)])
+    pairs = left.crossJoin(right).where(D._may_link(75))
+    assert {(r["node"], r["c_node"]) for r in pairs.collect()} == {(n, n) for n in range(20)}
