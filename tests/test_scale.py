@@ -228,3 +228,18 @@ def test_flows_of_filled_and_scarce_variants_equal_a_maximum_flow(spark):
         cases = samples.select("s").withColumn("d", F.lit(d)).orderBy(order, "s").limit(60).select("s")
         want = whole(flow.network(g, cases, vg, gp, 90, 0.9))
         assert {p: x for (k, p), x in null.items() if k == d} == pytest.approx({p: x for p, (x, _) in want.items()})
+
+
+def test_interaction_matrix_shuffles_no_row_of_a_sample(spark, monkeypatch):
+    from strandline.operators import epistasis
+
+    rng = np.random.default_rng(2)
+    dense = rng.integers(0, 3, (3, 70))
+    g = spark.createDataFrame([(v, s, int(dense[v, s])) for v in range(3) for s in range(70) if dense[v, s]], "v long, s long, g int")
+    s = spark.createDataFrame([(k,) for k in range(70)], "s long")
+    out = epistasis.interaction_matrix(g, s, spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "v1 long, v2 long"), 8)
+    got = {(r["v1"], r["v2"], r["s"]): r["x"] for r in out.collect()}
+    mid = dense - dense.mean(1, keepdims=True)
+    assert got == pytest.approx({(a, b, k): mid[a, k] * mid[b, k] for a, b in ((0, 1), (0, 2), (1, 2)) for k in range(70)})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("inline(ids") < plan.index("Join")  # samples' rows are made above every join
