@@ -35,7 +35,7 @@ ORDER, MAX_CONTEXTS, BOUNDARY, DISCOUNT = 6, 1 << 17, 256, 0.4
 #: Symbols that must follow a context; bytes of text in a batch and, in the mean, behind a bucket.
 MIN_COUNT, BATCH, BUCKET = 2, 64_000_000, 16_000_000
 #: Keys that wait to be merged; bytes of text that are counted, stored and scored at once.
-PENDING, SLICE = 1_500_000, 500_000
+PENDING, SLICE = 1_000_000, 500_000
 #: Orders below this are counted as one table that every bucket has.
 LOW = 3
 ROWS = "kind byte, batch long, bucket long, keys binary, n binary, doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary"
@@ -44,6 +44,8 @@ _BITS = 9
 #: The end token's key among the words' hashes.
 END_WORD = 0
 _CHUNK = 1_000_000
+#: Grams that are priced at once.
+_SPAN = 200_000
 
 
 def plain(texts: list[bytes]) -> list[bytes]:
@@ -85,6 +87,16 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """merged() of two such results, the second small: the first is copied once and never sorted again. Its counts are changed."""
+    at = np.searchsorted(keys, more)
+    held = at < len(keys)
+    held[held] = keys[at[held]] == more[held]
+    counts[at[held]] += n[held]
+    at, new = at[~held], ~held
+    return (np.insert(keys, at, more[new]), np.insert(counts, at, n[new])) if len(at) else (keys, counts)
+
+
 class Tally:
     """Counts of int64 keys, merged as they come, given out when they are many."""
 
@@ -259,18 +271,29 @@ def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
             fixed = {"kind": pa.array(np.full(size, kind, np.int8)), "batch": pa.array(np.full(size, batch))}
             return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
 
+        def settle(kind):
+            if len(room[kind]) > 1:
+                room[kind][1:] = [merged(room[kind][1:])]
+                room[kind][:] = [added(*room[kind][0], *room[kind][1])]
+
         def flush():
+            # A batch's grams are the most that a worker holds: all that goes over them goes in spans or by some buckets at a time.
             for kind in (0, 1):
-                keys, n = merged(room[kind])
-                room[kind].clear()
-                at = _dealt(keys, buckets, order if kind else None)
-                sort = np.argsort(at, kind="stable")
-                ends = np.searchsorted(at[sort], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(ends)).tolist():
-                    part = sort[ends[k] : ends[k + 1]]
-                    yield rows(kind, 1, bucket=pa.array([k]), keys=pa.array([packed(keys[part])], pa.binary()), n=pa.array([packed(n[part])], pa.binary()))
+                settle(kind)
+                keys, n = room[kind].pop()
+                spans = [slice(k, k + _CHUNK) for k in range(0, len(keys), _CHUNK)]
+                at = np.concatenate([np.zeros(0, np.int32), *(_dealt(keys[x], buckets, order if kind else None).astype(np.int32) for x in spans)])
+                step = -(-buckets // 16)
+                for first in range(0, buckets, step):
+                    own = np.flatnonzero((at >= first) & (at < first + step))
+                    sort = own[np.argsort(at[own], kind="stable")]
+                    ends = np.searchsorted(at[sort], np.arange(first, first + step + 1))
+                    for k in np.flatnonzero(np.diff(ends)).tolist():
+                        part = sort[ends[k] : ends[k + 1]]
+                        yield rows(kind, 1, bucket=pa.array([first + k]), keys=pa.array([packed(keys[part])], pa.binary()), n=pa.array([packed(n[part])], pa.binary()))
                 if kind:
-                    low, n = merged([(keys[n > 0] & _mask(min(order, LOW)), n[n > 0])])
+                    none = np.zeros(0, np.int64)
+                    low, n = merged([(none, none), *(merged([(keys[x][n[x] > 0] & _mask(min(order, LOW)), n[x][n[x] > 0])]) for x in spans)])
                     yield rows(3, 1, bucket=pa.array([batch % 16]), keys=pa.array([packed(low)], pa.binary()), n=pa.array([packed(n)], pa.binary()))
 
         def add(kind, trained, other):
@@ -278,8 +301,7 @@ def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
             seen = np.unique(other)
             room[kind].append((seen, np.zeros(len(seen), np.int64)))
             if sum(len(k) for k, _ in room[kind][1:]) > PENDING:
-                room[kind][1:] = [merged(room[kind][1:])]
-                room[kind][:] = [merged(room[kind])]
+                settle(kind)
 
         for b in sliced(batches):
             at = 0
@@ -314,29 +336,37 @@ def prices(levels: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, least
         at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
         return at, keys[at] == x
 
-    p = rest = np.full(len(asked), 1.0 / max(1, 257 - len(levels[0][0])))
-    before = None
+    tables: list[tuple] = []
     for k, (pairs, n) in enumerate(levels):
         if not len(pairs):
             break
         ctx = pairs >> _BITS
         first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-        ctx, total, kinds = ctx[first], np.add.reduceat(n, first).astype(float), np.diff(np.append(first, len(pairs)))
-        at, held = find(ctx, (asked >> _BITS) & ((1 << (_BITS * k)) - 1))
-        held &= total[at] >= (least if k else 1)
-        place, seen = find(pairs, asked & ((1 << (_BITS * (k + 1))) - 1))
-        if before is not None:
+        ctx, total, kinds, den, open_ = ctx[first], np.add.reduceat(n, first).astype(float), np.diff(np.append(first, len(pairs))), None, None
+        if tables:
             # What the suffix has beyond the symbols that this context has itself.
-            b_pairs, b_n, b_ctx, b_total, b_kinds, b_place, b_seen = before
+            b_pairs, b_n, b_ctx, b_total, b_kinds, *_ = tables[-1]
             own, _ = find(b_pairs, pairs & ((1 << (_BITS * k)) - 1))
             up, _ = find(b_ctx, ctx & ((1 << (_BITS * (k - 1))) - 1))
             den, open_ = b_total[up] - np.add.reduceat(b_n[own], first), b_kinds[up] - kinds
-            safe = np.maximum(den, 1.0)[at]
-            lower = np.where(b_seen, (b_n[b_place] - DISCOUNT) / safe, np.where(den[at] > 0, DISCOUNT * open_[at] / safe, 1.0) * rest)
-            rest = np.where(held, lower, rest)
-        p = np.where(held, np.where(seen, (n[place] - DISCOUNT) / total[at], DISCOUNT * kinds[at] / total[at] * rest), p)
-        before = pairs, n, ctx, total, kinds, place, seen
-    return np.log10(p)
+        tables.append((pairs, n, ctx, total, kinds, den, open_))
+    out = np.empty(len(asked))
+    for span in range(0, len(asked), _SPAN):
+        some = asked[span : span + _SPAN]
+        p = rest = np.full(len(some), 1.0 / max(1, 257 - len(levels[0][0])))
+        b_n = b_place = b_seen = None
+        for k, (pairs, n, ctx, total, kinds, den, open_) in enumerate(tables):
+            at, held = find(ctx, (some >> _BITS) & ((1 << (_BITS * k)) - 1))
+            held &= total[at] >= (least if k else 1)
+            place, seen = find(pairs, some & ((1 << (_BITS * (k + 1))) - 1))
+            if k:
+                safe = np.maximum(den, 1.0)[at]
+                lower = np.where(b_seen, (b_n[b_place] - DISCOUNT) / safe, np.where(den[at] > 0, DISCOUNT * open_[at] / safe, 1.0) * rest)
+                rest = np.where(held, lower, rest)
+            p = np.where(held, np.where(seen, (n[place] - DISCOUNT) / total[at], DISCOUNT * kinds[at] / total[at] * rest), p)
+            b_n, b_place, b_seen = n, place, seen
+        out[span : span + _SPAN] = np.log10(p)
+    return out
 
 
 def short_counts(corpus: DataFrame, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -414,6 +444,15 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
     total, distinct = size["n"] or 0, size["v"] or 0
     floor = math.log10(total + 0.1 * (distinct + 1)) if total or distinct else math.log10(0.1)
 
+    def together(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Keys in order and their values; parts are given up as they are read."""
+        keys, values = [list(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+        keys = np.concatenate(keys)
+        sort = np.argsort(keys)
+        keys = keys[sort]
+        return keys, np.concatenate(values)[sort]
+
     def run(batches):
         now, told, known, logs, counts, seen, costs = None, ([], []), None, None, None, None, None
         unzip = zstandard.ZstdDecompressor()
@@ -428,13 +467,9 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
                     told[kind].append((unpacked(row["keys"].as_py()), np.frombuffer(value, np.float32) if kind else unpacked(value)))
                     continue
                 if known is None:
-                    known, counts = (np.concatenate(x) for x in zip(*told[0], strict=True))
-                    sort = np.argsort(known)
-                    known, logs, counts = known[sort], np.log10(counts[sort] + 0.1) - floor, counts[sort] > 0
-                    seen, costs = (np.concatenate(x) for x in zip(*told[1], strict=True))
-                    told = ([], [])
-                    sort = np.argsort(seen)
-                    seen, costs = seen[sort], costs[sort]
+                    known, counts = together(told[0])
+                    logs, counts = np.log10(counts + 0.1) - floor, counts > 0
+                    seen, costs = together(told[1])
                 sizes = row["sizes"].as_py()
                 ends, text = np.cumsum([0, *sizes]).tolist(), unzip.decompress(row["texts"].as_py())
                 texts = [text[x:y] for x, y in zip(ends, ends[1:], strict=False)]

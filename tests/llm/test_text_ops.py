@@ -373,3 +373,32 @@ def test_near_duplicates_loses_no_pair_of_a_template(spark):
     share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert share(0, 1) > 0.75 > share(0, 2) > 0.73 and len(set(group.values())) == 40
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows)).collect()} == group
+
+
+def test_ppm_workers_hold_little_beside_their_grams():
+    import tracemalloc
+
+    from strandline.llm import lm_ppm
+
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 400_000, dtype=np.uint8)) for _ in range(3)]
+    every = lm_ppm.grams(texts)
+    levels = [np.unique(every & ((1 << (9 * (k + 1))) - 1), return_counts=True) for k in range(3)]
+    asked = np.unique(every)
+    tracemalloc.start()
+    try:
+        costs = lm_ppm.prices(levels, asked)
+        assert tracemalloc.get_traced_memory()[1] < 60 * len(asked)
+        tracemalloc.reset_peak()
+        keys, n = asked[::2].copy(), np.ones(len(asked[::2]), np.int64)
+        more = asked[::40], np.full(len(asked[::40]), 2)
+        before = tracemalloc.get_traced_memory()[0]
+        got = lm_ppm.added(keys, n.copy(), *more)
+        assert tracemalloc.get_traced_memory()[1] - before < 40 * len(keys)
+    finally:
+        tracemalloc.stop()
+    assert all((x == y).all() for x, y in zip(got, lm_ppm.merged([(keys, n), more]), strict=True))
+    odd = np.unique(np.concatenate([asked[1::50], asked[:3]]))
+    assert all((x == y).all() for x, y in zip(lm_ppm.added(keys, n.copy(), odd, odd), lm_ppm.merged([(keys, n), (odd, odd)]), strict=True))
+    # A span at a time gives each gram the price that it has alone.
+    assert np.array_equal(costs[::10_000], np.concatenate([lm_ppm.prices(levels, asked[k : k + 1]) for k in range(0, len(asked), 10_000)]))
