@@ -243,3 +243,22 @@ def test_interaction_matrix_shuffles_no_row_of_a_sample(spark, monkeypatch):
     assert got == pytest.approx({(a, b, k): mid[a, k] * mid[b, k] for a, b in ((0, 1), (0, 2), (1, 2)) for k in range(70)})
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("inline(ids") < plan.index("Join")  # samples' rows are made above every join
+
+
+def test_flow_reads_the_genotypes_twice(spark):
+    from strandline.operators import flow
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([(v, s, 1) for v in range(6) for s in range(40) if (v + s) % 3 == 0], "v long, s long, g int")
+    noted = rows.select("v", "s", F.udf(note, "int")("g").alias("g"))
+    cases = spark.range(0, 40, 2).withColumnRenamed("id", "s")
+    genes = spark.createDataFrame([(v, v // 2, "HIGH") for v in range(6)], "v long, gene long, impact string")
+    paths = spark.createDataFrame([(k, p) for k in range(3) for p in ("A", "B")], "gene long, pathway string")
+    got = flow.pathway_flows(flow.network(noted, cases, genes, paths, 40, 0.5)).collect()
+    assert {r["pathway"]: r["flow"] for r in got} == {"A": 3.0, "B": 3.0}
+    assert seen.value <= 2 * rows.count()
