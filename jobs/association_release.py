@@ -19,10 +19,10 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import log, read_config, replace_partitions, shipped_config
+from jobs.common import log, read_config, replace_partitions, shipped_config, table_or_empty
 from jobs.note_phenotypes import ALL
 from strandline.operators import assoc, genotype, intervals
-from strandline.operators.lineage import cut
+from strandline.operators.lineage import written
 from strandline.plans import panel
 
 RESULTS = "v long, variant_id string, pos long, beta double, chi2 double, p_value double, n_tests long, lambda_gc double, is_hit boolean, trait string, chr int"
@@ -52,27 +52,36 @@ def scan(genotypes: DataFrame, samples: DataFrame) -> DataFrame:
 
 def association_release(spark: SparkSession, data: str, out: str, config: dict, phenotypes: str | None = None) -> DataFrame:
     """Writes out/results and out/genes for the traits of the configuration and returns out/results as written."""
-    genotypes, variants, genes = cut(panel.genotypes(spark, data)), panel.variants(spark, data), panel.genes(spark, data).select("gene", "chr", "start", "end")
+    genotypes, variants, genes = panel.genotypes(spark, data), panel.variants(spark, data), panel.genes(spark, data).select("gene", "chr", "start", "end")
     traits = {t["name"]: samples_of(spark, data, t) for t in config["traits"]}
     if phenotypes:
         cases = spark.read.parquet(phenotypes)
         traits |= {f"notes_{p}": noted(cases, p) for p in config.get("note_phenotypes", [])}
+    # Genotypes meet the traits of all samples once, however many traits there are.
+    for k, (name, samples) in enumerate(traits.items()):
+        traits[name] = written(samples)
+        one = traits[name].select("s", F.col(traits[name].columns[1]).alias(f"t{k}"))
+        wide = wide.join(one, "s", "full") if k else one
+    if traits:
+        genotypes = genotypes.join(wide, "s", "left")
+    genotypes = written(genotypes)
     log.info("read %d genotypes, %d variants of %s", genotypes.count(), variants.count(), data)
     place = variants.select("v", "variant_id", "pos", "chr")
-    for name, samples in traits.items():
-        tested = cut(scan(genotypes, samples))
+    for k, (name, samples) in enumerate(traits.items()):
+        tested = written(scan(genotypes.select("v", "s", "g", F.col(f"t{k}").alias(samples.columns[1])), samples))
         level = tested.agg(F.count("*").alias("n_tests"), (F.percentile("chi2", 0.5) / 0.4549).alias("lambda_gc")).first()
         hit = (F.col("p_value") * level["n_tests"] <= config["p_hit"]).alias("is_hit")
         named = [F.lit(level["n_tests"]).cast("long").alias("n_tests"), F.lit(level["lambda_gc"]).cast("double").alias("lambda_gc"), hit, F.lit(name).alias("trait")]
         rows = tested.join(place, "v").select("v", "variant_id", "pos", "beta", "chi2", "p_value", *named, "chr")
         replace_partitions(rows, f"{out}/results", "trait", "chr")
     results = spark.read.schema(RESULTS).parquet(f"{out}/results")
+    own = results.where(F.col("trait").isin(*traits))
+    near = intervals.interval_join(own.select("chr", "pos", "p_value", "is_hit", "trait"), genes, config["window"])
+    sums = near.groupBy("gene", "trait").agg(F.count("*").alias("n_variants"), F.count_if("is_hit").alias("n_hits"), F.min("p_value").alias("min_p"))
+    replace_partitions(sums.select("gene", "n_variants", "n_hits", "min_p", "trait"), f"{out}/genes", "trait")
+    n_results, n_genes = (dict(df.groupBy("trait").count().collect()) for df in (own, table_or_empty(spark, f"{out}/genes", GENES)))
     for name in traits:
-        own = results.where(F.col("trait") == name)
-        near = intervals.interval_join(own.select("chr", "pos", "p_value", "is_hit"), genes, config["window"])
-        sums = near.groupBy("gene").agg(F.count("*").alias("n_variants"), F.count_if("is_hit").alias("n_hits"), F.min("p_value").alias("min_p"))
-        replace_partitions(sums.withColumn("trait", F.lit(name)), f"{out}/genes", "trait")
-        log.info("wrote %s: trait %s with %d results, %d genes", out, name, own.count(), spark.read.schema(GENES).parquet(f"{out}/genes").where(F.col("trait") == name).count())
+        log.info("wrote %s: trait %s with %d results, %d genes", out, name, n_results.get(name, 0), n_genes.get(name, 0))
     return results
 
 

@@ -3,6 +3,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from jobs.common import shipped_config
 from tests.test_catalogue import DATA, plain
@@ -109,3 +110,25 @@ def test_command_lines(tmp_path):
     cmd = [sys.executable, "-m", "jobs.note_phenotypes", "--notes", f"{DATA}/document[s].parquet", "--out", str(tmp_path / "o"), "--config", str(c)]
     said = [subprocess.run(cmd, cwd=here, check=True, capture_output=True, text=True).stderr for _ in range(2)]
     assert "read 200 new notes" in said[0] and "read 0 new notes" in said[1] and "cases/phenotype=er" in said[1]
+
+
+def test_release_makes_and_joins_the_genotypes_once(spark, tmp_path, monkeypatch):
+    from jobs import association_release as job
+    from strandline.operators import genotype
+
+    seen, real = spark.sparkContext.accumulator(0), job.panel.genotypes
+
+    def note(x):
+        seen.add(1)
+        return x
+
+    n = real(spark, DATA).count()
+    monkeypatch.setattr(job.panel, "genotypes", lambda s, d: real(s, d).select("v", "s", F.udf(note, "int")("g").alias("g")))
+    config = shipped_config("association_release")
+    assert job.association_release(spark, DATA, str(tmp_path / "out"), config | {"traits": config["traits"][::2]}).count()
+    assert seen.value == n
+    g = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (1, 3, None), (2, 4, 1)], "v long, s long, g int")
+    s = spark.createDataFrame([(1, 0.5, True), (2, 1.5, False), (3, 2.5, True), (4, None, None), (5, 1.0, False)], "s long, y double, is_case boolean")
+    met = g.join(s, "s")
+    assert genotype.moments(met, s.select("s", "y")).collect() == genotype.moments(g, s.select("s", "y")).collect()
+    assert genotype.count_tables(met, s.select("s", "is_case")).collect() == genotype.count_tables(g, s.select("s", "is_case")).collect()
