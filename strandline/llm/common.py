@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,19 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Within it an Arrow batch for Python has at most so many rows. Long rows fill batches up to 64 MB, which the JVM holds twice
+    beside its heap, with buffers that grow by doubling, and Python once. For actions: what runs later has the old setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def worker_state() -> dict:
     """A dictionary that outlives the tasks of one Python worker."""
     return sys.modules.setdefault("_strandline_worker", types.ModuleType("_strandline_worker")).__dict__

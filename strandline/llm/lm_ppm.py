@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix64, sliced, stage, text_bytes
+from strandline.llm.common import arrow_rows, mix64, sliced, stage, text_bytes
 from strandline.llm.dedup_oph import word_hashes
 
 ORDER, MAX_CONTEXTS, BOUNDARY, DISCOUNT = 6, 1 << 17, 256, 0.4
@@ -46,6 +46,12 @@ END_WORD = 0
 _CHUNK = 1_000_000
 #: Grams that are priced at once.
 _SPAN = 200_000
+#: Parts of a batch's keys, each some whole buckets: what merging, packing and looking up copy is one part.
+PARTS = 16
+#: Buckets of a small corpus, so that a row of a batch's grams stays below half a MB (beyond that the JVM takes whole regions).
+BUCKETS = 128
+#: Rows in an Arrow batch: texts to be read, packed rows.
+TEXT_ROWS, PACKED_ROWS = 1000, 16
 
 
 def plain(texts: list[bytes]) -> list[bytes]:
@@ -244,12 +250,50 @@ def _mask(symbols_: int) -> int:
 
 
 def _dealt(keys: np.ndarray, buckets: int, order: int | None) -> np.ndarray:
-    """The bucket of each key: of a gram by the end of its context, so that all levels from LOW on are in one bucket."""
+    """The bucket of each key: of a gram by the end of its context, so that all levels from LOW on are in one bucket. Where
+    buckets is a multiple of PARTS, a bucket's remainder is what PARTS buckets give."""
     x = keys.view(np.uint64) if order is None else ((keys >> _BITS) & _mask(min(order, LOW))).astype(np.uint64)
     with np.errstate(over="ignore"):
         return (mix64(x + np.uint64(5)) % np.uint64(buckets)).astype(np.int64)
 
 
+class Held:
+    """A batch's distinct keys and their counts, in PARTS parts by bucket; keys wait in `since` until they are many."""
+
+    def __init__(self, buckets: int, order: int | None):
+        self.buckets, self.order, self.since, self.size = buckets, order, [], 0
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.uint32)) for _ in range(PARTS)]
+
+    def add(self, keys: np.ndarray, counts: np.ndarray):
+        self.since.append((keys, counts))
+        self.size += len(keys)
+        if self.size > PENDING:
+            self.settle()
+
+    def _split(self, keys: np.ndarray, buckets: int):
+        at = _dealt(keys, buckets, self.order)
+        sort = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
+        at = at[sort]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        return zip(at[first].tolist(), np.split(sort, first[1:]), strict=False)
+
+    def settle(self):
+        if self.since:
+            keys, counts = merged(self.since)
+            self.since, self.size = [], 0
+            for k, own in self._split(keys, PARTS):
+                held, self.parts[k] = self.parts[k], None
+                self.parts[k] = added(*held, keys[own], counts[own].astype(np.uint32))
+
+    def given_up(self):
+        """(bucket, keys, counts) of each bucket, keys in order; a part is given up as it is read."""
+        self.settle()
+        for k in range(PARTS):
+            (keys, counts), self.parts[k] = self.parts[k], None
+            for bucket, own in self._split(keys, self.buckets):
+                yield bucket, keys[own], counts[own].astype(np.int64)
+
+
 def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Staged rows of docs (doc_id, text, held_out) with the batch they fell into.
 
@@ -257,51 +301,36 @@ def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
     often each is in texts not held out, from 0. kind 2: some documents, their texts one after another, compressed. kind 3:
     counts of the LOW last symbols of grams."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET))
+    buckets = max(BUCKETS, PARTS * -(-size // (PARTS * BUCKET)))
     types = {"kind": pa.int8(), "batch": pa.int64(), "bucket": pa.int64(), "keys": pa.binary(), "n": pa.binary(), "doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "texts": pa.binary()}
 
     def run(batches):
         from pyspark import TaskContext
 
-        batch, held = TaskContext.get().partitionId() << 20, 0
-        room: list[list] = [[], []]  # of each kind what is merged, then what came since
+        batch, held, any_ = TaskContext.get().partitionId() << 20, 0, False
+        room = [Held(buckets, None), Held(buckets, order)]  # words and grams
         zstd = zstandard.ZstdCompressor(level=3)
 
         def rows(kind, size, /, **columns):
             fixed = {"kind": pa.array(np.full(size, kind, np.int8)), "batch": pa.array(np.full(size, batch))}
             return pa.RecordBatch.from_arrays([fixed[c] if c in fixed else columns[c] if c in columns else pa.nulls(size, t) for c, t in types.items()], list(types))
 
-        def settle(kind):
-            if len(room[kind]) > 1:
-                room[kind][1:] = [merged(room[kind][1:])]
-                room[kind][:] = [added(*room[kind][0], *room[kind][1])]
-
         def flush():
-            # A batch's grams are the most that a worker holds: all that goes over them goes in spans or by some buckets at a time.
+            # A batch's grams are the most that a worker holds: all that goes over them goes over a part, or a bucket, at a time.
             for kind in (0, 1):
-                settle(kind)
-                keys, n = room[kind].pop()
-                spans = [slice(k, k + _CHUNK) for k in range(0, len(keys), _CHUNK)]
-                at = np.concatenate([np.zeros(0, np.int32), *(_dealt(keys[x], buckets, order if kind else None).astype(np.int32) for x in spans)])
-                step = -(-buckets // 16)
-                for first in range(0, buckets, step):
-                    own = np.flatnonzero((at >= first) & (at < first + step))
-                    sort = own[np.argsort(at[own], kind="stable")]
-                    ends = np.searchsorted(at[sort], np.arange(first, first + step + 1))
-                    for k in np.flatnonzero(np.diff(ends)).tolist():
-                        part = sort[ends[k] : ends[k + 1]]
-                        yield rows(kind, 1, bucket=pa.array([first + k]), keys=pa.array([packed(keys[part])], pa.binary()), n=pa.array([packed(n[part])], pa.binary()))
+                low = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for bucket, keys, n in room[kind].given_up():
+                    if kind:
+                        low.append(merged([(keys[n > 0] & _mask(min(order, LOW)), n[n > 0])]))
+                    yield rows(kind, 1, bucket=pa.array([bucket]), keys=pa.array([packed(keys)], pa.binary()), n=pa.array([packed(n)], pa.binary()))
                 if kind:
-                    none = np.zeros(0, np.int64)
-                    low, n = merged([(none, none), *(merged([(keys[x][n[x] > 0] & _mask(min(order, LOW)), n[x][n[x] > 0])]) for x in spans)])
-                    yield rows(3, 1, bucket=pa.array([batch % 16]), keys=pa.array([packed(low)], pa.binary()), n=pa.array([packed(n)], pa.binary()))
+                    keys, n = merged(low)
+                    yield rows(3, 1, bucket=pa.array([batch % 16]), keys=pa.array([packed(keys)], pa.binary()), n=pa.array([packed(n)], pa.binary()))
 
         def add(kind, trained, other):
-            room[kind].append(np.unique(trained, return_counts=True))
+            room[kind].add(*np.unique(trained, return_counts=True))
             seen = np.unique(other)
-            room[kind].append((seen, np.zeros(len(seen), np.int64)))
-            if sum(len(k) for k, _ in room[kind][1:]) > PENDING:
-                settle(kind)
+            room[kind].add(seen, np.zeros(len(seen), np.int64))
 
         for b in sliced(batches):
             at = 0
@@ -309,7 +338,7 @@ def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 part, at, texts = b.slice(at, len(raw)), at + len(raw), plain(raw)
                 if held > BATCH:
                     yield from flush()
-                    batch, held, room = batch + 1, 0, [[], []]
+                    batch, held, room = batch + 1, 0, [Held(buckets, None), Held(buckets, order)]
                 each = {"doc_id": [part["doc_id"].to_pylist()], "held_out": [part["held_out"].to_pylist()], "sizes": [[len(t) for t in texts]], "texts": [zstd.compress(b"".join(texts))]}
                 yield rows(2, 1, **{c: pa.array(x, types[c]) for c, x in each.items()})
                 out = each["held_out"][0]
@@ -317,13 +346,14 @@ def read_corpus(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 end = [np.full(len(x), END_WORD, np.int64) for x in split]
                 add(0, *(np.concatenate([word_hashes(x)[0].view(np.int64), e]) for x, e in zip(split, end, strict=True)))
                 add(1, *(grams(x, order) for x in split))
-                held += sum(map(len, texts))
-        if room[0]:
+                held, any_ = held + sum(map(len, texts)), True
+        if any_:
             yield from flush()
 
     parts = max(1, -(-size // BATCH))
     few = docs.coalesce(parts) if parts > 1 else docs
-    return stage(few.mapInArrow(run, ROWS), "ppm-corpus")
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return stage(few.mapInArrow(run, ROWS), "ppm-corpus")
 
 
 def prices(levels: list[tuple[np.ndarray, np.ndarray]], asked: np.ndarray, least: int = MIN_COUNT) -> np.ndarray:
@@ -426,7 +456,8 @@ def counted_words(corpus: DataFrame) -> DataFrame:
         return pa.table({"batch": table["batch"], "kind": pa.array([0] * len(each), pa.int8()), "bucket": table["bucket"], "keys": pa.array(packs, pa.binary()), "value": pa.array(values, pa.binary()), **sums})
 
     words = corpus.where("kind = 0").select("batch", "bucket", "keys", "n").groupBy("bucket").applyInArrow(run, VALUES + ", total long, distinct long")
-    return stage(words, "ppm-words")
+    with arrow_rows(corpus.sparkSession, PACKED_ROWS):
+        return stage(words, "ppm-words")
 
 
 def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> DataFrame:
@@ -435,7 +466,7 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
     held_out; n_tokens and n_known (tokens of the text with its end; those seen in training); train_tokens; base_score
     (add-0.1 unigram over tokens) and score (PPM), both log10. Null texts are empty: their end alone is scored. A null
     doc_id counts as held out. Repeated rows are scored, and learnt from, one by one. With no training row only escapes
-    are left (V = N = 0). Other columns are left out."""
+    are left (V = N = 0). Other columns are left out. Runs at once: the scores are staged."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held.alias("held_out"))
     corpus = read_corpus(docs, order)
@@ -454,22 +485,24 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
         return keys, np.concatenate(values)[sort]
 
     def run(batches):
-        now, told, known, logs, counts, seen, costs = None, ([], []), None, None, None, None, None
+        now, words_, parts, known, logs, counts = None, [], [], None, None, None
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             for k in range(b.num_rows):
-                row = {c: b[c][k] for c in ("batch", "kind", "keys", "value", "doc_id", "held_out", "sizes", "texts")}
+                row = {c: b[c][k] for c in ("batch", "kind", "bucket", "keys", "value", "doc_id", "held_out", "sizes", "texts")}
                 kind = row["kind"].as_py()
                 if row["batch"].as_py() != now:
-                    now, told, known = row["batch"].as_py(), ([], []), None
+                    now, words_, parts, known = row["batch"].as_py(), [], [[] for _ in range(PARTS)], None
                 if kind < 2:
                     value = row["value"].as_py()
-                    told[kind].append((unpacked(row["keys"].as_py()), np.frombuffer(value, np.float32) if kind else unpacked(value)))
+                    into = parts[row["bucket"].as_py() % PARTS] if kind else words_
+                    into.append((unpacked(row["keys"].as_py()), np.frombuffer(value, np.float32) if kind else unpacked(value)))
                     continue
                 if known is None:
-                    known, counts = together(told[0])
+                    known, counts = together(words_)
                     logs, counts = np.log10(counts + 0.1) - floor, counts > 0
-                    seen, costs = together(told[1])
+                    for part, x in enumerate(parts):
+                        parts[part] = together(x) if x else None
                 sizes = row["sizes"].as_py()
                 ends, text = np.cumsum([0, *sizes]).tolist(), unzip.decompress(row["texts"].as_py())
                 texts = [text[x:y] for x, y in zip(ends, ends[1:], strict=False)]
@@ -480,16 +513,22 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = ORDER) -> Dat
                 base, hit = np.bincount(doc, logs[place], n), np.bincount(doc, counts[place], n)
                 some, back = np.unique(grams(texts, order), return_inverse=True)
                 begin = np.concatenate([[0], np.cumsum([x + 1 for x in sizes])])[:-1]
-                score = np.add.reduceat(costs[np.searchsorted(seen, some)].astype(np.float64)[back], begin)
+                cost, part_of = np.zeros(len(some)), _dealt(some, PARTS, order)
+                for part in np.unique(part_of).tolist():
+                    own = np.flatnonzero(part_of == part)
+                    seen, costs = parts[part]
+                    cost[own] = costs[np.searchsorted(seen, some[own])]
+                score = np.add.reduceat(cost[back], begin)
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"].as_py(), pa.int64()), pa.array(row["held_out"].as_py(), pa.bool_()), pa.array(each.astype(np.int64) + 1), pa.array(hit.astype(np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     none = lambda c, t: F.lit(None).cast(t).alias(c)
     own = [("doc_id", "array<long>"), ("held_out", "array<boolean>"), ("sizes", "array<long>"), ("texts", "binary")]
-    texts = corpus.where("kind = 2").select("batch", "kind", none("keys", "binary"), none("value", "binary"), *[c for c, _ in own])
-    known = words.select("batch", "kind", "keys", "value").union(priced_batches(corpus, order).select("batch", "kind", "keys", "value"))
+    texts = corpus.where("kind = 2").select("batch", "kind", none("bucket", "long"), none("keys", "binary"), none("value", "binary"), *[c for c, _ in own])
+    known = words.select("batch", "kind", "bucket", "keys", "value").union(priced_batches(corpus, order).select("batch", "kind", "bucket", "keys", "value"))
     known = known.select("*", *[none(c, t) for c, t in own])
     # A batch is scored in one task: what is known of its words and grams comes first, then its texts, one slice at a time.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = known.union(texts).repartition(parts, "batch").sortWithinPartitions("batch", "kind")
-    scored = dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    with arrow_rows(docs.sparkSession, PACKED_ROWS):
+        scored = stage(dealt.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "ppm-scores")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

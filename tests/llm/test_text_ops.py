@@ -402,3 +402,55 @@ def test_ppm_workers_hold_little_beside_their_grams():
     assert all((x == y).all() for x, y in zip(lm_ppm.added(keys, n.copy(), odd, odd), lm_ppm.merged([(keys, n), (odd, odd)]), strict=True))
     # A span at a time gives each gram the price that it has alone.
     assert np.array_equal(costs[::10_000], np.concatenate([lm_ppm.prices(levels, asked[k : k + 1]) for k in range(0, len(asked), 10_000)]))
+
+
+def test_ppm_holds_a_batch_in_parts(monkeypatch):
+    """What a batch's keys take is a word and half each; merging and giving them out copies no more than a part."""
+    import tracemalloc
+
+    from strandline.llm import lm_ppm
+
+    monkeypatch.setattr(lm_ppm, "PENDING", 100_000)
+    rng = np.random.default_rng(6)
+    slices = [rng.integers(0, 1 << 62, 50_000) for _ in range(40)]
+
+    def filled():
+        held = lm_ppm.Held(64, lm_ppm.ORDER)
+        for x in slices:
+            held.add(*np.unique(x, return_counts=True))
+            held.add(np.unique(x[:100]), np.ones(100, np.int64))
+        return held
+
+    distinct = len(np.unique(slices))
+    tracemalloc.start()
+    try:
+        assert sum(len(keys) for _, keys, _ in filled().given_up()) == distinct
+        assert tracemalloc.get_traced_memory()[1] < 24 * distinct
+    finally:
+        tracemalloc.stop()
+    got = list(filled().given_up())
+    assert sorted({b for b, *_ in got}) == [b for b, *_ in sorted(got, key=lambda x: x[0])]
+    for bucket, keys, _ in got:
+        assert (keys[1:] > keys[:-1]).all() and (lm_ppm._dealt(keys, 64, lm_ppm.ORDER) == bucket).all()
+    want = lm_ppm.merged([np.unique(np.concatenate(slices), return_counts=True), *[(np.unique(x[:100]), np.ones(100, np.int64)) for x in slices]])
+    assert all((x == y).all() for x, y in zip(lm_ppm.merged([x[1:] for x in got]), want, strict=True))
+
+
+def test_ppm_rows_and_arrow_batches_stay_small(spark):
+    from strandline.llm import lm_ppm
+    from strandline.llm.common import arrow_rows
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = spark.range(0, 100, 1, 1).mapInArrow(lambda batches: (b.from_pydict({"id": [b.num_rows]}) for b in batches), "id long")
+    with arrow_rows(spark, 7):
+        assert max(r["id"] for r in sizes.select("*").collect()) == 7
+        with arrow_rows(spark, 1000):
+            assert spark.conf.get(key) == "7"
+    with pytest.raises(ZeroDivisionError), arrow_rows(spark, 7):
+        1 / 0
+    assert spark.conf.get(key) == before
+    docs = spark.createDataFrame([(k, f"{k} whole and {k * k} parts, some of {k % 7}'s own " * 20) for k in range(200)], "doc_id long, text string")
+    read = lm_ppm.read_corpus(docs.selectExpr("doc_id", "text", "false AS held_out"))
+    assert read.where("kind = 1").select("bucket").distinct().count() > 64  # rows of a large batch are below half a MB
+    assert lm_ppm.score_documents(docs).count() == 200 and spark.conf.get(key) == before
