@@ -262,3 +262,30 @@ def test_flow_reads_the_genotypes_twice(spark):
     got = flow.pathway_flows(flow.network(noted, cases, genes, paths, 40, 0.5)).collect()
     assert {r["pathway"]: r["flow"] for r in got} == {"A": 3.0, "B": 3.0}
     assert seen.value <= 2 * rows.count()
+
+
+def test_ranges_of_ids_are_sent_half_as_often_as_there_are_ranges(spark, tmp_path):
+    """A row of a small range goes to every range that follows, packed, not to every pair of tiles with ids beside it."""
+    rng = np.random.default_rng(3)
+    rows = [(v, s, 1.0 + v) for v in range(40) for s in rng.choice(4000, 60, replace=False).tolist()]
+    got = tiles.shared_products(spark.createDataFrame(rows, "v long, s long, x double"), "v", "s", "x", 4096, 300)
+    want: dict = {}
+    for v in range(40):
+        own = sorted(s for w, s, _ in rows if w == v)
+        for k, i in enumerate(own):
+            for j in own[k:]:
+                want[i, j] = want.get((i, j), 0.0) + 1.0 + v
+    assert {(r["i"], r["j"]): r["w"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "FlatMapGroups" not in plan and "by#" in plan  # lists of ranges travel, not rows
+
+
+def test_quick_rounding_equals_round(spark):
+    from strandline.plans import catalogue
+
+    rng = np.random.default_rng(5)
+    x = [*rng.standard_normal(3000), *(rng.standard_normal(500) * 10.0 ** rng.integers(-9, 20, 500)), *(rng.integers(-(10**7), 10**7, 3000) / 1e6 + 5e-7), *(rng.integers(-999, 999, 300) / 2e6), 0.0, -0.0, -1e-9, 1e-9, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in enumerate(x)], "k int, x double")
+    for digits in (0, 3, 6, 9):
+        want = {r["k"]: repr(r["x"]) for r in df.select("k", (F.round("x", digits) + F.lit(0.0)).alias("x")).collect()}
+        assert {r["k"]: repr(r["x"]) for r in catalogue.rounded(df, digits).collect()} == want
