@@ -289,3 +289,16 @@ def test_quick_rounding_equals_round(spark):
     for digits in (0, 3, 6, 9):
         want = {r["k"]: repr(r["x"]) for r in df.select("k", (F.round("x", digits) + F.lit(0.0)).alias("x")).collect()}
         assert {r["k"]: repr(r["x"]) for r in catalogue.rounded(df, digits).collect()} == want
+
+
+def test_interaction_matrix_rounds_once_a_pair(spark):
+    from strandline.operators import epistasis
+    from strandline.plans import catalogue
+
+    rows = [(v, s, 1 + (v + s) % 2) for v in range(4) for s in range(90) if (7 * v + s) % 5 == 0]
+    g, s = spark.createDataFrame(rows, "v long, s long, g int"), spark.range(90).withColumnRenamed("id", "s")
+    pairs = spark.createDataFrame([(0, 1), (1, 3), (0, 2)], "v1 long, v2 long")
+    out = epistasis.interaction_matrix(g, s, pairs, 16, digits=3)
+    want = catalogue.rounded(epistasis.interaction_matrix(g, s, pairs, 16), 3)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 270
+    assert "none#" in out._jdf.queryExecution().optimizedPlan().toString()
