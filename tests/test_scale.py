@@ -302,3 +302,23 @@ def test_interaction_matrix_rounds_once_a_pair(spark):
     want = catalogue.rounded(epistasis.interaction_matrix(g, s, pairs, 16), 3)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 270
     assert "none#" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_graph_features_take_all_variants(spark, tmp_path):
+    """10,004 variants of one carrier each: none is left out, in the query or in its SQL."""
+    import duckdb
+
+    from strandline.plans import catalogue
+
+    n, d = 2501, str(tmp_path)
+    spark.range(40).selectExpr("id AS c_custkey", "0D AS c_acctbal", "'BUILDING' AS c_mktsegment", "0 AS c_nationkey").coalesce(1).write.parquet(f"{d}/customer.parquet")
+    spark.range(n).selectExpr("id AS s_suppkey", "0 AS s_nationkey").coalesce(1).write.parquet(f"{d}/supplier.parquet")
+    spark.range(n).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey").coalesce(1).write.parquet(f"{d}/orders.parquet")
+    spark.range(n).selectExpr("id AS l_orderkey", "id AS l_suppkey", "1D AS l_quantity").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    out = catalogue.QUERIES["graph_export_features"](spark, d)
+    assert out.agg(F.sum("n_carried")).first()[0] == 4 * n
+    c = duckdb.connect()
+    for t in ("customer", "supplier", "orders", "lineitem"):
+        c.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
+    want = c.execute(catalogue.SQL["graph_export_features"]).fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(want)
