@@ -322,3 +322,18 @@ def test_graph_features_take_all_variants(spark, tmp_path):
         c.execute(f"create view {t} as select * from '{d}/{t}.parquet/*.parquet'")
     want = c.execute(catalogue.SQL["graph_export_features"]).fetchall()
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_packed_blocks_of_sparse_carriers_hold_few_codes(spark):
+    """Small blocks are made from lists of carriers: the groups that are shuffled do not grow with the blocks."""
+    from strandline.operators import genotype
+
+    rng = np.random.default_rng(9)
+    rows = [(v, int(s), int(rng.integers(1, 3)) if rng.random() < 0.9 else None) for v in range(30) for s in rng.choice(3_000_000, 200, replace=False)]
+    gt = spark.createDataFrame(rows, "v long, packed_index int, g int")
+    packed = genotype.pack_carriers(gt, 3_000_001, 64)
+    assert packed.agg(F.sum(F.length("gt_packed"))).first()[0] <= 16 * len(rows)
+    place = spark.createDataFrame([(s, s) for s in sorted({s for _, s, _ in rows})], "s long, packed_index int")
+    assert {tuple(r) for r in genotype.explode_packed(packed, place).collect()} == set(rows)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "packed_from" not in plan.split("MapInArrow", 1)[1].split("Exchange", 1)[1]
