@@ -337,3 +337,19 @@ def test_packed_blocks_of_sparse_carriers_hold_few_codes(spark):
     assert {tuple(r) for r in genotype.explode_packed(packed, place).collect()} == set(rows)
     plan = packed._jdf.queryExecution().executedPlan().toString()
     assert "packed_from" not in plan.split("MapInArrow", 1)[1].split("Exchange", 1)[1]
+
+
+def test_pathway_pairs_are_dealt_by_gene(spark):
+    """Genes, not variants, are copied for the parts, and a few bytes of genes still make many tasks."""
+    from strandline.operators import epistasis
+
+    vg = spark.createDataFrame([(v, v // 5) for v in range(100)], "v long, gene long")
+    gp = spark.createDataFrame([(g, p) for g in range(20) for p in ("A", "B") if (g + (p == "B")) % 3], "gene long, pathway string")
+    out = epistasis.motif_pairs("same_pathway", vg, gene_pathway=gp)
+    of = {g: {p for p in ("A", "B") if (g + (p == "B")) % 3} for g in range(20)}
+    want = {(a, b, min(of[a // 5] & of[b // 5])) for a in range(100) for b in range(a + 1, 100) if a // 5 != b // 5 and of[a // 5] & of[b // 5]}
+    rows = out.collect()
+    assert {(r["v1"], r["v2"], r["entity"]) for r in rows} == want and len(rows) == len(want)
+    assert out.rdd.getNumPartitions() >= 64
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(vs2") < plan.index("explode(vs1") < plan.index("Join")  # variants are made above the join
